@@ -275,6 +275,13 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("src") != F.col("dst")).distinct())
 
 
+def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemaless document store: one record per event, ``type`` + VARIANT payload."""
+    ev = load(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("id"), F.col("event_type").alias("type"),
+                     F.parse_json("props").alias("payload"))
+
+
 def snap_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return (d.where(F.col("doc_id") % 10 != 0)
