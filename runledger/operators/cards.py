@@ -330,3 +330,42 @@ def card_record_fields(cards: DataFrame) -> DataFrame:
 def unique_tags(cards: DataFrame, col: str = "tags") -> DataFrame:
     """U-4: ordered de-duplication (first occurrence wins)."""
     return cards.withColumn(col, F.array_distinct(col))
+
+
+# ---------------------------------------------------------------------------
+# JSON-LD text (K-18 writer side, S-7 reader side)
+# ---------------------------------------------------------------------------
+
+JSONLD_SCHEMA = (
+    "`@type` string, name string, description string, license string, url string, conformsTo string, "
+    "datePublished string, distribution array<struct<`@type`: string, name: string, contentUrl: string, "
+    "encodingFormat: string, sha256: string, includes: string>>, recordSet array<struct<`@type`: string, "
+    "name: string, field: array<struct<`@type`: string, name: string, dataType: string>>>>")
+
+
+def card_to_jsonld(cards: DataFrame) -> DataFrame:
+    """K-18: one JSON-LD document per card (``name``, ``json``); NULL fields
+    are left out by ``to_json``."""
+    dist = F.transform("distribution", lambda d: F.struct(
+        d["type"].alias("@type"), d["name"].alias("name"), d["contentUrl"].alias("contentUrl"),
+        d["encodingFormat"].alias("encodingFormat"), d["sha256"].alias("sha256"), d["includes"].alias("includes")))
+    recs = F.transform("recordSet", lambda r: F.struct(
+        r["type"].alias("@type"), r["name"].alias("name"),
+        F.transform(r["field"], lambda f: F.struct(F.lit("cr:Field").alias("@type"), f["name"].alias("name"),
+                                                   f["dataType"].alias("dataType"))).alias("field")))
+    doc = F.struct(F.lit("sc:Dataset").alias("@type"), "name", "description", "license", "url", "conformsTo",
+                   "datePublished", dist.alias("distribution"), recs.alias("recordSet"))
+    return cards.select("name", F.to_json(doc).alias("json"))
+
+
+def card_from_jsonld(docs: DataFrame) -> DataFrame:
+    """S-7 read side: JSON-LD columns back to the in-memory card shape."""
+    dist = F.transform("distribution", lambda d: F.struct(
+        d["@type"].alias("type"), d["name"].alias("name"), d["contentUrl"].alias("contentUrl"),
+        d["encodingFormat"].alias("encodingFormat"), d["sha256"].alias("sha256"), d["includes"].alias("includes")))
+    recs = F.transform("recordSet", lambda r: F.struct(
+        r["@type"].alias("type"), r["name"].alias("name"),
+        F.transform(r["field"], lambda f: F.struct(f["name"].alias("name"), f["dataType"].alias("dataType")))
+        .alias("field")))
+    return docs.select("name", "description", "license", "url", "conformsTo", "datePublished",
+                       dist.alias("distribution"), recs.alias("recordSet"))
