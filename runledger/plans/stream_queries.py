@@ -1 +1,145 @@
-"""placeholder"""
+"""Structured Streaming queries (T-1..T-7).
+
+Each query drops stand-in input files (written once from the driver tables
+into the shared checkpoint folder), runs the stream to completion with an
+``availableNow`` trigger, and returns the sink table it produced.  The final
+sink state must equal the batch twin of the operator, which is what the
+oracle checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import runs as R
+from ..operators.ordered import bucket_of, quantile_bounds
+from ..session import fresh_scratch, scratch_path
+from ..sources import fixtures as X
+from ..sources import standin as ST
+from ..streaming import discovery as D
+from ..streaming import status as SS
+from ..streaming import triggers as TR
+from .card_queries import W
+from .registry import query
+from .run_queries import _ASSIGN_SQL
+
+_EXT = "CASE doc_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.md' ELSE '.txt' END"
+_LOC = f"lang || '/' || CAST(doc_id AS VARCHAR) || {_EXT}"
+
+
+def _drop(spark, sf, name, df, n_files=1, order_col=None):
+    """Write ``df`` as an input drop of ``n_files`` files, oldest data first
+    (one write per file so file times follow event time)."""
+    root = scratch_path(spark, "standin", ST._key(sf, name))
+    if ST._done(root):
+        return root
+    if order_col is None or n_files == 1:
+        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/part-000")
+    else:
+        x = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
+        bounds = quantile_bounds([df.select(x.alias("_x"))], n_files)
+        b = df.withColumn("_chunk", bucket_of(x, bounds))
+        for i in range(len(bounds) + 1):          # a fixed number of drops
+            b.where(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("overwrite") \
+                .parquet(f"{root}/part-{i:03d}")
+    ST._mark(root, {"drops": n_files})
+    return root
+
+
+def _stream(spark, path, max_files=1):
+    schema = spark.read.parquet(path + "/*").schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(path + "/*"))
+
+
+_SCAN_SQL = f"""SELECT source AS node_name, {_LOC} AS location, CAST(strlen(text) AS BIGINT) AS size,
+                   sha256(text) AS hash FROM documents"""
+
+
+@query("stream_artifacts", _SCAN_SQL)
+def q_stream_artifacts(spark, sf):
+    root = ST.document_tree(spark, sf)
+    out = fresh_scratch(spark, "stream-artifacts")
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=250)
+    q.awaitTermination()
+    return spark.read.schema(D.CATALOG_SCHEMA).parquet(f"{out}/catalog").select("node_name", "location", "size", "hash")
+
+
+@query("stream_count_trigger", """
+    SELECT source AS node_name, true AS fired FROM documents GROUP BY source HAVING count(*) >= 2""")
+def q_stream_count_trigger(spark, sf):
+    root = ST.document_tree(spark, sf)
+    out = fresh_scratch(spark, "stream-count")
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=250,
+                   trigger_path=f"{out}/triggers", min_new=2)
+    q.awaitTermination()
+    t = spark.read.schema(D.TRIGGER_SCHEMA).parquet(f"{out}/triggers")
+    return t.select("node_name", F.lit(True).alias("fired"))
+
+
+@query("stream_metric_trigger", W("""
+    SELECT m.run_id, n.node_name, m.metric_name, max(m.metric_value) AS agg_value
+    FROM metrics m JOIN nodes n ON m.node_id = n.id
+    GROUP BY ALL HAVING max(m.metric_value) > 300.0""", "metrics"))
+def q_stream_metric_trigger(spark, sf):
+    m = X.metrics(spark, sf).select("run_id", "node_id", "metric_name", "metric_value", "logged_at")
+    src = _drop(spark, sf, "metrics-drop", m, n_files=8, order_col="logged_at")
+    out = fresh_scratch(spark, "stream-metric")
+    q = TR.metric_max_stream(_stream(spark, src), f"{out}/updates", f"{out}/_checkpoint")
+    q.awaitTermination()
+    upd = spark.read.schema(TR.METRIC_SINK_SCHEMA).parquet(f"{out}/updates")
+    final = TR.latest_values(upd, ["run_id", "node_id", "metric_name"])
+    n = X.nodes(spark, sf).select(F.col("id").alias("node_id"), "node_name")
+    return (final.where(F.col("agg_value") > 300.0).join(n, "node_id")
+            .select("run_id", "node_name", "metric_name", "agg_value"))
+
+
+@query("stream_debounce", W(f"""WITH {_ASSIGN_SQL}
+    SELECT node_id, run_triggered, id, trigger_time, message FROM (
+      SELECT *, row_number() OVER (PARTITION BY node_id, run_triggered ORDER BY trigger_time, id) AS rn
+      FROM assigned WHERE run_triggered IS NOT NULL) WHERE rn = 1""", "triggers", "runs"))
+def q_stream_debounce(spark, sf):
+    assigned = R.assign_triggers(X.triggers(spark, sf), X.runs(spark, sf))
+    src = _drop(spark, sf, "assigned-drop", assigned, n_files=4, order_col="trigger_time")
+    out = fresh_scratch(spark, "stream-debounce")
+    q = TR.debounce_stream(_stream(spark, src), f"{out}/fired", f"{out}/_checkpoint", watermark="2 days")
+    q.awaitTermination()
+    return spark.read.schema(TR.DEBOUNCE_OUT).parquet(f"{out}/fired")
+
+
+@query("stream_latest_status", W("""
+    SELECT node_name, status, ts, id FROM (
+      SELECT *, row_number() OVER (PARTITION BY node_name ORDER BY ts DESC, id DESC) AS rn FROM status_events)
+    WHERE rn = 1""", "status_events"))
+def q_stream_latest_status(spark, sf):
+    s = X.status_events(spark, sf)
+    # two child servers (even and odd node numbers) relay into the parent
+    num = F.regexp_extract("node_name", r"(\d+)$", 1).cast("int")
+    a = _drop(spark, sf, "status-even", s.where(num % 2 == 0), n_files=3, order_col="ts")
+    b = _drop(spark, sf, "status-odd", s.where(num % 2 == 1), n_files=3, order_col="ts")
+    out = fresh_scratch(spark, "stream-status")
+    q = SS.latest_status_stream(SS.relay([_stream(spark, a), _stream(spark, b)]), f"{out}/latest",
+                                f"{out}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/latest")
+
+
+@query("stream_changefeed", W("""
+    SELECT id, 'added' AS change, CAST(NULL AS VARCHAR) AS old_state, state AS new_state, CAST(0 AS BIGINT) AS version
+    FROM snap_old
+    UNION ALL
+    SELECT n.id, CASE WHEN o.id IS NULL THEN 'added' ELSE 'changed' END, o.state, n.state, CAST(1 AS BIGINT)
+    FROM snap_new n LEFT JOIN snap_old o ON o.id = n.id
+    WHERE o.id IS NULL OR o.state IS DISTINCT FROM n.state""", "snap_old", "snap_new"))
+def q_stream_changefeed(spark, sf):
+    root = scratch_path(spark, "standin", ST._key(sf, "snapshots"))
+    if not ST._done(root):
+        # one file per snapshot version, written oldest first
+        X.snap_old(spark, sf).withColumn("version", F.lit(0).cast("long")).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{root}/v0")
+        X.snap_new(spark, sf).withColumn("version", F.lit(1).cast("long")).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{root}/v1")
+        ST._mark(root, {"versions": 2})
+    out = fresh_scratch(spark, "stream-feed")
+    q = SS.change_feed(_stream(spark, root), f"{out}/state", f"{out}/feed", f"{out}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/feed").select("id", "change", "old_state", "new_state", "version")
