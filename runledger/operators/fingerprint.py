@@ -36,20 +36,40 @@ def _flat(df: DataFrame, keys: list[str], order_col: str, line_col: str, sep: st
     return df.groupBy(*keys).agg(F.sha2(F.array_join(lines, sep), 256).alias("_digest"))
 
 
+def big_groups(df: DataFrame, keys: list[str], max_flat: int) -> list[tuple]:
+    """Keys of the groups with more than ``max_flat`` rows.
+
+    One count aggregation over the key columns only; the list comes to the
+    driver, and it can hold at most ``rows / max_flat`` keys."""
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_flat)
+    return [tuple(r[k] for k in keys) for r in sized.select(*keys).collect()]
+
+
+def _in_keys(keys: list[str], values: list[tuple]) -> Column:
+    cond = None
+    for v in values:
+        c = None
+        for k, x in zip(keys, v):
+            e = F.col(k).eqNullSafe(F.lit(x))
+            c = e if c is None else (c & e)
+        cond = c if cond is None else (cond | c)
+    return cond if cond is not None else F.lit(False)
+
+
 def ordered_digest(df: DataFrame, keys: list[str], order_col: str, line_col: str, sep: str,
                    leaf_of: Column, max_flat: int = MAX_FLAT) -> DataFrame:
     """Per group: SHA-256 of ``line_col`` joined by ``sep`` in ``order_col`` order.
 
     Returns ``keys + [_digest, _scheme]``.  ``leaf_of`` must be monotone in
     ``order_col`` (a prefix of the sort key, or a range of ids) so the Merkle
-    form still follows the sort order."""
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sized.where(F.col("_n") > max_flat).select(*keys)
-    small_rows = df.join(F.broadcast(big), keys, "left_anti")
-    flat = _flat(small_rows, keys, order_col, line_col, sep).withColumn("_scheme", F.lit("flat"))
-
-    big_rows = df.join(F.broadcast(big), keys, "left_semi").withColumn("_leaf", leaf_of)
-    leaves = _flat(big_rows, [*keys, "_leaf"], order_col, line_col, sep)
+    form still follows the sort order.  When no group is large - the usual
+    case - the plan is a single aggregation."""
+    big = big_groups(df, keys, max_flat) if max_flat > 0 else None
+    if big == []:
+        return _flat(df, keys, order_col, line_col, sep).withColumn("_scheme", F.lit("flat"))
+    is_big = _in_keys(keys, big) if big is not None else F.lit(True)
+    flat = _flat(df.where(~is_big), keys, order_col, line_col, sep).withColumn("_scheme", F.lit("flat"))
+    leaves = _flat(df.where(is_big).withColumn("_leaf", leaf_of), [*keys, "_leaf"], order_col, line_col, sep)
     root = leaves.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_leaf", "_digest"))), lambda x: x["_digest"]), ""), 256)
         .alias("_digest")).withColumn("_scheme", F.lit("merkle"))
@@ -124,14 +144,16 @@ def run_hash(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame, params:
     The artifact part is the concatenation itself (not its digest), as in
     the reference; past ``max_flat`` artifacts the Merkle digest stands in."""
     a = artifacts.where(F.col("run_id").isNotNull() & (F.col("state") != "new")).select("run_id", "hash")
-    sized = a.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = sized.where(F.col("_n") > max_flat).select("run_id")
-    concat = (a.join(F.broadcast(big), "run_id", "left_anti").groupBy("run_id")
-              .agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("_cat")))
-    merkle = artifact_fingerprint(a.join(F.broadcast(big), "run_id", "left_semi")
-                                  .withColumn("state", F.lit("using")), max_flat=0) \
-        .select("run_id", F.col("artifact_hash").alias("_cat"))
-    art = concat.unionByName(merkle)
+    big = big_groups(a, ["run_id"], max_flat)
+    concat_of = lambda d: d.groupBy("run_id").agg(
+        F.array_join(F.array_sort(F.collect_list("hash")), "").alias("_cat"))
+    if not big:
+        art = concat_of(a)
+    else:
+        is_big = _in_keys(["run_id"], big)
+        merkle = artifact_fingerprint(a.where(is_big).withColumn("state", F.lit("using")), max_flat=0) \
+            .select("run_id", F.col("artifact_hash").alias("_cat"))
+        art = concat_of(a.where(~is_big)).unionByName(merkle)
     meta = run_metadata_hash(runs, metrics, params, tags, max_flat)
     return (meta.join(art, "run_id", "left")
             .select("run_id", "metadata_hash",

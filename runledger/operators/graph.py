@@ -70,8 +70,9 @@ def peel(nodes: DataFrame | None, edges: DataFrame, max_rounds: int = MAX_ROUNDS
     e = edges.select("src", "dst").distinct()
     removed_parts = []
     for rnd in range(max_rounds):
-        # nodes with no incoming edge among what is left; materialised once,
-        # since it is tested for emptiness and then used twice
+        # nodes with no incoming edge among what is left.  Checkpointed (not
+        # cached): it is tested and then used twice, and as a plan leaf it
+        # keeps the next round's plan from embedding this round's twice.
         sources = remaining.join(e.select(F.col("dst").alias("node_name")), "node_name", "left_anti") \
             .checkpoint(eager=True)
         if sources.isEmpty():
@@ -146,7 +147,7 @@ def downstream(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS)
                .distinct()
                .join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
                .withColumn("depth", F.lit(rnd).cast("long")))
-        nxt = nxt.checkpoint(eager=True)      # tested for emptiness, then reused
+        nxt = nxt.checkpoint(eager=True)      # tested, then reused; a plan leaf
         if nxt.isEmpty():
             break
         visited = _cut(visited.unionByName(nxt), rnd)

@@ -177,3 +177,22 @@ def doc_update(docs: DataFrame, doc_type: str, where_key: str, where_min: int,
         F.when(F.col("updated"), F.lit(set_value)).otherwise(
             F.expr(f"variant_get(payload, '$.{set_key}', 'string')")).alias(set_key),
         "updated")
+
+
+# K-5 -----------------------------------------------------------------------
+def save_artifact(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False,
+                  node_name: str | None = None, run_id: int | None = None) -> DataFrame:
+    """Save a DataFrame as an artifact and return the produced records.
+
+    No clobber unless ``overwrite`` (``errorifexists`` raises on an existing
+    path); Spark's file committer writes to a temporary location and commits
+    atomically per job.  The committed files are then hashed (S-1) and come
+    back as ``produced`` rows for K-4."""
+    from ..sources.files import scan_artifacts
+    df.write.format(fmt).mode("overwrite" if overwrite else "errorifexists").save(path)
+    spark = df.sparkSession
+    files = scan_artifacts(spark, path, node_level=False)
+    return files.select(F.lit(node_name).cast("string").alias("node_name"), "location", "hash",
+                        F.lit(S.HASH_ALGORITHM).alias("hash_algorithm"), F.lit("produced").alias("state"),
+                        F.lit(run_id).cast("long").alias("run_id"), "size",
+                        F.lit(f"application/x-{fmt}").alias("content_type"))

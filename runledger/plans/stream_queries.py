@@ -59,9 +59,9 @@ _SCAN_SQL = f"""SELECT source AS node_name, {_LOC} AS location, CAST(strlen(text
 def q_stream_artifacts(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-artifacts")
-    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=250)
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=2500)
     q.awaitTermination()
-    return spark.read.schema(D.CATALOG_SCHEMA).parquet(f"{out}/catalog").select("node_name", "location", "size", "hash")
+    return D.read_catalog(spark, f"{out}/catalog").select("node_name", "location", "size", "hash")
 
 
 @query("stream_count_trigger", """
@@ -69,11 +69,10 @@ def q_stream_artifacts(spark, sf):
 def q_stream_count_trigger(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-count")
-    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=250,
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=2500,
                    trigger_path=f"{out}/triggers", min_new=2)
     q.awaitTermination()
-    t = spark.read.schema(D.TRIGGER_SCHEMA).parquet(f"{out}/triggers")
-    return t.select("node_name", F.lit(True).alias("fired"))
+    return D.read_fired(spark, f"{out}/triggers").select("node_name", F.lit(True).alias("fired"))
 
 
 @query("stream_metric_trigger", W("""
@@ -82,7 +81,7 @@ def q_stream_count_trigger(spark, sf):
     GROUP BY ALL HAVING max(m.metric_value) > 300.0""", "metrics"))
 def q_stream_metric_trigger(spark, sf):
     m = X.metrics(spark, sf).select("run_id", "node_id", "metric_name", "metric_value", "logged_at")
-    src = _drop(spark, sf, "metrics-drop", m, n_files=8, order_col="logged_at")
+    src = _drop(spark, sf, "metrics-drop", m, n_files=4, order_col="logged_at")
     out = fresh_scratch(spark, "stream-metric")
     q = TR.metric_max_stream(_stream(spark, src), f"{out}/updates", f"{out}/_checkpoint")
     q.awaitTermination()

@@ -31,6 +31,17 @@ _DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "runledger", extra: dict | None = None) -> SparkSession:
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        # a platform-made session: only fill in what is unset
+        for k, v in {**_DEFAULTS, **(extra or {})}.items():
+            if active.conf.get(k, None) is None:
+                try:
+                    active.conf.set(k, v)
+                except Exception:  # noqa: BLE001 - static confs cannot change at runtime
+                    pass
+        ensure_checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

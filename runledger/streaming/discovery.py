@@ -3,37 +3,56 @@ count trigger.
 
 The reference re-walks and re-hashes a folder every 0.1 s.  Here Spark's
 file source tracks which files it has seen in its checkpoint, so every file
-is listed once; each micro-batch hashes only its own new files, anti-joins
-them against the catalog table (``foreachBatch`` is at-least-once, and the
-anti join makes a replayed batch a no-op) and appends the accepted rows.
+is delivered once; each micro-batch hashes only its own new files.
+
+Exactly-once sink: ``foreachBatch`` is at-least-once, so every batch writes
+its own ``batch_id=k`` partition with dynamic partition overwrite - a
+replayed batch rewrites the same folder instead of appending twice.  The
+cost of a batch therefore follows the batch, never the catalog.  Files that
+were catalogued before the stream started (a bulk scan) are removed by an
+anti join against that base catalog.
+
+Count trigger: a per-node running count is kept in a small table (one row
+per node) written to two alternating folders, so batch k reads what batch
+k-1 wrote and a replay of k rereads the same input.  A node fires once,
+when its count first reaches ``min_new``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..sources.files import relative_location
 
 CATALOG_SCHEMA = "node_name string, location string, size long, hash string, batch_id long"
 TRIGGER_SCHEMA = "node_name string, num_new long, message string, batch_id long"
+COUNT_SCHEMA = "node_name string, num_new long"
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: nothing written yet
+    except AnalysisException:          # nothing written yet
         return spark.createDataFrame([], schema)
 
 
+def _write_batch(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
+
+
 def discover(spark: SparkSession, root: str, catalog_path: str, checkpoint: str,
-             max_files_per_trigger: int = 1000, trigger_path: str | None = None,
-             min_new: int = 1, available_now: bool = True, processing_time: str | None = None):
+             max_files_per_trigger: int = 5000, trigger_path: str | None = None,
+             min_new: int = 1, base_catalog: DataFrame | None = None,
+             available_now: bool = True, processing_time: str | None = None):
     """Start the discovery stream; returns the ``StreamingQuery``.
 
-    With ``trigger_path`` set, every batch also runs the count trigger: a
-    node fires once (debounced) when it holds ``min_new`` or more files."""
+    ``base_catalog`` (``node_name, location``) holds what was catalogued
+    before the stream; with ``trigger_path`` every batch also runs the count
+    trigger."""
     stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -42,25 +61,32 @@ def discover(spark: SparkSession, root: str, catalog_path: str, checkpoint: str,
     files = stream.select(F.element_at(F.split(rel, "/"), 1).alias("node_name"),
                           F.regexp_replace(rel, "^[^/]*/", "").alias("location"),
                           F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+    base = None if base_catalog is None else base_catalog.select("node_name", "location")
 
     def per_batch(batch: DataFrame, batch_id: int):
         sp = batch.sparkSession
-        known = _read_or_empty(sp, catalog_path, CATALOG_SCHEMA).select("node_name", "location")
-        fresh = (batch.dropDuplicates(["node_name", "location"])
-                 .join(known, ["node_name", "location"], "left_anti")
-                 .withColumn("batch_id", F.lit(batch_id).cast("long")))
-        fresh.write.mode("append").parquet(catalog_path)
+        fresh = batch.dropDuplicates(["node_name", "location"])
+        if base is not None:
+            fresh = fresh.join(base, ["node_name", "location"], "left_anti")
+        fresh = fresh.withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
+        _write_batch(fresh, catalog_path)
         if trigger_path is not None:
-            cat = _read_or_empty(sp, catalog_path, CATALOG_SCHEMA)
-            fired = _read_or_empty(sp, trigger_path, TRIGGER_SCHEMA).select("node_name")
-            counts = cat.groupBy("node_name").agg(F.count(F.lit(1)).alias("num_new"))
-            new_fires = (counts.where(F.col("num_new") >= min_new)
-                         .join(fired, "node_name", "left_anti")
-                         .select("node_name", "num_new",
-                                 F.concat(F.lit("Detected "), F.col("num_new").cast("string"),
-                                          F.lit(" new artifacts")).alias("message"),
-                                 F.lit(batch_id).cast("long").alias("batch_id")))
-            new_fires.write.mode("append").parquet(trigger_path)
+            prev = _read_or_empty(sp, f"{trigger_path}/_counts/{(batch_id - 1) % 2}", COUNT_SCHEMA) \
+                if batch_id > 0 else sp.createDataFrame([], COUNT_SCHEMA)
+            add = fresh.groupBy("node_name").agg(F.count(F.lit(1)).alias("num_new"))
+            counts = (prev.unionByName(add).groupBy("node_name").agg(F.sum("num_new").alias("num_new"))
+                      .persist())
+            counts.write.mode("overwrite").parquet(f"{trigger_path}/_counts/{batch_id % 2}")
+            before = prev.select("node_name", F.col("num_new").alias("_before"))
+            fires = (counts.join(before, "node_name", "left")
+                     .where((F.col("num_new") >= min_new) & (F.coalesce("_before", F.lit(0)) < min_new))
+                     .select("node_name", "num_new",
+                             F.concat(F.lit("Detected "), F.col("num_new").cast("string"),
+                                      F.lit(" new artifacts")).alias("message"),
+                             F.lit(batch_id).cast("long").alias("batch_id")))
+            _write_batch(fires, f"{trigger_path}/fired")
+            counts.unpersist()
+        fresh.unpersist()
 
     w = files.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if processing_time:
@@ -68,3 +94,11 @@ def discover(spark: SparkSession, root: str, catalog_path: str, checkpoint: str,
     elif available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def read_catalog(spark: SparkSession, catalog_path: str) -> DataFrame:
+    return _read_or_empty(spark, catalog_path, CATALOG_SCHEMA)
+
+
+def read_fired(spark: SparkSession, trigger_path: str) -> DataFrame:
+    return _read_or_empty(spark, f"{trigger_path}/fired", TRIGGER_SCHEMA)
