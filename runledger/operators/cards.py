@@ -369,3 +369,28 @@ def card_from_jsonld(docs: DataFrame) -> DataFrame:
         .alias("field")))
     return docs.select("name", "description", "license", "url", "conformsTo", "datePublished",
                        dist.alias("distribution"), recs.alias("recordSet"))
+
+
+# C-5 -----------------------------------------------------------------------
+DATASET_CARD_FIELDS = ["language", "license", "annotations_creators", "language_creators", "multilinguality",
+                       "size_categories", "source_datasets", "task_categories", "task_ids", "paperswithcode_id",
+                       "pretty_name", "train_eval_index", "config_names"]
+
+
+def dataset_card_metadata(meta: DataFrame) -> DataFrame:
+    """C-5: the card's metadata block as JSON, one row per card: the known
+    dataset-card fields present in ``meta`` (others are kept too), NULLs
+    dropped, and keys renamed for output (``train_eval_index`` ->
+    ``train-eval-index``)."""
+    cols = [c for c in meta.columns if c != "card_id"]
+    fields = [F.col(c).alias(DATASET_KEY_RENAMES.get(c, c)) for c in cols]
+    return meta.select("card_id", F.to_json(F.struct(*fields)).alias("metadata"))
+
+
+# J-3 -----------------------------------------------------------------------
+def model_registry_view(models: DataFrame, links: DataFrame) -> DataFrame:
+    """Models with their card when one is linked (left join on the
+    ``model_card_path`` link tag); models without a card are kept."""
+    card = links.where(F.col("tag_name") == "model_card_path").select(
+        "location", F.col("tag_value").alias("card_location"))
+    return models.join(card, "location", "left")

@@ -100,3 +100,19 @@ def test_dataset_cards_fileset_past_bound(spark):
 def test_unique_tags_keep_first_seen_order(spark):
     df = spark.createDataFrame([(["b", "a", "b", "c", "a"],)], "tags array<string>")
     assert CD.unique_tags(df).first().tags == ["b", "a", "c"]
+
+
+def test_dataset_card_metadata_renames_keys(spark):
+    meta = spark.createDataFrame([("d", "en", "mit", ["text-classification"], "cfg")],
+                                 "card_id string, language string, license string, task_categories array<string>, "
+                                 "train_eval_index string")
+    j = CD.dataset_card_metadata(meta).first().metadata
+    assert '"train-eval-index":"cfg"' in j and "train_eval_index" not in j and '"license":"mit"' in j
+
+
+def test_model_registry_view_keeps_models_without_card(spark):
+    models = spark.createDataFrame([("model0.txt",), ("model1.txt",)], "location string")
+    links = spark.createDataFrame([("model0.txt", "model_card_path", "model0_card.md")],
+                                  "location string, tag_name string, tag_value string")
+    got = {r.location: r.card_location for r in CD.model_registry_view(models, links).collect()}
+    assert got == {"model0.txt": "model0_card.md", "model1.txt": None}
