@@ -66,8 +66,9 @@ def peel(nodes: DataFrame | None, edges: DataFrame, max_rounds: int = MAX_ROUNDS
     node removed at round k with ``level = k`` (its longest path from a
     source); ``remaining`` holds the nodes that sit on or behind a cycle."""
     ensure_checkpoint_dir(edges.sparkSession)
-    remaining = all_nodes(nodes, edges)
-    e = edges.select("src", "dst").distinct()
+    # materialise the inputs once; every round reads them
+    e = edges.select("src", "dst").distinct().checkpoint(eager=True)
+    remaining = all_nodes(nodes, e).checkpoint(eager=True)
     removed_parts = []
     for rnd in range(max_rounds):
         # nodes with no incoming edge among what is left.  Checkpointed (not
@@ -94,8 +95,8 @@ def cyclic_core(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     incoming edge, then - on what is left - nodes with no outgoing edge.
     Every node that survives both passes has a predecessor and a successor
     inside the survivors, so two passes reach the fixed point."""
-    _, rem = peel(nodes, edges)
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst").distinct().checkpoint(eager=True)
+    _, rem = peel(nodes, e)
     # keep only edges inside what is left, reverse them, and peel again
     e_in = e.join(rem.select(F.col("node_name").alias("src")), "src", "left_semi") \
             .join(rem.select(F.col("node_name").alias("dst")), "dst", "left_semi")
@@ -137,7 +138,7 @@ def downstream(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS)
     Frontier expansion: join the frontier to the edges, drop what each seed
     has already visited (anti join on (seed, node)), repeat until empty."""
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst").distinct().checkpoint(eager=True)     # read by every round
     frontier = seeds.select(F.col("node_name").alias("seed"), F.col("node_name").alias("node"),
                             F.lit(0).cast("long").alias("depth")).distinct()
     visited = frontier

@@ -59,7 +59,7 @@ _SCAN_SQL = f"""SELECT source AS node_name, {_LOC} AS location, CAST(strlen(text
 def q_stream_artifacts(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-artifacts")
-    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=2500)
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=5000)
     q.awaitTermination()
     return D.read_catalog(spark, f"{out}/catalog").select("node_name", "location", "size", "hash")
 
@@ -69,7 +69,7 @@ def q_stream_artifacts(spark, sf):
 def q_stream_count_trigger(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-count")
-    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=2500,
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=5000,
                    trigger_path=f"{out}/triggers", min_new=2)
     q.awaitTermination()
     return D.read_fired(spark, f"{out}/triggers").select("node_name", F.lit(True).alias("fired"))

@@ -26,6 +26,11 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # listing a micro-batch's (or a folder's) files: a distributed job of at
+    # most this many tasks instead of Spark's 10000
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    # artifact trees hold many small files: pack more of them per task
+    "spark.sql.files.openCostInBytes": str(1 << 20),
 }
 
 

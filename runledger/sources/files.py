@@ -104,8 +104,11 @@ def scan_artifacts(spark: SparkSession, root: str, inline_max: int = INLINE_MAX,
     small = (raw.where(F.col("length") <= inline_max)
              .select("path", node.alias("node_name"), loc.alias("location"), F.col("length").alias("size"),
                      F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash")))
-    big = hash_listed(list_files(spark, root, node_level).where(F.col("size") > inline_max))
-    return small.unionByName(big)
+    big_listing = list_files(spark, root, node_level).where(F.col("size") > inline_max)
+    # metadata-only probe (no bytes read): add the chunked branch only when needed
+    if big_listing.limit(1).count() == 0:
+        return small
+    return small.unionByName(hash_listed(big_listing))
 
 
 def new_artifacts(spark: SparkSession, root: str, catalog_keys: DataFrame) -> DataFrame:
