@@ -112,10 +112,23 @@ def tag_lines(tags: DataFrame) -> DataFrame:
         F.coalesce("tag_value", F.lit(""))).alias("line"))
 
 
-def _part_digest(lines: DataFrame, name: str, max_flat: int) -> DataFrame:
-    d = ordered_digest(lines.where(F.col("run_id").isNotNull()), ["run_id"], "id", "line", "\n",
-                       F.floor(F.col("id") / F.lit(max(1, max_flat // 16))), max_flat)
-    return d.select("run_id", F.col("_digest").alias(name), F.col("_scheme").alias(name + "_scheme"))
+def _metadata_lines(metrics: DataFrame, params: DataFrame, tags: DataFrame) -> DataFrame:
+    parts = [("metrics", metric_lines(metrics)), ("params", param_lines(params)), ("tags", tag_lines(tags))]
+    u = None
+    for name, df in parts:
+        d = df.where(F.col("run_id").isNotNull()).withColumn("part", F.lit(name))
+        u = d if u is None else u.unionByName(d)
+    return u
+
+
+def _pivot_parts(d: DataFrame, runs: DataFrame) -> DataFrame:
+    per_run = d.groupBy("run_id").agg(
+        *[F.max(F.when(F.col("part") == p, F.col("_digest"))).alias(f"{p}_hash") for p in ("metrics", "params", "tags")])
+    e = F.lit(EMPTY_SHA256)
+    mh, ph, th = (F.coalesce(F.col(f"{p}_hash"), e) for p in ("metrics", "params", "tags"))
+    return (runs.select("run_id").join(per_run, "run_id", "left")
+            .select("run_id", mh.alias("metrics_hash"), ph.alias("params_hash"), th.alias("tags_hash"),
+                    F.sha2(F.concat(mh, ph, th), 256).alias("metadata_hash")))
 
 
 def run_metadata_hash(runs: DataFrame, metrics: DataFrame, params: DataFrame, tags: DataFrame,
@@ -124,16 +137,12 @@ def run_metadata_hash(runs: DataFrame, metrics: DataFrame, params: DataFrame, ta
 
     Each part digests the run's records sorted by id, one canonical line per
     record (``id|name|value``, metric values as DECIMAL(18,6) text); a run
-    with no records of a kind uses the SHA-256 of the empty string."""
-    m = _part_digest(metric_lines(metrics), "metrics_hash", max_flat)
-    p = _part_digest(param_lines(params), "params_hash", max_flat)
-    t = _part_digest(tag_lines(tags), "tags_hash", max_flat)
-    r = runs.select("run_id")
-    out = r.join(m, "run_id", "left").join(p, "run_id", "left").join(t, "run_id", "left")
-    e = F.lit(EMPTY_SHA256)
-    mh, ph, th = (F.coalesce(F.col(c), e) for c in ("metrics_hash", "params_hash", "tags_hash"))
-    return out.select("run_id", mh.alias("metrics_hash"), ph.alias("params_hash"), th.alias("tags_hash"),
-                      F.sha2(F.concat(mh, ph, th), 256).alias("metadata_hash"))
+    with no records of a kind uses the SHA-256 of the empty string.  The
+    three parts are one union and one aggregation keyed by (part, run)."""
+    lines = _metadata_lines(metrics, params, tags)
+    d = ordered_digest(lines, ["part", "run_id"], "id", "line", "\n",
+                       F.floor(F.col("id") / F.lit(max(1, max_flat // 16))), max_flat)
+    return _pivot_parts(d, runs)
 
 
 # A-4 -----------------------------------------------------------------------
@@ -142,19 +151,36 @@ def run_hash(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame, params:
     """Per run: SHA-256(sorted artifact hash concatenation + metadata hash).
 
     The artifact part is the concatenation itself (not its digest), as in
-    the reference; past ``max_flat`` artifacts the Merkle digest stands in."""
-    a = artifacts.where(F.col("run_id").isNotNull() & (F.col("state") != "new")).select("run_id", "hash")
-    big = big_groups(a, ["run_id"], max_flat)
-    concat_of = lambda d: d.groupBy("run_id").agg(
-        F.array_join(F.array_sort(F.collect_list("hash")), "").alias("_cat"))
+    the reference; past ``max_flat`` artifacts the Merkle digest stands in.
+    Artifact hashes and metadata lines go through one size check and one
+    aggregation keyed by (part, run)."""
+    art = (artifacts.where(F.col("run_id").isNotNull() & (F.col("state") != "new"))
+           .select("run_id", F.lit(0).cast("long").alias("id"), F.col("hash").alias("line"),
+                   F.lit("artifacts").alias("part")))
+    lines = _metadata_lines(metrics, params, tags).unionByName(art)
+    keys = ["part", "run_id"]
+    big = big_groups(lines, keys, max_flat)
+    is_art = F.col("part") == "artifacts"
+
+    def flat(df):
+        sorted_lines = F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
+        return df.groupBy(*keys).agg(sorted_lines.alias("_lines")).select(
+            *keys, F.when(is_art, F.array_join("_lines", ""))
+            .otherwise(F.sha2(F.array_join("_lines", "\n"), 256)).alias("_digest"))
+
     if not big:
-        art = concat_of(a)
+        d = flat(lines)
     else:
-        is_big = _in_keys(["run_id"], big)
-        merkle = artifact_fingerprint(a.where(is_big).withColumn("state", F.lit("using")), max_flat=0) \
-            .select("run_id", F.col("artifact_hash").alias("_cat"))
-        art = concat_of(a.where(~is_big)).unionByName(merkle)
-    meta = run_metadata_hash(runs, metrics, params, tags, max_flat)
-    return (meta.join(art, "run_id", "left")
+        cond = _in_keys(keys, big)
+        small = flat(lines.where(~cond))
+        big_rows = lines.where(cond)
+        leaf = F.when(is_art, F.substring("line", 1, 3).cast("string")) \
+            .otherwise(F.floor(F.col("id") / F.lit(max(1, max_flat // 16))).cast("string"))
+        merkle = ordered_digest(big_rows.withColumn("_o", F.struct("id", "line")), keys, "_o", "line",
+                                "", leaf, max_flat=0).select(*keys, "_digest")
+        d = small.unionByName(merkle)
+    meta = _pivot_parts(d.where(~is_art), runs)
+    cat = d.where(is_art).select("run_id", F.col("_digest").alias("_cat"))
+    return (meta.join(cat, "run_id", "left")
             .select("run_id", "metadata_hash",
                     F.sha2(F.concat(F.coalesce("_cat", F.lit("")), "metadata_hash"), 256).alias("run_hash")))

@@ -35,16 +35,58 @@ def _drop(spark, sf, name, df, n_files=1, order_col=None):
     if order_col is None or n_files == 1:
         df.coalesce(1).write.mode("overwrite").parquet(f"{root}/part-000")
     else:
+        df = df.persist()                         # computed once, split into n_files drops
         x = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
         bounds = quantile_bounds([df.select(x.alias("_x"))], n_files)
         b = df.withColumn("_chunk", bucket_of(x, bounds))
         for i in range(len(bounds) + 1):          # a fixed number of drops
             b.where(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("overwrite") \
                 .parquet(f"{root}/part-{i:03d}")
+        df.unpersist()
     ST._mark(root, {"drops": n_files})
     return root
 
 
+def _metric_drop(spark, sf):
+    m = X.metrics(spark, sf).select("run_id", "node_id", "metric_name", "metric_value", "logged_at")
+    return _drop(spark, sf, "metrics-drop", m, n_files=4, order_col="logged_at")
+
+
+def _assigned_drop(spark, sf):
+    assigned = R.assign_triggers(X.triggers(spark, sf), X.runs(spark, sf))
+    return _drop(spark, sf, "assigned-drop", assigned, n_files=4, order_col="trigger_time")
+
+
+def _status_drops(spark, sf):
+    s = X.status_events(spark, sf)
+    # two child servers (even and odd node numbers) relay into the parent
+    num = F.regexp_extract("node_name", r"(\d+)$", 1).cast("int")
+    a = _drop(spark, sf, "status-even", s.where(num % 2 == 0), n_files=3, order_col="ts")
+    b = _drop(spark, sf, "status-odd", s.where(num % 2 == 1), n_files=3, order_col="ts")
+    return a, b
+
+
+def _snapshot_drop(spark, sf):
+    root = scratch_path(spark, "standin", ST._key(sf, "snapshots"))
+    if not ST._done(root):
+        # one file per snapshot version, written oldest first
+        X.snap_old(spark, sf).withColumn("version", F.lit(0).cast("long")).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{root}/v0")
+        X.snap_new(spark, sf).withColumn("version", F.lit(1).cast("long")).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{root}/v1")
+        ST._mark(root, {"versions": 2})
+    return root
+
+
+def prepare_inputs(spark, sf):
+    """Write every stream's stand-in input drop (idempotent)."""
+    ST.document_tree(spark, sf)
+    _metric_drop(spark, sf)
+    _assigned_drop(spark, sf)
+    _status_drops(spark, sf)
+    _snapshot_drop(spark, sf)
+
+
 def _stream(spark, path, max_files=1):
     schema = spark.read.parquet(path + "/*").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
@@ -80,8 +122,7 @@ def q_stream_count_trigger(spark, sf):
     FROM metrics m JOIN nodes n ON m.node_id = n.id
     GROUP BY ALL HAVING max(m.metric_value) > 300.0""", "metrics"))
 def q_stream_metric_trigger(spark, sf):
-    m = X.metrics(spark, sf).select("run_id", "node_id", "metric_name", "metric_value", "logged_at")
-    src = _drop(spark, sf, "metrics-drop", m, n_files=4, order_col="logged_at")
+    src = _metric_drop(spark, sf)
     out = fresh_scratch(spark, "stream-metric")
     q = TR.metric_max_stream(_stream(spark, src), f"{out}/updates", f"{out}/_checkpoint")
     q.awaitTermination()
@@ -97,8 +138,7 @@ def q_stream_metric_trigger(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY node_id, run_triggered ORDER BY trigger_time, id) AS rn
       FROM assigned WHERE run_triggered IS NOT NULL) WHERE rn = 1""", "triggers", "runs"))
 def q_stream_debounce(spark, sf):
-    assigned = R.assign_triggers(X.triggers(spark, sf), X.runs(spark, sf))
-    src = _drop(spark, sf, "assigned-drop", assigned, n_files=4, order_col="trigger_time")
+    src = _assigned_drop(spark, sf)
     out = fresh_scratch(spark, "stream-debounce")
     q = TR.debounce_stream(_stream(spark, src), f"{out}/fired", f"{out}/_checkpoint", watermark="2 days")
     q.awaitTermination()
@@ -110,11 +150,7 @@ def q_stream_debounce(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY node_name ORDER BY ts DESC, id DESC) AS rn FROM status_events)
     WHERE rn = 1""", "status_events"))
 def q_stream_latest_status(spark, sf):
-    s = X.status_events(spark, sf)
-    # two child servers (even and odd node numbers) relay into the parent
-    num = F.regexp_extract("node_name", r"(\d+)$", 1).cast("int")
-    a = _drop(spark, sf, "status-even", s.where(num % 2 == 0), n_files=3, order_col="ts")
-    b = _drop(spark, sf, "status-odd", s.where(num % 2 == 1), n_files=3, order_col="ts")
+    a, b = _status_drops(spark, sf)
     out = fresh_scratch(spark, "stream-status")
     q = SS.latest_status_stream(SS.relay([_stream(spark, a), _stream(spark, b)]), f"{out}/latest",
                                 f"{out}/_checkpoint")
@@ -130,14 +166,7 @@ def q_stream_latest_status(spark, sf):
     FROM snap_new n LEFT JOIN snap_old o ON o.id = n.id
     WHERE o.id IS NULL OR o.state IS DISTINCT FROM n.state""", "snap_old", "snap_new"))
 def q_stream_changefeed(spark, sf):
-    root = scratch_path(spark, "standin", ST._key(sf, "snapshots"))
-    if not ST._done(root):
-        # one file per snapshot version, written oldest first
-        X.snap_old(spark, sf).withColumn("version", F.lit(0).cast("long")).coalesce(1) \
-            .write.mode("overwrite").parquet(f"{root}/v0")
-        X.snap_new(spark, sf).withColumn("version", F.lit(1).cast("long")).coalesce(1) \
-            .write.mode("overwrite").parquet(f"{root}/v1")
-        ST._mark(root, {"versions": 2})
+    root = _snapshot_drop(spark, sf)
     out = fresh_scratch(spark, "stream-feed")
     q = SS.change_feed(_stream(spark, root), f"{out}/state", f"{out}/feed", f"{out}/_checkpoint")
     q.awaitTermination()
