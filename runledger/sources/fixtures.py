@@ -58,10 +58,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     act = (ev.select(F.concat(F.lit("job_"), "event_type").alias("node_name")).distinct()
            .select("node_name", F.lit(ACTION_NODE_TYPE).alias("node_type"),
                    F.lit(S.BASE_ACTION).alias("base_type")))
-    store = (ev.agg(F.min("ts").alias("t0"))
-             .select(F.lit(METADATA_STORE).alias("node_name"),
-                     F.lit(STORE_NODE_TYPE).alias("node_type"),
-                     F.lit(S.BASE_METADATA).alias("base_type")))
+    # the one metadata-store node is a fixed row
+    store = spark.createDataFrame([(METADATA_STORE, STORE_NODE_TYPE, S.BASE_METADATA)],
+                                  "node_name string, node_type string, base_type string")
     allnodes = res.unionByName(act).unionByName(store)
     # the node list is bounded by the number of distinct sources + job types,
     # so a single ordered window for dense ids is cheap here.
@@ -217,12 +216,9 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cus = load(spark, sf_dir, "customer")
     odr = load(spark, sf_dir, "orders")
     sup = load(spark, sf_dir, "supplier")
-    one = reg.agg(F.count(F.lit(1)).alias("n"))
-    stores = (one.select(F.lit(METADATA_STORE).alias("node_name"),
-                         F.lit(S.BASE_METADATA).alias("base_type"), F.lit("local").alias("graph"))
-              .unionByName(one.select(F.lit(LEAF_STORE).alias("node_name"),
-                                      F.lit(S.BASE_METADATA).alias("base_type"),
-                                      F.lit("leaf").alias("graph"))))
+    stores = spark.createDataFrame([(METADATA_STORE, S.BASE_METADATA, "local"),
+                                    (LEAF_STORE, S.BASE_METADATA, "leaf")],
+                                   "node_name string, base_type string, graph string")
     regions = reg.select(F.concat(F.lit("region:"), "r_name").alias("node_name"),
                          F.lit(S.BASE_RESOURCE).alias("base_type"), F.lit("local").alias("graph"))
     nations = nat.select(F.concat(F.lit("nation:"), "n_name").alias("node_name"),
