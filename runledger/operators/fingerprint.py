@@ -5,11 +5,14 @@ concatenation* of its artifact hashes plus a metadata hash.  SHA-256 is not
 mergeable, so the flat value needs one group's lines in one place.  We keep
 that exact flat value for every group up to ``max_flat`` lines (a group of
 10^6 SHA-256 hex strings is ~64 MB) and switch larger groups to a two-level
-(Merkle) digest: lines are split into ``n_leaves`` deterministic leaves, each
+(Merkle) digest: lines are split into deterministic leaves (a hash prefix or an
+id range, so leaves follow the sort order), each
 leaf is hashed flat, and the root hashes the leaf digests in leaf order.  The
 ``*_scheme`` column says which form a row carries.  Which groups are large is
-decided by a count first; that key list is at most ``rows / max_flat`` long,
-which is the proven bound that lets it be broadcast.
+decided by a key-only count first; that key list is at most
+``rows / max_flat`` long, which is the proven bound that lets it come to the
+driver and go back into the plan as a filter.  When it is empty (the usual
+case) the plan is a single aggregation.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FLAT = 1_000_000
-N_LEAVES = 4096
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
