@@ -11,10 +11,11 @@ because the node list has no hard bound.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .ordered import top_k_per_group
 
 ENTRY_COLUMNS = ["id", "run_id", "location", "created_at", "state", "hash",
                  "hash_algorithm", "size", "content_type", "node_name"]
@@ -190,10 +191,10 @@ def num_entries(artifacts: DataFrame, nodes: DataFrame) -> DataFrame:
 def recent_artifacts(artifacts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Newest ``k`` artifacts per node (the GUI shows lists newest first).
 
-    ``k`` is the feature (a top-k report).  Computed as a windowed rank per
-    node; Spark plans it as a per-partition top-k (WindowGroupLimit) before
-    the shuffle, so a hot node ships only k rows per map task."""
-    w = Window.partitionBy("node_id").orderBy(F.col("id").desc())
-    ranked = artifacts.select("id", "node_id", "location", "state", F.row_number().over(w).alias("rank"))
-    return (ranked.where(F.col("rank") <= k).join(_node_names(nodes), "node_id")
-            .select("node_name", "id", "location", "state", F.col("rank").cast("long").alias("rank")))
+    ``k`` is the feature (a top-k report).  Ranked in two salted phases
+    (``ordered.top_k_per_group``), so a hot node is spread over many tasks
+    and only ``salts * k`` candidates per node reach the final ranking."""
+    ranked = top_k_per_group(artifacts.select("id", "node_id", "location", "state"), ["node_id"],
+                             [F.col("id").desc()], k, salt_col="id")
+    return (ranked.join(_node_names(nodes), "node_id")
+            .select("node_name", "id", "location", "state", "rank"))

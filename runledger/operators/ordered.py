@@ -1,12 +1,17 @@
 """Order-dependent operators that must not collapse into one task.
 
 A window with no PARTITION BY (or partitioned by a hot key) pulls a whole
-table - or a third of it - into one task.  Both helpers here split the time
-axis into ``n_buckets`` ranges whose boundaries are approximate quantiles of
-the data, so every bucket holds about the same number of rows no matter how
-keys or days are skewed.  Each bucket is solved with a partitioned window, and
-what crosses a bucket edge is carried by a small per-bucket table whose size
-is bounded by ``n_buckets`` (times the number of keys for the keyed form).
+table - or a third of it - into one task.  ``first_after`` and
+``next_in_group`` split the time axis into ``n_buckets`` ranges whose
+boundaries are approximate quantiles of the data, so every bucket holds about
+the same number of rows no matter how keys or days are skewed.  Each bucket
+is solved with a partitioned window, and what crosses a bucket edge is
+carried by a small per-bucket table whose size is bounded by ``n_buckets``
+(times the number of keys for the keyed form).  ``top_k_per_group`` salts a
+group before ranking and ranks the survivors once more.
+
+Limit: rows of one key that share one timestamp stay in one (key, bucket)
+partition of ``next_in_group``; they are ordered by the tie column there.
 """
 
 from __future__ import annotations
@@ -117,3 +122,20 @@ def next_in_group(df: DataFrame, keys: list[str], time_col: str, tie_col: str,
     keep = [c for c in inside.columns
             if c not in {prefix + c2 for c2 in carry_cols} and c not in ("_b", "_last")]
     return out.select(*keep, *fills)
+
+
+def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int, rank_col: str = "rank",
+                    salts: int = 32, salt_col: str | None = None) -> DataFrame:
+    """The first ``k`` rows per group in ``order`` (row_number semantics).
+
+    Two phases, so a group holding a third of all rows is never ranked in
+    one task: the top ``k`` within (group, salt) first - the salt spreads a
+    hot group over ``salts`` tasks - then the top ``k`` of those at most
+    ``salts * k`` candidates per group.  ``order`` must be a total order
+    (end it with a unique column) for the result to be deterministic."""
+    salt = F.pmod(F.xxhash64(*([F.col(salt_col)] if salt_col else [F.struct(*df.columns)])), F.lit(salts))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    cand = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+            .where(F.col("_r1") <= k).drop("_r1", "_salt"))
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return cand.withColumn(rank_col, F.row_number().over(w2).cast("long")).where(F.col(rank_col) <= k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fingerprint import run_hash
-from .ordered import first_after
+from .ordered import first_after, top_k_per_group
 
 
 # A-5 + P-12 ----------------------------------------------------------------
@@ -121,9 +121,11 @@ def release_artifacts(artifacts: DataFrame) -> DataFrame:
 
 # O-5 -----------------------------------------------------------------------
 def top_metric_runs(metrics: DataFrame, k: int, agg: str = "max") -> DataFrame:
-    """Best ``k`` runs per metric by the run's aggregated value (top-k report)."""
+    """Best ``k`` runs per metric by the run's aggregated value (top-k report).
+
+    Values are reduced per (metric, run) first; the ranking is the salted
+    two-phase top-k, so one metric with most of the runs is not one task."""
     fn = {"max": F.max, "min": F.min}[agg]
     per_run = metrics.groupBy("metric_name", "run_id").agg(fn("metric_value").alias("best_value"))
-    w = Window.partitionBy("metric_name").orderBy(F.col("best_value").desc(), F.col("run_id"))
-    return (per_run.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k))
+    return top_k_per_group(per_run, ["metric_name"], [F.col("best_value").desc(), F.col("run_id")], k,
+                           salt_col="run_id")

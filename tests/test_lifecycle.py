@@ -96,3 +96,17 @@ def test_validate_values(spark):
     df = spark.createDataFrame([("new",), ("bogus",), (None,)], "state string")
     got = {r.value: r.valid for r in L.validate_values(df, "state", ["new"], "d").collect()}
     assert got == {"new": True, "bogus": False, None: False}
+
+
+def test_top_k_per_group_matches_brute_force_with_hot_group(spark):
+    from pyspark.sql import functions as F
+    from runledger.operators.ordered import top_k_per_group
+    rows = [(i, "hot" if i % 3 else f"g{i % 7}", (i * 37) % 101) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    got = {(r.g, r.rank, r.id) for r in top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 5,
+                                                          salts=8, salt_col="id").collect()}
+    expect = set()
+    for g in {r[1] for r in rows}:
+        rs = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))[:5]
+        expect |= {(g, i + 1, r[0]) for i, r in enumerate(rs)}
+    assert got == expect
