@@ -170,4 +170,5 @@ def q_stream_changefeed(spark, sf):
     out = fresh_scratch(spark, "stream-feed")
     q = SS.change_feed(_stream(spark, root), f"{out}/state", f"{out}/feed", f"{out}/_checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/feed").select("id", "change", "old_state", "new_state", "version")
+    return spark.read.parquet(f"{out}/feed").select("id", "change", "old_state", "new_state",
+                                                    F.col("version").cast("long").alias("version"))

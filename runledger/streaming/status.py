@@ -35,27 +35,45 @@ def latest_status_stream(status_stream: DataFrame, sink_path: str, checkpoint: s
 
 
 SNAPSHOT_SCHEMA = "version long, id long, state string"
+_LAST_SCHEMA = "last_version long"
+
+
+def _read(sp, path, schema):
+    from pyspark.sql.utils import AnalysisException
+    try:
+        return sp.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
 
 
 def change_feed(snapshot_stream: DataFrame, state_path: str, feed_path: str, checkpoint: str,
                 available_now: bool = True):
     """T-6: each micro-batch carries whole snapshot versions; every version
-    is diffed (J-7) against the previous one kept at ``state_path``, and the
-    added / changed rows are appended to ``feed_path``."""
+    is diffed (J-7) against the previous one and the added / changed rows go
+    to ``feed_path`` (partitioned by version).
+
+    Replay-safe: snapshots are kept per version (``state_path/version=v``),
+    feed partitions are overwritten per version, and batch k records the
+    last version it processed, so a replay of k reads exactly what the first
+    attempt read."""
     def per_batch(batch: DataFrame, batch_id: int):
         sp = batch.sparkSession
+        # a handful of versions per batch: the list comes to the driver
         versions = sorted(r["version"] for r in batch.select("version").distinct().collect())
-        for v in versions:                       # a handful of versions per batch
+        last = _read(sp, f"{state_path}/_last/batch={batch_id - 1}", _LAST_SCHEMA) if batch_id > 0 else None
+        prev = last.first()["last_version"] if last is not None else None
+        for v in versions:
             new = batch.where(F.col("version") == v).select("id", "state")
-            try:
-                old = sp.read.schema(SNAPSHOT_SCHEMA).parquet(state_path).select("id", "state")
-            except Exception:  # noqa: BLE001 - no previous version yet
+            old = _read(sp, f"{state_path}/version={prev}", "id long, state string") if prev is not None else None
+            if old is None:
                 old = sp.createDataFrame([], "id long, state string")
             diff = snapshot_diff(old, new).withColumn("version", F.lit(v).cast("long"))
-            diff.write.mode("append").parquet(feed_path)
-            # materialise the new version before it replaces the old one
-            new.withColumn("version", F.lit(v).cast("long")).write.mode("overwrite").parquet(state_path + f"_v{v}")
-            sp.read.parquet(state_path + f"_v{v}").write.mode("overwrite").parquet(state_path)
+            (diff.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("version").parquet(feed_path))
+            new.write.mode("overwrite").parquet(f"{state_path}/version={v}")
+            prev = v
+        sp.createDataFrame([(prev,)], _LAST_SCHEMA).write.mode("overwrite") \
+            .parquet(f"{state_path}/_last/batch={batch_id}")
 
     w = snapshot_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:

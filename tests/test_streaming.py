@@ -91,3 +91,16 @@ def test_relayed_latest_status_equals_batch(spark, tmp):
     SS.latest_status_stream(SS.relay([sa, sb]), f"{tmp}/out", f"{tmp}/ck").awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(f"{tmp}/out").collect()}
     assert got == {tuple(r) for r in L.latest_status(ev).collect()}
+
+
+def test_change_feed_versions_and_replay(spark, tmp):
+    from runledger.streaming.status import change_feed
+    schema = "version long, id long, state string"
+    v0 = spark.createDataFrame([(0, 1, "new"), (0, 2, "used")], schema)
+    v1 = spark.createDataFrame([(1, 1, "used"), (1, 2, "used"), (1, 3, "new")], schema)
+    _drop(spark, v0, f"{tmp}/in/v0")
+    _drop(spark, v1, f"{tmp}/in/v1")
+    s = spark.readStream.schema(v0.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/in/*")
+    change_feed(s, f"{tmp}/state", f"{tmp}/feed", f"{tmp}/ck").awaitTermination()
+    got = {(r.version, r.id, r.change) for r in spark.read.parquet(f"{tmp}/feed").collect()}
+    assert got == {(0, 1, "added"), (0, 2, "added"), (1, 1, "changed"), (1, 3, "added")}
