@@ -62,12 +62,15 @@ def node_ids(nodes: DataFrame, names: DataFrame) -> DataFrame:
 
 # P-4 -----------------------------------------------------------------------
 def entries_exist(artifacts: DataFrame, nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each (node_name, location) request: does the catalog hold it?"""
-    keys = (artifacts.join(_node_names(nodes), "node_id")
-            .select("node_name", "location").distinct()
+    """For each (node_name, location) request: does the catalog hold it?
+
+    The catalog is first cut down to the requested keys (semi join), so only
+    matching rows are de-duplicated; requests are never fanned out."""
+    req = requests.select("node_name", "location").distinct()
+    hits = (artifacts.join(_node_names(nodes), "node_id").select("node_name", "location")
+            .join(req, ["node_name", "location"], "left_semi").distinct()
             .withColumn("_hit", F.lit(True)))
-    return (requests.select("node_name", "location")
-            .join(keys, ["node_name", "location"], "left")
+    return (req.join(hits, ["node_name", "location"], "left")
             .select("node_name", "location", F.coalesce("_hit", F.lit(False)).alias("exists")))
 
 
@@ -106,12 +109,16 @@ def artifact_by_id(artifacts: DataFrame, nodes: DataFrame, ids: DataFrame) -> Da
 
 # P-8 -----------------------------------------------------------------------
 def artifact_hash(artifacts: DataFrame, nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Stored hash per (node_name, location); ties go to the lowest id."""
-    e = artifacts.join(_node_names(nodes), "node_id").select("node_name", "location", "id", "hash")
+    """Stored hash per (node_name, location); ties go to the lowest id.
+
+    Only catalog rows whose key was requested are aggregated (semi join
+    first)."""
+    req = requests.select("node_name", "location").distinct()
+    e = (artifacts.join(_node_names(nodes), "node_id").select("node_name", "location", "id", "hash")
+         .join(req, ["node_name", "location"], "left_semi"))
     best = e.groupBy("node_name", "location").agg(
         F.min_by("hash", "id").alias("hash"), F.min("id").alias("id"))
-    return (requests.select("node_name", "location").distinct()
-            .join(best, ["node_name", "location"], "left")
+    return (req.join(best, ["node_name", "location"], "left")
             .select("node_name", "location", "id", "hash"))
 
 

@@ -61,7 +61,7 @@ def insert_artifacts(artifacts: DataFrame, nodes: DataFrame, new: DataFrame,
     A ``using`` row takes the current run id (as ``create_entry`` does)."""
     n = nodes.select(F.col("id").alias("node_id"), "node_name")
     cand = new.join(n, "node_name", "inner")
-    existing = artifacts.select("node_id", "location").distinct()
+    existing = artifacts.select("node_id", "location")      # anti/semi joins need no distinct
     fresh = cand.join(existing, ["node_id", "location"], "left_anti")
     dup_in_catalog = cand.join(existing, ["node_id", "location"], "left_semi")
     first_of_key = fresh.groupBy("node_id", "location").agg(F.min_by(F.struct(*[
@@ -86,7 +86,7 @@ def merge_catalog(artifacts: DataFrame, nodes: DataFrame, entries: DataFrame, no
     """Merge another catalog's artifacts under ``node_name``: state resets to
     ``new``; locations already recorded for that node are rejected."""
     node = nodes.where(F.col("node_name") == F.lit(node_name)).select(F.col("id").alias("node_id"))
-    have = artifacts.join(node, "node_id", "left_semi").select("location").distinct()
+    have = artifacts.join(node, "node_id", "left_semi").select("location")
     e = entries.select("location", "hash", "hash_algorithm", "size", "content_type", "run_id")
     ok = e.join(have, "location", "left_anti")
     bad = e.join(have, "location", "left_semi")
@@ -133,8 +133,10 @@ def tag_artifacts(artifacts: DataFrame, nodes: DataFrame, requests: DataFrame,
     """Tag requests (node_name, location, one column per tag) -> link rows
     (artifact_id, tag_name, tag_value); requests with no artifact come back
     with ``artifact_id`` NULL and ``accepted`` false."""
-    a = artifacts.join(nodes.select(F.col("id").alias("node_id"), "node_name"), "node_id") \
-        .groupBy("node_name", "location").agg(F.min("id").alias("artifact_id"))
+    keys = requests.select("node_name", "location").distinct()
+    a = (artifacts.join(nodes.select(F.col("id").alias("node_id"), "node_name"), "node_id")
+         .join(keys, ["node_name", "location"], "left_semi")       # only requested keys
+         .groupBy("node_name", "location").agg(F.min("id").alias("artifact_id")))
     long = wide_to_long(requests, ["node_name", "location"], tag_cols, "tag_name", "tag_value", as_string=True)
     j = long.join(a, ["node_name", "location"], "left")
     return j.select("node_name", "location", "artifact_id", "tag_name", "tag_value",
