@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .tables import load
+from .tables import load, memo_plan
 
 # Fixed fixture parameters.
 RUN_EPOCH = "2024-01-01"          # day 0 of the derived run numbering
@@ -49,6 +49,7 @@ def _map_expr(col, mapping: dict):
 # Spark builders
 # ---------------------------------------------------------------------------
 
+@memo_plan
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     ev = load(spark, sf_dir, "events")
@@ -69,6 +70,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "node_name", "node_type", "base_type")
 
 
+@memo_plan
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per day of signups; the newest run is still open (end_time NULL)."""
     ev = load(spark, sf_dir, "events").where(F.col("event_type") == "signup")
@@ -83,6 +85,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("hash"))
 
 
+@memo_plan
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     n = nodes(spark, sf_dir).select(F.col("id").alias("node_id"), "node_name")
@@ -104,6 +107,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("text/plain").alias("content_type")))
 
 
+@memo_plan
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events")
     n = nodes(spark, sf_dir).select(F.col("id").alias("node_id"), "node_name")
@@ -113,6 +117,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("value").alias("metric_value"), F.col("ts").alias("logged_at")))
 
 
+@memo_plan
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events")
     n = nodes(spark, sf_dir).select(F.col("id").alias("node_id"), "node_name")
@@ -123,6 +128,7 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("k").alias("param_name"), F.col("v").alias("param_value")))
 
 
+@memo_plan
 def art_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lb = load(spark, sf_dir, "labels")
     return (lb.select("doc_id", F.col("quality").cast("string").alias("quality"),
@@ -131,6 +137,7 @@ def art_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("doc_id").alias("artifact_id"), "tag_name", "tag_value"))
 
 
+@memo_plan
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag rows (id, tag_name, tag_value) behind the artifact link table."""
     t = art_tags(spark, sf_dir)
@@ -139,12 +146,14 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("long").alias("node_id"), "tag_name", "tag_value")
 
 
+@memo_plan
 def artifact_tag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = art_tags(spark, sf_dir)
     return t.select("artifact_id", (F.col("artifact_id") * 2 + F.when(
         F.col("tag_name") == "quality", 0).otherwise(1)).alias("tag_id"))
 
 
+@memo_plan
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending triggers (run_triggered NULL) logged by resource nodes."""
     ev = load(spark, sf_dir, "events").where((F.col("event_type") == "error") & (F.col("value") > 40))
@@ -158,6 +167,7 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.lit(None).cast("long").alias("run_triggered"), "node_id", "trigger_time", "message")
 
 
+@memo_plan
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cv = load(spark, sf_dir, "conversations")
     state = _map_expr(F.col("role"), MARK_OF_ROLE)
@@ -166,6 +176,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("role") == "user", F.col("turn")).cast("long").alias("run_id"))
 
 
+@memo_plan
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("id"),
@@ -174,6 +185,7 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("ts"))
 
 
+@memo_plan
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat evaluation results: one per (flag, status, year, quarter, metric)."""
     li = load(spark, sf_dir, "lineitem")
@@ -204,6 +216,7 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.concat(F.lit("https://ledger.example.org/"), "l_returnflag")).alias("source_url"))
 
 
+@memo_plan
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered pipeline nodes of a local graph and a leaf graph.
 
@@ -233,6 +246,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.unionByName(regions).unionByName(nations).unionByName(customers).unionByName(suppliers)
 
 
+@memo_plan
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = load(spark, sf_dir, "region")
     nat = load(spark, sf_dir, "nation")
@@ -256,6 +270,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e1.unionByName(e2).unionByName(e3).unionByName(e4).unionByName(e5)
 
 
+@memo_plan
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation -> nation flow graph (customer nation buys from supplier nation);
     dense and cyclic, used by the cycle check."""
@@ -271,6 +286,7 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("src") != F.col("dst")).distinct())
 
 
+@memo_plan
 def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemaless document store: one record per event, ``type`` + VARIANT payload."""
     ev = load(spark, sf_dir, "events")
@@ -278,6 +294,7 @@ def doc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.parse_json("props").alias("payload"))
 
 
+@memo_plan
 def snap_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return (d.where(F.col("doc_id") % 10 != 0)
@@ -285,6 +302,7 @@ def snap_old(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("doc_id") % 7 == 0, "new").otherwise("used").alias("state")))
 
 
+@memo_plan
 def snap_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), F.lit("used").alias("state"))
