@@ -58,11 +58,26 @@ def first_after(events: DataFrame, event_time: str, marks: DataFrame, mark_time:
     the earliest mark whose ``mark_time`` is strictly later than the event's
     time (ties between marks: lowest value).  NULL when no later mark exists.
 
-    Work is done once per distinct event time, so a hot timestamp costs one
-    row; the result is joined back to ``events`` on the time column."""
-    times = events.select(F.col(event_time).alias("_t")).where(F.col("_t").isNotNull()).distinct()
+    With at most ``n_buckets`` distinct mark times the join is a bucket
+    lookup against a broadcast table of those marks.  Otherwise work is done
+    once per distinct event time, so a hot timestamp costs one row, and the
+    result is joined back to ``events`` on the time column."""
     mk = marks.select(F.col(mark_time).alias("_t"), F.col(mark_value).alias("_v")) \
         .where(F.col("_t").isNotNull() & F.col("_v").isNotNull())
+
+    # Few distinct mark times (the usual case: runs are rare): every mark
+    # time is a bucket boundary, so an event in bucket b is answered by the
+    # mark at boundary b - a map-side lookup, no window and no shuffle of
+    # the events.  At most n_buckets + 1 times come to the driver.
+    few = [r["_x"] for r in mk.select(_micros("_t").alias("_x")).distinct().limit(n_buckets + 1).collect()]
+    if len(few) <= n_buckets:
+        bounds = sorted(few)
+        at_bound = (mk.groupBy("_t").agg(F.min("_v").alias(out))
+                    .select((bucket_of(_micros("_t"), bounds) - 1).alias("_b"), out))
+        ev = events.withColumn("_b", bucket_of(_micros(event_time), bounds))
+        return ev.join(F.broadcast(at_bound), "_b", "left").drop("_b")   # <= n_buckets rows
+
+    times = events.select(F.col(event_time).alias("_t")).where(F.col("_t").isNotNull()).distinct()
     tx = times.select(_micros("_t").alias("_x"))
     mx = mk.select(_micros("_t").alias("_x"))
     bounds = quantile_bounds([tx, mx], n_buckets)

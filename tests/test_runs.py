@@ -145,3 +145,19 @@ def test_metadata_hash_empty_parts(spark):
     e = hashlib.sha256(b"").hexdigest()
     assert r.metrics_hash == r.params_hash == r.tags_hash == e
     assert r.metadata_hash == hashlib.sha256((e * 3).encode()).hexdigest()
+
+
+def test_first_after_fast_path_matches_brute_force(spark):
+    rnd = random.Random(11)
+    hot = T0 + dt.timedelta(hours=7)
+    events = [(i, hot if i % 3 == 0 else T0 + dt.timedelta(minutes=rnd.randint(0, 3000))) for i in range(300)]
+    events.append((999, None))
+    marks = [(T0 + dt.timedelta(minutes=rnd.randint(0, 3200)), k) for k in range(20)]
+    marks += [(hot, 77), (hot, 55)]          # two runs at the hot instant: neither is "after" it
+    marks.append((marks[0][0], 5))            # a tie at another instant: lowest value wins
+    ev = spark.createDataFrame(events, "id long, t timestamp_ntz")
+    mk = spark.createDataFrame(marks, "mt timestamp_ntz, run_id long")
+    got = {r.id: r.nxt for r in first_after(ev, "t", mk, "mt", "run_id", "nxt", n_buckets=64).collect()}
+    expect = _brute_first_after([e for e in events if e[1] is not None], marks)
+    expect[999] = None
+    assert got == expect
