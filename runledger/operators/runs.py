@@ -57,6 +57,23 @@ def assign_triggers(triggers: DataFrame, runs: DataFrame, n_buckets: int = 64) -
     return solved.select(*triggers.columns).unionByName(claimed)
 
 
+# C10 -----------------------------------------------------------------------
+def metric_runs(metrics: DataFrame, runs: DataFrame, time_col: str = "logged_at",
+                n_buckets: int = 64) -> DataFrame:
+    """Run of each metric by time: run k takes what was logged after run
+    k-1 ended and no later than run k's end; what comes after the last
+    closed run belongs to the current run (the open one, else max + 1).
+
+    ``t <= end`` is the strict as-of on ``t - 1 microsecond`` (timestamps
+    are whole microseconds)."""
+    closed = runs.where(F.col("end_time").isNotNull())
+    shifted = metrics.withColumn("_t", F.col(time_col) - F.expr("INTERVAL 1 MICROSECOND"))
+    assigned = first_after(shifted, "_t", closed, "end_time", "run_id", "_run", n_buckets=n_buckets)
+    cur = current_run(runs).first()["run_id"]          # one scalar
+    return (assigned.withColumn("assigned_run", F.coalesce("_run", F.lit(cur).cast("long")))
+            .drop("_t", "_run"))
+
+
 # W-3 -----------------------------------------------------------------------
 def first_triggers(assigned: DataFrame) -> DataFrame:
     """Debounce: the first trigger of every (node, run); ties by id."""

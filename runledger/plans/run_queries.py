@@ -112,6 +112,18 @@ def q_run_barrier(spark, sf):
     return R.run_barrier(X.triggers(spark, sf), req, "1 day")
 
 
+@query("metric_runs", W("""
+    WITH cur AS (SELECT coalesce(max(CASE WHEN end_time IS NULL THEN run_id END), max(run_id) + 1, 0) AS c
+                 FROM runs)
+    SELECT m.id, m.run_id AS logged_run, m.logged_at,
+           coalesce((SELECT r.run_id FROM runs r WHERE r.end_time IS NOT NULL AND r.end_time >= m.logged_at
+                     ORDER BY r.end_time, r.run_id LIMIT 1), (SELECT c FROM cur)) AS assigned_run
+    FROM metrics m""", "metrics", "runs"))
+def q_metric_runs(spark, sf):
+    m = X.metrics(spark, sf).select("id", F.col("run_id").alias("logged_run"), "logged_at")
+    return R.metric_runs(m, X.runs(spark, sf)).select("id", "logged_run", "logged_at", "assigned_run")
+
+
 @query("current_run", W("""SELECT coalesce(max(CASE WHEN end_time IS NULL THEN run_id END), max(run_id) + 1, 0)
                          AS run_id FROM runs""", "runs"))
 def q_current_run(spark, sf):

@@ -161,3 +161,14 @@ def test_first_after_fast_path_matches_brute_force(spark):
     expect = _brute_first_after([e for e in events if e[1] is not None], marks)
     expect[999] = None
     assert got == expect
+
+
+def test_metric_between_runs_belongs_to_next_run(spark):
+    runs = spark.createDataFrame([(0, T0, T0 + dt.timedelta(hours=1)), (1, T0 + dt.timedelta(hours=2),
+                                  T0 + dt.timedelta(hours=3)), (2, T0 + dt.timedelta(hours=4), None)],
+                                 "run_id long, start_time timestamp_ntz, end_time timestamp_ntz")
+    m = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=30)), (2, T0 + dt.timedelta(hours=1)),
+                               (3, T0 + dt.timedelta(hours=1, minutes=30)), (4, T0 + dt.timedelta(hours=5))],
+                              "id long, logged_at timestamp_ntz")
+    got = {r.id: r.assigned_run for r in R.metric_runs(m, runs).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2}
