@@ -20,6 +20,21 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+_NTZ_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a ``timestamp_ntz`` value, computed
+    without the session time zone (a cast to TIMESTAMP would shift by the
+    zone's offset and lose or gain an hour across daylight-saving changes)."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_NTZ_EPOCH), _c(ts))
+
+
+def micros_between(start, end) -> Column:
+    """``end - start`` in microseconds for ``timestamp_ntz`` values."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+
+
 # N-2
 def relative_path(path, root: str) -> Column:
     """Strip ``root`` and the separator after it (``removeprefix`` + ``lstrip('/')``)."""
@@ -52,7 +67,7 @@ def date_stamp(ts) -> Column:
 def iso_format(ts) -> Column:
     """``datetime.isoformat()``: microseconds only when non-zero."""
     t = _c(ts)
-    return F.when(F.unix_micros(t.cast("timestamp")) % 1_000_000 == 0, F.date_format(t, ISO_SECONDS)) \
+    return F.when(epoch_micros(t) % 1_000_000 == 0, F.date_format(t, ISO_SECONDS)) \
         .otherwise(F.date_format(t, ISO_MICROS))
 
 

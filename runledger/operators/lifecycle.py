@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import micros_between
 from .ordered import next_in_group
 
 
@@ -85,7 +86,7 @@ def status_durations(status_events: DataFrame, n_buckets: int = 64) -> DataFrame
     of every (status -> next status) transition."""
     nxt = next_in_group(status_events.select("node_name", "status", "ts", "id"), ["node_name"], "ts", "id",
                         ["status", "ts"], n_buckets=n_buckets)
-    dur = (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
+    dur = micros_between("ts", "next_ts")
     return (nxt.groupBy("node_name", "status", F.col("next_status"))
             .agg(F.count(F.lit(1)).alias("n_transitions"), F.sum(dur).alias("total_duration_us")))
 

@@ -21,11 +21,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import epoch_micros
+
 DEFAULT_BUCKETS = 64
 
 
 def _micros(c):
-    return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    """Epoch microseconds as double (exact below 2^53) for an NTZ column."""
+    return epoch_micros(c).cast("double")
 
 
 def quantile_bounds(frames: list[DataFrame], n_buckets: int) -> list[float]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import micros_between
 from ..operators import fingerprint as FP
 from ..operators import runs as R
 from ..sources import fixtures as X
@@ -189,7 +190,7 @@ def run_report(spark, sf):
            .groupBy(F.col("run_triggered").alias("run_id")).agg(F.count(F.lit(1)).alias("n_triggers")))
     h = FP.run_hash(c["runs"], c["artifacts"], c["metrics"], c["params"], c["tags"]).select("run_id", "run_hash")
     r = c["runs"]
-    dur = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
+    dur = micros_between("start_time", "end_time")
     out = (r.join(by_state, "run_id", "left").join(met, "run_id", "left").join(par, "run_id", "left")
            .join(trg, "run_id", "left").join(h, "run_id", "left"))
     cnt = ["n_artifacts", "n_using", "n_used", "n_produced", "n_unused", "n_metrics", "n_params", "n_triggers"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import epoch_micros
 from ..operators import runs as R
 from ..operators.ordered import bucket_of, quantile_bounds
 from ..session import fresh_scratch, scratch_path
@@ -36,7 +37,7 @@ def _drop(spark, sf, name, df, n_files=1, order_col=None):
         df.coalesce(1).write.mode("overwrite").parquet(f"{root}/part-000")
     else:
         df = df.persist()                         # computed once, split into n_files drops
-        x = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
+        x = epoch_micros(order_col).cast("double")
         bounds = quantile_bounds([df.select(x.alias("_x"))], n_files)
         b = df.withColumn("_chunk", bucket_of(x, bounds))
         for i in range(len(bounds) + 1):          # a fixed number of drops

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import epoch_micros
+
 METRIC_SINK_SCHEMA = "run_id long, node_id long, metric_name string, agg_value double, batch_id long"
 
 
@@ -75,9 +77,10 @@ def debounce_stream(assigned_stream: DataFrame, sink_path: str, checkpoint: str,
     """Fire once per (node, run): the first trigger to arrive for a key is
     emitted, later ones are dropped.  Keys time out - and their state is
     removed - once the event-time watermark passes them."""
-    # watermarks need a zoned timestamp; the session zone is UTC
+    # watermarks need a TIMESTAMP; read the NTZ value as UTC, independent of
+    # the session zone (the state timeouts below use the same reading)
     s = (assigned_stream.where(F.col("run_triggered").isNotNull())
-         .withColumn("event_ts", F.col("trigger_time").cast("timestamp"))
+         .withColumn("event_ts", F.timestamp_micros(epoch_micros("trigger_time")))
          .withWatermark("event_ts", watermark)
          .groupBy("node_id", "run_triggered")
          .applyInPandasWithState(_debounce, DEBOUNCE_OUT, DEBOUNCE_STATE, "append",

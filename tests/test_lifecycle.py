@@ -110,3 +110,17 @@ def test_top_k_per_group_matches_brute_force_with_hot_group(spark):
         rs = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))[:5]
         expect |= {(g, i + 1, r[0]) for i, r in enumerate(rs)}
     assert got == expect
+
+
+def test_durations_ignore_session_time_zone(spark):
+    # 01:30 -> 03:30 local on a spring-forward day is two hours of NTZ time
+    ev = spark.createDataFrame([(1, "a", "QUEUED", dt.datetime(2024, 3, 10, 1, 30)),
+                                (2, "a", "EXECUTING", dt.datetime(2024, 3, 10, 3, 30))],
+                               "id long, node_name string, status string, ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = {r.status: r.total_duration_us for r in L.status_durations(ev, n_buckets=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got["QUEUED"] == 2 * 3600 * 1_000_000
