@@ -358,6 +358,13 @@ def card_to_jsonld(cards: DataFrame) -> DataFrame:
     return cards.select("name", F.to_json(doc).alias("json"))
 
 
+def write_cards(cards: DataFrame, root: str, ext: str = ".md", overwrite: bool = True) -> int:
+    """K-18: one file per card, ``<card_id><ext>`` with the card text (for
+    JSON-LD pass ``card_to_jsonld`` output renamed to ``card_id, text``)."""
+    from ..sources.files import write_text_files
+    return write_text_files(cards.select(F.concat("card_id", F.lit(ext)).alias("rel"), "text"), root, overwrite)
+
+
 def card_from_jsonld(docs: DataFrame) -> DataFrame:
     """S-7 read side: JSON-LD columns back to the in-memory card shape."""
     dist = F.transform("distribution", lambda d: F.struct(

@@ -38,13 +38,18 @@ def runs_view(runs: DataFrame) -> DataFrame:
 
 
 # P-2 -----------------------------------------------------------------------
-def nodes_info(nodes: DataFrame, node_id: int | None = None, node_name: str | None = None) -> DataFrame:
-    """Nodes by id or name; the id wins when both are given."""
+def nodes_info(nodes: DataFrame, node_id: int | None = None, node_name: str | None = None,
+               both: str = "id_wins") -> DataFrame:
+    """Nodes by id or name.  With both given the SQL store lets the id win
+    (``both="id_wins"``); the document store requires both (``both="and"``)."""
+    out = nodes
     if node_id is not None:
-        return nodes.where(F.col("id") == F.lit(node_id))
+        out = out.where(F.col("id") == F.lit(node_id))
+        if both == "id_wins":
+            return out
     if node_name is not None:
-        return nodes.where(F.col("node_name") == F.lit(node_name))
-    return nodes
+        out = out.where(F.col("node_name") == F.lit(node_name))
+    return out
 
 
 # P-3 -----------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import cards as CD
+from ..session import fresh_scratch
 from ..sources import files as FS
 from ..sources import fixtures as X
 from ..sources import standin as ST
@@ -101,7 +102,8 @@ def q_dataset_cards(spark, sf):
     # build JSON-LD cards, write one file per card, read them back
     cards = CD.dataset_cards(X.artifacts(spark, sf), X.nodes(spark, sf), "2024-02-01")
     docs = CD.card_to_jsonld(cards).select(F.col("name").alias("card_id"), F.col("json").alias("text"))
-    root = ST.card_tree(spark, sf, docs.withColumn("card_id", F.concat("card_id", F.lit(".jsonld"))), "jsonld")
+    root = fresh_scratch(spark, "dataset-cards")
+    CD.write_cards(docs, root, ext=".jsonld")
     back = CD.card_from_jsonld(FS.read_dataset_cards(spark, root, CD.JSONLD_SCHEMA))
     return back.select("name", F.size("distribution").cast("long").alias("n_distribution"), "conformsTo",
                        "datePublished")
@@ -110,7 +112,8 @@ def q_dataset_cards(spark, sf):
 @query("card_files_front_matter", W("WITH " + _META_SQL + ",\n " + _SPLIT_SQL + " SELECT * FROM ent", "artifacts"))
 def q_card_files_front_matter(spark, sf):
     # rendered cards written as .md files, read back whole, front matter parsed
-    root = ST.card_tree(spark, sf, _cards(spark, sf), "cards")
+    root = fresh_scratch(spark, "model-cards")
+    CD.write_cards(_cards(spark, sf), root, ext=".md")
     return CD.header_entries(CD.split_front_matter(FS.read_card_texts(spark, root)))
 
 

@@ -182,6 +182,30 @@ def read_card_texts(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.regexp_replace("file_name", r"\.md$", "").alias("card_id"), "text")
 
 
+def write_text_files(rows: DataFrame, root: str, overwrite: bool = True) -> int:
+    """Write ``(rel, text)`` rows as one UTF-8 file each under ``root``.
+
+    Runs in the executors (``pyarrow.fs``, so any URI the cluster reaches);
+    a retried task rewrites the same paths.  With ``overwrite`` false an
+    existing file is an error.  Returns the number of files written."""
+    def run(batches):
+        from pyarrow import fs as pafs
+        filesystem, base = _fs_and_path(root)
+        for pdf in batches:
+            n = 0
+            for rel, text in zip(pdf["rel"], pdf["text"]):
+                p = f"{base.rstrip('/')}/{rel}"
+                if not overwrite and filesystem.get_file_info(p).type != pafs.FileType.NotFound:
+                    raise FileExistsError(p)
+                filesystem.create_dir(p.rsplit("/", 1)[0], recursive=True)
+                with filesystem.open_output_stream(p) as f:
+                    f.write((text or "").encode("utf-8"))
+                n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return rows.select("rel", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def custom_load(files: DataFrame, load_fn, schema) -> DataFrame:
     """X-7: apply a user loader ``load_fn(path, content: bytes) -> dict`` to
     every file; runs batched in ``mapInPandas`` next to the data."""

@@ -16,12 +16,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .files import _fs_and_path
+from .files import _fs_and_path, write_text_files
 from .tables import load
 
 MARKER = "_COMPLETE"
@@ -33,21 +32,7 @@ def _ext():
 
 
 def _write_rows(rows: DataFrame, root: str) -> int:
-    """Write ``(rel, text)`` rows as files under ``root``; returns the count."""
-    def run(batches):
-        filesystem, base = _fs_and_path(root)
-        for pdf in batches:
-            n = 0
-            for rel, text in zip(pdf["rel"], pdf["text"]):
-                p = f"{base.rstrip('/')}/{rel}"
-                parent = p.rsplit("/", 1)[0]
-                filesystem.create_dir(parent, recursive=True)
-                with filesystem.open_output_stream(p) as f:
-                    f.write((text or "").encode("utf-8"))
-                n += 1
-            yield pd.DataFrame({"n": [n]})
-
-    return rows.select("rel", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return write_text_files(rows, root)
 
 
 def _done(root: str) -> bool:
@@ -94,12 +79,3 @@ def copied_tree(spark: SparkSession, sf_dir: str) -> str:
         n = _write_rows(rows, root)
         _mark(root, {"files": n})
     return root
-
-
-def card_tree(spark: SparkSession, sf_dir: str, cards: DataFrame, variant: str) -> str:
-    """Card texts as ``<card_id>.md`` files (the K-18 text writer's layout)."""
-    root = scratch_path(spark, "standin", _key(sf_dir, variant))
-    if not _done(root):
-        n = _write_rows(cards.select(F.concat("card_id", F.lit(".md")).alias("rel"), "text"), root)
-        _mark(root, {"files": n})
-    return root

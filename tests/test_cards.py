@@ -116,3 +116,13 @@ def test_model_registry_view_keeps_models_without_card(spark):
                                   "location string, tag_name string, tag_value string")
     got = {r.location: r.card_location for r in CD.model_registry_view(models, links).collect()}
     assert got == {"model0.txt": "model0_card.md", "model1.txt": None}
+
+
+def test_write_cards_one_file_each(spark, tmp):
+    import os
+    cards = spark.createDataFrame([("a", "---\nx: 1\n---\nbody"), ("b", "plain")], "card_id string, text string")
+    assert CD.write_cards(cards, tmp) == 2
+    assert open(os.path.join(tmp, "a.md")).read() == "---\nx: 1\n---\nbody"
+    import pytest
+    with pytest.raises(Exception):
+        CD.write_cards(cards, tmp, overwrite=False)

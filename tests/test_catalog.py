@@ -118,3 +118,9 @@ def test_doc_store_query_and_update(spark):
     assert [r.id for r in K.doc_query(docs, "metric", k=60).collect()] == [2]
     up = {r.id: (r.status, r.updated) for r in K.doc_update(docs, "metric", "k", 50, "status", "triaged").collect()}
     assert up == {1: (None, False), 2: ("triaged", True), 3: (None, False)}
+
+
+def test_nodes_info_id_wins_or_and(spark):
+    n = _nodes(spark)
+    assert [r.node_name for r in C.nodes_info(n, node_id=1, node_name="model_store").collect()] == ["data_store"]
+    assert C.nodes_info(n, node_id=1, node_name="model_store", both="and").count() == 0
