@@ -29,7 +29,7 @@ STATUS_NAMES = [
 ]
 
 # Job outcome names.
-RESULT_NAMES = ["SUCCESS", "FAILURE", "ERROR"]
+RESULT_NAMES = ["FAILURE", "SUCCESS", "ERROR"]
 
 # Log levels accepted by node loggers.
 LOG_LEVELS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]

@@ -1,6 +1,5 @@
 """Cards: model index round trip, eval checks, front matter, rendering."""
 
-from pyspark.sql import functions as F
 
 from runledger import schemas as S
 from runledger.functions.text import line_ending

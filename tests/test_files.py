@@ -4,7 +4,6 @@ import hashlib
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from runledger.operators import writes as K
 from runledger.sources import files as FS

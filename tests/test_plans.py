@@ -5,11 +5,9 @@ import os
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from runledger.operators import lifecycle as L
-from runledger.operators import runs as R
 from runledger.operators.ordered import first_after
 
 SF = "/root/testdata/sf0.001"

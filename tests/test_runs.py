@@ -5,7 +5,6 @@ import datetime as dt
 import hashlib
 import random
 
-from pyspark.sql import functions as F
 
 from runledger.operators import fingerprint as FP
 from runledger.operators import runs as R

@@ -4,7 +4,6 @@ import datetime as dt
 import hashlib
 import os
 
-from pyspark.sql import functions as F
 
 from runledger.operators import lifecycle as L
 from runledger.streaming import discovery as D
