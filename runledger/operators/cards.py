@@ -79,8 +79,9 @@ def model_index_build(evals: DataFrame) -> DataFrame:
 
     Results are grouped by the evaluation identity; task, dataset and source
     fields come from the group's first result (lowest ``seq``), metrics keep
-    input order.  A model's result list is bounded by its distinct
-    evaluations, its metric lists by results per evaluation."""
+    input order.  This is the card's own nested format: one row holds a
+    model's whole index, as the card file does, so it is meant for cards
+    (small per-model documents); bulk analysis uses ``model_index_summary``."""
     keys = ["model_name", *EVAL_IDENTITY]
     first = F.struct("task_type", "task_name", "dataset_name", "dataset_type", "dataset_config",
                      "dataset_split", "dataset_revision", "source_name", "source_url")
@@ -104,14 +105,15 @@ def model_index_build(evals: DataFrame) -> DataFrame:
 
 
 def model_index_summary(evals: DataFrame) -> DataFrame:
-    """A-8 flattened: one row per model-index entry (no nesting)."""
+    """A-8 flattened: one row per model-index entry (no nesting): the entry's
+    first-result fields, its metric count and its distinct metric types
+    (a set bounded by the metric vocabulary, not by the entry's size)."""
     keys = ["model_name", *EVAL_IDENTITY]
     first = F.struct("task_name", "dataset_name", "source_name", "source_url")
     return (evals.groupBy(*keys)
             .agg(F.min("seq").alias("first_seq"), F.min_by(first, "seq").alias("f"),
                  F.count(F.lit(1)).alias("n_metrics"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "metric_type"))),
-                                          lambda x: x["metric_type"]), ",").alias("metric_types"))
+                 F.array_join(F.array_sort(F.collect_set("metric_type")), ",").alias("metric_types"))
             .select(*keys, "first_seq", F.col("f.task_name").alias("task_name"),
                     F.col("f.dataset_name").alias("dataset_name"), F.col("f.source_name").alias("source_name"),
                     F.col("f.source_url").alias("source_url"), "n_metrics", "metric_types"))

@@ -74,7 +74,8 @@ def peel(nodes: DataFrame | None, edges: DataFrame, max_rounds: int = MAX_ROUNDS
         # nodes with no incoming edge among what is left.  Checkpointed (not
         # cached): it is tested and then used twice, and as a plan leaf it
         # keeps the next round's plan from embedding this round's twice.
-        sources = remaining.join(e.select(F.col("dst").alias("node_name")), "node_name", "left_anti") \
+        # (distinct targets first: a hub with many in-edges is one row)
+        sources = remaining.join(e.select(F.col("dst").alias("node_name")).distinct(), "node_name", "left_anti") \
             .checkpoint(eager=True)
         if sources.isEmpty():
             break

@@ -20,7 +20,7 @@ _EVAL_COLS = ["model_name", "task_type", "task_name", "dataset_type", "dataset_n
     SELECT model_name, task_type, dataset_type, dataset_config, dataset_split, dataset_revision,
            min(seq) AS first_seq, arg_min(task_name, seq) AS task_name, arg_min(dataset_name, seq) AS dataset_name,
            arg_min(source_name, seq) AS source_name, arg_min(source_url, seq) AS source_url,
-           count(*) AS n_metrics, string_agg(metric_type, ',' ORDER BY seq) AS metric_types
+           count(*) AS n_metrics, array_to_string(list_sort(list_distinct(list(metric_type))), ',') AS metric_types
     FROM eval_results GROUP BY ALL""", "eval_results"))
 def q_model_index_build(spark, sf):
     return CD.model_index_summary(X.eval_results(spark, sf))
