@@ -89,9 +89,9 @@ def prepare_inputs(spark, sf):
 
 
 def _stream(spark, path, max_files=1):
-    schema = spark.read.parquet(path + "/*").schema
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(path + "/*"))
+            .option("recursiveFileLookup", "true").parquet(path))
 
 
 _SCAN_SQL = f"""SELECT source AS node_name, {_LOC} AS location, CAST(strlen(text) AS BIGINT) AS size,
