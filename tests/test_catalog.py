@@ -100,7 +100,7 @@ def test_log_metrics_keeps_nulls_and_params_are_strings(spark):
 
 
 def test_tag_artifacts_rejects_missing(spark):
-    req = spark.createDataFrame([("data_store", "test_file0.txt", "Karpathy LLM test"), ("data_store", "gone.txt", "x")],
+    req = spark.createDataFrame([("data_store", "test_file0.txt", "shakespeare run"), ("data_store", "gone.txt", "x")],
                                 "node_name string, location string, test_name string")
     got = {r.location: (r.artifact_id, r.accepted) for r in K.tag_artifacts(_arts(spark), _nodes(spark), req, ["test_name"]).collect()}
     assert got == {"test_file0.txt": (1, True), "gone.txt": (None, False)}
