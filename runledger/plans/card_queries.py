@@ -26,7 +26,40 @@ def q_model_index_build(spark, sf):
     return CD.model_index_summary(X.eval_results(spark, sf))
 
 
-@query("model_index_json")
+def _j(field: str, expr: str) -> str:
+    """DuckDB: '"field":<json>' or NULL when the value is NULL (to_json drops NULL fields)."""
+    return f"""CASE WHEN {expr} IS NOT NULL THEN '"{field}":' || to_json({expr}) END"""
+
+
+_MODEL_INDEX_JSON_SQL = f"""
+    WITH g AS (
+      SELECT model_name, task_type, dataset_type, dataset_config, dataset_split, dataset_revision,
+             min(seq) AS first_seq, arg_min(task_name, seq) AS tn, arg_min(dataset_name, seq) AS dn,
+             arg_min(source_name, seq) AS sn, arg_min(source_url, seq) AS su,
+             string_agg('{{' || concat_ws(',', {_j('type', 'metric_type')},
+                          CASE WHEN metric_value IS NOT NULL THEN '"value":' || CAST(metric_value AS VARCHAR) END,
+                          {_j('name', 'metric_name')}, {_j('config', 'metric_config')},
+                          {_j('verified', 'verified')}, {_j('verifyToken', 'verify_token')}) || '}}', ','
+                        ORDER BY seq) AS metrics
+      FROM eval_results GROUP BY ALL),
+    r AS (
+      SELECT model_name, first_seq,
+             '{{' || concat_ws(',',
+                 '"task":{{' || concat_ws(',', {_j('type', 'task_type')}, {_j('name', 'tn')}) || '}}',
+                 '"dataset":{{' || concat_ws(',', {_j('name', 'dn')}, {_j('type', 'dataset_type')},
+                                            {_j('config', 'dataset_config')}, {_j('split', 'dataset_split')},
+                                            {_j('revision', 'dataset_revision')}) || '}}',
+                 '"metrics":[' || metrics || ']',
+                 CASE WHEN su IS NOT NULL THEN '"source":{{' || concat_ws(',', {_j('url', 'su')}, {_j('name', 'sn')})
+                      || '}}' END) || '}}' AS result
+      FROM g)
+    SELECT model_name AS name,
+           '[{{"name":' || to_json(model_name) || ',"results":[' || string_agg(result, ',' ORDER BY first_seq) || ']}}]'
+             AS model_index
+    FROM r GROUP BY model_name"""
+
+
+@query("model_index_json", W(_MODEL_INDEX_JSON_SQL, "eval_results"))
 def q_model_index_json(spark, sf):
     return CD.model_index_json(CD.model_index_build(X.eval_results(spark, sf)))
 
