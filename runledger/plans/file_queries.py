@@ -1,7 +1,9 @@
 """File-discovery and file-reading queries (S-1..S-8, K-17, K-18, X-7).
 
-Each query scans a stand-in tree written once from ``documents`` into the
-shared checkpoint folder (see ``sources.standin``)."""
+Discovery, verification, audit and loader queries scan stand-in trees
+written once from ``documents`` into the shared checkpoint folder (see
+``sources.standin``).  The two card queries write their cards with the K-18
+writer into a fresh folder on every run and read them back."""
 
 from __future__ import annotations
 
