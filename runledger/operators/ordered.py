@@ -10,8 +10,8 @@ carried by a small per-bucket table whose size is bounded by ``n_buckets``
 (times the number of keys for the keyed form).  ``top_k_per_group`` salts a
 group before ranking and ranks the survivors once more.
 
-Limit: rows of one key that share one timestamp stay in one (key, bucket)
-partition of ``next_in_group``; they are ordered by the tie column there.
+``next_in_group`` also gives an instant holding many rows its own bucket
+and splits it by the tie column, so one key at one instant is not one task.
 """
 
 from __future__ import annotations
@@ -111,17 +111,44 @@ def first_after(events: DataFrame, event_time: str, marks: DataFrame, mark_time:
     return events.join(solved, events[event_time] == solved["_t"], "left").drop("_t")
 
 
+def _hot_instant_buckets(b: DataFrame, x: str, tie_col: str, n_buckets: int):
+    """Time buckets, plus sub-buckets by ``tie_col`` for hot instants.
+
+    An instant that fills at least one quantile gap (about 1/n_buckets of the
+    rows) gets a bucket of its own, and its rows are split by approximate
+    quantiles of the tie column, so (time, tie) order is kept and no instant
+    lands whole in one partition.  Returns a bucket-id column."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = [q for q in b.approxQuantile(x, probs, 1.0 / (4 * n_buckets)) if q is not None]
+    hot = sorted({q for q in qs if qs.count(q) >= 2})
+    bounds = sorted(set(qs) | {h + 1.0 for h in hot})
+    tb = bucket_of(F.col(x), bounds)
+    if not hot:
+        return tb
+    # tie quantiles inside each hot instant: one small aggregation, at most
+    # len(hot) x n_buckets values come to the driver
+    pct = (b.where(F.col(x).isin(hot)).groupBy(x)
+           .agg(F.percentile_approx(F.col(tie_col).cast("double"), probs, 4 * n_buckets).alias("_p"))
+           .collect())
+    sub = F.lit(0)
+    for r in pct:
+        tie_bounds = sorted(set(v for v in r["_p"] if v is not None))
+        sub = F.when(F.col(x) == F.lit(r[x]), bucket_of(F.col(tie_col).cast("double"), tie_bounds)).otherwise(sub)
+    return tb * F.lit(n_buckets + 1) + sub
+
+
 def next_in_group(df: DataFrame, keys: list[str], time_col: str, tie_col: str,
                   carry_cols: list[str], n_buckets: int = DEFAULT_BUCKETS,
                   prefix: str = "next_") -> DataFrame:
     """``lead`` of ``carry_cols`` within each key, ordered by (time, tie).
 
     Rows are split into (key, time-bucket) partitions so a hot key is spread
-    over ``n_buckets`` tasks; the last row of a partition takes its successor
-    from the first row of the next non-empty bucket of the same key."""
+    over ``n_buckets`` tasks, and a hot instant is split again by the tie
+    column (numeric); the last row of a partition takes its successor from
+    the first row of the next non-empty bucket of the same key."""
     base = df.withColumn("_x", _micros(time_col))
-    bounds = quantile_bounds([base.where(F.col("_x").isNotNull())], n_buckets)
-    b = base.withColumn("_b", bucket_of(F.col("_x"), bounds)).drop("_x")
+    b = base.withColumn("_b", _hot_instant_buckets(base.where(F.col("_x").isNotNull()), "_x", tie_col,
+                                                   n_buckets)).drop("_x")
     order = [time_col, tie_col]
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     lead_cols = [F.lead(c).over(w).alias(prefix + c) for c in carry_cols]
@@ -129,7 +156,7 @@ def next_in_group(df: DataFrame, keys: list[str], time_col: str, tie_col: str,
 
     # first row of every (key, bucket); the carry for bucket b is the first
     # row of the nearest later non-empty bucket of the same key.  This table
-    # has at most n_buckets rows per key.
+    # has at most n_buckets (plus hot-instant sub-buckets) rows per key.
     first_row = (b.groupBy(*keys, "_b")
                  .agg(F.min_by(F.struct(*carry_cols), F.struct(*order)).alias("_first")))
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)

@@ -124,3 +124,26 @@ def test_durations_ignore_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got["QUEUED"] == 2 * 3600 * 1_000_000
+
+
+def test_next_in_group_hot_key_at_one_instant(spark):
+    rnd = random.Random(5)
+    rows = []
+    hot_t = T0 + dt.timedelta(seconds=100)
+    for i in range(900):
+        if i % 3 == 0:
+            rows.append((i, "hot", "QUEUED", hot_t))            # a third: one key, one instant
+        else:
+            rows.append((i, rnd.choice(["hot", "a", "b"]), "EXECUTING", T0 + dt.timedelta(seconds=rnd.randint(0, 300))))
+    df = spark.createDataFrame(rows, "id long, node_name string, status string, ts timestamp_ntz")
+    out = next_in_group(df, ["node_name"], "ts", "id", ["status", "ts", "id"], n_buckets=8)
+    got = {r.id: r.next_id for r in out.collect()}
+    expect = {}
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    for rs in by.values():
+        rs.sort(key=lambda r: (r[3], r[0]))
+        for a, b2 in zip(rs, rs[1:] + [None]):
+            expect[a[0]] = b2[0] if b2 else None
+    assert got == expect
