@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import epoch_micros
@@ -43,10 +44,40 @@ DEBOUNCE_STATE = "fired boolean, until_ms long"
 _COLS = ["node_id", "run_triggered", "id", "trigger_time", "message"]
 
 
+_KEYS = ["node_id", "run_triggered"]
+
+
+def _pre_reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map side, per input partition: the earliest trigger of every key plus
+    the key's latest trigger time (``_max_t``).  One row per key leaves the
+    partition, so a hot key is not shipped whole to one task."""
+    best: dict = {}
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf.sort_values(["trigger_time", "id"])
+        first = pdf.groupby(_KEYS, sort=False, dropna=False).head(1)
+        latest = pdf.groupby(_KEYS, sort=False, dropna=False)["trigger_time"].max()
+        for row in first.itertuples(index=False):
+            k = (row.node_id, row.run_triggered)
+            mx = latest.loc[k]
+            cur = best.get(k)
+            if cur is None:
+                best[k] = [row, mx]
+            else:
+                if (row.trigger_time, row.id) < (cur[0].trigger_time, cur[0].id):
+                    cur[0] = row
+                cur[1] = max(cur[1], mx)
+    if best:
+        out = pd.DataFrame([r for r, _ in best.values()])
+        out["_max_t"] = [m for _, m in best.values()]
+        yield out
+
+
 def _debounce(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """First arrival wins; the key's state lives until the watermark passes
-    the latest trigger time seen for it.  Rows are scanned chunk by chunk
-    (running minimum and maximum), never concatenated."""
+    the latest trigger time seen for it.  Input rows are the map-side
+    pre-reduced ones; they are scanned chunk by chunk, never concatenated."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -55,7 +86,7 @@ def _debounce(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     for pdf in pdfs:
         if not len(pdf):
             continue
-        m = pdf["trigger_time"].max()
+        m = pdf["_max_t"].max()
         latest = m if latest is None else max(latest, m)
         if not state.exists:
             cand = pdf.sort_values(["trigger_time", "id"]).iloc[:1]
@@ -79,8 +110,12 @@ def debounce_stream(assigned_stream: DataFrame, sink_path: str, checkpoint: str,
     removed - once the event-time watermark passes them."""
     # watermarks need a TIMESTAMP; read the NTZ value as UTC, independent of
     # the session zone (the state timeouts below use the same reading)
-    s = (assigned_stream.where(F.col("run_triggered").isNotNull())
-         .withColumn("event_ts", F.timestamp_micros(epoch_micros("trigger_time")))
+    src = (assigned_stream.where(F.col("run_triggered").isNotNull())
+           .select(*_COLS, F.timestamp_micros(epoch_micros("trigger_time")).alias("event_ts")))
+    reduced_schema = T.StructType(src.schema.fields + [T.StructField("_max_t", T.TimestampNTZType())])
+    # the watermark follows the pre-reduction (it keeps each key's earliest
+    # row, so the watermark can only lag - state is kept longer, never less)
+    s = (src.mapInPandas(_pre_reduce, reduced_schema)
          .withWatermark("event_ts", watermark)
          .groupBy("node_id", "run_triggered")
          .applyInPandasWithState(_debounce, DEBOUNCE_OUT, DEBOUNCE_STATE, "append",

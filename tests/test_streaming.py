@@ -103,3 +103,17 @@ def test_change_feed_versions_and_replay(spark, tmp):
     change_feed(s, f"{tmp}/state", f"{tmp}/feed", f"{tmp}/ck").awaitTermination()
     got = {(r.version, r.id, r.change) for r in spark.read.parquet(f"{tmp}/feed").collect()}
     assert got == {(0, 1, "added"), (0, 2, "added"), (1, 1, "changed"), (1, 3, "added")}
+
+
+def test_pre_reduce_keeps_one_row_per_key():
+    import pandas as pd
+    from runledger.streaming.triggers import _pre_reduce
+    def batch(ids, minutes):
+        return pd.DataFrame({"node_id": [1] * len(ids), "run_triggered": [0] * len(ids), "id": ids,
+                             "trigger_time": [T0 + dt.timedelta(minutes=m) for m in minutes],
+                             "message": ["m"] * len(ids), "event_ts": [T0] * len(ids)})
+    out = list(_pre_reduce(iter([batch(list(range(10, 1000)), [5 + i % 50 for i in range(990)]),
+                                 batch([3, 4], [5, 90])])))
+    assert len(out) == 1 and len(out[0]) == 1
+    r = out[0].iloc[0]
+    assert r["id"] == 3 and r["_max_t"] == T0 + dt.timedelta(minutes=90)
