@@ -34,3 +34,16 @@ def test_run_cycle_waits_for_all_inputs(spark):
     assert not cyc.ready(cyc.fired(arts, nodes))
     arts2 = arts.unionByName(spark.createDataFrame([(3, 2, "new")], "id long, node_id long, state string"))
     assert cyc.ready(cyc.fired(arts2, nodes))
+
+
+def test_run_cycle_with_metric_trigger(spark):
+    from runledger.driver import default_metric_trigger
+    nodes = spark.createDataFrame([(1, "s1"), (2, "edge_deployment_client")], "id long, node_name string")
+    arts = spark.createDataFrame([(1, 1, "new")], "id long, node_id long, state string")
+    cyc = RunCycle(required_nodes=["s1", "edge_deployment_client"],
+                   metric_trigger=default_metric_trigger(0.4, "percent_accuracy"))
+    low = spark.createDataFrame([(i, 0, 2, "percent_accuracy", 0.1 * i) for i in range(5)],
+                                "id long, run_id long, node_id long, metric_name string, metric_value double")
+    assert not cyc.ready(cyc.fired(arts, nodes, low))           # max is 0.4: not strictly above
+    high = low.unionByName(spark.createDataFrame([(5, 0, 2, "percent_accuracy", 0.5)], low.schema))
+    assert cyc.ready(cyc.fired(arts, nodes, high))

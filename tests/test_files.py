@@ -109,3 +109,12 @@ def test_create_catalog_refuses_existing(spark, tmp):
     assert spark.read.parquet(paths["artifacts"]).count() == 0
     with pytest.raises(Exception):
         K.create_catalog(spark, os.path.join(tmp, "cat"))
+
+
+def test_saved_artifact_is_recorded_as_produced(spark, tmp):
+    nodes = spark.createDataFrame([(1, "model_registry")], "id long, node_name string")
+    catalog = spark.createDataFrame([], "id long, run_id long, node_id long, location string, state string, hash string")
+    produced = K.save_artifact(spark.range(3), os.path.join(tmp, "model0"), node_name="model_registry", run_id=2)
+    rows = K.insert_artifacts(catalog, nodes, produced).collect()
+    assert rows and all(r.accepted and r.state == "produced" and r.run_id == 2 for r in rows)
+    assert sorted(r.id for r in rows) == list(range(1, len(rows) + 1))
