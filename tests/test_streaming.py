@@ -117,3 +117,18 @@ def test_pre_reduce_keeps_one_row_per_key():
     assert len(out) == 1 and len(out[0]) == 1
     r = out[0].iloc[0]
     assert r["id"] == 3 and r["_max_t"] == T0 + dt.timedelta(minutes=90)
+
+
+def test_continuous_discovery_with_processing_time_trigger(spark, tmp):
+    root, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    _files(root, 0, 5)
+    q = D.discover(spark, root, f"{out}/cat", f"{out}/ck", processing_time="200 milliseconds")
+    try:
+        q.processAllAvailable()
+        assert D.read_catalog(spark, f"{out}/cat").count() == 5
+        _files(root, 5, 8)                      # files keep arriving while the stream runs
+        q.processAllAvailable()
+        locs = sorted(r.location for r in D.read_catalog(spark, f"{out}/cat").collect())
+        assert locs == sorted(f"test_leaf_file{i}.txt" for i in range(8))
+    finally:
+        q.stop()
