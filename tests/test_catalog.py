@@ -124,3 +124,18 @@ def test_nodes_info_id_wins_or_and(spark):
     n = _nodes(spark)
     assert [r.node_name for r in C.nodes_info(n, node_id=1, node_name="model_store").collect()] == ["data_store"]
     assert C.nodes_info(n, node_id=1, node_name="model_store", both="and").count() == 0
+
+
+def test_operators_on_an_empty_stored_catalog(spark, tmp):
+    from runledger import schemas as S
+    from runledger.operators import fingerprint as FP
+    from runledger.operators import runs as R
+    from runledger.sources.tables import read_catalog_table
+    root = tmp + "/cat"
+    K.create_catalog(spark, root)
+    cat = {t: read_catalog_table(spark, f"{root}/{t}", schema) for t, schema in S.CATALOG.items()}
+    assert C.entries(cat["artifacts"], cat["nodes"], node_name="x", state="new").count() == 0
+    assert C.num_entries(cat["artifacts"], cat["nodes"]).count() == 0
+    assert R.assign_triggers(cat["triggers"], cat["runs"]).count() == 0
+    assert FP.run_hash(cat["runs"], cat["artifacts"], cat["metrics"], cat["params"], cat["tags"]).count() == 0
+    assert R.current_run(cat["runs"]).first()["run_id"] == 0
