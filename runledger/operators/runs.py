@@ -102,7 +102,8 @@ def run_barrier(triggers: DataFrame, required: DataFrame, epoch: str = "1 day")
                                      F.max("first_fire").alias("barrier_time"))
     per = per.withColumn("n_required", F.lit(n_required).cast("long"))
     ready = F.col("n_fired") == F.col("n_required")
-    # run numbering is over barrier epochs only (one row per epoch)
+    # run numbering ranks the per-epoch table: one row per epoch, so at most
+    # (time span / epoch) rows - 36,500 for a century of daily epochs
     w = Window.partitionBy(ready).orderBy("barrier_time", "epoch")
     return per.select(
         "epoch", "n_fired", "n_required", ready.alias("ready"),
