@@ -57,25 +57,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext          # classic sessions
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None) \
-        or sc.getConf().get(CHECKPOINT_CONF, None)
+    sc = _context(spark)
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get(CHECKPOINT_CONF, None)
+    if not current and sc is not None:
+        current = sc.getConf().get(CHECKPOINT_CONF, None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
+        return (sc.getCheckpointDir() if sc is not None else None) or current
     # Unset: this is a test or a laptop run.  A per-run folder under /tmp.
     local = tempfile.mkdtemp(prefix="runledger-ckpt-")
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     spark.conf.set(CHECKPOINT_CONF, local)
-    return sc.getCheckpointDir() or local
+    return (sc.getCheckpointDir() if sc is not None else None) or local
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
