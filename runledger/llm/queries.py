@@ -35,3 +35,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op2_shard")
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and its slot there, in shuffled order."""
+    from .sharding import row_bytes, shard
+    placed = shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "row.doc_id", row_bytes("row.text").alias("size"),
+        F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
