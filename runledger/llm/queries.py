@@ -46,3 +46,44 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", row_bytes("row.text").alias("size"),
         F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ') AS said,
+    replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### '), ':', '\:') AS head
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(said) + 9 + CASE WHEN before IS NOT DISTINCT FROM role THEN 0 ELSE 6 + length(head) END) AS BIGINT)
+    AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+@query("op7_chat", CHAT_SQL)
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    from .chat import format_segments, read_segments
+    hard = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(
+        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema))
+    back = read_segments(format_segments(turns)).select(
+        "conv_id", "segment", "chars", F.size("turns").cast("long").alias("n"),
+        F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))).alias("said"),
+        F.concat_ws("", "loss").alias("lost"))
+    whole = back.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("segment", "said", "lost"))).alias("parts"))
+    lost = F.concat_ws("", "parts.lost")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.concat_ws("", "parts.said"), 256).alias("turns_sha256"),
+        F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), "formatted_chars")
