@@ -87,3 +87,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(
         "conv_id", "n_turns", F.sha2(F.concat_ws("", "parts.said"), 256).alias("turns_sha256"),
         F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from .toxicity import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
