@@ -14,7 +14,7 @@ from array import array
 
 from .common import worker_state
 
-TABLE_LIMIT = 400_000          # entries of the per-worker table; emptied when full
+TABLE_LIMIT = 1_000_000        # entries of the per-worker table (about 200 MB); emptied when full
 SLICE_CHARS = 2_000_000        # texts are split into words in slices of about this size
 
 
