@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .linechunks import LINES_SQL
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -94,3 +96,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from .toxicity import classify
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_line_chunks", LINES_SQL)
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the multi-line chunks that occur earlier."""
+    from .linechunks import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "removed_chunks", "removed_lines")
