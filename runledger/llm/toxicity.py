@@ -142,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     kept = [r["feature"] for r in best.select("feature").collect()]
     kept += sorted({f"={w}" for w in SWAPS} - set(kept))          # the swapped words always have a weight
     names = {f: k for k, f in enumerate(kept)}
-    rows = sample.mapInPandas(_vectors(names), "toxic int, own array<int>, other array<int>").orderBy("toxic", "own").collect()
+    # at most sample_rows short lists; sorted here, so that the sums don't depend on the tasks' order
+    rows = sorted(sample.mapInPandas(_vectors(names), "toxic int, own array<int>, other array<int>").collect(),
+                  key=lambda r: (r["toxic"], r["own"], r["other"] or []))
     drop_stored(sample)
     weights, bias = _fit(rows, len(kept))
     return {"weights": {f: float(weights[k]) for f, k in names.items() if weights[k]}, "bias": bias}
