@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import DECONTAM_SQL
 from .linechunks import LINES_SQL
 
 QUERIES: dict = {}
@@ -103,3 +104,10 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the multi-line chunks that occur earlier."""
     from .linechunks import dedup_lines
     return dedup_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "removed_chunks", "removed_lines")
+
+
+@query("op4_decontaminate", DECONTAM_SQL)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and how much of it."""
+    from .decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
