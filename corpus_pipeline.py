@@ -1,25 +1,59 @@
-"""Corpus pipeline: stages over ``documents``, each stored and read again."""
+"""Corpus pipeline over ``documents``: toxic documents go, repeated passages of
+lines go, one document of each near-duplicate group stays, documents that hold
+benchmark items go, and the rest is packed into training sequences.  Each
+stage's rows are stored and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from runledger.llm import decontam, linechunks, packing, simhash, toxicity
 from runledger.llm.common import store
-from runledger.llm.packing import pack
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, packed into sequences of 1024 tokens."""
-    return pack(docs)
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-STAGES = [("best-fit packing", packing)]
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below its threshold."""
+    return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the multi-line passages that occur earlier;
+    ``n_chars`` follows the new text."""
+    cut = linechunks.dedup_lines(docs)
+    of = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[of.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each SimHash group."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, packed into sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("SimHash near-dedup", near_dedup),
+          ("benchmark decontamination", decontaminate), ("best-fit packing", pack_sequences)]
+
+# training, fingerprints over XXH64 and tokenising have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), "stage")
     return docs

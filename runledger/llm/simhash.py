@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, text_of
@@ -55,16 +55,21 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"],
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"],
                                 "bits": [fingerprint(t, shingle) for t in pdf["text"]]})
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, bits) of whole texts; a null or blank text has fingerprint zero."""
+    """(doc_id, digest of the text, bits) of whole texts; a null or blank text
+    has fingerprint zero."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(
-        _fingerprints(shingle), f"doc_id {id_type}, bits long")
+    return docs.select("doc_id", text_of().alias("text"), _digest("text").alias("digest")).mapInPandas(
+        _fingerprints(shingle), f"doc_id {id_type}, digest long, bits long")
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(text_of(text))
 
 
 def _ball(bits: str, first: int, n: int) -> str:
@@ -88,8 +93,9 @@ def links(marks: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SE
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text).
 
-    One row per row of ``docs``: doc_id, bits, component_id (the smallest
-    doc_id reachable over links of at most ``max_distance`` bits).  Null and
+    One row per row of ``docs``: doc_id, digest (of the text), bits,
+    component_id (the smallest doc_id reachable over links of at most
+    ``max_distance`` bits).  Null and
     blank texts have fingerprint zero and are linked like any other; repeated
     rows fall together; a null id is never the smallest unless a group has no
     other.  An empty table gives no rows.  Other columns are not read.
@@ -102,4 +108,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
     named = store(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return (marks.join(named.join(least, "component").select("bits", "component_id"), "bits")
-            .select("doc_id", "bits", "component_id"))
+            .select("doc_id", "digest", "bits", "component_id"))
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row of each near-duplicate group, the first by (doc_id, digest),
+    with all its columns as they are.  Rows alike in both count as one."""
+    groups = near_duplicates(docs, shingle, max_distance)
+    first = F.min(F.struct("doc_id", "digest", "n")).alias("first")
+    alike = groups.groupBy("component_id", "doc_id", "digest").agg(F.count("*").alias("n"))
+    kept = store(alike.groupBy("component_id").agg(first).select(
+        F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"), F.col("first.n").alias("kept_n")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), _digest("text").alias("digest"))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    once = rows.filter("kept_n = 1").select("row")
+    again = rows.filter("kept_n > 1").dropDuplicates(["kept_id", "kept_digest"]).select("row")
+    return once.unionByName(again).select("row.*")

@@ -66,8 +66,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
             (with_ if toxic else without).update(_text_features(words_of(text)))
     names = list(with_.keys() | without.keys())
-    yield pd.DataFrame({"feature": names, "a": [with_[f] for f in names], "b": [without[f] for f in names]},
-                       ).astype({"a": "int64", "b": "int64"})
+    for s in range(0, len(names), 100_000):
+        part = names[s:s + 100_000]
+        yield pd.DataFrame({"feature": part, "a": [with_[f] for f in part], "b": [without[f] for f in part]})
 
 
 def _vectors(names: dict[str, int]):
