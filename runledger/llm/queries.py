@@ -111,3 +111,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and how much of it."""
     from .decontam import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+
+
+@query("op3_vector_dedup")
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and keeper of every embedding."""
+    from .vectors import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
