@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store
+from .common import store
 
 LEAST_LINES = 2
 BROADCAST_HASHES = 1_000_000      # 8 bytes each; beyond it the join shuffles
@@ -48,8 +48,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     few = often.count() <= BROADCAST_HASHES
     # the rows that share a hash, with their bytes; a hot hash's rows are split by the skew join
     same = store(found.join(F.broadcast(often) if few else often, "hash", "left_semi"), "candidates")
-    first = same.groupBy("hash", "text").agg(
-        F.min(F.struct("doc_id", "digest", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # stored, so that the join deals both sides anew and can split a hot passage
+    first = store(same.groupBy("hash", "text").agg(
+        F.min(F.struct("doc_id", "digest", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     gone = same.join(first, ["hash", "text"]).filter(
         ~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first"))).select("doc_id", "digest", "pos")
     return gone
@@ -65,9 +66,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = repeated_chunks(docs).groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("gone"))
     gone = store(gone, "removed").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
-    rows = docs.select(F.struct("*").alias("row"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
-    rows = with_chunks(rows.select("row", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
+    rows = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    # the same join at every size: a broadcast of what is small today would hide its cost
+    rows = rows.join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
+                     & (F.col("digest") == F.col("gone_digest")), "left")
+    rows = with_chunks(rows.select("row", F.col("row.text").alias("text"),
+                                   F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
     kept = F.expr("filter(chunks_, (c, i) -> NOT array_contains(gone, i))")
     lost = F.expr("aggregate(filter(chunks_, (c, i) -> array_contains(gone, i)), 0L, (a, c) -> a + c.n)")
     return rows.select(
