@@ -118,3 +118,22 @@ def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and keeper of every embedding."""
     from .vectors import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def stand_in_edits(docs: DataFrame) -> DataFrame:
+    """Up to three edits of each document: a stretch replaced by another of its text."""
+    return docs.filter("text IS NOT NULL").select("doc_id", F.explode(F.expr("""
+        transform(filter(sequence(0, 2), k -> k < pmod(xxhash64(doc_id), 4)), k -> struct(
+          cast(pmod(xxhash64(doc_id, k, 'start'), length(text) + 1) AS long) AS start,
+          cast(pmod(xxhash64(doc_id, k, 'length'), 30) AS long) AS length,
+          substr(text, cast(pmod(xxhash64(doc_id, k, 'from'), length(text) + 1) AS int) + 1,
+                 cast(pmod(xxhash64(doc_id, k, 'many'), 40) AS int)) AS insert))""")).alias("e")).select("doc_id", "e.*")
+
+
+@query("op8_edit_counts")
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, before and after a table of edits."""
+    from .common import store
+    from .editcount import build, recount
+    docs = table(spark, sf_dir, "documents")
+    return recount(docs, store(build(docs), "trees"), stand_in_edits(docs)).drop("chars", "tokens")

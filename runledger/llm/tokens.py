@@ -10,10 +10,13 @@ per-worker table; any text with other white space is encoded as a whole.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 from .common import worker_state
 
+#: where one word's tokens end and the next word's begin, whatever stands around
+SEAM = re.compile(r"(?<=\S)(?=[ \n])")
 TABLE_LIMIT = 1_000_000        # entries of the per-worker table (about 200 MB); emptied when full
 SLICE_CHARS = 2_000_000        # texts are split into words in slices of about this size
 
@@ -54,7 +57,8 @@ class WordIds(dict):
         self.update((w, array("I", e.ids).tobytes()) for w, e in zip(bare, found, strict=True))
         self.update((w, self[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
-    def _slice(self, texts: list[str]) -> list[bytes]:
+    def _split(self, texts: list[str]) -> list[list[str]]:
+        """Words of the texts, all of them learnt."""
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         unseen: set[str] = set()
         for p in parts:
@@ -67,6 +71,10 @@ class WordIds(dict):
                 unseen.update(p[1:])
         if unseen:
             self._learn(unseen)
+        return parts
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        parts = self._split(texts)
         out = []
         for text, p in zip(texts, parts, strict=True):
             first = self.starts.get(p[0])
@@ -81,15 +89,39 @@ class WordIds(dict):
                 out.append(self._whole(text))
         return out
 
+    def _units(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        out = []
+        for text, p in zip(texts, self._split(texts), strict=True):
+            first = self._whole(p[0])
+            try:
+                tokens = [len(first) // 4, *(len(self[w]) // 4 for w in p[1:])]
+                chars = [len(p[0]), *(len(w) + (w[0] != "\n") for w in p[1:])]
+                if any(c.isspace() for c in p[0]):
+                    raise TypeError
+            except TypeError:                           # unusual white space
+                units = SEAM.split(text)
+                tokens, chars = [len(b) // 4 for b in self.encode(units)], [len(u) for u in units]
+            out.append((chars, tokens))
+        return out
+
+    def units(self, texts) -> list[tuple[list[int], list[int]]]:
+        """For each text, the characters and the tokens of its runs between seams."""
+        return [u for part in _slices(texts) for u in self._units(part)]
+
     def encode(self, texts) -> list[bytes]:
-        out, part, chars = [], [], 0
-        for t in texts:
-            part.append(t)
-            chars += len(t)
-            if chars >= SLICE_CHARS:
-                out += self._slice(part)
-                part, chars = [], 0
-        return out + self._slice(part) if part else out
+        return [ids for part in _slices(texts) for ids in self._slice(part)]
+
+
+def _slices(texts):
+    part, chars = [], 0
+    for t in texts:
+        part.append(t)
+        chars += len(t)
+        if chars >= SLICE_CHARS:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
 
 
 def word_ids(path: str) -> WordIds:
