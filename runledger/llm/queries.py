@@ -137,3 +137,11 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .editcount import build, recount
     docs = table(spark, sf_dir, "documents")
     return recount(docs, store(build(docs), "trees"), stand_in_edits(docs)).drop("chars", "tokens")
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of those not held out."""
+    from .mixing import held_out, learn, score
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs.filter(~held_out()))).withColumn("held_out", held_out())
