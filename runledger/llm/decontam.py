@@ -39,43 +39,53 @@ def _listed(values) -> str:
 
 
 def with_template(rows: DataFrame) -> DataFrame:
-    """``rows`` (…, text) with ``marks_``: array of (value, slot, template)."""
+    """``rows`` (…, text) with ``kinds_``: array of (value, kind), kind 0 for a
+    plain word, 1 a number, 2 a unit, 3 a name."""
     digit = "BETWEEN '0' AND '9'"
     made = rows.withColumn("tokens_", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)))
-    made = made.withColumn("kinds_", F.expr(f"""
+    return made.withColumn("kinds_", F.expr(f"""
         filter(transform(tokens_, (t, i) -> struct(lower(t) AS value, CASE
-          WHEN t IN ({_listed(STOPS)}) THEN 'end'
-          WHEN substr(t, 1, 1) {digit} THEN 'num'
-          WHEN t IN ({_listed(SIGNS)}) OR (lower(t) IN ({_listed(UNITS)}) AND substr(get(tokens_, i - 1), 1, 1) {digit}) THEN 'unit'
-          WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND i > 0 AND get(tokens_, i - 1) NOT IN ({_listed(STOPS)}) THEN 'name'
-          ELSE 'word' END AS kind)), k -> k.kind <> 'end')"""))
-    return made.withColumn("marks_", F.expr("""
-        transform(kinds_, (k, i) -> named_struct('value', k.value, 'slot', k.kind <> 'word' AND (
-            coalesce(get(kinds_, i - 1).kind = 'word', false) OR coalesce(get(kinds_, i + 1).kind = 'word', false)),
-          'kind', k.kind))""")).drop("tokens_", "kinds_")
+          WHEN t IN ({_listed(STOPS)}) THEN 9
+          WHEN substr(t, 1, 1) {digit} THEN 1
+          WHEN t IN ({_listed(SIGNS)}) OR (substr(get(tokens_, i - 1), 1, 1) {digit} AND lower(t) IN ({_listed(UNITS)})) THEN 2
+          WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND i > 0 AND get(tokens_, i - 1) NOT IN ({_listed(STOPS)}) THEN 3
+          ELSE 0 END AS kind)), k -> k.kind <> 9)""")).drop("tokens_")
+
+
+#: SQL: whether word ``k`` at ``i`` is a slot, that is a value next to a plain word
+SLOT = ("k.kind <> 0 AND (coalesce(get(kinds_, i - 1).kind = 0, false) OR coalesce(get(kinds_, i + 1).kind = 0, false))")
 
 
 def with_hashes(rows: DataFrame) -> DataFrame:
-    """``marks_`` reduced to ``words_``: one hash per template word."""
+    """``kinds_`` reduced to ``words_``: one hash per template word."""
     return rows.withColumn("words_", F.expr(
-        "transform(marks_, m -> if(m.slot, xxhash64('<', m.kind), xxhash64(m.value)))"))
+        f"transform(kinds_, (k, i) -> if({SLOT}, xxhash64('<', k.kind), xxhash64(k.value)))"))
 
 
-def _windows(size: str) -> str:
+def _windows(size: str, made: str = "struct(xxhash64(slice(words_, i + 1, {size})) AS hash, i AS at, {size} AS n)") -> str:
     return (f"transform(if(size(words_) >= {size}, sequence(0, size(words_) - {size}), array()), "
-            f"i -> struct(xxhash64(slice(words_, i + 1, {size})) AS hash, i AS at, {size} AS n))")
+            f"i -> {made.format(size=size)})")
+
 
+def _hashes(size: int) -> str:
+    return _windows(str(size), "xxhash64(slice(words_, i + 1, {size}))")
 
-def _slots(rows: DataFrame, size: str = "w.n") -> DataFrame:
-    """The values under a window ``w``'s placeholders, in order, with their kinds."""
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """The values in a window ``w``'s slots, in order, with their kinds."""
     return rows.withColumn("slots", F.expr(
-        f"transform(filter(slice(marks_, w.at + 1, {size}), m -> m.slot), m -> concat(m.kind, ':', m.value))"))
+        "transform(filter(slice(marks_, w.at + 1, w.n), m -> m.slot), m -> concat(m.kind, ':', m.value))"))
+
+
+def _with_marks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("marks_", F.expr(
+        f"transform(kinds_, (k, i) -> struct(k.value AS value, k.kind AS kind, {SLOT} AS slot))"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """hash, n, item_id, at, slots, windows (of the item); an item shorter than
     a window is one window, an item without words none."""
-    rows = with_hashes(with_template(benchmark.select("item_id", "text").distinct()))
+    rows = _with_marks(with_hashes(with_template(benchmark.select("item_id", "text").distinct())))
     rows = rows.withColumn("n_", F.least(F.lit(window), F.size("words_"))).filter("n_ > 0")
     rows = rows.withColumn("all_", F.expr(_windows("n_"))).select(
         "item_id", "marks_", F.size("all_").alias("windows"), F.explode_outer("all_").alias("w"))
@@ -92,20 +102,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     empty table on either side gives no rows; other columns are not read.
     """
     items = store(benchmark_windows(benchmark, window), "windows")
-    keys = items.select("hash", "n").distinct()
+    keys = items.select("hash").distinct()
     sizes = sorted(r["n"] for r in items.select("n").distinct().collect())     # `window` values at most
     few = keys.count() <= BROADCAST_ROWS
     base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
     every = F.expr("concat(" + ", ".join(_windows(str(n)) for n in sizes or [window]) + ")")
-    seen = (with_hashes(with_template(base)).select("doc_id", "digest", F.explode_outer(every).alias("w"))
-            .select("doc_id", "digest", "w.hash", "w.n"))
-    hit = store(seen.join(F.broadcast(keys) if few else keys, ["hash", "n"], "left_semi")
+    bare = F.expr("concat(" + ", ".join(_hashes(n) for n in sizes or [window]) + ")")
+    seen = with_hashes(with_template(base)).select("doc_id", "digest", F.explode_outer(bare).alias("hash"))
+    hit = store(seen.join(F.broadcast(keys) if few else keys, "hash", "left_semi")
                 .select("doc_id", "digest").distinct(), "hit")
     some = hit.count() <= BROADCAST_ROWS
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"))
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))
     mine = base.join(F.broadcast(hit) if some else hit, same, "left_semi")
-    mine = with_hashes(with_template(mine)).select("doc_id", "digest", "marks_", F.explode_outer(every).alias("w"))
+    mine = _with_marks(with_hashes(with_template(mine))).select("doc_id", "digest", "marks_", F.explode_outer(every).alias("w"))
     mine = _slots(mine).select("doc_id", "digest", "w.hash", "w.n", F.col("w.at").alias("place"), F.col("slots").alias("own"))
     pairs = mine.join(F.broadcast(items) if few else items, ["hash", "n"])
     # one alignment of one item: at most as many rows as the item has windows
