@@ -40,7 +40,7 @@ def relative_path(path, root: str) -> Column:
     """Strip ``root`` and the separator after it (``removeprefix`` + ``lstrip('/')``)."""
     r = root.rstrip("/")
     p = _c(path)
-    stripped = F.when(p.startswith(r), F.substring(p, len(r) + 1, 1 << 30)).otherwise(p)
+    stripped = F.when(p.startswith(r), F.substr(p, F.lit(len(r) + 1))).otherwise(p)
     return F.regexp_replace(stripped, "^/+", "")
 
 

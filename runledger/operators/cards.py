@@ -61,7 +61,7 @@ DATASET_CARD_SECTIONS = [
 # Sections that are headings only (their subsections carry the text).
 HEADING_ONLY = {"## Dataset Details", "## Dataset Creation", "### Source Data"}
 CROISSANT_CONTEXT = "https://mlcommons.org/croissant/1.0"
-MAX_FILE_OBJECTS = 100_000
+PART_FILES = 100_000
 
 
 # ---------------------------------------------------------------------------
@@ -181,7 +181,7 @@ def split_front_matter(cards: DataFrame, text_col: str = "text") -> DataFrame:
     found = F.length(whole) > 0
     return cards.withColumn("has_header", found) \
         .withColumn("header", F.when(found, F.regexp_extract(t, YAML_BLOCK, 2)).otherwise(F.lit(""))) \
-        .withColumn("body", F.when(found, F.substring(t, F.length(whole) + 1, 1 << 30)).otherwise(t))
+        .withColumn("body", F.when(found, F.substr(t, F.length(whole) + 1)).otherwise(t))
 
 
 def header_entries(cards: DataFrame, id_col: str = "card_id") -> DataFrame:
@@ -249,7 +249,10 @@ def dataset_card_meta(artifacts: DataFrame, nodes: DataFrame, langs: DataFrame)
     lang = langs.groupBy("node_name").agg(F.array_sort(F.collect_set("lang")).alias("language"))
     size = (F.when(F.col("n_files") < 1000, "n<1K").when(F.col("n_files") < 10_000, "1K<n<10K")
             .when(F.col("n_files") < 100_000, "10K<n<100K").when(F.col("n_files") < 1_000_000, "100K<n<1M")
-            .otherwise("n>1M"))
+            .when(F.col("n_files") < 10**7, "1M<n<10M").when(F.col("n_files") < 10**8, "10M<n<100M")
+            .when(F.col("n_files") < 10**9, "100M<n<1B").when(F.col("n_files") < 10**10, "1B<n<10B")
+            .when(F.col("n_files") < 10**11, "10B<n<100B").when(F.col("n_files") < 10**12, "100B<n<1T")
+            .otherwise("n>1T"))
     return per.join(lang, "node_name", "left").select(
         F.col("node_name").alias("card_id"), F.col("node_name").alias("pretty_name"),
         F.coalesce("language", F.array().cast("array<string>")).alias("language"),
@@ -263,47 +266,40 @@ def dataset_card_meta(artifacts: DataFrame, nodes: DataFrame, langs: DataFrame)
 
 def dataset_card_summary(artifacts: DataFrame, nodes: DataFrame) -> DataFrame:
     """A-9 flattened: per dataset the file count, bytes, and a digest of the
-    distribution (``name|sha256`` lines sorted by name)."""
-    from .fingerprint import ordered_digest
+    distribution (``name|sha256`` lines)."""
+    from .fingerprint import tree_digest
     a = artifacts.join(nodes.select(F.col("id").alias("node_id"), "node_name"), "node_id")
-    lines = a.select("node_name", "location", F.concat_ws("|", "location", "hash").alias("line"))
-    d = ordered_digest(lines, ["node_name"], "location", "line", "\n", F.substring("location", 1, 2))
+    d = tree_digest(a.select("node_name", F.concat_ws("|", "location", "hash").alias("line")), ["node_name"])
     per = a.groupBy("node_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_bytes"))
     return per.join(d, "node_name").select("node_name", "n_files", "total_bytes",
-                                           F.col("_digest").alias("distribution_digest"))
+                                           F.col("digest").alias("distribution_digest"))
 
 
 def dataset_cards(artifacts: DataFrame, nodes: DataFrame, published, description: Column | None = None,
-                  max_file_objects: int = MAX_FILE_OBJECTS) -> DataFrame:
-    """A-9 / C-5: one JSON-LD card per dataset (resource node).
-
-    Datasets with at most ``max_file_objects`` files list every file as a
-    ``FileObject`` (name, contentUrl, encodingFormat, sha256); larger ones
-    get one ``FileSet`` whose ``includes`` glob covers the node, so no card
-    row has to hold an unbounded list.  The record set is "one record per
-    file: filename, content"."""
+                  part_files: int = PART_FILES) -> DataFrame:
+    """A-9 / C-5: the JSON-LD card of each dataset (resource node), in numbered
+    parts of some ``part_files`` files each, so that no row has to hold an
+    unbounded list.
+
+    Every file is listed as a ``FileObject`` (name, contentUrl,
+    encodingFormat, sha256) in exactly one part, by a hash of its name; a card
+    of up to ``part_files`` files is part 0 alone.  The record set is "one
+    record per file: filename, content"."""
     a = artifacts.join(nodes.select(F.col("id").alias("node_id"), "node_name"), "node_id")
     sized = a.groupBy("node_name").agg(F.count(F.lit(1)).alias("n_files"))
-    small = sized.where(F.col("n_files") <= max_file_objects).select("node_name")
+    parts = F.ceil(F.col("n_files") / F.lit(part_files))
     fobj = F.struct(F.lit("cr:FileObject").alias("type"), F.col("location").alias("name"),
                     F.col("location").alias("contentUrl"), F.col("content_type").alias("encodingFormat"),
                     F.col("hash").alias("sha256"), F.lit(None).cast("string").alias("includes"))
-    listed = (a.join(small, "node_name", "left_semi").groupBy("node_name")
-              .agg(F.array_sort(F.collect_list(fobj), lambda l, r: F.when(l["name"] < r["name"], -1)
-                                .when(l["name"] > r["name"], 1).otherwise(0)).alias("distribution")))
-    big = sized.where(F.col("n_files") > max_file_objects).select(
-        "node_name", F.array(F.struct(F.lit("cr:FileSet").alias("type"), F.col("node_name").alias("name"),
-                                      F.lit(None).cast("string").alias("contentUrl"),
-                                      F.lit("text/plain").alias("encodingFormat"),
-                                      F.lit(None).cast("string").alias("sha256"),
-                                      F.lit("**").alias("includes"))).alias("distribution"))
-    dist = listed.unionByName(big)
+    dist = (a.join(sized, "node_name").groupBy("node_name", F.pmod(F.xxhash64("location"), parts).cast("int").alias("part"))
+            .agg(F.array_sort(F.collect_list(fobj), lambda l, r: F.when(l["name"] < r["name"], -1)
+                              .when(l["name"] > r["name"], 1).otherwise(0)).alias("distribution")))
     record_set = F.array(F.struct(
         F.lit("cr:RecordSet").alias("type"), F.lit("files").alias("name"),
         F.array(F.struct(F.lit("filename").alias("name"), F.lit("sc:Text").alias("dataType")),
                 F.struct(F.lit("content").alias("name"), F.lit("sc:Text").alias("dataType"))).alias("field")))
     return dist.select(
-        F.col("node_name").alias("name"),
+        F.col("node_name").alias("name"), "part",
         (description if description is not None else F.concat(F.lit("Files of "), "node_name")).alias("description"),
         F.lit(None).cast("string").alias("license"), F.lit(None).cast("string").alias("url"),
         F.lit(CROISSANT_CONTEXT).alias("conformsTo"),
@@ -323,10 +319,10 @@ def card_distribution(cards: DataFrame) -> DataFrame:
 
 
 def card_record_fields(cards: DataFrame) -> DataFrame:
-    """C-7: record set x field."""
+    """C-7: record set x field; the parts of one card have the same ones."""
     r = cards.select(F.col("name").alias("dataset"), F.explode("recordSet").alias("r"))
     return r.select("dataset", F.col("r.name").alias("record_set"), F.explode("r.field").alias("f")) \
-        .select("dataset", "record_set", F.col("f.name").alias("field"), F.col("f.dataType").alias("data_type"))
+        .select("dataset", "record_set", F.col("f.name").alias("field"), F.col("f.dataType").alias("data_type")).distinct()
 
 
 def unique_tags(cards: DataFrame, col: str = "tags") -> DataFrame:
@@ -346,8 +342,8 @@ JSONLD_SCHEMA = (
 
 
 def card_to_jsonld(cards: DataFrame) -> DataFrame:
-    """K-18: one JSON-LD document per card (``name``, ``json``); NULL fields
-    are left out by ``to_json``."""
+    """K-18: one JSON-LD document per card part (``name``, ``part``, ``json``);
+    NULL fields are left out by ``to_json``."""
     dist = F.transform("distribution", lambda d: F.struct(
         d["type"].alias("@type"), d["name"].alias("name"), d["contentUrl"].alias("contentUrl"),
         d["encodingFormat"].alias("encodingFormat"), d["sha256"].alias("sha256"), d["includes"].alias("includes")))
@@ -357,7 +353,7 @@ def card_to_jsonld(cards: DataFrame) -> DataFrame:
                                                    f["dataType"].alias("dataType"))).alias("field")))
     doc = F.struct(F.lit("sc:Dataset").alias("@type"), "name", "description", "license", "url", "conformsTo",
                    "datePublished", dist.alias("distribution"), recs.alias("recordSet"))
-    return cards.select("name", F.to_json(doc).alias("json"))
+    return cards.select("name", "part", F.to_json(doc).alias("json"))
 
 
 def write_cards(cards: DataFrame, root: str, ext: str = ".md", overwrite: bool = True) -> int:

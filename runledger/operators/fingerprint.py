@@ -1,18 +1,11 @@
 """Run fingerprints (A-2, A-3, A-4) and content hashes (N-1).
 
-The reference fingerprint of a run is SHA-256 over the *sorted
-concatenation* of its artifact hashes plus a metadata hash.  SHA-256 is not
-mergeable, so the flat value needs one group's lines in one place.  We keep
-that exact flat value for every group up to ``max_flat`` lines (a group of
-10^6 SHA-256 hex strings is ~64 MB) and switch larger groups to a two-level
-(Merkle) digest: lines are split into deterministic leaves (a hash prefix or an
-id range, so leaves follow the sort order), each
-leaf is hashed flat, and the root hashes the leaf digests in leaf order.  The
-``*_scheme`` column says which form a row carries.  Which groups are large is
-decided by a key-only count first; that key list is at most
-``rows / max_flat`` long, which is the proven bound that lets it come to the
-driver and go back into the plan as a filter.  When it is empty (the usual
-case) the plan is a single aggregation.
+SHA-256 does not merge, so a flat digest of a run's sorted lines needs all of
+them in one place.  Every digest here is a two-level one instead, at every
+size: equal lines are counted first (repeats of one file are one line), the
+distinct lines are dealt to leaves by the first digits of their own hash, each
+leaf digests its sorted lines with their counts, and the root digests the leaf
+digests in leaf order.  A leaf of a run with 10^8 lines holds some 24,000.
 """
 
 from __future__ import annotations
@@ -20,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_FLAT = 1_000_000
+LEAF_DIGITS = 3
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -29,66 +22,39 @@ def content_hash(col) -> Column:
     return F.sha2(col if isinstance(col, Column) else F.col(col), 256)
 
 
-def _flat(df: DataFrame, keys: list[str], order_col: str, line_col: str, sep: str) -> DataFrame:
-    if order_col == line_col:
-        lines = F.array_sort(F.collect_list(line_col))
-    else:
-        lines = F.transform(F.array_sort(F.collect_list(F.struct(order_col, line_col))),
-                            lambda x: x[line_col])
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(lines, sep), 256).alias("_digest"))
+def tree_digest(lines: DataFrame, keys: list[str], line_col: str = "line") -> DataFrame:
+    """Per group of ``keys``: the two-level digest of the multiset of lines.
 
+    Returns ``keys + [digest]``.  A null line counts as an empty one."""
+    line = F.coalesce(F.col(line_col), F.lit(""))
+    counted = lines.groupBy(*keys, line.alias("_line")).agg(F.count(F.lit(1)).alias("_n"))
+    leaves = counted.groupBy(*keys, F.substring(F.sha2("_line", 256), 1, LEAF_DIGITS).alias("_leaf")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("_line", F.lit("*"), F.col("_n").cast("string")))), "\n"), 256)
+        .alias("_d"))
+    ordered = F.array_sort(F.collect_list(F.struct("_leaf", "_d")))
+    return leaves.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["_d"]), ""), 256).alias("digest"))
 
-def big_groups(df: DataFrame, keys: list[str], max_flat: int) -> list[tuple]:
-    """Keys of the groups with more than ``max_flat`` rows.
 
-    One count aggregation over the key columns only; the list comes to the
-    driver, and it can hold at most ``rows / max_flat`` keys."""
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_flat)
-    return [tuple(r[k] for k in keys) for r in sized.select(*keys).collect()]
-
-
-def _in_keys(keys: list[str], values: list[tuple]) -> Column:
-    cond = None
-    for v in values:
-        c = None
-        for k, x in zip(keys, v):
-            e = F.col(k).eqNullSafe(F.lit(x))
-            c = e if c is None else (c & e)
-        cond = c if cond is None else (cond | c)
-    return cond if cond is not None else F.lit(False)
-
-
-def ordered_digest(df: DataFrame, keys: list[str], order_col: str, line_col: str, sep: str,
-                   leaf_of: Column, max_flat: int = MAX_FLAT) -> DataFrame:
-    """Per group: SHA-256 of ``line_col`` joined by ``sep`` in ``order_col`` order.
-
-    Returns ``keys + [_digest, _scheme]``.  ``leaf_of`` must be monotone in
-    ``order_col`` (a prefix of the sort key, or a range of ids) so the Merkle
-    form still follows the sort order.  When no group is large - the usual
-    case - the plan is a single aggregation."""
-    big = big_groups(df, keys, max_flat) if max_flat > 0 else None
-    if big == []:
-        return _flat(df, keys, order_col, line_col, sep).withColumn("_scheme", F.lit("flat"))
-    is_big = _in_keys(keys, big) if big is not None else F.lit(True)
-    flat = _flat(df.where(~is_big), keys, order_col, line_col, sep).withColumn("_scheme", F.lit("flat"))
-    leaves = _flat(df.where(is_big).withColumn("_leaf", leaf_of), [*keys, "_leaf"], order_col, line_col, sep)
-    root = leaves.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_leaf", "_digest"))), lambda x: x["_digest"]), ""), 256)
-        .alias("_digest")).withColumn("_scheme", F.lit("merkle"))
-    return flat.unionByName(root)
+def tree_digest_sql(lines: str, keys: str) -> str:
+    """The same digest in DuckDB SQL, as a subquery over ``lines`` (keys, line)."""
+    return f"""(SELECT {keys}, sha256(string_agg(d, '' ORDER BY leaf)) AS digest FROM (
+        SELECT {keys}, left(sha256(line), {LEAF_DIGITS}) AS leaf,
+               sha256(string_agg(line || '*' || n, chr(10) ORDER BY line || '*' || n)) AS d
+        FROM (SELECT {keys}, coalesce(line, '') AS line, CAST(count(*) AS VARCHAR) AS n FROM {lines} GROUP BY ALL) GROUP BY ALL)
+      GROUP BY ALL)"""
 
 
 # A-2 -----------------------------------------------------------------------
-def artifact_fingerprint(artifacts: DataFrame, max_flat: int = MAX_FLAT) -> DataFrame:
-    """Per run: SHA-256 of the run's artifact hashes, sorted and concatenated.
+def artifact_lines(artifacts: DataFrame) -> DataFrame:
+    """The hashes of the artifacts each run touched: ``run_id`` is the run and
+    the state is past ``new`` (using, used, produced, unused)."""
+    return artifacts.where(F.col("run_id").isNotNull() & (F.col("state") != "new")).select(
+        "run_id", F.col("hash").alias("line"))
 
-    The artifacts counted are those the run touched: ``run_id`` is the run
-    and the state is past ``new`` (using, used, produced, unused)."""
-    a = artifacts.where(F.col("run_id").isNotNull() & (F.col("state") != "new")) \
-        .select("run_id", "hash")
-    d = ordered_digest(a, ["run_id"], "hash", "hash", "", F.substring("hash", 1, 3), max_flat)
-    return d.select("run_id", F.col("_digest").alias("artifact_hash"),
-                    F.col("_scheme").alias("artifact_scheme"))
+
+def artifact_fingerprint(artifacts: DataFrame) -> DataFrame:
+    """Per run: the digest of its artifacts' hashes, in any order."""
+    return tree_digest(artifact_lines(artifacts), ["run_id"]).withColumnRenamed("digest", "artifact_hash")
 
 
 # A-3 -----------------------------------------------------------------------
@@ -96,93 +62,60 @@ def _decimal_text(c) -> Column:
     return F.col(c).cast("decimal(18,6)").cast("string")
 
 
+def _lines(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.where(F.col("run_id").isNotNull()).select("run_id", F.concat_ws(
+        "|", F.col("id").cast("string"), F.coalesce(name, F.lit("")), F.coalesce(value, F.lit(""))).alias("line"))
+
+
 def metric_lines(metrics: DataFrame) -> DataFrame:
-    return metrics.select("run_id", "id", F.concat_ws(
-        "|", F.col("id").cast("string"), F.coalesce("metric_name", F.lit("")),
-        F.coalesce(_decimal_text("metric_value"), F.lit(""))).alias("line"))
+    return _lines(metrics, "metric_name", _decimal_text("metric_value"))
 
 
 def param_lines(params: DataFrame) -> DataFrame:
-    return params.select("run_id", "id", F.concat_ws(
-        "|", F.col("id").cast("string"), F.coalesce("param_name", F.lit("")),
-        F.coalesce("param_value", F.lit(""))).alias("line"))
+    return _lines(params, "param_name", F.col("param_value"))
 
 
 def tag_lines(tags: DataFrame) -> DataFrame:
-    return tags.select("run_id", "id", F.concat_ws(
-        "|", F.col("id").cast("string"), F.coalesce("tag_name", F.lit("")),
-        F.coalesce("tag_value", F.lit(""))).alias("line"))
+    return _lines(tags, "tag_name", F.col("tag_value"))
+
+
+PARTS = ("metrics", "params", "tags")
 
 
 def _metadata_lines(metrics: DataFrame, params: DataFrame, tags: DataFrame) -> DataFrame:
-    parts = [("metrics", metric_lines(metrics)), ("params", param_lines(params)), ("tags", tag_lines(tags))]
-    u = None
-    for name, df in parts:
-        d = df.where(F.col("run_id").isNotNull()).withColumn("part", F.lit(name))
-        u = d if u is None else u.unionByName(d)
-    return u
+    m, p, t = (df.withColumn("part", F.lit(name)) for name, df in
+               zip(PARTS, (metric_lines(metrics), param_lines(params), tag_lines(tags))))
+    return m.unionByName(p).unionByName(t)
 
 
-def _pivot_parts(d: DataFrame, runs: DataFrame) -> DataFrame:
-    per_run = d.groupBy("run_id").agg(
-        *[F.max(F.when(F.col("part") == p, F.col("_digest"))).alias(f"{p}_hash") for p in ("metrics", "params", "tags")])
+def _run_digests(digests: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per run: each part's digest (the empty text's where the run has
+    no such lines) and the metadata hash over the three parts."""
+    per_run = digests.groupBy("run_id").agg(*[
+        F.max(F.when(F.col("part") == p, F.col("digest"))).alias(f"{p}_hash") for p in (*PARTS, "artifacts")])
     e = F.lit(EMPTY_SHA256)
-    mh, ph, th = (F.coalesce(F.col(f"{p}_hash"), e) for p in ("metrics", "params", "tags"))
-    return (runs.select("run_id").join(per_run, "run_id", "left")
-            .select("run_id", mh.alias("metrics_hash"), ph.alias("params_hash"), th.alias("tags_hash"),
-                    F.sha2(F.concat(mh, ph, th), 256).alias("metadata_hash")))
+    j = runs.select("run_id").join(per_run, "run_id", "left")
+    j = j.select("run_id", *[F.coalesce(f"{p}_hash", e).alias(f"{p}_hash") for p in (*PARTS, "artifacts")])
+    return j.withColumn("metadata_hash", F.sha2(F.concat(*[f"{p}_hash" for p in PARTS]), 256))
 
 
-def run_metadata_hash(runs: DataFrame, metrics: DataFrame, params: DataFrame, tags: DataFrame,
-                      max_flat: int = MAX_FLAT) -> DataFrame:
+def run_metadata_hash(runs: DataFrame, metrics: DataFrame, params: DataFrame, tags: DataFrame) -> DataFrame:
     """Per run: SHA-256(metrics digest + params digest + tags digest).
 
-    Each part digests the run's records sorted by id, one canonical line per
-    record (``id|name|value``, metric values as DECIMAL(18,6) text); a run
-    with no records of a kind uses the SHA-256 of the empty string.  The
-    three parts are one union and one aggregation keyed by (part, run)."""
-    lines = _metadata_lines(metrics, params, tags)
-    d = ordered_digest(lines, ["part", "run_id"], "id", "line", "\n",
-                       F.floor(F.col("id") / F.lit(max(1, max_flat // 16))), max_flat)
-    return _pivot_parts(d, runs)
+    One canonical line per record (``id|name|value``, metric values as
+    DECIMAL(18,6) text); a run with no records of a kind uses the SHA-256 of
+    the empty string.  The three parts are one union and one digest keyed by
+    (part, run)."""
+    d = tree_digest(_metadata_lines(metrics, params, tags), ["part", "run_id"])
+    return _run_digests(d, runs).drop("artifacts_hash")
 
 
 # A-4 -----------------------------------------------------------------------
 def run_hash(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame, params: DataFrame,
-             tags: DataFrame, max_flat: int = MAX_FLAT) -> DataFrame:
-    """Per run: SHA-256(sorted artifact hash concatenation + metadata hash).
-
-    The artifact part is the concatenation itself (not its digest), as in
-    the reference; past ``max_flat`` artifacts the Merkle digest stands in.
-    Artifact hashes and metadata lines go through one size check and one
-    aggregation keyed by (part, run)."""
-    art = (artifacts.where(F.col("run_id").isNotNull() & (F.col("state") != "new"))
-           .select("run_id", F.lit(0).cast("long").alias("id"), F.col("hash").alias("line"),
-                   F.lit("artifacts").alias("part")))
-    lines = _metadata_lines(metrics, params, tags).unionByName(art)
-    keys = ["part", "run_id"]
-    big = big_groups(lines, keys, max_flat)
-    is_art = F.col("part") == "artifacts"
-
-    def flat(df):
-        sorted_lines = F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
-        return df.groupBy(*keys).agg(sorted_lines.alias("_lines")).select(
-            *keys, F.when(is_art, F.array_join("_lines", ""))
-            .otherwise(F.sha2(F.array_join("_lines", "\n"), 256)).alias("_digest"))
-
-    if not big:
-        d = flat(lines)
-    else:
-        cond = _in_keys(keys, big)
-        small = flat(lines.where(~cond))
-        big_rows = lines.where(cond)
-        leaf = F.when(is_art, F.substring("line", 1, 3).cast("string")) \
-            .otherwise(F.floor(F.col("id") / F.lit(max(1, max_flat // 16))).cast("string"))
-        merkle = ordered_digest(big_rows.withColumn("_o", F.struct("id", "line")), keys, "_o", "line",
-                                "", leaf, max_flat=0).select(*keys, "_digest")
-        d = small.unionByName(merkle)
-    meta = _pivot_parts(d.where(~is_art), runs)
-    cat = d.where(is_art).select("run_id", F.col("_digest").alias("_cat"))
-    return (meta.join(cat, "run_id", "left")
-            .select("run_id", "metadata_hash",
-                    F.sha2(F.concat(F.coalesce("_cat", F.lit("")), "metadata_hash"), 256).alias("run_hash")))
+             tags: DataFrame) -> DataFrame:
+    """Per run: SHA-256(artifact digest + metadata hash).  Artifact hashes and
+    metadata lines go through one digest keyed by (part, run)."""
+    lines = _metadata_lines(metrics, params, tags).unionByName(
+        artifact_lines(artifacts).withColumn("part", F.lit("artifacts")))
+    return _run_digests(tree_digest(lines, ["part", "run_id"]), runs).select(
+        "run_id", "metadata_hash", F.sha2(F.concat("artifacts_hash", "metadata_hash"), 256).alias("run_hash"))

@@ -10,6 +10,8 @@ rounds, so a lost executor never forces a replay from round 0.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from .. import schemas as S
 from ..session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 3
-MAX_ROUNDS = 10_000
+PART_DIGITS = 2
 
 
 def _cut(df: DataFrame, rnd: int) -> DataFrame:
@@ -41,27 +43,25 @@ def edges_from_predecessors(descriptors: DataFrame) -> DataFrame:
 
 
 # G-6 -----------------------------------------------------------------------
-def neighbour_lists(edges: DataFrame, max_list: int = 10_000) -> DataFrame:
-    """Sorted predecessor and successor lists per node.
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """Predecessors and successors of each node, in sorted parts.
 
-    A node with more than ``max_list`` neighbours in one direction gets its
-    list split into ``ceil(degree / max_list)`` chunks by a hash of the
-    neighbour name (each chunk sorted), so no single row or task has to hold
-    an unbounded list."""
+    A part is the first digits of the MD5 of the neighbour's name, at every
+    degree, so no row or task has to hold all neighbours of a hub; ``degree``
+    counts the node's neighbours over all parts."""
     both = (edges.select(F.col("dst").alias("node_name"), F.lit("in").alias("direction"),
                          F.col("src").alias("nb"))
             .unionByName(edges.select(F.col("src").alias("node_name"), F.lit("out").alias("direction"),
                                       F.col("dst").alias("nb"))))
-    deg = both.groupBy("node_name", "direction").agg(F.count(F.lit(1)).alias("degree"))
-    nchunks = F.greatest(F.lit(1), F.ceil(F.col("degree") / F.lit(max_list)))
-    tagged = both.join(deg, ["node_name", "direction"]).withColumn(
-        "chunk", F.pmod(F.xxhash64("nb"), nchunks).cast("long"))
-    return (tagged.groupBy("node_name", "direction", "chunk", "degree")
-            .agg(F.array_sort(F.collect_list("nb")).alias("neighbours")))
+    parts = both.groupBy("node_name", "direction", F.substring(F.md5("nb"), 1, PART_DIGITS).alias("part")).agg(
+        F.array_sort(F.collect_list("nb")).alias("neighbours"))
+    # summed over parts, a bounded number of rows per node
+    degrees = parts.groupBy("node_name", "direction").agg(F.sum(F.size("neighbours").cast("long")).alias("degree"))
+    return parts.join(degrees, ["node_name", "direction"])
 
 
 # G-2 / G-5 -------------------------------------------------------------------
-def peel(nodes: DataFrame | None, edges: DataFrame, max_rounds: int = MAX_ROUNDS):
+def peel(nodes: DataFrame | None, edges: DataFrame):
     """Kahn-style peeling.  Returns (levels, remaining): ``levels`` has every
     node removed at round k with ``level = k`` (its longest path from a
     source); ``remaining`` holds the nodes that sit on or behind a cycle."""
@@ -70,7 +70,7 @@ def peel(nodes: DataFrame | None, edges: DataFrame, max_rounds: int = MAX_ROUNDS
     e = edges.select("src", "dst").distinct().checkpoint(eager=True)
     remaining = all_nodes(nodes, e).checkpoint(eager=True)
     removed_parts = []
-    for rnd in range(max_rounds):
+    for rnd in itertools.count():
         # nodes with no incoming edge among what is left.  Checkpointed (not
         # cached): it is tested and then used twice, and as a plan leaf it
         # keeps the next round's plan from embedding this round's twice.
@@ -133,17 +133,19 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # G-7 -----------------------------------------------------------------------
-def downstream(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything reachable from each seed, with the fewest hops.
 
     Frontier expansion: join the frontier to the edges, drop what each seed
-    has already visited (anti join on (seed, node)), repeat until empty."""
+    has already visited (anti join on (seed, node)), repeat until empty.
+    The result is seeds times what each reaches: pass the seeds that are asked
+    for, not the node table."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("src", "dst").distinct().checkpoint(eager=True)     # read by every round
     frontier = seeds.select(F.col("node_name").alias("seed"), F.col("node_name").alias("node"),
                             F.lit(0).cast("long").alias("depth")).distinct()
     visited = frontier
-    for rnd in range(1, max_rounds):
+    for rnd in itertools.count(1):
         nxt = (frontier.join(e, frontier.node == e.src)
                .select("seed", F.col("dst").alias("node"))
                .distinct()

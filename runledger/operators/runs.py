@@ -122,8 +122,11 @@ def current_run(runs: DataFrame) -> DataFrame:
 # K-14 ----------------------------------------------------------------------
 def close_runs(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame, params: DataFrame,
                tags: DataFrame, end_time) -> DataFrame:
-    """Close every open run: set ``end_time`` and the run hash."""
+    """Close every open run: set ``end_time`` and the run hash.  Only the open
+    runs' records are read on: history is not digested again."""
     open_runs = runs.where(F.col("end_time").isNull())
+    ids = open_runs.select("run_id")
+    artifacts, metrics, params, tags = (df.join(ids, "run_id", "left_semi") for df in (artifacts, metrics, params, tags))
     h = run_hash(open_runs, artifacts, metrics, params, tags).select("run_id", F.col("run_hash").alias("_h"))
     return (runs.join(h, "run_id", "left")
             .select("run_id", "start_time",

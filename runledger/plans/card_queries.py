@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import cards as CD
+from ..operators import fingerprint as FP
 from ..sources import fixtures as X
 from ..sources.tables import load
 from .registry import query
@@ -173,12 +174,12 @@ def q_card_roundtrip(spark, sf):
 
 @query("unique_tags", """
     WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos
-               FROM (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS ws FROM documents)),
+               FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)),
     f AS (SELECT doc_id, word, min(pos) AS pos FROM w GROUP BY ALL)
     SELECT doc_id, string_agg(word, ',' ORDER BY pos) AS tags FROM f GROUP BY doc_id""")
 def q_unique_tags(spark, sf):
     d = load(spark, sf, "documents").select(
-        "doc_id", F.split(F.element_at(F.split("text", "\n"), 1), " ").alias("tags"))
+        "doc_id", F.split("text", " ").alias("tags"))
     return CD.unique_tags(d).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
@@ -211,8 +212,10 @@ def q_model_registry_view(spark, sf):
 
 @query("dataset_card_build", W("""
     SELECT n.node_name, count(*) AS n_files, CAST(sum(a.size) AS BIGINT) AS total_bytes,
-           sha256(string_agg(a.location || '|' || a.hash, chr(10) ORDER BY a.location)) AS distribution_digest
-    FROM artifacts a JOIN nodes n ON a.node_id = n.id GROUP BY n.node_name""", "artifacts"))
+           any_value(d.digest) AS distribution_digest
+    FROM artifacts a JOIN nodes n ON a.node_id = n.id JOIN """ + FP.tree_digest_sql(
+    "(SELECT n.node_name, a.location || '|' || a.hash AS line FROM artifacts a JOIN nodes n ON a.node_id = n.id)", "node_name")
+    + " d USING (node_name) GROUP BY n.node_name", "artifacts"))
 def q_dataset_card_build(spark, sf):
     return CD.dataset_card_summary(X.artifacts(spark, sf), X.nodes(spark, sf))
 

@@ -85,10 +85,9 @@ def q_transfer_audit(spark, sf):
 
 
 @query("object_listing", f"""
-    SELECT source || '/' || {_LOC} AS key, CAST(strlen(text) AS BIGINT) AS size FROM documents
-    ORDER BY key LIMIT 100""")
+    SELECT source || '/' || {_LOC} AS key, CAST(strlen(text) AS BIGINT) AS size FROM documents""")
 def q_object_listing(spark, sf):
-    return FS.object_listing(spark, ST.document_tree(spark, sf), cap=100)
+    return FS.object_listing(spark, ST.document_tree(spark, sf))
 
 
 @query("artifact_text", f"SELECT source AS node_name, {_LOC} AS location, text AS content FROM documents")
@@ -103,12 +102,12 @@ def q_artifact_text(spark, sf):
 def q_dataset_cards(spark, sf):
     # build JSON-LD cards, write one file per card, read them back
     cards = CD.dataset_cards(X.artifacts(spark, sf), X.nodes(spark, sf), "2024-02-01")
-    docs = CD.card_to_jsonld(cards).select(F.col("name").alias("card_id"), F.col("json").alias("text"))
+    docs = CD.card_to_jsonld(cards).select(F.concat_ws("-", "name", "part").alias("card_id"), F.col("json").alias("text"))
     root = fresh_scratch(spark, "dataset-cards")
     CD.write_cards(docs, root, ext=".jsonld")
     back = CD.card_from_jsonld(FS.read_dataset_cards(spark, root, CD.JSONLD_SCHEMA))
-    return back.select("name", F.size("distribution").cast("long").alias("n_distribution"), "conformsTo",
-                       "datePublished")
+    return back.groupBy("name", "conformsTo", "datePublished").agg(
+        F.sum(F.size("distribution").cast("long")).alias("n_distribution"))
 
 
 @query("card_files_front_matter", W("WITH " + _META_SQL + ",\n " + _SPLIT_SQL + " SELECT * FROM ent", "artifacts"))

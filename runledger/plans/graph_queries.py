@@ -25,11 +25,11 @@ def q_dag_edges(spark, sf):
 
 
 @query("dag_neighbours", W("""
-    SELECT node_name, direction, CAST(0 AS BIGINT) AS chunk, count(*) AS degree,
+    SELECT node_name, direction, part, CAST(sum(count(*)) OVER (PARTITION BY node_name, direction) AS BIGINT) AS degree,
            string_agg(nb, ',' ORDER BY nb) AS neighbours
-    FROM (SELECT dst AS node_name, 'in' AS direction, src AS nb FROM graph_edges
-          UNION ALL SELECT src, 'out', dst FROM graph_edges)
-    GROUP BY ALL""", "graph_edges"))
+    FROM (SELECT *, left(md5(nb), 2) AS part FROM (SELECT dst AS node_name, 'in' AS direction, src AS nb FROM graph_edges
+          UNION ALL SELECT src, 'out', dst FROM graph_edges))
+    GROUP BY node_name, direction, part""", "graph_edges"))
 def q_dag_neighbours(spark, sf):
     return G.neighbour_lists(X.graph_edges(spark, sf)).withColumn(
         "neighbours", F.array_join("neighbours", ","))

@@ -17,25 +17,23 @@ W = X.with_fixtures
 CLOSE_AT = "2024-02-01 00:00:00"
 
 # DuckDB pieces shared by the fingerprint oracles -----------------------------
-_ART_CAT = """art AS (SELECT run_id, string_agg(hash, '' ORDER BY hash) AS cat
-                 FROM artifacts WHERE run_id IS NOT NULL AND state <> 'new' GROUP BY run_id)"""
-_META = """ml AS (SELECT run_id, id, CAST(id AS VARCHAR) || '|' || coalesce(metric_name, '') || '|' ||
-                    coalesce(CAST(CAST(metric_value AS DECIMAL(18,6)) AS VARCHAR), '') AS line FROM metrics),
- pl AS (SELECT run_id, id, CAST(id AS VARCHAR) || '|' || coalesce(param_name, '') || '|' ||
-                    coalesce(param_value, '') AS line FROM params),
- tl AS (SELECT run_id, id, CAST(id AS VARCHAR) || '|' || coalesce(tag_name, '') || '|' ||
-                    coalesce(tag_value, '') AS line FROM tags),
- mh AS (SELECT run_id, sha256(string_agg(line, chr(10) ORDER BY id, line)) AS h FROM ml
-        WHERE run_id IS NOT NULL GROUP BY run_id),
- ph AS (SELECT run_id, sha256(string_agg(line, chr(10) ORDER BY id, line)) AS h FROM pl
-        WHERE run_id IS NOT NULL GROUP BY run_id),
- th AS (SELECT run_id, sha256(string_agg(line, chr(10) ORDER BY id, line)) AS h FROM tl
-        WHERE run_id IS NOT NULL GROUP BY run_id),
- meta AS (SELECT r.run_id, coalesce(mh.h, sha256('')) AS metrics_hash, coalesce(ph.h, sha256('')) AS params_hash,
-                 coalesce(th.h, sha256('')) AS tags_hash,
-                 sha256(coalesce(mh.h, sha256('')) || coalesce(ph.h, sha256('')) || coalesce(th.h, sha256('')))
+_ART_CAT = f"""al AS (SELECT run_id, hash AS line FROM artifacts WHERE run_id IS NOT NULL AND state <> 'new'),
+ art AS {FP.tree_digest_sql("al", "run_id")}"""
+_META = f"""ml AS (SELECT run_id, CAST(id AS VARCHAR) || '|' || coalesce(metric_name, '') || '|' ||
+                    coalesce(CAST(CAST(metric_value AS DECIMAL(18,6)) AS VARCHAR), '') AS line FROM metrics
+        WHERE run_id IS NOT NULL),
+ pl AS (SELECT run_id, CAST(id AS VARCHAR) || '|' || coalesce(param_name, '') || '|' ||
+                    coalesce(param_value, '') AS line FROM params WHERE run_id IS NOT NULL),
+ tl AS (SELECT run_id, CAST(id AS VARCHAR) || '|' || coalesce(tag_name, '') || '|' ||
+                    coalesce(tag_value, '') AS line FROM tags WHERE run_id IS NOT NULL),
+ mh AS {FP.tree_digest_sql("ml", "run_id")},
+ ph AS {FP.tree_digest_sql("pl", "run_id")},
+ th AS {FP.tree_digest_sql("tl", "run_id")},
+ meta AS (SELECT r.run_id, coalesce(mh.digest, sha256('')) AS metrics_hash,
+                 coalesce(ph.digest, sha256('')) AS params_hash, coalesce(th.digest, sha256('')) AS tags_hash,
+                 sha256(coalesce(mh.digest, sha256('')) || coalesce(ph.digest, sha256('')) || coalesce(th.digest, sha256('')))
                    AS metadata_hash
-          FROM {runs} r LEFT JOIN mh USING (run_id) LEFT JOIN ph USING (run_id) LEFT JOIN th USING (run_id))"""
+          FROM {{runs}} r LEFT JOIN mh USING (run_id) LEFT JOIN ph USING (run_id) LEFT JOIN th USING (run_id))"""
 _FIX = ("runs", "artifacts", "metrics", "params", "tags")
 
 
@@ -131,9 +129,7 @@ def q_current_run(spark, sf):
     return R.current_run(X.runs(spark, sf))
 
 
-@query("artifact_fingerprint", W("""
-    SELECT run_id, sha256(string_agg(hash, '' ORDER BY hash)) AS artifact_hash, 'flat' AS artifact_scheme
-    FROM artifacts WHERE run_id IS NOT NULL AND state <> 'new' GROUP BY run_id""", "artifacts"))
+@query("artifact_fingerprint", W("WITH " + _ART_CAT + " SELECT run_id, digest AS artifact_hash FROM art", "artifacts"))
 def q_artifact_fingerprint(spark, sf):
     return FP.artifact_fingerprint(X.artifacts(spark, sf))
 
@@ -147,7 +143,7 @@ def q_run_metadata_hash(spark, sf):
 
 
 _RUN_HASH_SQL = ("WITH " + _ART_CAT + ",\n " + _META.format(runs="{runs}") + """,
- rh AS (SELECT meta.run_id, meta.metadata_hash, sha256(coalesce(art.cat, '') || meta.metadata_hash) AS run_hash
+ rh AS (SELECT meta.run_id, meta.metadata_hash, sha256(coalesce(art.digest, sha256('')) || meta.metadata_hash) AS run_hash
         FROM meta LEFT JOIN art USING (run_id))""")
 
 

@@ -9,7 +9,6 @@ missing (tests, local runs) do we create one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,9 +25,6 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # listing a micro-batch's (or a folder's) files: a distributed job of at
-    # most this many tasks instead of Spark's 10000
-    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # artifact trees hold many small files: pack more of them per task
     "spark.sql.files.openCostInBytes": str(1 << 20),
 }
@@ -81,7 +77,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return (sc.getCheckpointDir() if sc is not None else None) or current
-    # Unset: this is a test or a laptop run.  A per-run folder under /tmp.
+    # Unset: fine for a test or a laptop run, which gets a folder under /tmp.
+    # Executors of a cluster would each write to a disk of their own.
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="runledger-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
@@ -98,15 +98,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 def fresh_scratch(spark: SparkSession, name: str) -> str:
     """A new, unique scratch folder for one job (stream checkpoints, outputs)."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def to_local_fs(path: str) -> str | None:
-    """Local filesystem path for a ``file:`` or bare path, else None."""
-    if path.startswith("file:"):
-        p = path[len("file:"):]
-        while p.startswith("//"):
-            p = p[1:]
-        return p
-    if "://" in path:
-        return None
-    return os.path.abspath(path)

@@ -150,12 +150,17 @@ def transfer_audit(source: DataFrame, target: DataFrame) -> DataFrame:
     return j.select("location", "source_hash", "target_hash", status.alias("status"))
 
 
-def object_listing(spark: SparkSession, root: str, cap: int = 100) -> DataFrame:
-    """S-4: one listing pass of an object store: the first ``cap`` keys in key
-    order, key and size only (content pruned).  Planned as a per-partition
-    top-k followed by a merge, never a full sort."""
-    return (list_files(spark, root, node_level=False)
-            .select(F.col("location").alias("key"), "size").orderBy("key").limit(cap))
+def object_listing(spark: SparkSession, root: str, page: int | None = None,
+                   start_after: str | None = None) -> DataFrame:
+    """S-4: the keys and sizes of an object store (content pruned).
+
+    All keys; with ``page``, the first that many in key order after
+    ``start_after`` (a per-partition top-k and a merge), so that pages follow
+    one another until one comes back short."""
+    keys = list_files(spark, root, node_level=False).select(F.col("location").alias("key"), "size")
+    if start_after is not None:
+        keys = keys.where(F.col("key") > F.lit(start_after))
+    return keys if page is None else keys.orderBy("key").limit(page)
 
 
 def artifact_text(spark: SparkSession, root: str) -> DataFrame:

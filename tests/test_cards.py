@@ -86,14 +86,16 @@ def test_render_uses_placeholder(spark):
     assert "- **License:** mit" in text and "# Dataset Card for My Text Classification Dataset" in text
 
 
-def test_dataset_cards_fileset_past_bound(spark):
+def test_dataset_cards_list_all_files_in_parts(spark):
     nodes = spark.createDataFrame([(1, "ds")], "id long, node_name string")
-    arts = spark.createDataFrame([(i, 1, f"f{i}.txt", "text/plain", f"h{i}") for i in range(5)],
+    arts = spark.createDataFrame([(i, 1, f"f{i:03d}.txt", "text/plain", f"h{i}") for i in range(50)],
                                  "id long, node_id long, location string, content_type string, hash string")
-    small = CD.card_distribution(CD.dataset_cards(arts, nodes, "2024-02-01")).collect()
-    assert sorted(r.name for r in small) == [f"f{i}.txt" for i in range(5)]
-    big = CD.card_distribution(CD.dataset_cards(arts, nodes, "2024-02-01", max_file_objects=3)).collect()
-    assert [(r.type, r.includes) for r in big] == [("cr:FileSet", "**")]
+    small, big = (CD.dataset_cards(arts, nodes, "2024-02-01", **kw) for kw in ({}, {"part_files": 7}))
+    assert small.count() == 1 and big.count() > 1
+    for cards in (small, big):
+        got = CD.card_distribution(cards).collect()
+        assert sorted((r.name, r.type, r.sha256) for r in got) == [(f"f{i:03d}.txt", "cr:FileObject", f"h{i}") for i in range(50)]
+        assert CD.card_record_fields(cards).count() == 2
 
 
 def test_unique_tags_keep_first_seen_order(spark):

@@ -74,10 +74,14 @@ def test_transfer_audit(spark, tmp):
                    "n/extra.txt": "extra"}
 
 
-def test_object_listing_cap_in_key_order(spark, tmp):
-    _make_tree(tmp, n=10)
-    got = [r.key for r in FS.object_listing(spark, tmp, cap=3).collect()]
-    assert got == ["data_store/test_file0.txt", "data_store/test_file1.txt", "data_store/test_file2.txt"]
+def test_object_listing_whole_and_in_pages(spark, tmp):
+    _make_tree(tmp, n=120)
+    whole = sorted(r.key for r in FS.object_listing(spark, tmp).collect())
+    assert len(whole) >= 120
+    paged, last = [], None
+    while page := [r.key for r in FS.object_listing(spark, tmp, page=50, start_after=last).collect()]:
+        paged, last = paged + page, page[-1]
+    assert paged == whole
 
 
 def test_artifact_text_one_record_per_file(spark, tmp):

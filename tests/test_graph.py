@@ -40,11 +40,19 @@ def test_downstream_min_depth(spark):
     assert got == {("root", 0), ("leaf1", 1), ("leaf2", 1)}
 
 
-def test_neighbour_lists_chunk_large_degree(spark):
+def test_neighbour_lists_part_every_degree(spark):
     e = spark.createDataFrame([("hub", f"n{i:02d}") for i in range(25)], "src string, dst string")
-    out = G.neighbour_lists(e, max_list=10).where("node_name = 'hub'").collect()
-    assert len(out) == 3 and sum(len(r.neighbours) for r in out) == 25
-    assert all(r.neighbours == sorted(r.neighbours) for r in out)
+    out = G.neighbour_lists(e).where("node_name = 'hub'").collect()
+    assert sorted(n for r in out for n in r.neighbours) == [f"n{i:02d}" for i in range(25)]
+    assert all(r.neighbours == sorted(r.neighbours) and r.degree == 25 for r in out)
+    assert len({r.part for r in out}) == len(out) > 1
+
+
+def test_long_chain_is_peeled_to_its_end(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)], "src string, dst string")
+    levels, rest = G.peel(None, e)
+    assert {r.node_name: r.level for r in levels.collect()} == {f"n{i:02d}": i for i in range(13)} and rest.isEmpty()
+    assert G.downstream(e, spark.createDataFrame([("n00",)], "node_name string")).count() == 13
 
 
 def test_edges_from_predecessors(spark):

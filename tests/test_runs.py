@@ -5,6 +5,8 @@ import datetime as dt
 import hashlib
 import random
 
+import pytest
+
 
 from runledger.operators import fingerprint as FP
 from runledger.operators import runs as R
@@ -111,28 +113,22 @@ def test_release_sends_using_and_produced_to_unused(spark):
     assert got == {1: "unused", 2: "unused", 3: "used", 4: "new"}
 
 
-def test_fingerprint_ignores_row_order_and_matches_reference_form(spark):
-    hashes = [hashlib.sha256(f"f{i}".encode()).hexdigest() for i in range(20)]
+def _tree_digest(lines):
+    leaves = {}
+    for x in sorted({f"{x}*{lines.count(x)}" for x in lines}):
+        leaves.setdefault(hashlib.sha256(x.rsplit("*", 1)[0].encode()).hexdigest()[:3], []).append(x)
+    digests = [hashlib.sha256("\n".join(v).encode()).hexdigest() for _, v in sorted(leaves.items())]
+    return hashlib.sha256("".join(digests).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [1, 20, 3000])
+def test_fingerprint_is_one_two_level_digest_at_every_size(spark, n):
+    hashes = [hashlib.sha256(f"f{i % 1700}".encode()).hexdigest() for i in range(n)]
     rows = [(i, 5, "used", h) for i, h in enumerate(hashes)]
     a1 = spark.createDataFrame(rows, "id long, run_id long, state string, hash string")
     a2 = spark.createDataFrame(list(reversed(rows)), "id long, run_id long, state string, hash string").repartition(3)
-    f1 = FP.artifact_fingerprint(a1).first()
-    f2 = FP.artifact_fingerprint(a2).first()
-    expect = hashlib.sha256("".join(sorted(hashes)).encode()).hexdigest()
-    assert f1.artifact_hash == f2.artifact_hash == expect and f1.artifact_scheme == "flat"
-
-
-def test_fingerprint_merkle_for_large_groups(spark):
-    hashes = [hashlib.sha256(f"g{i}".encode()).hexdigest() for i in range(50)]
-    a = spark.createDataFrame([(i, 1, "used", h) for i, h in enumerate(hashes)],
-                              "id long, run_id long, state string, hash string")
-    got = FP.artifact_fingerprint(a, max_flat=10).first()
-    leaves = {}
-    for h in sorted(hashes):
-        leaves.setdefault(h[:3], []).append(h)
-    leaf_digests = [hashlib.sha256("".join(v).encode()).hexdigest() for _, v in sorted(leaves.items())]
-    assert got.artifact_scheme == "merkle"
-    assert got.artifact_hash == hashlib.sha256("".join(leaf_digests).encode()).hexdigest()
+    assert FP.artifact_fingerprint(a1).first().artifact_hash == _tree_digest(hashes)
+    assert FP.artifact_fingerprint(a2).first().artifact_hash == _tree_digest(hashes)
 
 
 def test_metadata_hash_empty_parts(spark):
