@@ -395,7 +395,8 @@ def dataset_card_metadata(meta: DataFrame) -> DataFrame:
 # J-3 -----------------------------------------------------------------------
 def model_registry_view(models: DataFrame, links: DataFrame) -> DataFrame:
     """Models with their card when one is linked (left join on the
-    ``model_card_path`` link tag); models without a card are kept."""
+    ``model_card_path`` link tag of the same node and location); models
+    without a card are kept."""
     card = links.where(F.col("tag_name") == "model_card_path").select(
-        "location", F.col("tag_value").alias("card_location"))
-    return models.join(card, "location", "left")
+        "node_name", "location", F.col("tag_value").alias("card_location"))
+    return models.join(card, ["node_name", "location"], "left")

@@ -94,9 +94,9 @@ def status_durations(status_events: DataFrame, n_buckets: int = 64) -> DataFrame
 # J-7 / T-6 / C-9 ---------------------------------------------------------------
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "id", value: str = "state") -> DataFrame:
     """Rows added since ``old`` and rows whose ``value`` changed."""
-    o = old.select(F.col(key), F.col(value).alias("old_" + value))
+    o = old.select(F.col(key), F.col(value).alias("old_" + value), F.lit(True).alias("_known"))
     j = new.select(F.col(key), F.col(value).alias("new_" + value)).join(o, key, "left")
-    change = (F.when(F.col("old_" + value).isNull(), F.lit("added"))
+    change = (F.when(F.col("_known").isNull(), F.lit("added"))
               .when(~F.col("old_" + value).eqNullSafe(F.col("new_" + value)), F.lit("changed")))
     return (j.withColumn("change", change).where(F.col("change").isNotNull())
             .select(key, "change", "old_" + value, "new_" + value))

@@ -8,10 +8,11 @@ ordered helpers in ``ordered.py``; no step puts a whole table in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprint import run_hash
+from .ids import assign_ids
 from .ordered import first_after, top_k_per_group
 
 
@@ -87,28 +88,27 @@ def first_triggers(assigned: DataFrame) -> DataFrame:
 
 
 # A-6 + W-5 -------------------------------------------------------------------
-def run_barrier(triggers: DataFrame, required: DataFrame, epoch: str = "1 day") -> DataFrame:
-    """A run starts when every required node has fired within an epoch.
-
-    Per (epoch, node) the first fire time; per epoch the number of required
-    nodes that fired and the latest of their first fires (the barrier time).
-    Epochs where all fired get run numbers 0, 1, ... in barrier order."""
+def run_barrier(assigned: DataFrame, required: DataFrame) -> DataFrame:
+    """A run can start once every required node has fired since the last one.
+
+    ``assigned`` are triggers with the run that claimed them (null: the cycle
+    that is still waiting).  A node that fired stays fired until the run of
+    its cycle ends, so the cycle, not the calendar, groups the triggers.  Per
+    cycle: the required nodes that fired, whether all did, and if so the
+    latest of their first fires (the barrier time) and the run's place (0, 1,
+    ...) in barrier order."""
     req = required.select("node_id").distinct()
     n_required = req.count()        # one scalar: the size of the pipeline's input set
-    t = (triggers.join(req, "node_id", "left_semi")
-         .withColumn("epoch", F.window("trigger_time", epoch)["start"].cast("timestamp_ntz")))
-    first = t.groupBy("epoch", "node_id").agg(F.min("trigger_time").alias("first_fire"))
-    per = first.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_fired"),
-                                     F.max("first_fire").alias("barrier_time"))
-    per = per.withColumn("n_required", F.lit(n_required).cast("long"))
-    ready = F.col("n_fired") == F.col("n_required")
-    # run numbering ranks the per-epoch table: one row per epoch, so at most
-    # (time span / epoch) rows - 36,500 for a century of daily epochs
-    w = Window.partitionBy(ready).orderBy("barrier_time", "epoch")
-    return per.select(
-        "epoch", "n_fired", "n_required", ready.alias("ready"),
-        F.when(ready, F.col("barrier_time")).alias("start_time"),
-        F.when(ready, (F.row_number().over(w) - 1).cast("long")).alias("run_id"))
+    first = (assigned.join(req, "node_id", "left_semi").groupBy("run_triggered", "node_id")
+             .agg(F.min("trigger_time").alias("first_fire")))
+    per = first.groupBy("run_triggered").agg(F.count(F.lit(1)).alias("n_fired"), F.max("first_fire").alias("barrier_time"))
+    per = per.withColumn("n_required", F.lit(n_required).cast("long")).withColumn(
+        "ready", F.col("n_fired") == F.col("n_required"))
+    ready = assign_ids(per.where("ready"), ["barrier_time", "run_triggered"], -1, "run_number")
+    cols = [F.col("run_triggered").alias("run_id"), "n_fired", "n_required", "ready"]
+    return ready.select(*cols, F.col("barrier_time").alias("start_time"), "run_number").unionByName(
+        per.where("NOT ready").select(*cols, F.lit(None).cast("timestamp_ntz").alias("start_time"),
+                                      F.lit(None).cast("long").alias("run_number")))
 
 
 # P-13 ----------------------------------------------------------------------
@@ -134,10 +134,28 @@ def close_runs(runs: DataFrame, artifacts: DataFrame, metrics: DataFrame, params
                     F.when(F.col("end_time").isNull(), F.col("_h")).otherwise(F.col("hash")).alias("hash")))
 
 
-def release_artifacts(artifacts: DataFrame) -> DataFrame:
-    """Run end: artifacts left ``using`` or ``produced`` become ``unused``."""
-    return artifacts.withColumn(
-        "state", F.when(F.col("state").isin("using", "produced"), F.lit("unused")).otherwise(F.col("state")))
+def release_artifacts(artifacts: DataFrame, ending: DataFrame) -> DataFrame:
+    """Run end: artifacts that a run of ``ending`` (run_id) leaves ``using`` or
+    ``produced`` become ``unused``; those of other runs keep their state.
+    Returns all artifacts with ``released``."""
+    ends = ending.select("run_id").distinct().withColumn("_ends", F.lit(True))
+    out = artifacts.join(ends, "run_id", "left").withColumn(
+        "released", F.coalesce(F.col("_ends") & F.col("state").isin("using", "produced"), F.lit(False)))
+    return out.withColumn("state", F.when(F.col("released"), F.lit("unused")).otherwise(F.col("state"))).select(
+        *artifacts.columns, "released")
+
+
+# K-13 ----------------------------------------------------------------------
+def start_run(runs: DataFrame, triggers: DataFrame, start_time) -> tuple[DataFrame, DataFrame]:
+    """Start of a run: the run row to insert (the id after the last, open) and
+    the pending triggers it claims, those logged before its start."""
+    at = F.lit(start_time).cast("timestamp_ntz")
+    row = runs.agg(F.coalesce(F.max("run_id") + 1, F.lit(0).cast("long")).alias("run_id")).select(
+        "run_id", at.alias("start_time"), F.lit(None).cast("timestamp_ntz").alias("end_time"),
+        F.lit(None).cast("string").alias("hash"))
+    run_id = row.first()["run_id"]                     # one scalar
+    pending = triggers.where(F.col("run_triggered").isNull() & (F.col("trigger_time") < at))
+    return row, pending.withColumn("run_triggered", F.lit(run_id).cast("long"))
 
 
 # O-5 -----------------------------------------------------------------------

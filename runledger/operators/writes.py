@@ -1,14 +1,16 @@
 """Catalog writes as frame -> frame functions, plus thin Parquet writers.
 
 Plain Parquet has no row UPDATE, so the catalog is append-only: every write
-function returns the rows to append (and, where the reference raises, the
-rejected rows), and updates are folds over event rows (``lifecycle.py``).
-Duplicate checks are anti/semi joins on the catalog key, never per-row
-lookups.
+function returns every input row, accepted or refused with a reason (where the
+reference raises), ``rows_to_append`` takes the accepted ones in a table's
+shape, and updates are folds over event rows (``lifecycle.py``).  Duplicate
+checks are joins on the catalog key, never per-row lookups.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,68 +34,84 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _admit(rows: DataFrame, keys: list[str], existing: DataFrame) -> DataFrame:
+    """Every row of ``rows`` once, with ``accepted`` and ``reason``.
+
+    Refused are rows with a null in a key, rows whose key ``existing`` has,
+    and all rows of one key but the first in column order (of equal rows, all
+    copies but one).  Equal rows are counted before anything else, so a key
+    that fills the batch is a handful of rows."""
+    cols = rows.columns
+    counted = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    first = counted.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("_first"))
+    have = existing.select(*keys).distinct().withColumn("_have", F.lit(True))
+    j = counted.join(first, keys, "left").join(have, keys, "left")
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    j = j.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    reason = (F.when(~whole, F.lit("incomplete key")).when(F.col("_have"), F.lit("already recorded"))
+              .when(~F.struct(*cols).eqNullSafe(F.col("_first")) | (F.col("_copy") > 1), F.lit("repeated in batch")))
+    return j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).select(*cols, "accepted", "reason")
+
+
+def _numbered(admitted: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
+    """Accepted rows take the ids after the table's last; refused ones none."""
+    start = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    ids = assign_ids(admitted.where("accepted"), order, start)
+    return ids.unionByName(admitted.where("NOT accepted").withColumn("id", F.lit(None).cast("long")))
+
+
+def rows_to_append(result: DataFrame, table: str) -> DataFrame:
+    """The accepted rows of a write, in the shape of catalog table ``table``;
+    fields the write does not know are null."""
+    have = set(result.columns)
+    kept = result.where("accepted") if "accepted" in have else result
+    return kept.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in S.CATALOG[table]])
+
+
 # K-2 / U-3 -----------------------------------------------------------------
-def register_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """New node rows get ids after the current max; names already known are
-    returned with ``accepted`` false (the reference raises on them)."""
-    known = nodes.select("node_name").distinct()
-    cand = new.groupBy("node_name").agg(F.min("node_type").alias("node_type"),
-                                        F.min("base_type").alias("base_type"))
-    accepted = cand.join(known, "node_name", "left_anti")
-    rejected = cand.join(known, "node_name", "left_semi")
-    start = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    ids = assign_ids(accepted, ["node_name"], start)
-    cols = ["node_name", "node_type", "base_type"]
-    return (ids.select("id", *cols, F.lit(True).alias("accepted"))
-            .unionByName(rejected.select(F.lit(None).cast("long").alias("id"), *cols,
-                                         F.lit(False).alias("accepted"))))
+def register_nodes(nodes: DataFrame, new: DataFrame, init_time=None) -> DataFrame:
+    """Node registrations (node_name, node_type, base_type), every one with an
+    id after the current max or with the reason why it is refused (names that
+    are known, or that an earlier row of the batch has: the reference raises
+    on them)."""
+    cand = new.select("node_name", "node_type", "base_type")
+    out = _numbered(_admit(cand, ["node_name"], nodes), nodes, ["node_name"])
+    return out.withColumn("init_time", F.lit(init_time).cast("timestamp_ntz"))
 
 
 # K-3 / K-4 -------------------------------------------------------------------
 def insert_artifacts(artifacts: DataFrame, nodes: DataFrame, new: DataFrame,
-                     current_run_id: int | None = None) -> DataFrame:
+                     current_run_id: int | None = None, created_at=None) -> DataFrame:
     """Insert artifact records keyed by (node, location).
 
     ``new`` has ``node_name, location, hash, hash_algorithm, state, run_id,
-    size, content_type``.  Rows whose key is already in the catalog, or that
-    repeat a key within the batch (all but the row with the smallest hash;
-    exact copies collapse), come back with ``accepted`` false.
-    A ``using`` row takes the current run id (as ``create_entry`` does)."""
-    n = nodes.select(F.col("id").alias("node_id"), "node_name")
-    cand = new.join(n, "node_name", "inner")
-    existing = artifacts.select("node_id", "location")      # anti/semi joins need no distinct
-    fresh = cand.join(existing, ["node_id", "location"], "left_anti")
-    dup_in_catalog = cand.join(existing, ["node_id", "location"], "left_semi")
-    first_of_key = fresh.groupBy("node_id", "location").agg(F.min_by(F.struct(*[
-        c for c in fresh.columns if c not in ("node_id", "location")]), F.col("hash")).alias("r"))
-    # keep one row per key: the batch row with the smallest hash
-    kept = first_of_key.select("node_id", "location", "r.*")
-    extra = fresh.join(kept.select("node_id", "location", F.col("hash").alias("_kh")),
-                       ["node_id", "location"]).where(F.col("hash") != F.col("_kh")).drop("_kh")
+    size, content_type``.  Every input row comes back, in the columns of the
+    catalog table and with ``node_name``, ``accepted`` and ``reason``: unknown
+    node or no location, key already recorded, or repeated in the batch (the
+    first by hash, then the other columns, is accepted).  A ``using`` row
+    takes the current run id (as ``create_entry`` does)."""
+    cand = new.join(nodes.select(F.col("id").alias("node_id"), "node_name"), "node_name", "left").select(
+        "node_id", "location", "hash", "node_name", "state", "run_id", "hash_algorithm", "size", "content_type")
     if current_run_id is not None:
-        kept = kept.withColumn("run_id", F.when(F.col("state") == "using", F.lit(current_run_id).cast("long"))
+        cand = cand.withColumn("run_id", F.when(F.col("state") == "using", F.lit(current_run_id).cast("long"))
                                .otherwise(F.col("run_id")))
-    start = artifacts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    ids = assign_ids(kept, ["node_name", "location"], start)
-    out_cols = ["node_name", "location", "state", "run_id", "hash"]
-    return (ids.select("id", *out_cols, F.lit(True).alias("accepted"))
-            .unionByName(dup_in_catalog.unionByName(extra.select(*dup_in_catalog.columns))
-                         .select(F.lit(None).cast("long").alias("id"), *out_cols, F.lit(False).alias("accepted"))))
+    out = _numbered(_admit(cand, ["node_id", "location"], artifacts), artifacts, ["node_name", "location"])
+    return (out.withColumn("reason", F.when(F.col("node_id").isNull(), F.lit("unknown node")).otherwise(F.col("reason")))
+            .withColumn("created_at", F.lit(created_at).cast("timestamp_ntz")))
 
 
 # K-6 -----------------------------------------------------------------------
-def merge_catalog(artifacts: DataFrame, nodes: DataFrame, entries: DataFrame, node_name: str) -> DataFrame:
+def merge_catalog(artifacts: DataFrame, nodes: DataFrame, entries: DataFrame, node_name: str,
+                  created_at=None) -> DataFrame:
     """Merge another catalog's artifacts under ``node_name``: state resets to
-    ``new``; locations already recorded for that node are rejected."""
-    node = nodes.where(F.col("node_name") == F.lit(node_name)).select(F.col("id").alias("node_id"))
-    have = artifacts.join(node, "node_id", "left_semi").select("location")
-    e = entries.select("location", "hash", "hash_algorithm", "size", "content_type", "run_id")
-    ok = e.join(have, "location", "left_anti")
-    bad = e.join(have, "location", "left_semi")
-    return (ok.select(F.lit(node_name).alias("node_name"), "location", F.lit("new").alias("state"),
-                      "hash", "run_id", F.lit(True).alias("accepted"))
-            .unionByName(bad.select(F.lit(node_name).alias("node_name"), "location", F.lit("new").alias("state"),
-                                    "hash", "run_id", F.lit(False).alias("accepted"))))
+    ``new``; the rest is ``insert_artifacts``, so locations recorded for that
+    node, repeated ones and an unknown node are refused with the reason."""
+    new = entries.select(F.lit(node_name).alias("node_name"), "location", "hash", "hash_algorithm",
+                         F.lit("new").alias("state"), "run_id", "size", "content_type")
+    return insert_artifacts(artifacts, nodes, new, created_at=created_at)
 
 
 # K-7 / K-8 / K-9 ---------------------------------------------------------------
@@ -147,38 +165,56 @@ def tag_artifacts(artifacts: DataFrame, nodes: DataFrame, requests: DataFrame,
 def card_links(links: DataFrame, subject_tag: str, card_tag: str) -> DataFrame:
     """Mutual link tags: the subject is tagged with its card's location and
     the card with its subject's location (one frame and its swapped copy)."""
-    to_card = links.select(F.col("subject").alias("location"), F.lit(card_tag).alias("tag_name"),
+    node = [c for c in links.columns if c not in ("subject", "card")]      # whose locations they are
+    to_card = links.select(*node, F.col("subject").alias("location"), F.lit(card_tag).alias("tag_name"),
                            F.col("card").alias("tag_value"))
-    to_subject = links.select(F.col("card").alias("location"), F.lit(subject_tag).alias("tag_name"),
+    to_subject = links.select(*node, F.col("card").alias("location"), F.lit(subject_tag).alias("tag_name"),
                               F.col("subject").alias("tag_value"))
     return to_card.unionByName(to_subject)
 
 
 # S-10 / A-10 / K-16 -----------------------------------------------------------
-def doc_query(docs: DataFrame, doc_type: str | None = None, **filters) -> DataFrame:
-    """Document store query: filter by ``type`` and equality on payload keys.
+def _field(key: str, kind: str = "string"):
+    """Payload field ``key`` as ``kind``; null where it is missing or of another kind."""
+    path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    return F.try_variant_get("payload", path, kind)
+
+
+def doc_filter(doc_type: str | None = None, doc_id: int | None = None, **filters):
+    """The condition of a document store call: type, id and equality of payload
+    fields (a document without the field, or with another kind, never matches)."""
+    cond = F.lit(True)
+    if doc_type is not None:
+        cond = cond & (F.col("type") == F.lit(doc_type))
+    if doc_id is not None:
+        cond = cond & (F.col("id") == F.lit(doc_id))
+    for k, v in filters.items():
+        cond = cond & (_field(k) == F.lit(str(v)))
+    return F.coalesce(cond, F.lit(False))
+
+
+def doc_query(docs: DataFrame, doc_type: str | None = None, doc_id: int | None = None, **filters) -> DataFrame:
+    """Document store query: filter by ``type``, id and equality on payload keys.
 
     ``docs`` has ``id, type, payload`` with ``payload`` a VARIANT (from
     ``parse_json``); the ``type`` filter is a plain column predicate and is
     pushed into the scan."""
-    d = docs if doc_type is None else docs.where(F.col("type") == F.lit(doc_type))
-    for k, v in filters.items():
-        d = d.where(F.expr(f"variant_get(payload, '$.{k}', 'string')") == F.lit(str(v)))
-    return d
-
-
-def doc_update(docs: DataFrame, doc_type: str, where_key: str, where_min: int,
-               set_key: str, set_value: str) -> DataFrame:
-    """Update by filter: documents of ``doc_type`` whose ``where_key`` is at
-    least ``where_min`` get ``set_key = set_value``.  Returns every document
-    with an ``updated`` flag (``sum(updated)`` is the reference's count)."""
-    hit = (F.col("type") == F.lit(doc_type)) & \
-        (F.expr(f"variant_get(payload, '$.{where_key}', 'bigint')") >= F.lit(where_min))
-    return docs.select("id", "type", "payload", F.coalesce(hit, F.lit(False)).alias("updated")).select(
-        "id", "type", F.expr(f"variant_get(payload, '$.{where_key}', 'bigint')").alias(where_key),
-        F.when(F.col("updated"), F.lit(set_value)).otherwise(
-            F.expr(f"variant_get(payload, '$.{set_key}', 'string')")).alias(set_key),
-        "updated")
+    return docs.where(doc_filter(doc_type, doc_id, **filters))
+
+
+def doc_update(docs: DataFrame, updates: dict, doc_type: str | None = None, doc_id: int | None = None,
+               **filters) -> DataFrame:
+    """Update by filter or id: the documents that ``doc_filter`` finds get every
+    field of ``updates`` (JSON values); their other fields stay.  Returns all
+    documents with ``updated`` (``sum`` of it is the reference's count).  A
+    payload that is no object is left as it is."""
+    fields = F.from_json(F.to_json("payload"), "map<string,variant>")
+    put = F.map_from_arrays(F.array(*[F.lit(k) for k in updates]),
+                            F.array(*[F.parse_json(F.lit(json.dumps(v))) for v in updates.values()]))
+    kept = F.map_filter(fields, lambda k, _: ~k.isin(list(updates)))
+    hit = doc_filter(doc_type, doc_id, **filters) & F.schema_of_variant("payload").startswith("OBJECT")
+    return docs.select("id", "type", F.when(hit, F.parse_json(F.to_json(F.map_concat(kept, put)))).otherwise(
+        F.col("payload")).alias("payload"), F.coalesce(hit, F.lit(False)).alias("updated"))
 
 
 # K-5 -----------------------------------------------------------------------

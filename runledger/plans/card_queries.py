@@ -190,10 +190,10 @@ def q_unique_tags(spark, sf):
     models AS (SELECT node_name, run_id, arg_min(location, id) AS location FROM j
                WHERE location NOT LIKE '%.md' GROUP BY ALL),
     cards AS (SELECT node_name, run_id, arg_min(location, id) AS card FROM j WHERE location LIKE '%.md' GROUP BY ALL),
-    links AS (SELECT m.location, 'model_card_path' AS tag_name, c.card AS tag_value
+    links AS (SELECT node_name, m.location, 'model_card_path' AS tag_name, c.card AS tag_value
               FROM models m JOIN cards c USING (node_name, run_id))
     SELECT m.node_name, m.run_id, m.location, l.tag_value AS card_location
-    FROM models m LEFT JOIN links l ON l.location = m.location""", "artifacts"))
+    FROM models m LEFT JOIN links l ON l.node_name = m.node_name AND l.location = m.location""", "artifacts"))
 def q_model_registry_view(spark, sf):
     # per (node, run) the model is the first non-markdown artifact and its
     # card the first markdown artifact, when the run produced one
@@ -204,7 +204,7 @@ def q_model_registry_view(spark, sf):
     models = a.where(~is_md).groupBy("node_name", "run_id").agg(F.min_by("location", "id").alias("location"))
     cards = a.where(is_md).groupBy("node_name", "run_id").agg(F.min_by("location", "id").alias("card"))
     links = K.card_links(models.join(cards, ["node_name", "run_id"]).select(
-        F.col("location").alias("subject"), "card"), "model_path", "model_card_path")
+        "node_name", F.col("location").alias("subject"), "card"), "model_path", "model_card_path")
     return CD.model_registry_view(models, links).select("node_name", "run_id", "location", "card_location")
 
 

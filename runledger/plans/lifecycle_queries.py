@@ -39,11 +39,13 @@ def q_artifact_state(spark, sf):
     WITH f AS (SELECT artifact_id AS id, arg_max(state, seq) AS st,
                       arg_max(run_id, seq) FILTER (WHERE run_id IS NOT NULL) AS rn
                FROM marks GROUP BY 1)
-    SELECT a.id, coalesce(f.st, a.state) AS state, coalesce(f.rn, a.run_id) AS run_id
-    FROM artifacts a LEFT JOIN f USING (id)""", "artifacts", "marks"))
+    SELECT a.id, coalesce(f.st, a.state) AS state, coalesce(f.rn, a.run_id) AS run_id, true AS matched
+    FROM artifacts a LEFT JOIN f USING (id)
+    UNION ALL SELECT id, st, rn, false FROM f WHERE id NOT IN (SELECT id FROM artifacts)""", "artifacts", "marks"))
 def q_apply_marks(spark, sf):
-    updated, _unmatched = L.apply_marks(X.artifacts(spark, sf), X.marks(spark, sf))
-    return updated.select("id", "state", "run_id")
+    updated, unmatched = L.apply_marks(X.artifacts(spark, sf), X.marks(spark, sf))
+    return updated.select("id", "state", "run_id", F.lit(True).alias("matched")).unionByName(
+        unmatched.select(F.col("artifact_id").alias("id"), "state", "run_id", F.lit(False).alias("matched")))
 
 
 @query("metric_delta", W("""
@@ -123,55 +125,68 @@ def q_action_outcomes(spark, sf):
 # ---------------------------------------------------------------- writes ---
 
 @query("register_nodes", W("""
-    WITH cand AS (SELECT node_name, min(base_type) AS node_type, min(base_type) AS base_type
-                  FROM graph_nodes GROUP BY node_name),
+    WITH r AS (SELECT g.node_name, g.base_type, n.node_name IS NOT NULL AS known,
+                      row_number() OVER (PARTITION BY g.node_name ORDER BY g.base_type) AS k
+               FROM graph_nodes g LEFT JOIN (SELECT DISTINCT node_name FROM nodes) n USING (node_name)),
     m AS (SELECT max(id) AS m FROM nodes)
-    SELECT CAST(m.m + row_number() OVER (ORDER BY node_name) AS BIGINT) AS id, node_name, node_type, base_type,
-           true AS accepted
-    FROM cand, m WHERE node_name NOT IN (SELECT node_name FROM nodes)
-    UNION ALL
-    SELECT NULL, node_name, node_type, base_type, false FROM cand WHERE node_name IN (SELECT node_name FROM nodes)""",
-                           "nodes", "graph_nodes"))
+    SELECT CASE WHEN NOT known AND k = 1 THEN CAST(m.m + row_number() OVER (PARTITION BY NOT known AND k = 1 ORDER BY node_name)
+                AS BIGINT) END AS id, node_name, base_type AS node_type, base_type, NOT known AND k = 1 AS accepted,
+           CASE WHEN known THEN 'already recorded' WHEN k > 1 THEN 'repeated in batch' END AS reason
+    FROM r, m""", "nodes", "graph_nodes"))
 def q_register_nodes(spark, sf):
     g = X.graph_nodes(spark, sf).select("node_name", F.col("base_type").alias("node_type"), "base_type")
-    return K.register_nodes(X.nodes(spark, sf), g)
+    return K.register_nodes(X.nodes(spark, sf), g).drop("init_time")
 
 
 _NEW_TXT = """SELECT source AS node_name, lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS location,
-                     sha256(text) AS hash, 'new' AS state, CAST(NULL AS BIGINT) AS run_id FROM documents"""
+                     sha256(text) AS hash, 'new' AS state, CAST(NULL AS BIGINT) AS run_id, n_chars AS size FROM documents"""
+_ADMIT = """
+    r AS (SELECT new.*, n.id AS node_id, ex.location IS NOT NULL AS known,
+                 row_number() OVER (PARTITION BY n.id, new.location ORDER BY new.hash, new.state, new.run_id NULLS FIRST, new.size) AS k
+          FROM new LEFT JOIN nodes n USING (node_name)
+          LEFT JOIN (SELECT DISTINCT node_id, location FROM artifacts) ex ON ex.node_id = n.id AND ex.location = new.location),
+    ok AS (SELECT *, node_id IS NOT NULL AND NOT known AND k = 1 AS accepted FROM r),
+    m AS (SELECT max(id) AS m FROM artifacts)
+    SELECT CASE WHEN accepted THEN CAST(m.m + row_number() OVER (PARTITION BY accepted ORDER BY node_name, location) AS BIGINT)
+                END AS id, node_id, node_name, location, state, run_id, hash, size, accepted,
+           CASE WHEN node_id IS NULL THEN 'unknown node' WHEN known THEN 'already recorded' WHEN k > 1 THEN 'repeated in batch'
+                END AS reason
+    FROM ok, m"""
+_INSERTED = ["id", "node_id", "node_name", "location", "state", "run_id", "hash", "size", "accepted", "reason"]
 
 
 @query("insert_artifacts", W(f"""
-    WITH new AS ({_NEW_TXT}),
-    ex AS (SELECT n.node_name, a.location FROM artifacts a JOIN nodes n ON a.node_id = n.id),
-    m AS (SELECT max(id) AS m FROM artifacts)
-    SELECT CAST(m.m + row_number() OVER (ORDER BY node_name, location) AS BIGINT) AS id,
-           node_name, location, state, run_id, hash, true AS accepted
-    FROM new, m WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.node_name = new.node_name AND ex.location = new.location)
-    UNION ALL
-    SELECT NULL, node_name, location, state, run_id, hash, false FROM new
-    WHERE EXISTS (SELECT 1 FROM ex WHERE ex.node_name = new.node_name AND ex.location = new.location)""",
-                             "artifacts"))
+    WITH doc AS ({_NEW_TXT}),
+    new AS (SELECT * FROM doc UNION ALL SELECT * FROM doc WHERE size % 10 = 0
+            UNION ALL SELECT * REPLACE (sha256(hash) AS hash) FROM doc WHERE size % 7 = 0
+            UNION ALL SELECT * REPLACE ('ghost' AS node_name) FROM doc WHERE size % 11 = 0
+            UNION ALL SELECT * REPLACE ('produced' AS state, 3 AS run_id, location || '.out' AS location) FROM doc WHERE size % 5 = 0),
+    {_ADMIT}""", "artifacts"))
 def q_insert_artifacts(spark, sf):
-    # every document recorded again as a .txt file; existing keys are refused
+    # every document recorded again as a .txt file, with repeated rows, keys
+    # with two hashes, an unknown node and files that a run produced
     d = load(spark, sf, "documents")
     new = d.select(F.col("source").alias("node_name"),
                    F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("location"),
                    F.sha2("text", 256).alias("hash"), F.lit(S.HASH_ALGORITHM).alias("hash_algorithm"),
                    F.lit("new").alias("state"), F.lit(None).cast("long").alias("run_id"),
                    F.col("n_chars").alias("size"), F.lit("text/plain").alias("content_type"))
-    return K.insert_artifacts(X.artifacts(spark, sf), X.nodes(spark, sf), new)
-
-
-@query("merge_catalog", W("""
-    WITH have AS (SELECT a.location FROM artifacts a JOIN nodes n ON a.node_id = n.id WHERE n.node_name = 'src0')
-    SELECT 'src0' AS node_name, location, 'new' AS state, hash, run_id,
-           location NOT IN (SELECT location FROM have) AS accepted
-    FROM artifacts""", "artifacts"))
+    of = lambda k: new.where(F.col("size") % k == 0)
+    new = (new.unionByName(of(10)).unionByName(of(7).withColumn("hash", F.sha2("hash", 256)))
+           .unionByName(of(11).withColumn("node_name", F.lit("ghost")))
+           .unionByName(of(5).withColumns({"state": F.lit("produced"), "run_id": F.lit(3).cast("long"),
+                                           "location": F.concat("location", F.lit(".out"))})))
+    return K.insert_artifacts(X.artifacts(spark, sf), X.nodes(spark, sf), new).select(*_INSERTED)
+
+
+@query("merge_catalog", W(f"""
+    WITH new AS (SELECT 'src0' AS node_name, location, hash, 'new' AS state, run_id, size FROM artifacts
+                 UNION ALL SELECT 'src0', location, hash, 'new', run_id, size FROM artifacts WHERE id % 9 = 0),
+    {_ADMIT}""", "artifacts"))
 def q_merge_catalog(spark, sf):
-    # another store's whole artifact table merged under node src0
+    # another store's whole artifact table, some of it twice, merged under node src0
     a = X.artifacts(spark, sf)
-    return K.merge_catalog(a, X.nodes(spark, sf), a, "src0")
+    return K.merge_catalog(a, X.nodes(spark, sf), a.unionByName(a.where("id % 9 = 0")), "src0").select(*_INSERTED)
 
 
 @query("log_metrics", """
@@ -250,10 +265,12 @@ def q_doc_count(spark, sf):
 
 
 @query("doc_update", """
-    SELECT event_id AS id, event_type AS type, CAST(props->>'k' AS BIGINT) AS k,
-           CASE WHEN event_type = 'error' AND CAST(props->>'k' AS BIGINT) >= 50 THEN 'triaged'
-                ELSE props->>'status' END AS status,
-           coalesce(event_type = 'error' AND CAST(props->>'k' AS BIGINT) >= 50, false) AS updated
-    FROM events""")
+    WITH u AS (SELECT *, coalesce(event_type = 'error' AND props->>'k' = '42', false) AS hit FROM events)
+    SELECT event_id AS id, event_type AS type, props->>'k' AS k,
+           CASE WHEN hit THEN 'triaged' ELSE props->>'status' END AS status,
+           CASE WHEN hit THEN 3 ELSE CAST(props->>'level' AS BIGINT) END AS level, hit AS updated
+    FROM u""")
 def q_doc_update(spark, sf):
-    return K.doc_update(X.doc_store(spark, sf), "error", "k", 50, "status", "triaged")
+    d = K.doc_update(X.doc_store(spark, sf), {"status": "triaged", "level": 3}, "error", k=42)
+    get = lambda k, t: F.try_variant_get("payload", f"$.{k}", t).alias(k)
+    return d.select("id", "type", get("k", "string"), get("status", "string"), get("level", "bigint"), "updated")

@@ -94,21 +94,40 @@ def q_first_triggers(spark, sf):
     return R.first_triggers(R.assign_triggers(X.triggers(spark, sf), X.runs(spark, sf)))
 
 
-@query("run_barrier", W("""
-    WITH req AS (SELECT id AS node_id FROM nodes WHERE base_type = 'BaseResourceNode'),
-    f AS (SELECT date_trunc('day', trigger_time) AS epoch, node_id, min(trigger_time) AS first_fire
-          FROM triggers WHERE node_id IN (SELECT node_id FROM req) GROUP BY ALL),
-    per AS (SELECT epoch, count(*) AS n_fired, max(first_fire) AS barrier_time FROM f GROUP BY epoch),
+@query("run_barrier", W(f"""WITH {_ASSIGN_SQL},
+    req AS (SELECT id AS node_id FROM nodes WHERE node_name IN ('src0', 'src1')),
+    f AS (SELECT run_triggered, node_id, min(trigger_time) AS first_fire
+          FROM assigned WHERE node_id IN (SELECT node_id FROM req) GROUP BY ALL),
+    per AS (SELECT run_triggered AS run_id, count(*) AS n_fired, max(first_fire) AS barrier_time FROM f GROUP BY ALL),
     nr AS (SELECT count(*) AS n_required FROM req)
-    SELECT epoch, n_fired, n_required, n_fired = n_required AS ready,
+    SELECT run_id, n_fired, n_required, n_fired = n_required AS ready,
            CASE WHEN n_fired = n_required THEN barrier_time END AS start_time,
            CASE WHEN n_fired = n_required THEN CAST(row_number() OVER (PARTITION BY n_fired = n_required
-                ORDER BY barrier_time, epoch) - 1 AS BIGINT) END AS run_id
-    FROM per, nr""", "triggers", "nodes"))
+                ORDER BY barrier_time, run_id NULLS FIRST) - 1 AS BIGINT) END AS run_number
+    FROM per, nr""", "triggers", "nodes", "runs"))
 def q_run_barrier(spark, sf):
-    n = X.nodes(spark, sf)
-    req = n.where(F.col("base_type") == "BaseResourceNode").select(F.col("id").alias("node_id"))
-    return R.run_barrier(X.triggers(spark, sf), req, "1 day")
+    # a pipeline whose runs need two of the resource nodes
+    req = X.nodes(spark, sf).where(F.col("node_name").isin("src0", "src1")).select(F.col("id").alias("node_id"))
+    return R.run_barrier(R.assign_triggers(X.triggers(spark, sf), X.runs(spark, sf)), req)
+
+
+@query("start_run", W(f"""
+    SELECT (SELECT coalesce(max(run_id) + 1, 0) FROM runs) AS run_triggered, id, node_id, trigger_time, message,
+           TIMESTAMP '{CLOSE_AT}' AS start_time
+    FROM triggers WHERE run_triggered IS NULL AND trigger_time < TIMESTAMP '{CLOSE_AT}'""", "triggers", "runs"))
+def q_start_run(spark, sf):
+    row, claimed = R.start_run(X.runs(spark, sf), X.triggers(spark, sf), CLOSE_AT)
+    return claimed.join(F.broadcast(row.select(F.col("run_id").alias("run_triggered"), "start_time")), "run_triggered")
+
+
+@query("release_artifacts", W("""
+    WITH e AS (SELECT run_id FROM runs WHERE end_time IS NULL OR run_id % 2 = 0)
+    SELECT id, a.run_id, coalesce(a.run_id IN (SELECT run_id FROM e) AND state IN ('using', 'produced'), false) AS released,
+           CASE WHEN a.run_id IN (SELECT run_id FROM e) AND state IN ('using', 'produced') THEN 'unused' ELSE state END AS state
+    FROM artifacts a""", "artifacts", "runs"))
+def q_release_artifacts(spark, sf):
+    ending = X.runs(spark, sf).where(F.col("end_time").isNull() | (F.col("run_id") % 2 == 0))
+    return R.release_artifacts(X.artifacts(spark, sf), ending).select("id", "run_id", "released", "state")
 
 
 @query("metric_runs", W("""

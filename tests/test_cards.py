@@ -112,11 +112,11 @@ def test_dataset_card_metadata_renames_keys(spark):
 
 
 def test_model_registry_view_keeps_models_without_card(spark):
-    models = spark.createDataFrame([("model0.txt",), ("model1.txt",)], "location string")
-    links = spark.createDataFrame([("model0.txt", "model_card_path", "model0_card.md")],
-                                  "location string, tag_name string, tag_value string")
-    got = {r.location: r.card_location for r in CD.model_registry_view(models, links).collect()}
-    assert got == {"model0.txt": "model0_card.md", "model1.txt": None}
+    models = spark.createDataFrame([("a", "model0.txt"), ("b", "model0.txt"), ("a", "model1.txt")], "node_name string, location string")
+    links = spark.createDataFrame([("a", "model0.txt", "model_card_path", "model0_card.md")],
+                                  "node_name string, location string, tag_name string, tag_value string")
+    got = {(r.node_name, r.location): r.card_location for r in CD.model_registry_view(models, links).collect()}
+    assert got == {("a", "model0.txt"): "model0_card.md", ("b", "model0.txt"): None, ("a", "model1.txt"): None}
 
 
 def test_write_cards_one_file_each(spark, tmp):

@@ -1,8 +1,11 @@
 """Catalog reads and writes: filters, errors-as-rows, dense bulk ids."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from runledger import schemas as S
 from runledger.operators import catalog as C
 from runledger.operators import writes as K
 from runledger.operators.ids import assign_ids
@@ -68,12 +71,27 @@ def test_insert_artifacts_duplicates_and_using_run(spark):
         "node_name string, location string, hash string, hash_algorithm string, state string, run_id long, "
         "size long, content_type string")
     rows = K.insert_artifacts(_arts(spark), _nodes(spark), new, current_run_id=7).collect()
+    assert len(rows) == new.count()
     acc = {(r.location, r.hash): (r.id, r.run_id) for r in rows if r.accepted}
     rej = {(r.location, r.hash) for r in rows if not r.accepted}
     assert acc == {("test_file2.txt", "ha"): (5, 7), ("model1.txt", "hc"): (6, 1)}
     assert rej == {("test_file1.txt", "h9"), ("test_file2.txt", "hb")}
 
 
+def test_inserts_conserve_rows_and_can_be_appended(spark, tmp):
+    row = ("data_store", "a.txt", "h1", "sha256", "new", None, 1, "t")
+    new = spark.createDataFrame([row, row, row[:4] + ("used", 3, 1, "t"), ("ghost",) + row[1:], ("data_store", None) + row[2:]],
+                                "node_name string, location string, hash string, hash_algorithm string, state string, run_id long, "
+                                "size long, content_type string")
+    out = K.insert_artifacts(_arts(spark), _nodes(spark), new)
+    assert sorted(str(r.reason) for r in out.collect()) == \
+        ["None", "incomplete key", "repeated in batch", "repeated in batch", "unknown node"]
+    paths = K.create_catalog(spark, f"{tmp}/cat")
+    K.append(K.rows_to_append(out, "artifacts"), paths["artifacts"])
+    back = spark.read.schema(S.CATALOG["artifacts"]).parquet(paths["artifacts"]).collect()
+    assert [(r.location, r.state, r.size) for r in back] == [("a.txt", "new", 1)]
+
+
 def test_assign_ids_dense_over_many_partitions(spark):
     df = spark.range(0, 5000, 1, 13).select((F.col("id") * 7919 % 5003).alias("k"))
     out = assign_ids(df, ["k"], 100).collect()
@@ -116,8 +134,14 @@ def test_doc_store_query_and_update(spark):
     docs = spark.createDataFrame([(1, "metric", '{"k": 5}'), (2, "metric", '{"k": 60}'), (3, "node", '{"k": 60}')],
                                  "id long, type string, payload string").withColumn("payload", F.parse_json("payload"))
     assert [r.id for r in K.doc_query(docs, "metric", k=60).collect()] == [2]
-    up = {r.id: (r.status, r.updated) for r in K.doc_update(docs, "metric", "k", 50, "status", "triaged").collect()}
-    assert up == {1: (None, False), 2: ("triaged", True), 3: (None, False)}
+    more = docs.unionByName(spark.createDataFrame([(4, "metric", '{"k": "abc", "deep": {"x": [1, null]}}'), (5, "metric", "[1]"), (6, "metric", None)],
+                                                  "id long, type string, payload string").withColumn("payload", F.parse_json("payload")))
+    got = {r.id: (json.loads(r.p) if r.p else None, r.updated) for r in
+           K.doc_update(more, {"status": "triaged", "n": 2}, "metric", k=60).withColumn("p", F.to_json("payload")).collect()}
+    assert got == {1: ({"k": 5}, False), 2: ({"k": 60, "status": "triaged", "n": 2}, True), 3: ({"k": 60}, False),
+                   4: ({"k": "abc", "deep": {"x": [1, None]}}, False), 5: ([1], False), 6: (None, False)}
+    by_id = {r.id: r.p for r in K.doc_update(more, {"k": 7}, doc_id=4).withColumn("p", F.to_json("payload")).collect()}
+    assert json.loads(by_id[4]) == {"k": 7, "deep": {"x": [1, None]}} and json.loads(by_id[1]) == {"k": 5}
 
 
 def test_nodes_info_id_wins_or_and(spark):

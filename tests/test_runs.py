@@ -90,14 +90,24 @@ def test_first_triggers_debounce(spark):
 
 
 def test_run_barrier_needs_every_node(spark):
+    h = lambda n: T0 + dt.timedelta(hours=n)
     tr = spark.createDataFrame(
-        [(1, T0 + dt.timedelta(hours=1)), (2, T0 + dt.timedelta(hours=3)), (1, T0 + dt.timedelta(days=1))],
-        "node_id long, trigger_time timestamp_ntz")
+        [(1, 0, h(23)), (2, 0, h(25)), (1, 0, h(26)), (1, 1, h(30)), (9, 1, h(31)), (2, None, h(40)), (1, None, h(60))],
+        "node_id long, run_triggered long, trigger_time timestamp_ntz")
     req = spark.createDataFrame([(1,), (2,)], "node_id long")
-    rows = {r.epoch.date(): r for r in R.run_barrier(tr, req).collect()}
-    d0, d1 = T0.date(), (T0 + dt.timedelta(days=1)).date()
-    assert rows[d0].ready and rows[d0].run_id == 0 and rows[d0].start_time == T0 + dt.timedelta(hours=3)
-    assert not rows[d1].ready and rows[d1].run_id is None
+    rows = {r.run_id: r for r in R.run_barrier(tr, req).collect()}
+    assert rows[0].ready and rows[0].run_number == 0 and rows[0].start_time == h(25)      # across midnight
+    assert not rows[1].ready and rows[1].n_fired == 1 and rows[1].run_number is None
+    assert rows[None].ready and rows[None].run_number == 1 and rows[None].start_time == h(60)
+
+
+def test_start_run_inserts_a_row_and_claims_what_came_before(spark):
+    runs = spark.createDataFrame([(0, T0, T0)], "run_id long, start_time timestamp_ntz, end_time timestamp_ntz")
+    tr = spark.createDataFrame([(1, None, T0), (2, 0, T0), (3, None, T0 + dt.timedelta(days=2))],
+                               "id long, run_triggered long, trigger_time timestamp_ntz")
+    row, claimed = R.start_run(runs, tr, T0 + dt.timedelta(days=1))
+    assert row.first().run_id == 1 and row.first().end_time is None
+    assert [(r.id, r.run_triggered) for r in claimed.collect()] == [(1, 1)]
 
 
 def test_current_run(spark):
@@ -108,9 +118,10 @@ def test_current_run(spark):
 
 
 def test_release_sends_using_and_produced_to_unused(spark):
-    a = spark.createDataFrame([(1, "using"), (2, "produced"), (3, "used"), (4, "new")], "id long, state string")
-    got = {r.id: r.state for r in R.release_artifacts(a).collect()}
-    assert got == {1: "unused", 2: "unused", 3: "used", 4: "new"}
+    a = spark.createDataFrame([(1, 5, "using"), (2, 5, "produced"), (3, 5, "used"), (4, None, "new"), (5, 6, "using")],
+                              "id long, run_id long, state string")
+    got = {r.id: (r.state, r.released) for r in R.release_artifacts(a, spark.createDataFrame([(5,)], "run_id long")).collect()}
+    assert got == {1: ("unused", True), 2: ("unused", True), 3: ("used", False), 4: ("new", False), 5: ("using", False)}
 
 
 def _tree_digest(lines):
