@@ -27,22 +27,29 @@ _EXT = "CASE doc_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.md' ELSE '.txt' END"
 _LOC = f"lang || '/' || CAST(doc_id AS VARCHAR) || {_EXT}"
 
 
+ROWS_PER_FILE = 1_000_000
+
+
+def _write_drop(df, path):
+    """One drop, in as many files as its rows need."""
+    df.repartition(df.count() // ROWS_PER_FILE + 1).write.mode("overwrite").parquet(path)
+
+
 def _drop(spark, sf, name, df, n_files=1, order_col=None):
-    """Write ``df`` as an input drop of ``n_files`` files, oldest data first
-    (one write per file so file times follow event time)."""
+    """Write ``df`` as ``n_files`` input drops, oldest data first (one write
+    per drop so file times follow event time)."""
     root = scratch_path(spark, "standin", ST._key(sf, name))
     if ST._done(root):
         return root
     if order_col is None or n_files == 1:
-        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/part-000")
+        _write_drop(df, f"{root}/part-000")
     else:
         df = df.persist()                         # computed once, split into n_files drops
         x = epoch_micros(order_col).cast("double")
         bounds = quantile_bounds([df.select(x.alias("_x"))], n_files)
         b = df.withColumn("_chunk", bucket_of(x, bounds))
         for i in range(len(bounds) + 1):          # a fixed number of drops
-            b.where(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("overwrite") \
-                .parquet(f"{root}/part-{i:03d}")
+            _write_drop(b.where(F.col("_chunk") == i).drop("_chunk"), f"{root}/part-{i:03d}")
         df.unpersist()
     ST._mark(root, {"drops": n_files})
     return root
@@ -108,14 +115,17 @@ def q_stream_artifacts(spark, sf):
 
 
 @query("stream_count_trigger", """
-    SELECT source AS node_name, true AS fired FROM documents GROUP BY source HAVING count(*) >= 2""")
+    SELECT source AS node_name, count(*) AS num_new, true AS said FROM documents GROUP BY source""")
 def q_stream_count_trigger(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-count")
     q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=5000,
-                   trigger_path=f"{out}/triggers", min_new=2)
+                   trigger_path=f"{out}/triggers", min_new=1)
     q.awaitTermination()
-    return D.read_fired(spark, f"{out}/triggers").select("node_name", F.lit(True).alias("fired"))
+    # a node fires again for what later batches bring: all its files are announced once
+    says = F.col("message") == F.concat(F.lit("Detected "), F.col("num_new").cast("string"), F.lit(" new artifacts"))
+    return D.read_fired(spark, f"{out}/triggers").groupBy("node_name").agg(
+        F.sum("num_new").alias("num_new"), F.bool_and(says).alias("said"))
 
 
 @query("stream_metric_trigger", W("""
@@ -134,6 +144,18 @@ def q_stream_metric_trigger(spark, sf):
             .select("run_id", "node_name", "metric_name", "agg_value"))
 
 
+@query("stream_metric_fired", W("""
+    SELECT m.run_id, n.node_name, m.metric_name, 'max(' || m.metric_name || ') > 300.0' AS message, true AS above
+    FROM metrics m JOIN nodes n ON m.node_id = n.id WHERE m.metric_value > 300.0 GROUP BY ALL""", "metrics"))
+def q_stream_metric_fired(spark, sf):
+    src = _metric_drop(spark, sf)
+    out = fresh_scratch(spark, "stream-metric-fired")
+    TR.metric_trigger_stream(_stream(spark, src), f"{out}/fired", f"{out}/_checkpoint", 300.0).awaitTermination()
+    n = X.nodes(spark, sf).select(F.col("id").alias("node_id"), "node_name")
+    return (spark.read.schema(TR.FIRED_SCHEMA).parquet(f"{out}/fired").join(n, "node_id")
+            .select("run_id", "node_name", "metric_name", "message", (F.col("metric_value") > 300).alias("above")))
+
+
 @query("stream_debounce", W(f"""WITH {_ASSIGN_SQL}
     SELECT node_id, run_triggered, id, trigger_time, message FROM (
       SELECT *, row_number() OVER (PARTITION BY node_id, run_triggered ORDER BY trigger_time, id) AS rn
@@ -141,9 +163,9 @@ def q_stream_metric_trigger(spark, sf):
 def q_stream_debounce(spark, sf):
     src = _assigned_drop(spark, sf)
     out = fresh_scratch(spark, "stream-debounce")
-    q = TR.debounce_stream(_stream(spark, src), f"{out}/fired", f"{out}/_checkpoint", watermark="2 days")
+    q = TR.debounce_stream(_stream(spark, src), f"{out}/fired", f"{out}/_checkpoint")
     q.awaitTermination()
-    return spark.read.schema(TR.DEBOUNCE_OUT).parquet(f"{out}/fired")
+    return spark.read.schema(TR.DEBOUNCE_OUT).parquet(f"{out}/fired").drop("batch_id")
 
 
 @query("stream_latest_status", W("""

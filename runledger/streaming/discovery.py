@@ -14,8 +14,9 @@ anti join against that base catalog.
 
 Count trigger: a per-node running count is kept in a small table (one row
 per node) written to two alternating folders, so batch k reads what batch
-k-1 wrote and a replay of k rereads the same input.  A node fires once,
-when its count first reaches ``min_new``.
+k-1 wrote and a replay of k rereads the same input.  A node fires when its
+count reaches ``min_new``; the run it starts takes the files counted so far,
+so the count begins anew and the node can fire again.
 """
 
 from __future__ import annotations
@@ -76,10 +77,9 @@ def discover(spark: SparkSession, root: str, catalog_path: str, checkpoint: str,
             add = fresh.groupBy("node_name").agg(F.count(F.lit(1)).alias("num_new"))
             counts = (prev.unionByName(add).groupBy("node_name").agg(F.sum("num_new").alias("num_new"))
                       .persist())
-            counts.write.mode("overwrite").parquet(f"{trigger_path}/_counts/{batch_id % 2}")
-            before = prev.select("node_name", F.col("num_new").alias("_before"))
-            fires = (counts.join(before, "node_name", "left")
-                     .where((F.col("num_new") >= min_new) & (F.coalesce("_before", F.lit(0)) < min_new))
+            counts.where(F.col("num_new") < min_new).write.mode("overwrite").parquet(
+                f"{trigger_path}/_counts/{batch_id % 2}")
+            fires = (counts.where(F.col("num_new") >= min_new)
                      .select("node_name", "num_new",
                              F.concat(F.lit("Detected "), F.col("num_new").cast("string"),
                                       F.lit(" new artifacts")).alias("message"),

@@ -1,127 +1,81 @@
-"""T-3 / T-4: streaming metric trigger and stateful trigger debounce."""
+"""T-3 / T-4: streaming metric triggers and trigger debounce.
 
-from __future__ import annotations
+Each batch is reduced by key in the JVM first (a hot key leaves a task as one
+row), then compared with what earlier batches fired.  Batches write their own
+``batch_id=k`` folder, so a replayed batch rewrites its rows and never doubles
+them.  What fired is the only memory, and it is the trigger table itself; no
+watermark can drop a late trigger.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import epoch_micros
+from .discovery import _read_or_empty, _write_batch
 
 METRIC_SINK_SCHEMA = "run_id long, node_id long, metric_name string, agg_value double, batch_id long"
+FIRED_SCHEMA = "run_id long, node_id long, metric_name string, metric_value double, message string, batch_id long"
+
+
+def _start(stream, sink, checkpoint: str, available_now: bool):
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def metric_max_stream(metrics_stream: DataFrame, sink_path: str, checkpoint: str,
                       available_now: bool = True):
-    """Running max per (run, node, metric) in update mode; every batch's
-    changed groups are appended to ``sink_path`` with their batch id.
+    """Running max per (run, node, metric): every batch writes the max of each
+    group it saw; ``latest_values`` folds the batches."""
+    def sink(batch: DataFrame, batch_id: int):
+        _write_batch(batch.groupBy("run_id", "node_id", "metric_name").agg(F.max("metric_value").alias("agg_value"))
+                     .withColumn("batch_id", F.lit(batch_id).cast("long")), sink_path)
+
+    return _start(metrics_stream, sink, checkpoint, available_now)
+
+
+def latest_values(updates: DataFrame, keys: list[str], value: str = "agg_value") -> DataFrame:
+    """The running max after the last batch, per key."""
+    return updates.groupBy(*keys).agg(F.max(value).alias(value))
 
-    State holds one value per (run, node, metric)."""
-    agg = (metrics_stream.groupBy("run_id", "node_id", "metric_name")
-           .agg(F.max("metric_value").alias("agg_value")))
+
+def metric_trigger_stream(metrics_stream: DataFrame, sink_path: str, checkpoint: str, threshold: float,
+                          available_now: bool = True):
+    """One trigger row per (run, node, metric), written by the first batch that
+    holds a value strictly above ``threshold``."""
+    keys = ["run_id", "node_id", "metric_name"]
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_path)
+        over = batch.where(F.col("metric_value") > threshold).groupBy(*keys).agg(F.max("metric_value").alias("metric_value"))
+        _write_batch(_not_yet(over, sink_path, FIRED_SCHEMA, keys, batch_id).withColumn(
+            "message", F.concat(F.lit("max("), "metric_name", F.lit(f") > {threshold}"))), sink_path)
 
-    w = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint))
-    if available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
+    return _start(metrics_stream, sink, checkpoint, available_now)
 
 
-def latest_values(updates: DataFrame, keys: list[str], value: str = "agg_value") -> DataFrame:
-    """Fold an update-mode sink: the last emitted value per key."""
-    return updates.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
-
-
-DEBOUNCE_OUT = "node_id long, run_triggered long, id long, trigger_time timestamp_ntz, message string"
-DEBOUNCE_STATE = "fired boolean, until_ms long"
-_COLS = ["node_id", "run_triggered", "id", "trigger_time", "message"]
-
-
-_KEYS = ["node_id", "run_triggered"]
-
-
-def _pre_reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map side, per input partition: the earliest trigger of every key plus
-    the key's latest trigger time (``_max_t``).  One row per key leaves the
-    partition, so a hot key is not shipped whole to one task."""
-    best: dict = {}
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf.sort_values(["trigger_time", "id"])
-        first = pdf.groupby(_KEYS, sort=False, dropna=False).head(1)
-        latest = pdf.groupby(_KEYS, sort=False, dropna=False)["trigger_time"].max()
-        for row in first.itertuples(index=False):
-            k = (row.node_id, row.run_triggered)
-            mx = latest.loc[k]
-            cur = best.get(k)
-            if cur is None:
-                best[k] = [row, mx]
-            else:
-                if (row.trigger_time, row.id) < (cur[0].trigger_time, cur[0].id):
-                    cur[0] = row
-                cur[1] = max(cur[1], mx)
-    if best:
-        out = pd.DataFrame([r for r, _ in best.values()])
-        out["_max_t"] = [m for _, m in best.values()]
-        yield out
-
-
-def _debounce(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """First arrival wins; the key's state lives until the watermark passes
-    the latest trigger time seen for it.  Input rows are the map-side
-    pre-reduced ones; they are scanned chunk by chunk, never concatenated."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    first = None
-    latest = None
-    for pdf in pdfs:
-        if not len(pdf):
-            continue
-        m = pdf["_max_t"].max()
-        latest = m if latest is None else max(latest, m)
-        if not state.exists:
-            cand = pdf.sort_values(["trigger_time", "id"]).iloc[:1]
-            if first is None or (cand["trigger_time"].iloc[0], cand["id"].iloc[0]) < \
-                    (first["trigger_time"].iloc[0], first["id"].iloc[0]):
-                first = cand
-    if latest is None:
-        return
-    latest_ms = int(pd.Timestamp(latest).timestamp() * 1000)
-    until = max(latest_ms, state.get[1] if state.exists else latest_ms)
-    state.update((True, until))
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-    if first is not None:
-        yield first[_COLS]
-
-
-def debounce_stream(assigned_stream: DataFrame, sink_path: str, checkpoint: str, watermark: str = "1 day",
-                    available_now: bool = True):
-    """Fire once per (node, run): the first trigger to arrive for a key is
-    emitted, later ones are dropped.  Keys time out - and their state is
-    removed - once the event-time watermark passes them."""
-    # watermarks need a TIMESTAMP; read the NTZ value as UTC, independent of
-    # the session zone (the state timeouts below use the same reading)
-    src = (assigned_stream.where(F.col("run_triggered").isNotNull())
-           .select(*_COLS, F.timestamp_micros(epoch_micros("trigger_time")).alias("event_ts")))
-    reduced_schema = T.StructType(src.schema.fields + [T.StructField("_max_t", T.TimestampNTZType())])
-    # the watermark follows the pre-reduction (it keeps each key's earliest
-    # row, so the watermark can only lag - state is kept longer, never less)
-    s = (src.mapInPandas(_pre_reduce, reduced_schema)
-         .withWatermark("event_ts", watermark)
-         .groupBy("node_id", "run_triggered")
-         .applyInPandasWithState(_debounce, DEBOUNCE_OUT, DEBOUNCE_STATE, "append",
-                                 GroupStateTimeout.EventTimeTimeout))
-    w = (s.writeStream.outputMode("append").format("parquet").option("path", sink_path)
-         .option("checkpointLocation", checkpoint))
-    if available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
+def _not_yet(rows: DataFrame, sink_path: str, schema: str, keys: list[str], batch_id: int) -> DataFrame:
+    """``rows`` whose keys no earlier batch fired, with their batch id."""
+    before = _read_or_empty(rows.sparkSession, sink_path, schema).where(F.col("batch_id") < batch_id)
+    before = before.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(before, same, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
+
+
+DEBOUNCE_OUT = "node_id long, run_triggered long, id long, trigger_time timestamp_ntz, message string, batch_id long"
+
+
+def debounce_stream(assigned_stream: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True):
+    """Fire once per (node, run): the earliest trigger (by time, then id) of the
+    first batch that holds the key; later batches' triggers of it are dropped.
+    Triggers without a run wait for ``assign_triggers`` and are left out."""
+    keys = ["node_id", "run_triggered"]
+
+    def sink(batch: DataFrame, batch_id: int):
+        first = (batch.where(F.col("run_triggered").isNotNull()).groupBy(*keys)
+                 .agg(F.min_by(F.struct("id", "trigger_time", "message"), F.struct("trigger_time", "id")).alias("f"))
+                 .select(*keys, "f.*"))
+        _write_batch(_not_yet(first, sink_path, DEBOUNCE_OUT, keys, batch_id), sink_path)
+
+    return _start(assigned_stream, sink, checkpoint, available_now)

@@ -105,18 +105,27 @@ def test_change_feed_versions_and_replay(spark, tmp):
     assert got == {(0, 1, "added"), (0, 2, "added"), (1, 1, "changed"), (1, 3, "added")}
 
 
-def test_pre_reduce_keeps_one_row_per_key():
-    import pandas as pd
-    from runledger.streaming.triggers import _pre_reduce
-    def batch(ids, minutes):
-        return pd.DataFrame({"node_id": [1] * len(ids), "run_triggered": [0] * len(ids), "id": ids,
-                             "trigger_time": [T0 + dt.timedelta(minutes=m) for m in minutes],
-                             "message": ["m"] * len(ids), "event_ts": [T0] * len(ids)})
-    out = list(_pre_reduce(iter([batch(list(range(10, 1000)), [5 + i % 50 for i in range(990)]),
-                                 batch([3, 4], [5, 90])])))
-    assert len(out) == 1 and len(out[0]) == 1
-    r = out[0].iloc[0]
-    assert r["id"] == 3 and r["_max_t"] == T0 + dt.timedelta(minutes=90)
+def test_debounce_keeps_on_time_keys_of_late_files_and_replays(spark, tmp):
+    schema = "node_id long, run_triggered long, id long, trigger_time timestamp_ntz, message string"
+    d1 = spark.createDataFrame([(1, 0, 1, T0 + dt.timedelta(days=9), "x")], schema)
+    d2 = spark.createDataFrame([(2, 0, 2, T0, "late"), (2, 0, 3, T0 + dt.timedelta(days=9), "on time"), (3, None, 4, T0, "no run")], schema)
+    _drop(spark, d1, f"{tmp}/in/p0")
+    _drop(spark, d2, f"{tmp}/in/p1")
+    for k in ("ck", "ck-again"):             # a lost checkpoint replays all batches into the same sink
+        s = spark.readStream.schema(d1.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/in/*")
+        TR.debounce_stream(s, f"{tmp}/out", f"{tmp}/{k}").awaitTermination()
+        assert sorted((r.node_id, r.id) for r in spark.read.parquet(f"{tmp}/out").collect()) == [(1, 1), (2, 2)]
+
+
+def test_metric_trigger_fires_once_above_the_threshold(spark, tmp):
+    schema = "run_id long, node_id long, metric_name string, metric_value double"
+    for k, v in enumerate([0.4, 0.9, 0.95]):
+        _drop(spark, spark.createDataFrame([(0, 1, "acc", v), (0, 1, "loss", 0.8)], schema), f"{tmp}/in/p{k}")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/in/*")
+    TR.metric_trigger_stream(s, f"{tmp}/out", f"{tmp}/ck", 0.8).awaitTermination()
+    assert [(r.metric_name, r.metric_value, r.message) for r in spark.read.parquet(f"{tmp}/out").collect()] == \
+        [("acc", 0.9, "max(acc) > 0.8")]
+
 
 
 def test_continuous_discovery_with_processing_time_trigger(spark, tmp):
