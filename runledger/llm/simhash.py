@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_of
+from .common import shuffle_width, store, text_of
 from .components import components
 
 SHINGLE = 3
@@ -84,7 +84,8 @@ def links(marks: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SE
         raise ValueError("balls of one bit in each segment find distances of up to two bits")
     width = BITS // segments
     balls = ", ".join(_ball("bits", k * width, width) for k in range(segments))
-    keyed = marks.select("bits", F.explode(F.expr(f"concat(array(bits), {balls})")).alias("key"))
+    # a small table grows 65-fold here: dealt to all tasks before it does
+    keyed = marks.repartition(shuffle_width(marks.sparkSession), "bits").select("bits", F.explode(F.expr(f"concat(array(bits), {balls})")).alias("key"))
     matched = keyed.groupBy("key").agg(F.collect_set("bits").alias("near")).filter("size(near) > 1")
     return (matched.select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
             .filter(f"a != b AND bit_count(a ^ b) <= {max_distance}").distinct())
@@ -120,7 +121,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_
     kept = store(alike.groupBy("component_id").agg(first).select(
         F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"), F.col("first.n").alias("kept_n")), "kept")
     rows = docs.select(F.struct("*").alias("row"), _digest("text").alias("digest"))
-    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    # the same join at every size: a broadcast of what is small today would hide its cost
+    rows = rows.join(kept.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
     once = rows.filter("kept_n = 1").select("row")
     again = rows.filter("kept_n > 1").dropDuplicates(["kept_id", "kept_digest"]).select("row")
     return once.unionByName(again).select("row.*")
