@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 SWAP_WEIGHT = 1.0
 RIDGE = 1e-5
 STEPS = 600
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 # fixed values: words of identity groups; the words of a row are swapped for one another
 IDENTITY = (
