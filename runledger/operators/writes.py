@@ -229,7 +229,8 @@ def save_artifact(df: DataFrame, path: str, fmt: str = "parquet", overwrite: boo
     from ..sources.files import scan_artifacts
     df.write.format(fmt).mode("overwrite" if overwrite else "errorifexists").save(path)
     spark = df.sparkSession
-    files = scan_artifacts(spark, path, node_level=False)
+    # the committer's own marks (_SUCCESS, checksums) are no artifacts
+    files = scan_artifacts(spark, path, node_level=False).where("NOT location RLIKE '(^|/)[._]'")
     return files.select(F.lit(node_name).cast("string").alias("node_name"), "location", "hash",
                         F.lit(S.HASH_ALGORITHM).alias("hash_algorithm"), F.lit("produced").alias("state"),
                         F.lit(run_id).cast("long").alias("run_id"), "size",

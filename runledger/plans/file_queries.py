@@ -134,9 +134,8 @@ def _count_lines_words(path, content):
     FROM documents""")
 def q_custom_load(spark, sf):
     root = ST.document_tree(spark, sf)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("n_lines", T.LongType()),
                            T.StructField("n_words", T.LongType())])
-    out = FS.custom_load(raw, _count_lines_words, schema)
+    out = FS.custom_load(FS.list_files(spark, root), _count_lines_words, schema)
     rel = FS.relative_location("path", root)
     return out.select(rel.alias("location"), "n_lines", "n_words")

@@ -1,17 +1,13 @@
 """File sources: bulk and incremental artifact discovery, hashing, text and
 card readers.
 
-Discovery lists files with Spark's ``binaryFile`` source.  Selecting only
-``path, length, modificationTime`` prunes the ``content`` column, so a
-listing never reads file bytes.  Hashing then runs in one of two ways:
-
-* ``sha2(content)`` in the JVM for files up to ``inline_max`` bytes - the
-  ``length`` predicate is evaluated by the source before content is read;
-* a chunked SHA-256 in ``mapInPandas`` (1 MiB reads through ``pyarrow.fs``)
-  for larger files, so no file has to fit in one row or in memory.
-
-Paths are read through Hadoop (Spark) or ``pyarrow.fs`` (hashing tasks); both
-accept any URI the cluster can reach.
+A tree is listed level by level in the executors: each round's folders are
+rows, and a task lists the folders it got (``pyarrow.fs``), so the listing is
+a table and never a list on the driver.  All files count: empty ones, and
+names that start with ``.`` or ``_`` (Spark's own file sources skip both).
+Files that are read or hashed are dealt out by their sizes, and read in 1 MiB
+chunks, so no file has to fit in one row.  Locations are plain names in every
+reader (no URL encoding), relative to the root.
 """
 
 from __future__ import annotations
@@ -24,8 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import fresh_scratch
+
 HASH_CHUNK = 1 << 20            # 1 MiB reads, as the store's server-side hasher
-INLINE_MAX = 64 << 20           # hash in the JVM up to this size
+TASK_BYTES = 128 << 20          # files of about so many bytes make a task
+# Hadoop's names of file systems that pyarrow calls otherwise
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
 def _strip_scheme(root: str) -> str:
@@ -40,25 +40,27 @@ def relative_location(path_col: str, root: str):
     return F.regexp_replace(F.col(path_col), "^.*?" + re.escape(r) + "/+", "")
 
 
-def list_files(spark: SparkSession, root: str, node_level: bool = True) -> DataFrame:
-    """S-1/S-4 listing: ``path, node_name, location, size, modified``; no bytes read."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
-    rel = relative_location("path", root)
-    if node_level:
-        return df.select("path", F.element_at(F.split(rel, "/"), 1).alias("node_name"),
-                         F.regexp_replace(rel, "^[^/]*/", "").alias("location"), "size", "modified")
-    return df.select("path", F.lit(None).cast("string").alias("node_name"), rel.alias("location"),
-                     "size", "modified")
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme of the session's default file system if it has none."""
+    if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", root):
+        return root
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def _fs_and_path(uri: str):
+    """File system and path of a URI; a bare path or ``file:`` is a local one, names taken as they are."""
     from pyarrow import fs as pafs
-    if "://" not in uri and uri.startswith("file:"):
-        uri = "file://" + uri[len("file:"):]
-    if "://" not in uri:
+    m = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):(.*)$", uri)
+    if not m:
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = m[1].lower(), m[2]
+    if scheme == "file":
+        return pafs.LocalFileSystem(), re.sub(r"^/+", "/", rest)
+    bucket, _, path = rest.lstrip("/").partition("/")
+    filesystem, base = pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{bucket}")
+    return filesystem, f"{base.rstrip('/')}/{path}" if path else base
 
 
 def _sha256_file(uri: str, chunk: int = HASH_CHUNK) -> str | None:
@@ -76,6 +78,64 @@ def _sha256_file(uri: str, chunk: int = HASH_CHUNK) -> str | None:
     return h.hexdigest()
 
 
+_LISTED = "rel string, folder boolean, size long, modified timestamp"
+
+
+def _list_level(root: str):
+    """Entries of the folders in ``rel`` (below ``root``), one level down."""
+    def run(batches):
+        from pyarrow import fs as pafs
+        filesystem, base = _fs_and_path(root)
+        base = base.rstrip("/")
+        for pdf in batches:
+            out = []
+            for rel in pdf["rel"]:
+                for e in filesystem.get_file_info(pafs.FileSelector(f"{base}/{rel}" if rel else base)):
+                    if e.type in (pafs.FileType.File, pafs.FileType.Directory):
+                        folder = e.type == pafs.FileType.Directory
+                        out.append((f"{rel}/{e.base_name}" if rel else e.base_name, folder, None if folder else e.size, e.mtime))
+            yield pd.DataFrame(out, columns=["rel", "folder", "size", "modified"]).astype(
+                {"folder": bool, "size": "Int64", "modified": "datetime64[us, UTC]"})
+    return run
+
+
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``: rel, size, modified.  One job per folder
+    level; the table is written once to the shared folder."""
+    out = fresh_scratch(spark, "listing")
+    level, depth = spark.createDataFrame([("",)], "rel string"), 0
+    while True:
+        found = level.mapInPandas(_list_level(root), _LISTED)
+        found.write.parquet(f"{out}/depth={depth}")
+        folders = spark.read.schema(_LISTED).parquet(f"{out}/depth={depth}").where("folder").select("rel")
+        n = folders.count()
+        if not n:
+            break
+        level, depth = folders.repartition(min(n, 16 * spark.sparkContext.defaultParallelism)), depth + 1
+    return spark.read.schema(_LISTED).parquet(*[f"{out}/depth={d}" for d in range(depth + 1)]).where("NOT folder").drop("folder")
+
+
+def list_files(spark: SparkSession, root: str, node_level: bool = True) -> DataFrame:
+    """S-1/S-4 listing: ``path, node_name, location, size, modified``; no bytes read.
+
+    ``node_name`` is the first folder level (null for a file at the root) and
+    ``location`` the rest, unless ``node_level`` is false."""
+    root = _qualified(spark, root)
+    rel = F.col("rel")
+    inner = rel.contains("/") if node_level else F.lit(False)
+    return _listing(spark, root).select(
+        F.concat(F.lit(root.rstrip("/") + "/"), rel).alias("path"),
+        F.when(inner, F.substring_index(rel, "/", 1)).alias("node_name"),
+        F.when(inner, F.expr("substr(rel, instr(rel, '/') + 1)")).otherwise(rel).alias("location"), "size", "modified")
+
+
+def _by_bytes(listing: DataFrame) -> DataFrame:
+    """Files dealt to tasks of some ``TASK_BYTES`` each, at least one task per core."""
+    n, size = listing.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    return listing.repartition(max(1, min(n, max(cores, -(-size // TASK_BYTES)))), F.xxhash64("path"))
+
+
 def hash_listed(listing: DataFrame) -> DataFrame:
     """Chunked SHA-256 of every listed ``path`` (runs in the executors)."""
     out_schema = T.StructType(listing.schema.fields + [T.StructField("hash", T.StringType())])
@@ -86,29 +146,12 @@ def hash_listed(listing: DataFrame) -> DataFrame:
             pdf["hash"] = [_sha256_file(p) for p in pdf["path"]]
             yield pdf
 
-    return listing.mapInPandas(run, out_schema)
-
+    return _by_bytes(listing).mapInPandas(run, out_schema)
 
-def scan_artifacts(spark: SparkSession, root: str, inline_max: int = INLINE_MAX,
-                   node_level: bool = True) -> DataFrame:
-    """S-1: every file under ``root`` with its SHA-256.
 
-    ``node_name`` is the first directory level (one folder per resource
-    node) and ``location`` the rest, unless ``node_level`` is false."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = relative_location("path", root)
-    if node_level:
-        node, loc = F.element_at(F.split(rel, "/"), 1), F.regexp_replace(rel, "^[^/]*/", "")
-    else:
-        node, loc = F.lit(None).cast("string"), rel
-    small = (raw.where(F.col("length") <= inline_max)
-             .select("path", node.alias("node_name"), loc.alias("location"), F.col("length").alias("size"),
-                     F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash")))
-    big_listing = list_files(spark, root, node_level).where(F.col("size") > inline_max)
-    # metadata-only probe (no bytes read): add the chunked branch only when needed
-    if big_listing.limit(1).count() == 0:
-        return small
-    return small.unionByName(hash_listed(big_listing))
+def scan_artifacts(spark: SparkSession, root: str, node_level: bool = True) -> DataFrame:
+    """S-1: every file under ``root`` with its SHA-256, keyed as ``list_files`` does."""
+    return hash_listed(list_files(spark, root, node_level))
 
 
 def new_artifacts(spark: SparkSession, root: str, catalog_keys: DataFrame) -> DataFrame:
@@ -116,8 +159,9 @@ def new_artifacts(spark: SparkSession, root: str, catalog_keys: DataFrame) -> Da
 
     The listing (no bytes) is anti-joined with the catalog's
     ``(node_name, location)`` keys first; only the survivors are read."""
-    listing = list_files(spark, root)
-    fresh = listing.join(catalog_keys.select("node_name", "location"), ["node_name", "location"], "left_anti")
+    known = catalog_keys.select(F.col("node_name").alias("_node"), F.col("location").alias("_location"))
+    fresh = list_files(spark, root).join(
+        known, F.col("node_name").eqNullSafe(F.col("_node")) & (F.col("location") == F.col("_location")), "left_anti")
     return hash_listed(fresh)
 
 
@@ -126,11 +170,11 @@ def verify_artifacts(actual: DataFrame, catalog: DataFrame) -> DataFrame:
 
     ``ok`` equal, ``mismatch`` different (a warning in the reference),
     ``missing`` catalogued but not on disk, ``untracked`` on disk only."""
-    a = actual.select("node_name", "location", F.col("hash").alias("actual_hash"))
-    c = catalog.select("node_name", "location", F.col("hash").alias("expected_hash"))
+    a = actual.select("node_name", "location", F.col("hash").alias("actual_hash"), F.lit(True).alias("_there"))
+    c = catalog.select("node_name", "location", F.col("hash").alias("expected_hash"), F.lit(True).alias("_known"))
     j = c.join(a, ["node_name", "location"], "full_outer")
-    status = (F.when(F.col("expected_hash").isNull(), F.lit("untracked"))
-              .when(F.col("actual_hash").isNull(), F.lit("missing"))
+    status = (F.when(F.col("_known").isNull(), F.lit("untracked"))
+              .when(F.col("_there").isNull(), F.lit("missing"))
               .when(F.col("actual_hash") == F.col("expected_hash"), F.lit("ok"))
               .otherwise(F.lit("mismatch")))
     return j.select("node_name", "location", "expected_hash", "actual_hash", status.alias("status"))
@@ -163,13 +207,21 @@ def object_listing(spark: SparkSession, root: str, page: int | None = None,
     return keys if page is None else keys.orderBy("key").limit(page)
 
 
+def _read_all(listing: DataFrame) -> DataFrame:
+    """``listing`` with ``content``, the whole file as UTF-8 text."""
+    schema = T.StructType(listing.schema.fields + [T.StructField("content", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(len(pdf)):            # one text in memory at a time
+                yield pdf.iloc[k:k + 1].assign(content=_bytes_of(pdf["path"].iloc[k]).decode("utf-8", "replace"))
+
+    return _by_bytes(listing).mapInPandas(run, schema)
+
+
 def artifact_text(spark: SparkSession, root: str) -> DataFrame:
-    """S-6 / C-8: one record per file: node, location (file name) and content."""
-    t = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
-    rel = relative_location("path", root)
-    return t.select(F.element_at(F.split(rel, "/"), 1).alias("node_name"),
-                    F.regexp_replace(rel, "^[^/]*/", "").alias("location"), "content")
+    """S-6 / C-8: one record per file: node, location and content."""
+    return _read_all(list_files(spark, root)).select("node_name", "location", "content")
 
 
 def read_dataset_cards(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -181,10 +233,9 @@ def read_dataset_cards(spark: SparkSession, path: str, schema=None) -> DataFrame
 
 
 def read_card_texts(spark: SparkSession, path: str) -> DataFrame:
-    """S-8: card files as whole texts (``card_id`` = file name without .md)."""
-    t = (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-         .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
-    return t.select(F.regexp_replace("file_name", r"\.md$", "").alias("card_id"), "text")
+    """S-8: card files as whole texts (``card_id`` = path below the root without .md)."""
+    return _read_all(list_files(spark, path, node_level=False)).select(
+        F.regexp_replace("location", r"\.md$", "").alias("card_id"), F.col("content").alias("text"))
 
 
 def write_text_files(rows: DataFrame, root: str, overwrite: bool = True) -> int:
@@ -211,12 +262,21 @@ def write_text_files(rows: DataFrame, root: str, overwrite: bool = True) -> int:
     return rows.select("rel", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def _bytes_of(uri: str) -> bytes:
+    filesystem, p = _fs_and_path(uri)
+    with filesystem.open_input_stream(p) as f:
+        return f.read()
+
+
 def custom_load(files: DataFrame, load_fn, schema) -> DataFrame:
     """X-7: apply a user loader ``load_fn(path, content: bytes) -> dict`` to
-    every file; runs batched in ``mapInPandas`` next to the data."""
+    every file of a listing (or of rows that hold their ``content``); runs in
+    ``mapInPandas``, one file's bytes in memory at a time."""
+    held = "content" in files.columns
+
     def run(batches):
         for pdf in batches:
-            rows = [load_fn(p, c) for p, c in zip(pdf["path"], pdf["content"])]
+            rows = [load_fn(p, c if held else _bytes_of(p)) for p, c in zip(pdf["path"], pdf["content"] if held else pdf["path"])]
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return (files.select("path", "content") if held else _by_bytes(files.select("path", "size"))).mapInPandas(run, schema)

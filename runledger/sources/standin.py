@@ -23,7 +23,7 @@ from ..session import scratch_path
 from .files import _fs_and_path, write_text_files
 from .tables import load
 
-MARKER = "_COMPLETE"
+MARKER = "_COMPLETE"          # beside the tree, not in it: every file of a tree is input
 
 
 def _ext():
@@ -38,12 +38,12 @@ def _write_rows(rows: DataFrame, root: str) -> int:
 def _done(root: str) -> bool:
     filesystem, base = _fs_and_path(root)
     from pyarrow import fs as pafs
-    return filesystem.get_file_info(f"{base.rstrip('/')}/{MARKER}").type == pafs.FileType.File
+    return filesystem.get_file_info(f"{base.rstrip('/')}{MARKER}").type == pafs.FileType.File
 
 
 def _mark(root: str, info: dict) -> None:
     filesystem, base = _fs_and_path(root)
-    with filesystem.open_output_stream(f"{base.rstrip('/')}/{MARKER}") as f:
+    with filesystem.open_output_stream(f"{base.rstrip('/')}{MARKER}") as f:
         f.write(json.dumps(info).encode())
 
 

@@ -31,7 +31,7 @@ def test_chunked_hash_for_large_files(spark, tmp):
     big = "x" * (3 * (1 << 20) + 17)            # three full chunks and a tail
     with open(os.path.join(tmp, "data_store", "big.bin"), "w") as f:
         f.write(big)
-    got = {r.location: r.hash for r in FS.scan_artifacts(spark, tmp, inline_max=1 << 20).collect()}
+    got = {r.location: r.hash for r in FS.scan_artifacts(spark, tmp).collect()}
     assert got["big.bin"] == _sha(big) and got["test_file3.txt"] == _sha("test file 3")
 
 
@@ -42,10 +42,29 @@ def test_new_artifacts_only_unknown_paths(spark, tmp):
     assert got == [f"test_file{i}.txt" for i in range(6, 10)]
 
 
-def test_listing_does_not_read_content(spark, tmp):
-    _make_tree(tmp)
-    plan = FS.list_files(spark, tmp)._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
+def test_all_kinds_of_files_are_listed_hashed_and_read(spark, tmp):
+    _make_tree(tmp, n=3)
+    names = {"data_store/empty.txt": "", "data_store/.hidden": "h", "data_store/_part": "p", "data_store/a b%20c.txt": "s",
+             "data_store/_sub/deep/\u00e9.txt": "e", "root.txt": "r"}
+    for n, t in names.items():
+        os.makedirs(os.path.dirname(os.path.join(tmp, n)) or tmp, exist_ok=True)
+        with open(os.path.join(tmp, n), "w") as f:
+            f.write(t)
+    want = {(n.split("/", 1)[0] if "/" in n else None, n.split("/", 1)[-1]): t
+            for n, t in {**names, **{f"data_store/test_file{i}.txt": f"test file {i}" for i in range(3)}}.items()}
+    scanned = FS.scan_artifacts(spark, tmp)
+    assert {(r.node_name, r.location): r.hash for r in scanned.collect()} == {k: _sha(t) for k, t in want.items()}
+    assert {(r.node_name, r.location): r.content for r in FS.artifact_text(spark, tmp).collect()} == want
+    assert sorted(r.key for r in FS.object_listing(spark, tmp).collect()) == sorted("/".join(filter(None, k)) for k in want)
+    checked = FS.verify_artifacts(scanned, scanned.select("node_name", "location", "hash").where("node_name IS NOT NULL"))
+    assert {r.status for r in checked.where("location != 'root.txt'").collect()} == {"ok"}
+    known = spark.createDataFrame([k for k in want if k[1] != ".hidden"], "node_name string, location string")
+    assert [r.location for r in FS.new_artifacts(spark, f"file:{tmp}", known).collect()] == [".hidden"]
+
+
+def test_hashing_runs_in_many_tasks(spark, tmp):
+    _make_tree(tmp, n=60)
+    assert FS.scan_artifacts(spark, tmp).rdd.getNumPartitions() > 1
 
 
 def test_verify_statuses(spark, tmp):

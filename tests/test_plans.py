@@ -65,20 +65,3 @@ def test_asof_general_path_has_no_unpartitioned_window_over_events(spark):
 def test_top_k_is_two_phase(spark):
     p = _plan(E.queries()["recent_artifacts"](spark, SF))
     assert p.count("row_number()") >= 2 and "_salt" in p
-
-
-def test_file_listing_prunes_content(spark, tmp):
-    from runledger.sources.files import list_files
-    os.makedirs(f"{tmp}/n", exist_ok=True)
-    open(f"{tmp}/n/a.txt", "w").write("x")
-    p = _plan(list_files(spark, tmp))
-    rs = re.findall(r"ReadSchema: (struct<[^>]*>)", p)
-    assert rs and all("content" not in s for s in rs)
-
-
-def test_size_predicate_reaches_binary_file_scan(spark, tmp):
-    from runledger.sources.files import scan_artifacts
-    os.makedirs(f"{tmp}/n", exist_ok=True)
-    open(f"{tmp}/n/a.txt", "w").write("x")
-    p = _plan(scan_artifacts(spark, tmp, inline_max=1024))
-    assert "LessThanOrEqual(length,1024)" in p
