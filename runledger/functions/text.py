@@ -35,15 +35,6 @@ def micros_between(start, end) -> Column:
     return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
 
 
-# N-2
-def relative_path(path, root: str) -> Column:
-    """Strip ``root`` and the separator after it (``removeprefix`` + ``lstrip('/')``)."""
-    r = root.rstrip("/")
-    p = _c(path)
-    stripped = F.when(p.startswith(r), F.substr(p, F.lit(len(r) + 1))).otherwise(p)
-    return F.regexp_replace(stripped, "^/+", "")
-
-
 # N-3
 def base_name(path) -> Column:
     return F.element_at(F.split(_c(path), "/"), -1)

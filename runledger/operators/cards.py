@@ -377,9 +377,6 @@ def card_from_jsonld(docs: DataFrame) -> DataFrame:
 
 
 # C-5 -----------------------------------------------------------------------
-DATASET_CARD_FIELDS = ["language", "license", "annotations_creators", "language_creators", "multilinguality",
-                       "size_categories", "source_datasets", "task_categories", "task_ids", "paperswithcode_id",
-                       "pretty_name", "train_eval_index", "config_names"]
 
 
 def dataset_card_metadata(meta: DataFrame) -> DataFrame:

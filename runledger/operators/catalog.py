@@ -84,7 +84,7 @@ def entries(artifacts: DataFrame, nodes: DataFrame, node_name: str | None = None
             state: str = S.STATE_ALL, run_id: int | None = None) -> DataFrame:
     check_state(state)
     if run_id is not None and run_id < 0:
-        raise ValueError("Run ID must be a positive integer.")
+        raise ValueError(f"no run can have the id {run_id}")
     a = artifacts
     if state != S.STATE_ALL:
         a = a.where(F.col("state") == F.lit(state))

@@ -94,13 +94,18 @@ def q_snapshot_diff(spark, sf):
     FROM status_events GROUP BY status
     UNION ALL
     SELECT 'doc_store_state', state, count(*), coalesce(state IN ({_sql_list(S.DOC_STORE_STATES)}), false)
-    FROM marks GROUP BY state""", "artifacts", "status_events", "marks"))
+    FROM marks GROUP BY state
+    UNION ALL
+    SELECT 'log_level', upper(event_type), count(*), coalesce(upper(event_type) IN ({_sql_list(S.LOG_LEVELS)}), false)
+    FROM events GROUP BY event_type""", "artifacts", "status_events", "marks"))
 def q_validate_states(spark, sf):
     a = L.validate_values(X.artifacts(spark, sf), "state", S.ARTIFACT_STATES, "artifact_state")
     s = L.validate_values(X.status_events(spark, sf), "status", S.STATUS_NAMES, "status")
     # marks use the older document-store vocabulary check: "using"/"used" are not in it
     m = L.validate_values(X.marks(spark, sf), "state", S.DOC_STORE_STATES, "doc_store_state")
-    return a.unionByName(s).unionByName(m)
+    # log lines carry their event's type as level: only ERROR is one
+    lv = L.validate_values(load(spark, sf, "events").select(F.upper("event_type").alias("level")), "level", S.LOG_LEVELS, "log_level")
+    return a.unionByName(s).unionByName(m).unionByName(lv)
 
 
 @query("action_outcomes", W("""
