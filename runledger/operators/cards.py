@@ -29,8 +29,8 @@ DATASET_KEY_RENAMES = {"train_eval_index": "train-eval-index"}
 EVAL_IDENTITY = ["task_type", "dataset_type", "dataset_config", "dataset_split", "dataset_revision"]
 # Fields compared by "equal except value" (everything but metric_value and verify_token).
 EVAL_COMPARE = ["model_name", "task_type", "task_name", "dataset_type", "dataset_name", "dataset_config",
-                "dataset_split", "dataset_revision", "metric_type", "metric_name", "metric_config",
-                "verified", "source_name", "source_url"]
+                "dataset_split", "dataset_revision", "dataset_args", "metric_type", "metric_name", "metric_config",
+                "metric_args", "verified", "source_name", "source_url"]
 # Dataset card body: (heading, bullet labels or None for a placeholder paragraph).
 DATASET_CARD_SECTIONS = [
     ("## Dataset Details", None),
@@ -71,7 +71,12 @@ PART_FILES = 100_000
 def _metric_struct() -> Column:
     return F.struct(F.col("metric_type").alias("type"), F.col("metric_value").alias("value"),
                     F.col("metric_name").alias("name"), F.col("metric_config").alias("config"),
-                    F.col("verified").alias("verified"), F.col("verify_token").alias("verifyToken"))
+                    F.parse_json("metric_args").alias("args"), F.col("verified").alias("verified"), F.col("verify_token").alias("verifyToken"))
+
+
+def _in_order(entries: Column, by: str) -> Column:
+    """Structs sorted by one field (variants among the others have no order)."""
+    return F.array_sort(entries, lambda l, r: F.when(l[by] < r[by], -1).when(l[by] > r[by], 1).otherwise(0))
 
 
 def model_index_build(evals: DataFrame) -> DataFrame:
@@ -81,14 +86,16 @@ def model_index_build(evals: DataFrame) -> DataFrame:
     fields come from the group's first result (lowest ``seq``), metrics keep
     input order.  This is the card's own nested format: one row holds a
     model's whole index, as the card file does, so it is meant for cards
-    (small per-model documents); bulk analysis uses ``model_index_summary``."""
+    (small per-model documents); bulk analysis uses ``model_index_summary``.
+    ``dataset_args`` and ``metric_args`` are JSON texts and become nested
+    values of the index."""
     keys = ["model_name", *EVAL_IDENTITY]
     first = F.struct("task_type", "task_name", "dataset_name", "dataset_type", "dataset_config",
-                     "dataset_split", "dataset_revision", "source_name", "source_url")
+                     "dataset_split", "dataset_revision", "dataset_args", "source_name", "source_url")
     g = evals.groupBy(*keys).agg(
         F.min("seq").alias("first_seq"),
         F.min_by(first, "seq").alias("f"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", _metric_struct().alias("m")))),
+        F.transform(_in_order(F.collect_list(F.struct("seq", _metric_struct().alias("m"))), "seq"),
                     lambda x: x["m"]).alias("metrics"))
     source = F.when(F.col("f.source_url").isNotNull(),
                     F.struct(F.col("f.source_url").alias("url"), F.col("f.source_name").alias("name")))
@@ -96,10 +103,10 @@ def model_index_build(evals: DataFrame) -> DataFrame:
         F.struct(F.col("f.task_type").alias("type"), F.col("f.task_name").alias("name")).alias("task"),
         F.struct(F.col("f.dataset_name").alias("name"), F.col("f.dataset_type").alias("type"),
                  F.col("f.dataset_config").alias("config"), F.col("f.dataset_split").alias("split"),
-                 F.col("f.dataset_revision").alias("revision")).alias("dataset"),
+                 F.col("f.dataset_revision").alias("revision"), F.parse_json("f.dataset_args").alias("args")).alias("dataset"),
         F.col("metrics"), source.alias("source"))
     return (g.groupBy("model_name")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("first_seq", result.alias("r")))),
+            .agg(F.transform(_in_order(F.collect_list(F.struct("first_seq", result.alias("r"))), "first_seq"),
                              lambda x: x["r"]).alias("results"))
             .select(F.col("model_name").alias("name"), "results"))
 
@@ -133,9 +140,10 @@ def model_index_flatten(model_index: DataFrame) -> DataFrame:
         F.col("r.task.type").alias("task_type"), F.col("r.task.name").alias("task_name"),
         F.col("r.dataset.type").alias("dataset_type"), F.col("r.dataset.name").alias("dataset_name"),
         F.col("r.dataset.config").alias("dataset_config"), F.col("r.dataset.split").alias("dataset_split"),
-        F.col("r.dataset.revision").alias("dataset_revision"),
+        F.col("r.dataset.revision").alias("dataset_revision"), F.to_json("r.dataset.args").alias("dataset_args"),
         F.col("m.type").alias("metric_type"), F.col("m.value").alias("metric_value"),
         F.col("m.name").alias("metric_name"), F.col("m.config").alias("metric_config"),
+        F.to_json("m.args").alias("metric_args"),
         F.col("m.verified").alias("verified"), F.col("m.verifyToken").alias("verify_token"),
         F.col("r.source.name").alias("source_name"), F.col("r.source.url").alias("source_url"))
 

@@ -200,16 +200,18 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(w).cast("long").alias("seq"),
         F.concat(F.lit("model-"), "l_returnflag").alias("model_name"),
         F.concat(F.lit("ship-"), "l_linestatus").alias("task_type"),
-        F.lit(None).cast("string").alias("task_name"),
+        F.when(F.col("l_linestatus") == "O", "Shipping").alias("task_name"),
         F.lit("lineitem").alias("dataset_type"),
         F.lit("Line items").alias("dataset_name"),
         F.col("yr").cast("string").alias("dataset_config"),
         F.lit("test").alias("dataset_split"),
         F.lit(None).cast("string").alias("dataset_revision"),
+        F.when(F.col("yr") % 2 == 0, F.concat(F.lit('{"year":'), F.col("yr").cast("string"), F.lit("}"))).alias("dataset_args"),
         "metric_type", "metric_value",
-        F.lit(None).cast("string").alias("metric_name"),
+        F.when(F.col("metric_type") == "count", "Count").alias("metric_name"),
         F.lit(None).cast("string").alias("metric_config"),
-        F.lit(None).cast("boolean").alias("verified"),
+        F.when(F.col("qtr") <= 2, '{"agg":"plain","half":1}').alias("metric_args"),
+        (F.col("yr") > 1994).alias("verified"),
         F.concat(F.lit("q"), F.col("qtr").cast("string")).alias("verify_token"),
         F.when(F.col("l_linestatus") == "F", F.lit("ledger")).alias("source_name"),
         F.when(F.col("l_returnflag") == "R",
@@ -387,11 +389,12 @@ DUCKDB: dict[str, tuple[list[str], str]] = {
     "eval_results": ([], """
         SELECT CAST(row_number() OVER (ORDER BY l_returnflag, l_linestatus, yr, qtr, metric_type) AS BIGINT) AS seq,
                'model-' || l_returnflag AS model_name, 'ship-' || l_linestatus AS task_type,
-               CAST(NULL AS VARCHAR) AS task_name, 'lineitem' AS dataset_type, 'Line items' AS dataset_name,
+               CASE WHEN l_linestatus = 'O' THEN 'Shipping' END AS task_name, 'lineitem' AS dataset_type, 'Line items' AS dataset_name,
                CAST(yr AS VARCHAR) AS dataset_config, 'test' AS dataset_split,
-               CAST(NULL AS VARCHAR) AS dataset_revision, metric_type, metric_value,
-               CAST(NULL AS VARCHAR) AS metric_name, CAST(NULL AS VARCHAR) AS metric_config,
-               CAST(NULL AS BOOLEAN) AS verified, 'q' || CAST(qtr AS VARCHAR) AS verify_token,
+               CAST(NULL AS VARCHAR) AS dataset_revision,
+               CASE WHEN yr % 2 = 0 THEN '{"year":' || CAST(yr AS VARCHAR) || '}' END AS dataset_args, metric_type, metric_value,
+               CASE WHEN metric_type = 'count' THEN 'Count' END AS metric_name, CAST(NULL AS VARCHAR) AS metric_config,
+               CASE WHEN qtr <= 2 THEN '{"agg":"plain","half":1}' END AS metric_args, yr > 1994 AS verified, 'q' || CAST(qtr AS VARCHAR) AS verify_token,
                CASE WHEN l_linestatus = 'F' THEN 'ledger' END AS source_name,
                CASE WHEN l_returnflag = 'R' THEN 'https://ledger.example.org/' || l_returnflag END AS source_url
         FROM (SELECT l_returnflag, l_linestatus, year(l_shipdate) AS yr, quarter(l_shipdate) AS qtr,

@@ -1,5 +1,6 @@
 """Cards: model index round trip, eval checks, front matter, rendering."""
 
+from pyspark.sql import functions as F
 
 from runledger import schemas as S
 from runledger.functions.text import line_ending
@@ -20,7 +21,8 @@ def _evals(spark):
         (3, "my-cool-model", "image-classification", None, "beans", "Beans", None, None, None, "accuracy", 0.7,
          None, None, None, "tok", None, None),
         (4, None, "text-generation", None, "tiny", "Tiny", None, None, None, "loss", None,
-         None, None, None, None, "orphan", None)], EVAL_SCHEMA)
+         None, None, None, None, "orphan", None)], EVAL_SCHEMA).withColumns(
+            {"dataset_args": F.lit(None).cast("string"), "metric_args": F.lit(None).cast("string")})
 
 
 def test_model_index_groups_by_identity_first_result_wins(spark):
@@ -49,6 +51,17 @@ def test_conflicts_ignore_value_and_token(spark):
     assert got == {(1, 1, 2), (3, 1, 2)}
 
 
+def test_args_survive_and_part_conflicts(spark):
+    e = _evals(spark).where("seq IN (1, 3)").withColumns({
+        "dataset_args": F.lit('{"n":[1,2]}'), "metric_args": F.when(F.col("seq") == 1, '{"average":"macro"}')})
+    mi = CD.model_index_build(e)
+    text = CD.model_index_json(mi).first().model_index
+    assert '"args":{"n":[1,2]}' in text and text.count('"args":{"average":"macro"}') == 1
+    back = {r.metric_value: (r.dataset_args, r.metric_args) for r in CD.model_index_flatten(mi).collect()}
+    assert back == {0.9: ('{"n":[1,2]}', '{"average":"macro"}'), 0.7: ('{"n":[1,2]}', None)}
+    assert CD.eval_conflicts(e).count() == 0           # other arguments: another evaluation
+
+
 def test_violations(spark):
     got = {(r.seq, r.rule) for r in CD.eval_violations(_evals(spark)).collect()}
     assert got == {(4, "source_name_without_url"), (4, "missing_model_name"), (4, "missing_metric_value")}
