@@ -1,7 +1,7 @@
 """Benchmark decontamination over canonical templates, DataFrame functions only.
 
 Words keep their place but lose what a re-parameterised question changes:
-numbers, names (capitalised inside a sentence) and units (after a number, or a
+numbers, names (capitalised inside a sentence, not all in capitals) and units (after a number, or a
 sign) become typed placeholders wherever a plain word stands next to them.
 Windows of template words are hash-joined with the benchmark's.  Along one
 alignment of an item in a document the values must map slot by slot without
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import store
 
-WINDOW = 8
-COVERAGE = 0.5
+WINDOW = 6
+COVERAGE = 0.3
 BROADCAST_ROWS = 1_000_000     # windows or ids of some 24 bytes each; beyond it joins shuffle
 
 # fixed values: units that may follow a number, and signs that stand for one
@@ -48,7 +48,7 @@ def with_template(rows: DataFrame) -> DataFrame:
           WHEN t IN ({_listed(STOPS)}) THEN 9
           WHEN substr(t, 1, 1) {digit} THEN 1
           WHEN t IN ({_listed(SIGNS)}) OR (substr(get(tokens_, i - 1), 1, 1) {digit} AND lower(t) IN ({_listed(UNITS)})) THEN 2
-          WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND i > 0 AND get(tokens_, i - 1) NOT IN ({_listed(STOPS)}) THEN 3
+          WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND t <> upper(t) AND i > 0 AND get(tokens_, i - 1) NOT IN ({_listed(STOPS)}) THEN 3
           ELSE 0 END AS kind)), k -> k.kind <> 9)""")).drop("tokens_")
 
 
@@ -153,7 +153,7 @@ kinds AS (SELECT side, id, text, i, lower(t) AS value, CASE
     WHEN t IN ({quoted(STOPS)}) THEN 'end'
     WHEN substr(t, 1, 1) BETWEEN '0' AND '9' THEN 'num'
     WHEN t IN ({quoted(SIGNS)}) OR (lower(t) IN ({quoted(UNITS)}) AND substr(b, 1, 1) BETWEEN '0' AND '9') THEN 'unit'
-    WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND i > 1 AND b NOT IN ({quoted(STOPS)}) THEN 'name'
+    WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND t <> upper(t) AND i > 1 AND b NOT IN ({quoted(STOPS)}) THEN 'name'
     ELSE 'word' END AS kind FROM lagged),
 marks AS (SELECT *, kind <> 'word' AND (coalesce(lag(kind) OVER w = 'word', false) OR coalesce(lead(kind) OVER w = 'word', false)) AS slot
     FROM kinds WHERE kind <> 'end' WINDOW w AS (PARTITION BY side, id, text ORDER BY i)),
