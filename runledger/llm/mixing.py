@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -65,15 +66,29 @@ def start_weights() -> np.ndarray:
     return w.reshape(GATES, 3)
 
 
-class Hashes(dict):
-    """word -> its 64-bit hash."""
+class Words(dict):
+    """word -> its number here; ``hashes`` and, with ``common``, ``logs`` (of
+    the word's count, nan if it is not common) are by that number."""
+
+    def __init__(self, common: dict | None = None):
+        super().__init__()
+        self.common = common
+        self.hashes, self.logs = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
+        k = self[word] = len(self)
+        if k == len(self.hashes):
+            self.hashes, self.logs = np.concatenate([self.hashes] * 2), np.concatenate([self.logs] * 2)
+        self.hashes[k] = xxhash.xxh64_intdigest(word, 42)
+        if self.common is not None:
+            self.logs[k] = self.common.get(word, np.nan)
+        return k
+
+    def number(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' numbers, and each text's start and length."""
+        n = np.array([len(d) for d in docs])
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, int(n.sum())), np.cumsum(n) - n, n
 
 
 def words_of(text: str) -> list[bytes]:
@@ -95,14 +110,6 @@ def _slices(texts) -> Iterator[list[str]]:
         yield part
 
 
-def _hashed(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' hashes, and each text's start and length."""
-    table = worker_state("mixing_hashes", Hashes)
-    n = np.array([len(d) for d in docs])
-    h = np.fromiter((table[w] for d in docs for w in d), np.uint64, int(n.sum()))
-    return h, np.cumsum(n) - n, n
-
-
 def _contexts(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A mixed hash of the word before and of the two words before; zeros stand before a text."""
     one = np.zeros_like(h)
@@ -123,23 +130,16 @@ def _learn(bits: int):
     size = 1 << bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
+        words, seen = Words(), np.zeros(0, np.int64)
         counts = np.zeros(2 * (256 + 2 * size), np.int32)
-
-        def flushed():
-            yield pd.DataFrame({"word": [w.decode() for w in words], "n": list(words.values()), "chunk": None, "counts": None})
-            words.clear()
-
-        some = False
         for pdf in batches:
             for part in _slices(pdf["text"]):
-                some = True
                 docs = [words_of(t) for t in part]
-                for d in docs:
-                    words.update(d)
-                if len(words) >= FLUSH_WORDS:
-                    yield from flushed()
-                h, starts, _ = _hashed(docs)
+                numbers, starts, _ = words.number(docs)
+                added = np.bincount(numbers, minlength=len(words))
+                added[:len(seen)] += seen
+                seen = added
+                h = words.hashes[numbers]
                 code = (h & np.uint64(255)).astype(np.int64)
                 nodes, bit = NODES[code], BITS[code]
                 counts[:512] += np.bincount((2 * nodes.astype(np.int64) + bit).ravel(), minlength=512).astype(np.int32)
@@ -147,13 +147,21 @@ def _learn(bits: int):
                     at = 512 + 2 * size * k
                     counts[at:at + 2 * size] += np.bincount(
                         (2 * _slots(context, nodes, bits) + bit).ravel(), minlength=2 * size).astype(np.int32)
-        if some:
-            yield from flushed()
+                if len(words) >= FLUSH_WORDS:
+                    yield from _counted(words, seen)
+                    words, seen = Words(), np.zeros(0, np.int64)
+        if len(seen) or counts.any():
+            yield from _counted(words, seen)
             for k, s in enumerate(range(0, len(counts), CHUNK)):
                 yield pd.DataFrame({"word": None, "n": 0, "chunk": [k], "counts": [zlib.compress(counts[s:s + CHUNK], 1)]})
     return run
 
 
+def _counted(words: Words, seen: np.ndarray) -> Iterator[pd.DataFrame]:
+    if len(seen):
+        yield pd.DataFrame({"word": [w.decode() for w in words], "n": seen, "chunk": None, "counts": None})
+
+
 def _sum_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds up sorted chunks one after the other, one sum in memory at a time."""
     now, total = None, None
@@ -229,13 +237,11 @@ class Mixer:
             if b == len(h):
                 break
             err = bit - p
-            hits, where = np.unique(gate, return_inverse=True)
-            many = np.bincount(where, minlength=len(hits)) + 64
+            many = RATE / (np.bincount(gate, minlength=n * GATES) + 64)
             for k in range(3):
-                weights[hits, k] += (RATE * np.bincount(where, (err * x[k]).ravel(), len(hits)) / many).astype(np.float32)
-            hits, where = np.unique(at, return_inverse=True)
-            many = np.bincount(where, minlength=len(hits)) + 64
-            level[hits] += (REFINE_RATE * np.bincount(where, (bit - level[at].reshape(p.shape)).ravel(), len(hits)) / many).astype(np.float32)
+                weights[:, k] += np.bincount(gate, (err * x[k]).ravel(), n * GATES) * many
+            miss = np.bincount(at, (bit - level[at].reshape(p.shape)).ravel(), n * LEVELS)
+            level += REFINE_RATE * miss / (np.bincount(at, minlength=n * LEVELS) + 64)
         return seen
 
 
@@ -245,31 +251,32 @@ def _score(model, name: str):
         mixers = worker_state("mixers", dict)           # the worker's latest model
         if name not in mixers:
             mixers.clear()
-            mixers[name] = Mixer(counts, slot_bits)
-        mixer = mixers[name]
+            mixers[name] = [Mixer(counts, slot_bits), Words(common)]
+        mixer, words = mixers[name]
         base = TaskContext.get().partitionId() << 40
         for pdf in batches:
             ids, at = pdf["doc_id"].tolist(), 0
             for part in _slices(pdf["text"]):
+                if len(words) >= WORDS_KEPT:
+                    words = mixers[name][1] = Words(common)
                 docs = [words_of(t) for t in part]
-                h, starts, n = _hashed(docs)
-                coded = mixer.code(h, starts, n)
-                coded -= np.add.reduceat(shares[(h & np.uint64(255)).astype(np.int64)], starts)
-                rows, rare = [], []
-                for k, d in enumerate(docs):
-                    known, logs = 0, 0.0
-                    for w, m in sorted(Counter(d).items()):
-                        g = common.get(w)
-                        if g is None:
-                            rare.append((base + at + k, w.decode(), m))
-                        else:
-                            known += m
-                            logs += m * g
-                    rows.append((base + at + k, ids[at + k], len(d), known, logs, coded[k], None, len(part[k].encode())))
-                yield pd.DataFrame(rows, columns=SCORED)
-                if rare:
-                    yield pd.DataFrame(rare, columns=["row", "word", "m"]).assign(
-                        doc_id=None, n_tokens=0, known=0, logs=0.0, coded=0.0)[SCORED]
+                numbers, starts, n = words.number(docs)
+                h, logs = words.hashes[numbers], words.logs[numbers]
+                coded = mixer.code(h, starts, n) - np.add.reduceat(shares[(h & np.uint64(255)).astype(np.int64)], starts)
+                there = ~np.isnan(logs)
+                yield pd.DataFrame({
+                    "row": base + at + np.arange(len(docs)), "doc_id": ids[at:at + len(docs)], "n_tokens": n,
+                    "known": np.add.reduceat(there.astype(np.int64), starts),
+                    "logs": np.add.reduceat(np.where(there, logs, 0.0), starts), "coded": coded, "word": None,
+                    "m": [len(t.encode()) for t in part]})[SCORED]
+                far = np.flatnonzero(~there)
+                if len(far):
+                    tokens = list(chain.from_iterable(docs))
+                    doc = np.searchsorted(starts, far, "right") - 1
+                    rare = Counter(zip(doc.tolist(), map(tokens.__getitem__, far.tolist()), strict=True))
+                    yield pd.DataFrame({"row": [base + at + k for k, _ in rare], "doc_id": None, "n_tokens": 0, "known": 0,
+                                        "logs": 0.0, "coded": 0.0, "word": [w.decode() for _, w in rare],
+                                        "m": list(rare.values())})[SCORED]
                 at += len(docs)
             base += 1 << 24
     return run
