@@ -41,7 +41,6 @@ WORDS_KEPT = 600_000      # of a worker's table of word hashes
 SLICE_CHARS = 2_000_000
 FLUSH_WORDS = 400_000
 CHUNK = 1 << 15
-FLOOR = 1e-6
 # a text's row (m: its bytes), or one of its words that is not among the common ones (m: how often)
 SCORED = ["row", "doc_id", "n_tokens", "known", "logs", "coded", "word", "m"]
 
@@ -192,11 +191,11 @@ def learn(docs: DataFrame, slot_bits: int = SLOT_BITS) -> dict:
     return {"words": words, "counts": counts, "slot_bits": slot_bits}
 
 
-def _logits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logit of a one in each slot, and the slot's confidence class."""
+def _logits(counts: np.ndarray) -> np.ndarray:
+    """The logit of a one in each slot and, beside it, the slot's confidence class."""
     zero, one = counts[0::2], counts[1::2]
-    return (np.log((one + 0.4) / (zero + 0.4)).astype(np.float32),
-            (np.searchsorted(SEEN, zero + one, "right") - 1).astype(np.uint8))
+    sure = np.searchsorted(SEEN, zero + one, "right") - 1
+    return np.stack([np.log((one + 0.4) / (zero + 0.4)), sure], axis=1).astype(np.float32)
 
 
 class Mixer:
@@ -204,7 +203,7 @@ class Mixer:
 
     def __init__(self, counts: np.ndarray, slot_bits: int):
         self.bits, size = slot_bits, 1 << slot_bits
-        self.none, _ = _logits(counts[:512])
+        self.none = _logits(counts[:512])[:, 0].copy()
         self.tables = [_logits(counts[512 + 2 * size * k:512 + 2 * size * (k + 1)]) for k in range(2)]
 
     def code(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -217,31 +216,35 @@ class Mixer:
         contexts = [c[order] for c in _contexts(h, starts)]
         code, doc, block = code[order], doc[order], block[order]
         cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
-        weights = np.repeat(start_weights()[None], n, axis=0).reshape(n * GATES, 3)
-        level = np.repeat(1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2.0))[None], n, axis=0).astype(np.float32).ravel()
+        weights = [np.tile(w, n) for w in start_weights().T]
+        level = np.tile(1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2.0)), n).astype(np.float32)
         seen = np.zeros(n)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            nodes, bit = NODES[code[a:b]], BITS[code[a:b]].astype(np.float32)
-            s1, s2 = (_slots(c[a:b], nodes, self.bits) for c in contexts)
-            (l1, c1), (l2, c2) = self.tables
-            x = (self.none[nodes.astype(np.int64)], l1[s1], l2[s2])
-            own = doc[a:b, None]
-            gate = (own * GATES + c1[s1].astype(np.int64) * 4 + c2[s2]).ravel()
-            w = weights[gate].reshape(b - a, 8, 3)
-            z = np.clip(w[..., 0] * x[0] + w[..., 1] * x[1] + w[..., 2] * x[2], -12, 12)
+            nodes, bit = NODES[code[a:b]], BITS[code[a:b]].ravel()
+            found = [np.take(t, _slots(c[a:b], nodes, self.bits).ravel(), axis=0)
+                     for c, t in zip(contexts, self.tables, strict=True)]
+            x = (self.none[nodes.ravel().astype(np.int64)], found[0][:, 0], found[1][:, 0])
+            own = np.repeat(doc[a:b], 8)
+            gate = own * GATES + (4 * found[0][:, 1] + found[1][:, 1]).astype(np.int64)
+            z = np.take(weights[0], gate) * x[0]
+            for k in (1, 2):
+                z += np.take(weights[k], gate) * x[k]
+            np.clip(z, -12, 12, out=z)
             p = 1 / (1 + np.exp(-z))
-            at = (own * LEVELS + np.rint(np.clip(2 * z, -12, 12)).astype(np.int64) + LEVELS // 2).ravel()
-            final = np.clip(0.5 * p + 0.5 * level[at].reshape(p.shape), FLOOR, 1 - FLOOR)
-            cost = np.log10(np.where(bit > 0, final, 1 - final)).sum(axis=1, dtype=np.float64)
+            at = own * LEVELS + (np.rint(np.clip(2 * z, -12, 12)) + LEVELS // 2).astype(np.int64)
+            there = np.take(level, at)
+            # between 3e-6 and one less that: p and the levels never reach zero or one
+            final = 0.5 * (p + there)
+            cost = np.log10(np.where(bit, final, 1 - final)).reshape(-1, 8).sum(axis=1, dtype=np.float64)
             seen += np.bincount(doc[a:b], cost, n)
             if b == len(h):
                 break
             err = bit - p
             many = RATE / (np.bincount(gate, minlength=n * GATES) + 64)
             for k in range(3):
-                weights[:, k] += np.bincount(gate, (err * x[k]).ravel(), n * GATES) * many
-            miss = np.bincount(at, (bit - level[at].reshape(p.shape)).ravel(), n * LEVELS)
-            level += REFINE_RATE * miss / (np.bincount(at, minlength=n * LEVELS) + 64)
+                weights[k] += (np.bincount(gate, err * x[k], n * GATES) * many).astype(np.float32)
+            miss = np.bincount(at, bit - there, n * LEVELS)
+            level += (REFINE_RATE * miss / (np.bincount(at, minlength=n * LEVELS) + 64)).astype(np.float32)
         return seen
 
 
