@@ -41,7 +41,8 @@ def _before(counts: DataFrame) -> DataFrame:
 
 def shuffle_rows(docs: DataFrame, seed: int = 1, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """All rows of ``docs`` in a seeded random order, stored as (position, row),
-    and their number."""
+    and their number.  ``docs`` should be a stored table: a row's place in the
+    scan parts it from equal rows, and a task that runs again must find it there."""
     n, size = docs.agg(F.count("*"), F.sum(row_bytes())).first()
     if not n:
         empty = docs.select(F.lit(0).cast("long").alias("position"), F.struct("*").alias("row"))

@@ -82,6 +82,8 @@ class WordIds(dict):
                 if any(c.isspace() for c in p[0]):
                     out.append(self._whole(text))
                     continue
+                if len(self.starts) >= TABLE_LIMIT:
+                    self.starts.clear()
                 first = self.starts[p[0]] = self._whole(p[0]) if p[0] else b""
             try:
                 out.append(first + b"".join(map(self.__getitem__, p[1:])))
