@@ -192,23 +192,41 @@ def split_front_matter(cards: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("body", F.when(found, F.substr(t, F.length(whole) + 1)).otherwise(t))
 
 
+HEADER_KEY = r"^([^:\s#-][^:]*):\s*(.*?)\s*$"
+HEADER_ITEM = r"^\s*-\s+(.*?)\s*$"
+
+
 def header_entries(cards: DataFrame, id_col: str = "card_id") -> DataFrame:
-    """Flat ``key: value`` lines of the header, one row each, with position."""
-    lines = F.split(F.col("header"), r"\r\n|\r|\n")
-    e = cards.select(id_col, F.posexplode(lines).alias("pos", "line"))
-    kv = F.regexp_extract("line", r"^([^:\s#][^:]*):\s*(.*?)\s*$", 1)
-    return e.where(kv != "").select(
-        id_col, F.col("pos").cast("long").alias("pos"), kv.alias("key"),
-        F.regexp_extract("line", r"^([^:\s#][^:]*):\s*(.*?)\s*$", 2).alias("value"))
+    """``key: value`` lines of the header, one row each, with position, and
+    ``items``: the values of the ``- item`` lines below the key (a block list;
+    empty where there is none)."""
+    made = cards.select(id_col, F.split(F.col("header"), r"\r\n|\r|\n").alias("_lines"))
+    made = made.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1),
+                                           lambda i: F.get("_lines", i).rlike(HEADER_KEY)))
+
+    def entry(i, k):
+        until = F.coalesce(F.get("_at", k + 1), F.size("_lines"))
+        below = F.filter(F.slice("_lines", i + 2, until - i - 1), lambda x: x.rlike(HEADER_ITEM))
+        line = F.get("_lines", i)
+        return F.struct(i.cast("long").alias("pos"), F.regexp_extract(line, HEADER_KEY, 1).alias("key"),
+                        F.regexp_extract(line, HEADER_KEY, 2).alias("value"),
+                        F.transform(below, lambda x: F.regexp_extract(x, HEADER_ITEM, 1)).alias("items"))
+
+    return made.select(id_col, F.explode_outer(F.transform("_at", entry)).alias("e")).where("e IS NOT NULL").select(id_col, "e.*")
 
 
 def reassemble(cards: DataFrame, entries: DataFrame, id_col: str = "card_id") -> DataFrame:
     """N-19: header entries (in original order) + body -> card text, written
-    with the card's own line break (``\\n`` when it has none)."""
+    with the card's own line break (``\\n`` when it has none); list values as
+    ``- item`` lines below their key."""
     lb = F.coalesce(line_ending(F.col("text")), F.lit("\n"))
+
+    def lines(x):
+        head = F.when(x["value"] == "", F.concat(x["key"], F.lit(":"))).otherwise(F.concat(x["key"], F.lit(": "), x["value"]))
+        return F.array_join(F.concat(F.array(head), F.transform(x["items"], lambda i: F.concat(F.lit("- "), i))), "\u0001")
+
     hdr = (entries.groupBy(id_col)
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))),
-                            lambda x: F.concat(x["key"], F.lit(": "), x["value"])).alias("_lines")))
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key", "value", "items"))), lines).alias("_lines")))
     j = cards.join(hdr, id_col, "left")
     head = F.array_join(F.coalesce("_lines", F.array().cast("array<string>")), "\u0001")
     return j.select(id_col, F.concat(F.lit("---"), lb, F.replace(head, F.lit("\u0001"), lb), lb,

@@ -153,31 +153,56 @@ _SPLIT_SQL = """sp AS (
            regexp_extract(text, '^(\\s*---[\\r\\n]+)([\\S\\s]*?)([\\r\\n]+---(\\r\\n|\\n|$))', 0) AS whole,
            regexp_extract(text, '^(\\s*---[\\r\\n]+)([\\S\\s]*?)([\\r\\n]+---(\\r\\n|\\n|$))', 2) AS header
     FROM cards),
- ent AS (
-    SELECT card_id, CAST(pos - 1 AS BIGINT) AS pos,
-           regexp_extract(line, '^([^:\\s#][^:]*):\\s*(.*?)\\s*$', 1) AS key,
-           regexp_extract(line, '^([^:\\s#][^:]*):\\s*(.*?)\\s*$', 2) AS value
+ hl AS (
+    SELECT card_id, CAST(pos - 1 AS BIGINT) AS pos, regexp_extract(line, '^([^:\\s#-][^:]*):\\s*(.*?)\\s*$', 1) AS key,
+           regexp_extract(line, '^([^:\\s#-][^:]*):\\s*(.*?)\\s*$', 2) AS value,
+           CASE WHEN regexp_matches(line, '^\\s*-\\s+') THEN regexp_extract(line, '^\\s*-\\s+(.*?)\\s*$', 1) END AS item
     FROM (SELECT card_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS pos
-          FROM (SELECT card_id, string_split_regex(header, '\\r\\n|\\r|\\n') AS lines FROM sp))
-    WHERE regexp_extract(line, '^([^:\\s#][^:]*):\\s*(.*?)\\s*$', 1) <> '')"""
+          FROM (SELECT card_id, string_split_regex(header, '\\r\\n|\\r|\\n') AS lines FROM sp))),
+ hg AS (SELECT *, sum(CASE WHEN key <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY card_id ORDER BY pos) AS g FROM hl),
+ ent AS (
+    SELECT card_id, min(pos) FILTER (key <> '') AS pos, max(key) AS key, max(value) AS value,
+           coalesce(string_agg(item, chr(10) ORDER BY pos) FILTER (key = ''), '') AS items
+    FROM hg WHERE g > 0 GROUP BY card_id, g)"""
+# the header's size category as a block list of two items
+_BLOCK = r"regexp_replace(text, 'size_categories: (\S+)', 'size_categories:' || chr(10) || '- \1' || chr(10) || '- at a guess')"
+
+
+def _listed_cards(spark, sf):
+    return _cards(spark, sf).withColumn("text", F.regexp_replace(
+        "text", r"size_categories: (\S+)", "size_categories:\n- $1\n- at a guess"))
+
 
+def _flat_entries(entries):
+    return entries.withColumn("items", F.array_join("items", "\n"))
 
-@query("card_front_matter", W("WITH " + _META_SQL + ",\n " + _SPLIT_SQL + " SELECT * FROM ent", "artifacts"))
+
+@query("card_front_matter", W("WITH " + _META_SQL + ",\n listed AS (SELECT card_id, " + _BLOCK + " AS text FROM cards),\n "
+                              + _SPLIT_SQL.replace("FROM cards)", "FROM listed)") + " SELECT * FROM ent", "artifacts"))
 def q_card_front_matter(spark, sf):
-    return CD.header_entries(CD.split_front_matter(_cards(spark, sf)))
+    return _flat_entries(CD.header_entries(CD.split_front_matter(_listed_cards(spark, sf))))
 
 
-@query("card_roundtrip", W("WITH " + _META_SQL + ",\n " + _SPLIT_SQL + """
+@query("card_roundtrip", W("WITH " + _META_SQL + ",\n listed AS (SELECT card_id, " + _BLOCK + " AS text FROM cards),\n "
+                           + _SPLIT_SQL.replace("FROM cards)", "FROM listed)") + """
     SELECT card_id, sha256(text) AS text_hash, length(whole) > 0 AS has_header, true AS roundtrip_equal FROM sp""",
                            "artifacts"))
 def q_card_roundtrip(spark, sf):
-    cards = CD.split_front_matter(_cards(spark, sf))
+    cards = CD.split_front_matter(_listed_cards(spark, sf))
     back = CD.reassemble(cards, CD.header_entries(cards))
     return (cards.join(back, "card_id")
             .select("card_id", F.sha2("text", 256).alias("text_hash"), "has_header",
                     (F.col("content") == F.col("text")).alias("roundtrip_equal")))
 
 
+@query("dataset_card_metadata", W("WITH " + _META_SQL + """
+    SELECT card_id, '{' || concat_ws(',', '"pretty_name":' || to_json(pretty_name), '"language":' || to_json(language),
+           '"size_categories":' || to_json(size_categories)) || '}' AS metadata FROM meta""", "artifacts"))
+def q_dataset_card_metadata(spark, sf):
+    langs = load(spark, sf, "documents").select(F.col("source").alias("node_name"), "lang")
+    return CD.dataset_card_metadata(CD.dataset_card_meta(X.artifacts(spark, sf), X.nodes(spark, sf), langs))
+
+
 @query("unique_tags", """
     WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos
                FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)),

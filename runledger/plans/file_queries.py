@@ -15,7 +15,7 @@ from ..session import fresh_scratch
 from ..sources import files as FS
 from ..sources import fixtures as X
 from ..sources import standin as ST
-from .card_queries import _SPLIT_SQL, _META_SQL, _cards
+from .card_queries import _SPLIT_SQL, _META_SQL, _cards, _flat_entries
 from .registry import query
 
 W = X.with_fixtures
@@ -115,7 +115,7 @@ def q_card_files_front_matter(spark, sf):
     # rendered cards written as .md files, read back whole, front matter parsed
     root = fresh_scratch(spark, "model-cards")
     CD.write_cards(_cards(spark, sf), root, ext=".md")
-    return CD.header_entries(CD.split_front_matter(FS.read_card_texts(spark, root)))
+    return _flat_entries(CD.header_entries(CD.split_front_matter(FS.read_card_texts(spark, root))))
 
 
 def _count_lines_words(path, content):

@@ -83,6 +83,17 @@ def test_front_matter_split_and_reassemble(spark):
     assert back["c1"] == CARD and back["c3"] == CARD.replace("\n", "\r\n")
 
 
+def test_block_lists_of_the_header_survive(spark):
+    text = ("---\nannotations_creators: crowdsourced\nlanguage: en\ntask_categories:\n- text-classification\ntask_ids:\n"
+            "- sentiment-classification\n- text-scoring\npretty_name: My Text Classification Dataset\n---\n\n# Card\n")
+    sp = CD.split_front_matter(spark.createDataFrame([("c", text), ("none", "no header")], "card_id string, text string"))
+    ent = CD.header_entries(sp)
+    assert {r.key: (r.value, r["items"]) for r in ent.collect()} == {
+        "annotations_creators": ("crowdsourced", []), "language": ("en", []), "task_categories": ("", ["text-classification"]),
+        "task_ids": ("", ["sentiment-classification", "text-scoring"]), "pretty_name": ("My Text Classification Dataset", [])}
+    assert CD.reassemble(sp.where("has_header"), ent).first().content == text
+
+
 def test_line_endings(spark):
     df = spark.createDataFrame([("a\nb",), ("a\r\nb",), ("a\rb\rc\n",), ("ab",)], "t string")
     got = [r[0] for r in df.select(line_ending("t")).collect()]
