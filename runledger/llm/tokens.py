@@ -63,7 +63,7 @@ class WordIds(dict):
         unseen: set[str] = set()
         for p in parts:
             unseen.update(p[1:])
-        unseen.difference_update(self.keys())
+        unseen = {w for w in unseen if w not in self}
         if len(self) + len(unseen) > TABLE_LIMIT:       # starting afresh, learn all of this slice
             self.clear()
             self.starts.clear()
