@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import drop_stored, id_crc, store, text_of, worker_state
 
 SLOT_BITS = 20            # of each hashed table: 2 tables x 2 counts x 4 bytes x 2^20
-COMMON_WORDS = 200_000    # words whose counts every task holds; the rest is joined
+COMMON_WORDS = 200_000    # words whose counts every task holds at most; the rest is joined
 BLOCK = 64                # tokens between two updates of the weights
 RATE = 0.6
 REFINE_RATE = 0.5
@@ -300,7 +300,16 @@ def score(docs: DataFrame, model: dict, common_words: int = COMMON_WORDS) -> Dat
     shares = np.zeros(256)
     for r in words.groupBy(code.alias("code")).agg((F.sum("c") + F.count("*")).alias("size")).collect():
         shares[r["code"]] = np.log10(r["size"] + 1)
-    top = words.orderBy(F.desc("c"), "word").limit(common_words).select("word", "c").collect()
+    # the commonest words by whole levels of the count, as many levels as fit: a
+    # top-k would send each partition's k words to the driver
+    level = F.floor(F.log2("c") * 8)
+    least, many = None, 0
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):     # some 500 levels at most
+        many += r["count"]
+        if many > common_words:
+            break
+        least = r["level"]
+    top = words.filter(level >= least).collect() if least is not None else []
     common = {r["word"].encode(): float(np.log10(r["c"] + 1)) for r in top}
     held = spark.sparkContext.broadcast((common, shares, model["counts"].astype(np.int32) if model["counts"].max(initial=0) < 1 << 31
                                          else model["counts"], model["slot_bits"]))
