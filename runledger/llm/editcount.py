@@ -143,7 +143,7 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
     text is an empty one."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64(text_of()).alias("digest"), text_of().alias("text")).mapInPandas(
-        _build(path or vocabulary_path()), f"doc_id {id_type}, digest long, chars array<long>, tokens array<long>")
+        _build(path or vocabulary_path()), f"doc_id {id_type}, digest long, chars array<int>, tokens array<int>")
 
 
 def _apply(path: str):
@@ -179,8 +179,9 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | Non
               .groupBy("doc_id", "start").agg(F.min(F.struct("length", "insert")).alias("e"), F.count("*").alias("n"))
               .groupBy("doc_id").agg(F.collect_list(F.struct("start", "e.length", "e.insert")).alias("edits"),
                                      F.sum(F.col("n") - 1).alias("more")))
-    once = trees.dropDuplicates(["doc_id", "digest"])
-    marked = once.join(listed, "doc_id")
+    # the edits find their digest on narrow rows, so that trees and texts are each shuffled once, by one key
+    own = trees.select("doc_id", "digest").distinct().join(listed, "doc_id")
+    marked = trees.join(own.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     marked = marked.select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "chars", "tokens", "edits", "more")
     rows = docs.select("doc_id", text_of().alias("text"))
     same = (F.col("doc_id") == F.col("of_id")) & (F.xxhash64("text") == F.col("of_digest"))
@@ -188,10 +189,10 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | Non
     changed = rows.join(marked.hint("merge"), same).select("doc_id", "text", "chars", "tokens", "edits", "more").mapInPandas(
         _apply(path or vocabulary_path()),
         f"doc_id {id_type}, tokens_before long, edits long, rejected long, n_chars long, n_tokens long, "
-        "encoded_chars long, chars array<long>, tokens array<long>")
+        "encoded_chars long, chars array<int>, tokens array<int>")
     still = trees.join(listed.select("doc_id"), "doc_id", "left_anti")
     zero = F.lit(0).cast("long")
     return changed.unionByName(still.select(
-        "doc_id", F.get("tokens", F.lit(1)).alias("tokens_before"), zero.alias("edits"), zero.alias("rejected"),
-        F.get("chars", F.lit(1)).alias("n_chars"), F.get("tokens", F.lit(1)).alias("n_tokens"),
+        "doc_id", F.get("tokens", F.lit(1)).cast("long").alias("tokens_before"), zero.alias("edits"), zero.alias("rejected"),
+        F.get("chars", F.lit(1)).cast("long").alias("n_chars"), F.get("tokens", F.lit(1)).cast("long").alias("n_tokens"),
         zero.alias("encoded_chars"), "chars", "tokens"))
