@@ -3,8 +3,11 @@
 Logistic regression over the words of a text and their first letters.  The
 words of an identity group are swapped for another group's in the labelled
 texts; the squared change of the score's logit is part of the loss, so that a
-text's score does not hang on which group it mentions.  The fit reads a
-bounded sample of labelled texts; every text is scored whole.
+text's score does not hang on which group it mentions.  Features are ranked by
+their log odds ratio, shrunken by its variance; none is dropped for too few
+labelled texts, but the less a feature's own ratio says, the more the ridge
+holds its weight down.  The fit reads a bounded sample of labelled texts; every
+text is scored whole.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ from .common import drop_stored, id_crc, store, text_of, worker_state
 
 SAMPLE_ROWS = 20_000      # labelled texts that the fit reads at most
 FEATURES = 2_000          # features kept at most, the most telling first
-LEAST_Z = 4.0             # of a feature's log odds ratio
+LEAST_TEXTS = 3           # labelled texts that hold a feature
+ODDS_VARIANCE = 4.0       # of log odds ratios between features; what a ratio is shrunken against
+LEVELS = 64               # of the shrunken ratio, a unit
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 SWAP_WEIGHT = 1.0
-RIDGE = 1e-5
+RIDGE = 5.0               # of a feature with a shrunken log odds ratio of one, over all texts
+LEAST_ODDS = 0.1          # that the ridge counts
 STEPS = 600
 WORDS_KEPT = 150_000
 
@@ -88,10 +94,12 @@ def _vectors(names: dict[str, int]):
     return run
 
 
-def _fit(rows: list, n: int) -> tuple[np.ndarray, float]:
+def _fit(rows: list, n: int, odds: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch Adam on cross entropy, the
-    counterfactual penalty and a ridge."""
+    counterfactual penalty and a ridge that falls with the features' ``odds``
+    (shrunken log odds ratios; one without them)."""
     y = np.array([r["toxic"] for r in rows], float)
+    ridge = RIDGE / len(y) / np.maximum(np.ones(n) if odds is None else odds, LEAST_ODDS) ** 4
 
     def flat(lists):
         at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -106,7 +114,7 @@ def _fit(rows: list, n: int) -> tuple[np.ndarray, float]:
     for t in range(1, STEPS + 1):
         z = w[n] + np.bincount(at, w[f], len(y))
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(f, err[at], n), err.sum()) + RIDGE * np.append(w[:n], 0)
+        g = np.append(np.bincount(f, err[at], n), err.sum()) + np.append(ridge * w[:n], 0)
         if twins:
             gap = np.bincount(pa, w[pf], len(twins)) - np.bincount(qa, w[qf], len(twins))
             push = 2 * SWAP_WEIGHT * gap / len(y)
@@ -142,17 +150,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
         F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     na, nb = F.lit(n1) - F.col("a") + 0.5, F.lit(n0) - F.col("b") + 0.5
-    z = (F.log(a / na) - F.log(b / nb)) / F.sqrt(1 / a + 1 / na + 1 / b + 1 / nb)
-    best = (counts.withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-            .orderBy(F.desc("z"), "feature").limit(FEATURES))
-    kept = [r["feature"] for r in best.select("feature").collect()]
-    kept += sorted({f"={w}" for w in SWAPS} - set(kept))          # the swapped words always have a weight
+    spread = 1 / a + 1 / na + 1 / b + 1 / nb
+    ratio = F.abs(F.log(a / na) - F.log(b / nb)) * ODDS_VARIANCE / (ODDS_VARIANCE + spread)
+    swapped = sorted(f"={w}" for w in SWAPS)                      # the swapped words always have a weight
+    ranked = store(counts.filter((F.col("a") + F.col("b") >= LEAST_TEXTS) | F.col("feature").isin(swapped))
+                   .select("feature", ratio.alias("odds")), "features")
+    level, least, many = F.floor(F.col("odds") * LEVELS), 0, 0
+    for r in sorted(ranked.groupBy(level.alias("level")).count().collect(), reverse=True):     # some 1,000 levels at most
+        least, many = r["level"], many + r["count"]
+        if many >= FEATURES:
+            break
+    # only the last level's rows are more than are kept, so that no task sorts all features
+    best = ranked.filter(level >= least).orderBy(F.desc("odds"), "feature").limit(FEATURES).collect()
+    odds = {r["feature"]: r["odds"] for r in [*best, *ranked.filter(F.col("feature").isin(swapped)).collect()]}
+    kept = [*odds, *(f for f in swapped if f not in odds)]
+    drop_stored(ranked)
     names = {f: k for k, f in enumerate(kept)}
     # at most sample_rows short lists; sorted here, so that the sums don't depend on the tasks' order
     rows = sorted(sample.mapInPandas(_vectors(names), "toxic int, own array<int>, other array<int>").collect(),
                   key=lambda r: (r["toxic"], r["own"], r["other"] or []))
     drop_stored(sample)
-    weights, bias = _fit(rows, len(kept))
+    weights, bias = _fit(rows, len(kept), np.array([odds.get(f, 0.0) for f in kept]))
     return {"weights": {f: float(weights[k]) for f, k in names.items() if weights[k]}, "bias": bias}
 
 

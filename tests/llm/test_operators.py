@@ -200,6 +200,24 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.classify(docs_of(spark, rows[:5]), lab.limit(0)).collect()} == {0.5}
 
 
+def test_few_toxic_labels_teach_their_words(spark):
+    """Some 30 toxic rows, each with one of six words that 3 to 8 of them hold and no clean row."""
+    rng = random.Random(11)
+    fillers = [f"{a}{b}" for a in ("sto", "wi", "ta", "gre", "li", "ma") for b in ("ne", "nd", "ble", "en", "ght", "rk", "ps", "lo")]
+    bad = [("vexmok", 3), ("drulp", 4), ("quazzit", 5), ("hobbrek", 6), ("yimful", 7), ("pnorg", 8)]
+    learned = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(learned[k], " ".join([*rng.choices(fillers, k=25), w]))
+            for k, w in enumerate(w for w, n in bad for _ in range(n))]
+    toxic = {i for i, _ in rows}
+    rows += [(i, " ".join(rng.choices(fillers, k=25))) for i in learned[len(rows):300]]
+    labels = spark.createDataFrame([(i, int(i in toxic), 0) for i, _ in rows], "doc_id long, toxic int, text int")
+    new = [(9000 + k, " ".join([*rng.choices(fillers, k=12), w])) for k, (w, _) in enumerate(bad)]
+    new += [(9500 + k, " ".join(rng.choices(fillers, k=12))) for k in range(20)]
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs_of(spark, rows + new), labels).collect()}
+    assert [got[9000 + k] for k in range(len(bad))] == [1] * len(bad)
+    assert sum(got[9500 + k] for k in range(20)) == 0
+
+
 def test_the_penalty_evens_out_groups():
     rows = [{"toxic": int(i % 3 == 0), "own": [0, 1] if i % 3 == 0 else [2], "other": [0, 2] if i % 3 == 0 else [1]} for i in range(60)]
     w, _ = toxicity._fit(rows, 3)
