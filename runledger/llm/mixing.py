@@ -2,8 +2,8 @@
 
 A token (a word, or the end of the text) has an eight-bit code, a hash of the
 word.  Its bits are predicted one after the other in three contexts: none, the
-word before, the two words before.  The last two are hashed into tables of a
-fixed number of slots that hold the corpus's counts of zeros and ones.  The
+word before, the two words before.  The last two are keys of a table that holds,
+for every context of the corpus, how often each code followed it.  The
 predictions, as logits, are combined by weights chosen by how often the two
 hashed contexts were seen (the gate); after every block of tokens the weights
 move along the coding error, and a table of probabilities by predicted
@@ -11,28 +11,29 @@ probability refines the result in the same way.  Both start anew in each text.
 The word itself, given its code, is coded by its share of the code's corpus
 count, with one share for all unknown words.
 
-Word counts and context counts come from all training texts.  The commonest
-words' counts go to every task; the others are joined.  Context tables have a
-fixed size, so their broadcast is bounded by ``SLOT_BITS``.
+Word counts and context counts come from all training texts and are Spark
+tables that grow with them.  The commonest words' counts go to every task; the
+others are joined.  Scored texts are dealt in slices; a slice's distinct
+contexts are joined to the context table and meet their texts again.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, id_crc, store, text_of, worker_state
 
-SLOT_BITS = 20            # of each hashed table: 2 tables x 2 counts x 4 bytes x 2^20
+SLOT_BITS = 56            # of a context's key; the low byte of a cell's number is its code
 COMMON_WORDS = 200_000    # words whose counts every task holds at most; the rest is joined
 BLOCK = 64                # tokens between two updates of the weights
 RATE = 0.6
@@ -40,7 +41,8 @@ REFINE_RATE = 0.5
 WORDS_KEPT = 600_000      # of a worker's table of word hashes
 SLICE_CHARS = 2_000_000
 FLUSH_WORDS = 400_000
-CHUNK = 1 << 15
+FLUSH_CELLS = 2_000_000   # context cells held before they are added up
+TREE_ROWS = 1 << 14        # contexts whose trees of 512 counts are laid out at a time
 # a text's row (m: its bytes), or one of its words that is not among the common ones (m: how often)
 SCORED = ["row", "doc_id", "n_tokens", "known", "logs", "coded", "word", "m"]
 
@@ -120,17 +122,28 @@ def _contexts(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one * MIX[0] + MIX[3], one * MIX[1] + (two ^ (two >> np.uint64(29))) * MIX[2]
 
 
+def _keys(context: np.ndarray, bits: int) -> np.ndarray:
+    """The contexts' keys: ``bits`` high bits, zeros below."""
+    mixed = (context ^ (context >> np.uint64(29))) * MIX[0]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX[1]
+    return (mixed >> np.uint64(64 - bits)) << np.uint64(64 - bits)
+
+
 def _slots(context: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
     mixed = (context[:, None] ^ (nodes * MIX[3])) * MIX[0]
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _learn(bits: int):
-    size = 1 << bits
+def _added(cells: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    if cells:
+        cell, n = np.unique(np.concatenate(cells), return_counts=True)
+        for s in range(0, len(cell), 100_000):
+            yield pd.DataFrame({"word": None, "n": n[s:s + 100_000], "cell": cell[s:s + 100_000].view(np.int64)})
+
 
+def _learn(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = Words(), np.zeros(0, np.int64)
-        counts = np.zeros(2 * (256 + 2 * size), np.int32)
+        words, seen, cells = Words(), np.zeros(0, np.int64), []
         for pdf in batches:
             for part in _slices(pdf["text"]):
                 docs = [words_of(t) for t in part]
@@ -139,56 +152,36 @@ def _learn(bits: int):
                 added[:len(seen)] += seen
                 seen = added
                 h = words.hashes[numbers]
-                code = (h & np.uint64(255)).astype(np.int64)
-                nodes, bit = NODES[code], BITS[code]
-                counts[:512] += np.bincount((2 * nodes.astype(np.int64) + bit).ravel(), minlength=512).astype(np.int32)
-                for k, context in enumerate(_contexts(h, starts)):
-                    at = 512 + 2 * size * k
-                    counts[at:at + 2 * size] += np.bincount(
-                        (2 * _slots(context, nodes, bits) + bit).ravel(), minlength=2 * size).astype(np.int32)
+                cells += [_keys(c, bits) | (h & np.uint64(255)) for c in _contexts(h, starts)]
                 if len(words) >= FLUSH_WORDS:
                     yield from _counted(words, seen)
                     words, seen = Words(), np.zeros(0, np.int64)
-        if len(seen) or counts.any():
-            yield from _counted(words, seen)
-            for k, s in enumerate(range(0, len(counts), CHUNK)):
-                yield pd.DataFrame({"word": None, "n": 0, "chunk": [k], "counts": [zlib.compress(counts[s:s + CHUNK], 1)]})
+                if sum(map(len, cells)) >= FLUSH_CELLS:
+                    yield from _added(cells)
+                    cells = []
+        yield from _counted(words, seen)
+        yield from _added(cells)
     return run
 
 
 def _counted(words: Words, seen: np.ndarray) -> Iterator[pd.DataFrame]:
     if len(seen):
-        yield pd.DataFrame({"word": [w.decode() for w in words], "n": seen, "chunk": None, "counts": None})
-
-
-def _sum_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up sorted chunks one after the other, one sum in memory at a time."""
-    now, total = None, None
-    for pdf in batches:
-        for chunk, counts in zip(pdf["chunk"], pdf["counts"], strict=True):
-            if chunk != now:
-                if now is not None:
-                    yield pd.DataFrame({"chunk": [now], "counts": [zlib.compress(total, 1)]})
-                now, total = chunk, 0
-            total = total + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
-    if now is not None:
-        yield pd.DataFrame({"chunk": [now], "counts": [zlib.compress(total, 1)]})
+        yield pd.DataFrame({"word": [w.decode() for w in words], "n": seen, "cell": None})
 
 
 def learn(docs: DataFrame, slot_bits: int = SLOT_BITS) -> dict:
     """A model of all texts of ``docs``: ``words`` (stored table of word, c) and
-    ``counts`` (array of the context tables)."""
+    ``contexts`` (stored table of key, cells: the codes that followed, each as
+    count * 256 + code)."""
     found = store(docs.select(text_of().alias("text")).mapInPandas(
-        _learn(slot_bits), "word string, n long, chunk int, counts binary"), "counts")
-    words = store(found.filter("chunk IS NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    chunks = (found.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-              .mapInPandas(_sum_chunks, "chunk int, counts binary"))
-    counts = np.zeros(2 * (256 + (2 << slot_bits)), np.int64)
-    for r in chunks.collect():               # a table of fixed size
-        part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-        counts[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(part)] = part
+        _learn(slot_bits), "word string, n long, cell long"), "counts")
+    words = store(found.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    # the tasks have added up their own cells, so that a hot context has few rows
+    cells = found.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n"))
+    contexts = store(cells.groupBy(F.expr("cell & ~255L").alias("key")).agg(
+        F.collect_list(F.expr("n * 256 + (cell & 255L)")).alias("cells")), "contexts")
     drop_stored(found)
-    return {"words": words, "counts": counts, "slot_bits": slot_bits}
+    return {"words": words, "contexts": contexts, "slot_bits": slot_bits}
 
 
 def _logits(counts: np.ndarray) -> np.ndarray:
@@ -198,15 +191,59 @@ def _logits(counts: np.ndarray) -> np.ndarray:
     return np.stack([np.log((one + 0.4) / (zero + 0.4)), sure], axis=1).astype(np.float32)
 
 
+def _trees(keys: np.ndarray, known: tuple) -> np.ndarray:
+    """One row per key: how often the codes below each node of the code tree
+    followed it, zeros for a key that is not among the ``known``."""
+    names, at, codes, counts = known
+    out = np.zeros((len(keys), 512), np.float32)
+    if len(names):
+        k = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        many = np.where(names[k] == keys, at[k + 1] - at[k], 0)
+        where = np.repeat(at[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out[np.repeat(np.arange(len(keys)), many), 256 + codes[where]] = counts[where]
+    for d in range(7, -1, -1):
+        a = 1 << d
+        out[:, a:2 * a] = out[:, 2 * a:4 * a:2] + out[:, 2 * a + 1:4 * a:2]
+    return out
+
+
+def _known(found: pa.Table) -> tuple:
+    """Sorted keys, where each one's cells start, and the cells' codes and counts."""
+    keys = found["key"].to_numpy().view(np.uint64)
+    if not len(keys):
+        return keys, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in found["cells"].chunks]).astype(np.int64)
+    cells = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in found["cells"].chunks])
+    order = np.argsort(keys)
+    old, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    at = np.append(0, np.cumsum(sizes))
+    cells = cells[np.repeat(old - at[:-1], sizes) + np.arange(at[-1])]
+    return keys[order], at, cells & 255, cells >> 8
+
+
 class Mixer:
-    """Codes texts under fixed context tables, adapting within each text."""
+    """Codes texts under fixed context counts, adapting within each text."""
 
     def __init__(self, counts: np.ndarray, slot_bits: int):
         self.bits, size = slot_bits, 1 << slot_bits
         self.none = _logits(counts[:512])[:, 0].copy()
-        self.tables = [_logits(counts[512 + 2 * size * k:512 + 2 * size * (k + 1)]) for k in range(2)]
-
-    def code(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        self.tables = [_logits(counts[512 + 2 * size * k:512 + 2 * size * (k + 1)]) for k in range(2)] if len(counts) > 512 else None
+
+    def _found(self, k: int, context: np.ndarray, code: np.ndarray, known: tuple | None) -> np.ndarray:
+        """Logit and confidence class at each node of each token's code, in its ``k``th context."""
+        nodes = NODES[code]
+        if known is None:
+            return np.take(self.tables[k], _slots(context, nodes, self.bits).ravel(), axis=0)
+        keys, nodes = _keys(context, self.bits), nodes.astype(np.int64)
+        out = np.empty((len(code) * 8, 2), np.float32)
+        for s in range(0, len(code), TREE_ROWS):
+            own, at = np.unique(keys[s:s + TREE_ROWS], return_inverse=True)
+            trees, here = _trees(own, known), 2 * nodes[s:s + TREE_ROWS]
+            both = np.stack([trees[at[:, None], here], trees[at[:, None], here + 1]], axis=2)
+            out[8 * s:8 * (s + TREE_ROWS)] = _logits(both.ravel())
+        return out
+
+    def code(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: tuple | None = None) -> np.ndarray:
         """log10 probability of each text's codes."""
         n = len(starts)
         doc = np.repeat(np.arange(n), lengths)
@@ -221,8 +258,7 @@ class Mixer:
         seen = np.zeros(n)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             nodes, bit = NODES[code[a:b]], BITS[code[a:b]].ravel()
-            found = [np.take(t, _slots(c[a:b], nodes, self.bits).ravel(), axis=0)
-                     for c, t in zip(contexts, self.tables, strict=True)]
+            found = [self._found(k, c[a:b], code[a:b], known) for k, c in enumerate(contexts)]
             x = (self.none[nodes.ravel().astype(np.int64)], found[0][:, 0], found[1][:, 0])
             own = np.repeat(doc[a:b], 8)
             gate = own * GATES + (4 * found[0][:, 1] + found[1][:, 1]).astype(np.int64)
@@ -248,40 +284,57 @@ class Mixer:
         return seen
 
 
-def _score(model, name: str):
+def _sliced(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Texts by slice, and each slice's distinct contexts."""
+        words, slice_ = Words(), TaskContext.get().partitionId() << 24
+        for pdf in batches:
+            ids, at = pdf["doc_id"].tolist(), 0
+            for part in _slices(pdf["text"]):
+                if len(words) >= WORDS_KEPT:
+                    words = Words()
+                numbers, starts, _ = words.number([words_of(t) for t in part])
+                # a batch's rows are far fewer than 2^20
+                yield pd.DataFrame({"slice": slice_, "row": (slice_ << 20) + np.arange(len(part)), "doc_id": ids[at:at + len(part)],
+                                    "text": part, "key": None})
+                keys = np.unique(np.concatenate([_keys(c, bits) for c in _contexts(words.hashes[numbers], starts)])).view(np.int64)
+                yield pd.DataFrame({"slice": slice_, "row": 0, "doc_id": None, "text": None, "key": keys})
+                at += len(part)
+                slice_ += 1
+    return run
+
+
+def _score(model, name: str):
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         common, shares, counts, slot_bits = model.value
         mixers = worker_state("mixers", dict)           # the worker's latest model
         if name not in mixers:
             mixers.clear()
             mixers[name] = [Mixer(counts, slot_bits), Words(common)]
+        if len(mixers[name][1]) >= WORDS_KEPT:
+            mixers[name][1] = Words(common)
         mixer, words = mixers[name]
-        base = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            ids, at = pdf["doc_id"].tolist(), 0
-            for part in _slices(pdf["text"]):
-                if len(words) >= WORDS_KEPT:
-                    words = mixers[name][1] = Words(common)
-                docs = [words_of(t) for t in part]
-                numbers, starts, n = words.number(docs)
-                h, logs = words.hashes[numbers], words.logs[numbers]
-                coded = mixer.code(h, starts, n) - np.add.reduceat(shares[(h & np.uint64(255)).astype(np.int64)], starts)
-                there = ~np.isnan(logs)
-                yield pd.DataFrame({
-                    "row": base + at + np.arange(len(docs)), "doc_id": ids[at:at + len(docs)], "n_tokens": n,
-                    "known": np.add.reduceat(there.astype(np.int64), starts),
-                    "logs": np.add.reduceat(np.where(there, logs, 0.0), starts), "coded": coded, "word": None,
-                    "m": [len(t.encode()) for t in part]})[SCORED]
-                far = np.flatnonzero(~there)
-                if len(far):
-                    tokens = list(chain.from_iterable(docs))
-                    doc = np.searchsorted(starts, far, "right") - 1
-                    rare = Counter(zip(doc.tolist(), map(tokens.__getitem__, far.tolist()), strict=True))
-                    yield pd.DataFrame({"row": [base + at + k for k, _ in rare], "doc_id": None, "n_tokens": 0, "known": 0,
-                                        "logs": 0.0, "coded": 0.0, "word": [w.decode() for _, w in rare],
-                                        "m": list(rare.values())})[SCORED]
-                at += len(docs)
-            base += 1 << 24
+        rows, part = texts["row"].to_numpy(), texts["text"].to_pylist()
+        docs = [words_of(t) for t in part]
+        numbers, starts, n = words.number(docs)
+        h, logs = words.hashes[numbers], words.logs[numbers]
+        coded = mixer.code(h, starts, n, _known(found)) - np.add.reduceat(shares[(h & np.uint64(255)).astype(np.int64)], starts)
+        there = ~np.isnan(logs)
+        far = np.flatnonzero(~there)
+        tokens = list(chain.from_iterable(docs))
+        doc = np.searchsorted(starts, far, "right") - 1
+        rare = Counter(zip(doc.tolist(), map(tokens.__getitem__, far.tolist()), strict=True))
+        more = len(rare)
+        ids = texts["doc_id"]
+        return pa.table({
+            "row": np.append(rows, rows[[k for k, _ in rare]] if rare else rows[:0]),
+            "doc_id": pa.chunked_array([*ids.chunks, pa.nulls(more, ids.type)], ids.type),
+            "n_tokens": np.append(n, np.zeros(more, np.int64)),
+            "known": np.append(np.add.reduceat(there.astype(np.int64), starts), np.zeros(more, np.int64)),
+            "logs": np.append(np.add.reduceat(np.where(there, logs, 0.0), starts), np.zeros(more)),
+            "coded": np.append(coded, np.zeros(more)),
+            "word": pa.array([None] * len(docs) + [w.decode() for _, w in rare], pa.string()),
+            "m": np.array([len(t.encode()) for t in part] + list(rare.values()), np.int64)}).select(SCORED)
     return run
 
 
@@ -297,9 +350,12 @@ def score(docs: DataFrame, model: dict, common_words: int = COMMON_WORDS) -> Dat
     spark, words = docs.sparkSession, model["words"]
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     code = F.xxhash64("word").bitwiseAND(F.lit(255))
-    shares = np.zeros(256)
-    for r in words.groupBy(code.alias("code")).agg((F.sum("c") + F.count("*")).alias("size")).collect():
+    shares, counts = np.zeros(256), np.zeros(512, np.int64)
+    for r in words.groupBy(code.alias("code")).agg((F.sum("c") + F.count("*")).alias("size"), F.sum("c").alias("c")).collect():
         shares[r["code"]] = np.log10(r["size"] + 1)
+        counts[256 + r["code"]] = r["c"]
+    for k in range(255, 0, -1):
+        counts[k] = counts[2 * k] + counts[2 * k + 1]
     # the commonest words by whole levels of the count, as many levels as fit: a
     # top-k would send each partition's k words to the driver
     level = F.floor(F.log2("c") * 8)
@@ -311,12 +367,17 @@ def score(docs: DataFrame, model: dict, common_words: int = COMMON_WORDS) -> Dat
         least = r["level"]
     top = words.filter(level >= least).collect() if least is not None else []
     common = {r["word"].encode(): float(np.log10(r["c"] + 1)) for r in top}
-    held = spark.sparkContext.broadcast((common, shares, model["counts"].astype(np.int32) if model["counts"].max(initial=0) < 1 << 31
-                                         else model["counts"], model["slot_bits"]))
+    held = spark.sparkContext.broadcast((common, shares, counts, model["slot_bits"]))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = store(docs.select("doc_id", text_of().alias("text")).mapInPandas(
-        _score(held, uuid.uuid4().hex),
-        f"row long, doc_id {id_type}, n_tokens long, known long, logs double, coded double, word string, m long"), "scored")
+    sliced = store(docs.select("doc_id", text_of().alias("text")).mapInPandas(
+        _sliced(model["slot_bits"]), f"slice long, row long, doc_id {id_type}, text string, key long"), "slices")
+    # a key stands once in a slice, so that a hot one has as many rows as there are slices
+    found = (sliced.filter("key IS NOT NULL").select(F.col("slice").alias("part"), "key")
+             .join(model["contexts"], "key").select("part", "key", "cells"))
+    out = store(sliced.filter("key IS NULL").select("slice", "row", "doc_id", "text").groupBy("slice").cogroup(found.groupBy("part"))
+                .applyInArrow(_score(held, uuid.uuid4().hex), f"row long, doc_id {id_type}, n_tokens long, known long, "
+                              "logs double, coded double, word string, m long"), "scored")
+    drop_stored(sliced)
     rare = out.filter("word IS NOT NULL").select("row", "word", "m").join(words, "word").groupBy("row").agg(
         F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("more_logs"))
     rows = out.filter("word IS NULL").join(rare, "row", "left")

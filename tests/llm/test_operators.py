@@ -385,6 +385,27 @@ def test_lm_scores(spark, rows):
     assert mixing.score(docs.limit(0), mixing.learn(learned, slot_bits=8)).count() == 0
 
 
+def test_context_counts_are_exact_at_any_number_of_contexts(spark):
+    """More contexts than 2^20 slots can hold: none is lost, and none has another's counts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 400))) for i in range(400)]
+    rows += [(1000 + i, "only once the same") for i in range(30)]
+    model = mixing.learn(docs_of(spark, rows))
+    tokens = [[w for w in mixing.words_of(t)] for _, t in rows]
+    one = Counter(b for t in tokens for b in [None, *t[:-1]])
+    two = Counter(b for t in tokens for b in zip([None, None, *t], [None, *t[:-1]], strict=False))
+    got = [sum(c >> 8 for c in r.cells) for r in model["contexts"].collect()]
+    assert sorted(got) == sorted([*one.values(), *two.values()]) and len(got) > 300_000
+    # the code tree of "once only ?" in a sure context holds its own 30 counts and no others
+    words = mixing.Words()
+    numbers, starts, _ = words.number([mixing.words_of("only once the same")])
+    keys = np.unique(mixing._keys(mixing._contexts(words.hashes[numbers], starts)[1][2:], model["slot_bits"])).view(np.int64)
+    table = model["contexts"].filter(mixing.F.col("key").isin(keys.tolist())).toArrow()
+    trees = mixing._trees(keys.view(np.uint64), mixing._known(table))
+    assert trees.shape == (3, 512) and (trees[:, 1] == 30).all() and ((trees == 30) | (trees == 0)).all()
+    assert (mixing._trees(keys.view(np.uint64) ^ np.uint64(1 << 40), mixing._known(table)) == 0).all()
+
+
 def test_codes_are_a_distribution():
     rng = np.random.default_rng(0)
     mixer = mixing.Mixer(rng.integers(0, 9, 2 * (256 + 2 * 256)), 8)
