@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontam import DECONTAM_SQL
 from .linechunks import LINES_SQL
+from .resample import RESAMPLE_SQL
+from .sourcemix import MIX_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +147,25 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import held_out, learn, score
     docs = table(spark, sf_dir, "documents")
     return score(docs, learn(docs.filter(~held_out()))).withColumn("held_out", held_out())
+
+
+@query("op11_source_mix", MIX_SQL)
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of the sources by weight takes."""
+    from .sourcemix import plan
+    return plan(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_resample", RESAMPLE_SQL)
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's words."""
+    from .resample import draw
+    return draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_whiten")
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every embedding."""
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
