@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
-MODULES = ["catalog_queries", "run_queries", "lifecycle_queries", "card_queries",
+MODULES = ["catalog_queries", "run_queries", "lifecycle_queries", "card_queries", "header_queries",
            "graph_queries", "file_queries", "stream_queries", "function_queries"]
 
 
