@@ -16,6 +16,8 @@ from ..operators.ordered import bucket_of, quantile_bounds
 from ..session import fresh_scratch, scratch_path
 from ..sources import fixtures as X
 from ..sources import standin as ST
+from ..sources.tables import load
+from ..streaming import cycle as RC
 from ..streaming import discovery as D
 from ..streaming import status as SS
 from ..streaming import triggers as TR
@@ -93,6 +95,7 @@ def prepare_inputs(spark, sf):
     _assigned_drop(spark, sf)
     _status_drops(spark, sf)
     _snapshot_drop(spark, sf)
+    _drop(spark, sf, "cycle-drop", _cycle_events(spark, sf), n_files=4, order_col="at")
 
 
 def _stream(spark, path, max_files=1):
@@ -115,17 +118,58 @@ def q_stream_artifacts(spark, sf):
 
 
 @query("stream_count_trigger", """
-    SELECT source AS node_name, count(*) AS num_new, true AS said FROM documents GROUP BY source""")
+    SELECT source AS node_name, 1::BIGINT AS n_fires, count(*) AS num_files, true AS said, true AS enough
+    FROM documents GROUP BY source HAVING count(*) >= 3""")
 def q_stream_count_trigger(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-count")
     q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=5000,
-                   trigger_path=f"{out}/triggers", min_new=1)
+                   trigger_path=f"{out}/triggers", min_new=3)
     q.awaitTermination()
-    # a node fires again for what later batches bring: all its files are announced once
+    # no run ends: a node fires once, and what comes later waits
     says = F.col("message") == F.concat(F.lit("Detected "), F.col("num_new").cast("string"), F.lit(" new artifacts"))
-    return D.read_fired(spark, f"{out}/triggers").groupBy("node_name").agg(
-        F.sum("num_new").alias("num_new"), F.bool_and(says).alias("said"))
+    fired = D.read_fired(spark, f"{out}/triggers").groupBy("node_name").agg(
+        F.count(F.lit(1)).alias("n_fires"), F.sum("num_new").alias("taken"), F.bool_and(says).alias("said"),
+        F.bool_and(F.col("num_new") >= 3).alias("enough"))
+    waiting = D.read_counts(spark, f"{out}/triggers").select("node_name", "num_new")
+    return fired.join(waiting, "node_name").select("node_name", "n_fires", (F.col("taken") + F.col("num_new")).alias("num_files"), "said", "enough")
+
+
+_CYCLE_SQL = """
+    WITH RECURSIVE e AS (
+      SELECT 'src' || user_id % 20 AS node_name, event_type = 'purchase' AS is_end,
+             row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_type = 'purchase' DESC, event_id) AS k
+      FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+    s AS (
+      SELECT DISTINCT node_name, 0::BIGINT AS k, 0::BIGINT AS waiting, false AS fired, 0::BIGINT AS cycle, NULL::BIGINT AS num_new, NULL::VARCHAR AS cause FROM e
+      UNION ALL
+      SELECT node_name, k, CASE WHEN fires THEN CASE WHEN is_end THEN 0 ELSE waiting - 2 END WHEN is_end THEN waiting ELSE waiting + 1 END,
+             CASE WHEN is_end THEN fires ELSE fired OR fires END, cycle + CASE WHEN fires THEN 1 ELSE 0 END,
+             CASE WHEN fires THEN CASE WHEN is_end THEN waiting ELSE 3 END END, CASE WHEN fires THEN CASE WHEN is_end THEN 'run_end' ELSE 'arrivals' END END
+      FROM (SELECT s.node_name, e.k, s.waiting, s.fired, s.cycle, e.is_end,
+                   CASE WHEN e.is_end THEN s.fired AND s.waiting >= 3 ELSE NOT s.fired AND s.waiting + 1 >= 3 END AS fires
+            FROM s JOIN e ON e.node_name = s.node_name AND e.k = s.k + 1))
+    SELECT node_name, cycle, num_new, cause FROM s WHERE cause IS NOT NULL"""
+
+
+def _cycle_events(spark, sf):
+    """Views and clicks as arrivals, purchases as run ends."""
+    ev = load(spark, sf, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    return ev.select(F.concat(F.lit("src"), F.col("user_id") % 20).alias("node_name"), F.col("ts").alias("at"),
+                     F.when(F.col("event_type") == "purchase", RC.RUN_END).otherwise("file").alias("kind"))
+
+
+@query("run_cycle", _CYCLE_SQL)
+def q_run_cycle(spark, sf):
+    return RC.run_cycle(_cycle_events(spark, sf), min_new=3)
+
+
+@query("stream_run_cycle", _CYCLE_SQL)
+def q_stream_run_cycle(spark, sf):
+    src = _drop(spark, sf, "cycle-drop", _cycle_events(spark, sf), n_files=4, order_col="at")
+    out = fresh_scratch(spark, "stream-cycle")
+    RC.cycle_stream(_stream(spark, src), out, f"{out}/_checkpoint", min_new=3).awaitTermination()
+    return RC.read_fires(spark, out).drop("batch_id")
 
 
 @query("stream_metric_trigger", W("""

@@ -12,11 +12,12 @@ cost of a batch therefore follows the batch, never the catalog.  Files that
 were catalogued before the stream started (a bulk scan) are removed by an
 anti join against that base catalog.
 
-Count trigger: a per-node running count is kept in a small table (one row
-per node) written to two alternating folders, so batch k reads what batch
-k-1 wrote and a replay of k rereads the same input.  A node fires when its
-count reaches ``min_new``; the run it starts takes the files counted so far,
-so the count begins anew and the node can fire again.
+Count trigger: a per-node state (files waiting, fired, cycle) is kept in a
+small table (one row per node) written to two alternating folders, so batch k
+reads what batch k-1 wrote and a replay of k rereads the same input.  A node
+fires when ``min_new`` files wait; the run it starts takes them.  It stays
+fired until that run ends (``end_runs``): further files wait for the next
+cycle.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql.utils import AnalysisException
 from ..sources.files import relative_location
 
 CATALOG_SCHEMA = "node_name string, location string, size long, hash string, batch_id long"
-TRIGGER_SCHEMA = "node_name string, num_new long, message string, batch_id long"
-COUNT_SCHEMA = "node_name string, num_new long"
+TRIGGER_SCHEMA = "node_name string, cycle long, num_new long, message string, batch_id long"
+COUNT_SCHEMA = "node_name string, num_new long, fired boolean, cycle long, batch_id long"
+ENDED_SCHEMA = "node_name string, cycle long"
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -74,13 +76,21 @@ def discover(spark: SparkSession, root: str, catalog_path: str, checkpoint: str,
         if trigger_path is not None:
             prev = _read_or_empty(sp, f"{trigger_path}/_counts/{(batch_id - 1) % 2}", COUNT_SCHEMA) \
                 if batch_id > 0 else sp.createDataFrame([], COUNT_SCHEMA)
-            add = fresh.groupBy("node_name").agg(F.count(F.lit(1)).alias("num_new"))
-            counts = (prev.unionByName(add).groupBy("node_name").agg(F.sum("num_new").alias("num_new"))
-                      .persist())
-            counts.where(F.col("num_new") < min_new).write.mode("overwrite").parquet(
-                f"{trigger_path}/_counts/{batch_id % 2}")
-            fires = (counts.where(F.col("num_new") >= min_new)
-                     .select("node_name", "num_new",
+            add = fresh.groupBy("node_name").agg(F.count(F.lit(1)).alias("add"))
+            over = read_ended(sp, trigger_path).distinct().withColumn("over", F.lit(True))
+            known = prev.drop("batch_id").join(add, "node_name", "full").select(
+                "node_name", (F.coalesce("num_new", F.lit(0)) + F.coalesce("add", F.lit(0))).alias("num_new"),
+                F.coalesce("fired", F.lit(False)).alias("fired"), F.coalesce("cycle", F.lit(0)).alias("cycle"))
+            known = known.join(over, ["node_name", "cycle"], "left")
+            held = F.col("fired") & F.col("over").isNull()
+            counts = known.select("node_name", "num_new", held.alias("held"), "cycle",
+                                  (~held & (F.col("num_new") >= min_new)).alias("now")).persist()
+            counts.select("node_name", F.when(F.col("now"), 0).otherwise(F.col("num_new")).cast("long").alias("num_new"),
+                          (F.col("held") | F.col("now")).alias("fired"),
+                          F.when(F.col("now"), F.col("cycle") + 1).otherwise(F.col("cycle")).cast("long").alias("cycle"),
+                          F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(f"{trigger_path}/_counts/{batch_id % 2}")
+            fires = (counts.where("now")
+                     .select("node_name", (F.col("cycle") + 1).alias("cycle"), "num_new",
                              F.concat(F.lit("Detected "), F.col("num_new").cast("string"),
                                       F.lit(" new artifacts")).alias("message"),
                              F.lit(batch_id).cast("long").alias("batch_id")))
@@ -102,3 +112,21 @@ def read_catalog(spark: SparkSession, catalog_path: str) -> DataFrame:
 
 def read_fired(spark: SparkSession, trigger_path: str) -> DataFrame:
     return _read_or_empty(spark, f"{trigger_path}/fired", TRIGGER_SCHEMA)
+
+
+def read_counts(spark: SparkSession, trigger_path: str) -> DataFrame:
+    """What the last batch left: files waiting per node, whether it has fired,
+    its cycle.  Every batch writes all nodes."""
+    both = [_read_or_empty(spark, f"{trigger_path}/_counts/{k}", COUNT_SCHEMA) for k in (0, 1)]
+    return max(both, key=lambda df: df.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0])
+
+
+def end_runs(ended: DataFrame, trigger_path: str) -> None:
+    """Runs that ended: rows (node_name, cycle) of what ``read_fired`` gave.
+    Their nodes are armed again from the stream's next batch on; ending a run
+    twice, or one that is over, changes nothing."""
+    ended.select("node_name", F.col("cycle").cast("long").alias("cycle")).write.mode("append").parquet(f"{trigger_path}/_ended")
+
+
+def read_ended(spark: SparkSession, trigger_path: str) -> DataFrame:
+    return _read_or_empty(spark, f"{trigger_path}/_ended", ENDED_SCHEMA)

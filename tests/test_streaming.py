@@ -3,9 +3,13 @@
 import datetime as dt
 import hashlib
 import os
+import random
+import time
 
+import pytest
 
 from runledger.operators import lifecycle as L
+from runledger.streaming import cycle as CY
 from runledger.streaming import discovery as D
 from runledger.streaming import status as SS
 from runledger.streaming import triggers as TR
@@ -51,6 +55,64 @@ def test_count_trigger_fires_once_at_threshold(spark, tmp):
     assert [r.node_name for r in fired] == ["a"] and fired[0].num_new >= 4
 
 
+def test_count_trigger_is_armed_again_when_its_run_ends(spark, tmp):
+    root, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+
+    def go():
+        D.discover(spark, root, f"{out}/cat", f"{out}/ck", max_files_per_trigger=50, trigger_path=f"{out}/trg", min_new=3).awaitTermination()
+        return sorted((r.node_name, r.cycle, r.num_new) for r in D.read_fired(spark, f"{out}/trg").collect())
+
+    _files(root, 0, 4, "a")
+    _files(root, 0, 2, "b")
+    assert go() == [("a", 1, 4)]
+    _files(root, 4, 9, "a")
+    assert go() == [("a", 1, 4)]                          # its run goes on
+    D.end_runs(D.read_fired(spark, f"{out}/trg"), f"{out}/trg")
+    D.end_runs(D.read_fired(spark, f"{out}/trg"), f"{out}/trg")          # told twice
+    _files(root, 2, 4, "b")
+    assert go() == [("a", 1, 4), ("a", 2, 5), ("b", 1, 4)]
+    _files(root, 9, 20, "a")
+    assert go()[:2] == [("a", 1, 4), ("a", 2, 5)]         # the first run's end does not end the second
+    waiting = {r.node_name: (r.num_new, r.fired, r.cycle) for r in D.read_counts(spark, f"{out}/trg").collect()}
+    assert waiting == {"a": (11, True, 2), "b": (0, True, 1)}
+
+
+def _cycle_by_hand(events, min_new):
+    out, state = [], {}
+    for node, _, kind in sorted(events, key=lambda e: (e[1], e[2] != "run_end")):
+        waiting, fired, cycle = state.get(node, (0, False, 0))
+        waiting += kind != "run_end"
+        if kind == "run_end" and not fired:
+            pass
+        elif (kind == "run_end" or not fired) and waiting >= min_new:
+            cycle, fired = cycle + 1, True
+            out.append((node, cycle, waiting, "run_end" if kind == "run_end" else "arrivals"))
+            waiting = 0
+        elif kind == "run_end":
+            fired = False
+        state[node] = (waiting, fired, cycle)
+    return sorted(out), state
+
+
+@pytest.mark.parametrize("min_new", [1, 2, 5])
+def test_run_cycle_against_single_events(spark, tmp, min_new):
+    rng = random.Random(min_new)
+    events = [(rng.choice("aaab"), t, "run_end" if rng.random() < 0.2 else "file") for t in range(400)]
+    events += [("c", 3, "file"), ("c", 3, "file"), ("c", 3, "run_end"), ("only ends", 5, "run_end")]
+    fires, state = _cycle_by_hand(events, min_new)
+    schema = "node_name string, at long, kind string"
+    got = CY.run_cycle(spark.createDataFrame(events + [(None, 1, "file")], schema), min_new).collect()
+    assert sorted(tuple(r) for r in got) == fires
+    for k, (lo, hi) in enumerate([(0, 90), (90, 91), (91, 300), (300, 400)]):      # cuts of any size
+        _drop(spark, spark.createDataFrame([e for e in events if lo <= e[1] < hi], schema), f"{tmp}/in/p{k}")
+        time.sleep(0.05)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/in/*")
+    CY.cycle_stream(s, f"{tmp}/out", f"{tmp}/ck", min_new).awaitTermination()
+    assert sorted(tuple(r)[:4] for r in CY.read_fires(spark, f"{tmp}/out").collect()) == fires
+    last = spark.read.schema(CY.STATE_SCHEMA).parquet(f"{tmp}/out/_state/1")
+    assert {r.node_name: (r.waiting, r.fired, r.cycle) for r in last.collect()} == state
+
+
 def _drop(spark, df, path):
     df.coalesce(1).write.mode("overwrite").parquet(path)
 
