@@ -168,6 +168,26 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_equal_numbers_may_change_apart(spark):
+    item = "On the farm there are 2 cats and 2 dogs that chase the birds over the hill every day"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = docs_of(spark, [(1, item.replace("2 cats", "3 cats").replace("2 dogs", "5 dogs")), (2, item.replace("2", "3")),
+                           (3, "On the farm there were many animals and 2 of them chase birds")])
+    got = {r.doc_id: (r.matched, r.windows, r.slots, r.changed_slots) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {1: (14, 14, 2, 2), 2: (14, 14, 1, 1)}
+
+
+def test_long_degenerate_texts_are_survived(spark):
+    hard = ["1," * 500_000, "a'" * 500_000, "1:2/3." * 200_000, "word" * 250_000, "\n" * 1_000_000, ":" * 1_000_000]
+    docs = docs_of(spark, list(enumerate(hard)))
+    bench = spark.createDataFrame([(1, "a train that leaves the town at noon moves to the coast by night")], "item_id long, text string")
+    assert decontam.contaminated(docs, bench).count() == 0
+    turns = spark.createDataFrame([(1, k, t, "x") for k, t in enumerate(["r" * 1_000_000, ":" * 300_000, "\\" * 300_000])],
+                                  "conv_id long, turn long, role string, text string")
+    back = chat.read_segments(chat.format_segments(turns)).first()
+    assert [t.role for t in back.turns] == ["r" * 1_000_000, ":" * 300_000, "\\" * 300_000]
+
+
 # 5 ------------------------------------------------------------------------------
 
 def test_toxicity(spark):
