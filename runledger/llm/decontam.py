@@ -31,7 +31,8 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
 SIGNS = ("%", "$", "€", "£", "°")
 STOPS = (".", "!", "?", "\n")
 
-TOKEN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[0-9]+(?:[.,:/][0-9]+)*|[%$€£°.!?\n]"
+# possessive: a plain repeat of a group recurses, and a long list of numbers ends the JVM
+TOKEN = r"[\p{L}\p{M}]++(?:['’][\p{L}\p{M}]++)*+|[0-9]++(?:[.,:/][0-9]++)*+|[%$€£°.!?\n]"
 
 
 def _listed(values) -> str:
@@ -121,7 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     # one alignment of one item: at most as many rows as the item has windows
     lined = pairs.groupBy("doc_id", "digest", "item_id", "windows", (F.col("place") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("slots", "own")))).alias("map"))
-    fits = lined.filter("size(array_distinct(map.slots)) = size(map)")
+    # a name stands for one name throughout; equal numbers are slots of their own
+    fits = lined.filter("size(array_distinct(filter(map, m -> m.slots LIKE '3:%').slots)) = size(filter(map, m -> m.slots LIKE '3:%'))")
     found = fits.select("doc_id", "digest", "item_id", "windows", F.explode("ats").alias("at"),
                         F.size("map").alias("s"), F.expr("size(filter(map, m -> m.slots <> m.own))").alias("c"))
     found = found.groupBy("doc_id", "digest", "item_id", "windows").agg(
@@ -147,7 +149,7 @@ def _sql() -> str:
 WITH src AS (SELECT DISTINCT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
              UNION ALL SELECT DISTINCT 'b', item_id, coalesce(text, '') FROM benchmark),
 tok AS (SELECT side, id, text, unnest(ts) AS t, generate_subscripts(ts, 1) AS i
-        FROM (SELECT *, regexp_extract_all(text, '{TOKEN.replace("'", "''")}') AS ts FROM src)),
+        FROM (SELECT *, regexp_extract_all(text, '{TOKEN.replace("++", "+").replace("*+", "*").replace("'", "''")}') AS ts FROM src)),
 lagged AS (SELECT *, lag(t) OVER (PARTITION BY side, id, text ORDER BY i) AS b FROM tok),
 kinds AS (SELECT side, id, text, i, lower(t) AS value, CASE
     WHEN t IN ({quoted(STOPS)}) THEN 'end'
@@ -167,10 +169,10 @@ keyed AS (SELECT side, id, text, n, pos, windows, array_to_string(ws[pos + 1:pos
 pairs AS (SELECT d.id AS doc_id, d.text, b.id AS item_id, b.text AS item, b.windows, b.pos, d.pos - b.pos AS shift, b.slots, d.slots AS own
     FROM keyed d JOIN keyed b ON d.side = 'd' AND b.side = 'b' AND d.k = b.k AND d.n = b.n),
 maps AS (SELECT DISTINCT doc_id, text, item_id, shift, unnest(slots) AS s, unnest(own) AS o FROM pairs),
-fits AS (SELECT doc_id, text, item_id, shift, count(DISTINCT s) AS vals, count(*) AS slots, count(*) FILTER (s <> o) AS changed
-    FROM maps GROUP BY ALL),
+fits AS (SELECT doc_id, text, item_id, shift, count(DISTINCT s) FILTER (s LIKE 'name:%') AS vals, count(*) FILTER (s LIKE 'name:%') AS names,
+    count(*) AS slots, count(*) FILTER (s <> o) AS changed FROM maps GROUP BY ALL),
 good AS (SELECT p.doc_id, p.text, p.item_id, p.windows, p.pos, coalesce(f.slots, 0) AS slots, coalesce(f.changed, 0) AS changed
-    FROM pairs p LEFT JOIN fits f USING (doc_id, text, item_id, shift) WHERE f.vals IS NULL OR f.vals = f.slots)
+    FROM pairs p LEFT JOIN fits f USING (doc_id, text, item_id, shift) WHERE f.vals IS NULL OR f.vals = f.names)
 SELECT doc_id, item_id, count(DISTINCT pos) AS matched, CAST(windows AS BIGINT) AS windows,
   CAST(max(slots) AS INTEGER) AS slots, CAST(max(changed) AS INTEGER) AS changed_slots
 FROM good GROUP BY doc_id, text, item_id, windows HAVING count(DISTINCT pos) >= {COVERAGE} * windows
