@@ -81,7 +81,7 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
 def read_segments(formatted: DataFrame) -> DataFrame:
     """Turns and loss texts read back from ``format_segments``: conv_id,
     segment, turns (array of role, text), loss (array of texts), chars."""
-    head = r"(?s)^### ((?:\\.|[^\\:])*):\n"
+    head = r"(?s)^### ((?:[^\\:]++|\\.)*+):\n"           # possessive: no recursion over a long role
     pieces = F.split("body", END, -1)
     said = formatted.withColumn("pieces", F.slice(pieces, 1, F.size(pieces) - 1))
     said = said.withColumn("heads", F.transform("pieces", lambda p: F.when(
