@@ -1,7 +1,8 @@
 """Edit-aware token counts.
 
 Every document keeps a segment tree over runs of its words: per node the
-characters and the tokens below it.  An edit finds its leaves by descending
+characters and the tokens below it.  Its leaves are stored; the inner sums are
+added up when a task reads them.  An edit finds its leaves by descending
 the character sums; only those leaves and the context up to the next seam
 between words are encoded again, and the sums on the way to the root are
 updated.  A seam (a space or newline after a non-space) is a token boundary in
@@ -42,6 +43,11 @@ class Tree:
             n //= 2
         return cls(*sums)
 
+    def stored(self) -> np.ndarray:
+        """The leaves without the empty ones at the end: all other sums follow from them."""
+        below = self.sums[:, self.leaves:]
+        return below[:, :max(1, int(np.flatnonzero(below[0]).max(initial=0)) + 1)]
+
     def leaf_at(self, pos: int) -> tuple[int, int]:
         """The leaf that holds character ``pos``, and the place where it starts."""
         node, start = 1, 0
@@ -131,16 +137,16 @@ def _build(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(path)
         for pdf in batches:
-            trees = [plant(*u) for u in words.units(pdf["text"].tolist())]
+            leaves = [plant(*u).stored() for u in words.units(pdf["text"].tolist())]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"],
-                                "chars": [t.sums[0] for t in trees], "tokens": [t.sums[1] for t in trees]})
+                                "chars": [t[0] for t in leaves], "tokens": [t[1] for t in leaves]})
     return run
 
 
 def build(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The trees of ``docs`` (doc_id, text): doc_id, digest (of the text),
-    chars and tokens (node sums; the text's count is ``tokens[1]``).  A null
-    text is an empty one."""
+    chars and tokens (of the leaves; the text's counts are their sums).  A null
+    text is an empty one and has one empty leaf."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64(text_of()).alias("digest"), text_of().alias("text")).mapInPandas(
         _build(path or vocabulary_path()), f"doc_id {id_type}, digest long, chars array<int>, tokens array<int>")
@@ -154,9 +160,11 @@ def _apply(path: str):
             for doc, text, chars, tokens, edits, more in zip(
                     *(pdf[c] for c in ("doc_id", "text", "chars", "tokens", "edits", "more")), strict=True):
                 hold = accepted(edits, len(text))
-                tree, work = apply(words, text, Tree(chars, tokens), hold)
-                out.append((doc, int(tokens[1]), len(hold), len(edits) - len(hold) + more, int(tree.sums[0, 1]),
-                            int(tree.sums[1, 1]), work, tree.sums[0], tree.sums[1]))
+                tree = Tree.over(chars, tokens)
+                before = int(tree.sums[1, 1])
+                tree, work = apply(words, text, tree, hold)
+                out.append((doc, before, len(hold), len(edits) - len(hold) + more, int(tree.sums[0, 1]),
+                            int(tree.sums[1, 1]), work, *tree.stored()))
             yield pd.DataFrame(out, columns=["doc_id", "tokens_before", "edits", "rejected", "n_chars",
                                              "n_tokens", "encoded_chars", "chars", "tokens"])
     return run
@@ -168,7 +176,7 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | Non
 
     One row per document row: doc_id, tokens_before, edits (that held),
     rejected, n_chars and n_tokens (of the edited text), encoded_chars, and
-    the new chars and tokens sums.  Edits with a null id, start or length are
+    the new chars and tokens of the leaves.  Edits with a null id, start or length are
     dropped, a null insert is empty, equal edits are one, ids that no document
     has change nothing; see ``accepted`` for overlaps.  Documents alike in id
     share their edits.  Empty tables give no rows, or no changes.
@@ -192,7 +200,8 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | Non
         "encoded_chars long, chars array<int>, tokens array<int>")
     still = trees.join(listed.select("doc_id"), "doc_id", "left_anti")
     zero = F.lit(0).cast("long")
+    total = lambda c: F.aggregate(c, zero, lambda a, n: a + n)
     return changed.unionByName(still.select(
-        "doc_id", F.get("tokens", F.lit(1)).cast("long").alias("tokens_before"), zero.alias("edits"), zero.alias("rejected"),
-        F.get("chars", F.lit(1)).cast("long").alias("n_chars"), F.get("tokens", F.lit(1)).cast("long").alias("n_tokens"),
+        "doc_id", total("tokens").alias("tokens_before"), zero.alias("edits"), zero.alias("rejected"),
+        total("chars").alias("n_chars"), total("tokens").alias("n_tokens"),
         zero.alias("encoded_chars"), "chars", "tokens"))
