@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .docstore import predicate
 from .ids import assign_ids
 
 
@@ -174,27 +175,16 @@ def card_links(links: DataFrame, subject_tag: str, card_tag: str) -> DataFrame:
 
 
 # S-10 / A-10 / K-16 -----------------------------------------------------------
-def _field(key: str, kind: str = "string"):
-    """Payload field ``key`` as ``kind``; null where it is missing or of another kind."""
-    path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
-    return F.try_variant_get("payload", path, kind)
-
-
 def doc_filter(doc_type: str | None = None, doc_id: int | None = None, **filters):
-    """The condition of a document store call: type, id and equality of payload
-    fields (a document without the field, or with another kind, never matches)."""
-    cond = F.lit(True)
-    if doc_type is not None:
-        cond = cond & (F.col("type") == F.lit(doc_type))
-    if doc_id is not None:
-        cond = cond & (F.col("id") == F.lit(doc_id))
-    for k, v in filters.items():
-        cond = cond & (_field(k) == F.lit(str(v)))
-    return F.coalesce(cond, F.lit(False))
+    """The condition of a document store call: type, id and payload fields, by
+    value, ``None`` (missing or null) or ``(operator, value)``; see
+    ``docstore.predicate``."""
+    own = {k: v for k, v in (("type", doc_type), ("id", doc_id)) if v is not None}
+    return predicate({**own, **filters})
 
 
 def doc_query(docs: DataFrame, doc_type: str | None = None, doc_id: int | None = None, **filters) -> DataFrame:
-    """Document store query: filter by ``type``, id and equality on payload keys.
+    """Document store query: filter by ``type``, id and payload fields.
 
     ``docs`` has ``id, type, payload`` with ``payload`` a VARIANT (from
     ``parse_json``); the ``type`` filter is a plain column predicate and is

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import docstore as DS
 from ..operators import lifecycle as L
 from ..operators import writes as K
 from ..sources import fixtures as X
@@ -279,3 +282,47 @@ def q_doc_update(spark, sf):
     d = K.doc_update(X.doc_store(spark, sf), {"status": "triaged", "level": 3}, "error", k=42)
     get = lambda k, t: F.try_variant_get("payload", f"$.{k}", t).alias(k)
     return d.select("id", "type", get("k", "string"), get("status", "string"), get("level", "bigint"), "updated")
+
+
+_STARTS = [dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)]
+_END = dt.datetime(2024, 1, 15)
+
+
+@query("doc_lifecycle", f"""
+    WITH e AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'trigger' ELSE 'artifact' END AS type, event_id % 7 = 0 AS used,
+                      CASE WHEN ts < TIMESTAMP '{_STARTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{_STARTS[1]}' THEN 1 END AS wave
+               FROM events WHERE event_type IN ('view', 'click', 'error'))
+    SELECT id, type, CASE WHEN type = 'artifact' THEN CASE WHEN used THEN 'old' WHEN wave = 0 THEN 'old' WHEN wave = 1 THEN 'current' ELSE 'new' END END AS state,
+           CASE WHEN type = 'artifact' AND NOT used THEN wave::BIGINT END AS run_id,
+           CASE WHEN type = 'artifact' AND NOT used AND wave = 0 THEN '{_END.isoformat()}' END AS end_time,
+           CASE WHEN type = 'trigger' THEN wave::BIGINT END AS run_triggered
+    FROM e
+    UNION ALL SELECT -1, 'run', NULL, 0, '{_END.isoformat()}', NULL
+    UNION ALL SELECT -2, 'run', NULL, 1, NULL, NULL""")
+def q_doc_lifecycle(spark, sf):
+    from ..session import fresh_scratch
+    ev = load(spark, sf, "events").where(F.col("event_type").isin("view", "click", "error"))
+    trigger = F.col("event_type") == "error"
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(trigger, F.concat(F.lit('{"run_triggered": null, "trigger_time": "'), iso, F.lit('"}'))).otherwise(F.concat(
+        F.lit('{"state": "'), F.when(F.col("event_id") % 7 == 0, "old").otherwise("new"),
+        F.when(F.col("event_id") % 2 == 0, F.lit('", "run_id": null}')).otherwise(F.lit('"}'))))        # a null field, or none
+    docs = ev.select("ts", F.col("event_id").alias("id"), F.when(trigger, "trigger").otherwise("artifact").alias("type"),
+                     F.parse_json(text).alias("payload"))
+    runs = spark.createDataFrame([(-1 - k, "run", '{"run_id": %d, "start_time": "%s"}' % (k, t.isoformat())) for k, t in enumerate(_STARTS)],
+                                 "id long, type string, payload string").withColumn("payload", F.parse_json("payload"))
+    path = fresh_scratch(spark, "doc-log")
+
+    def now(k, log):
+        """The store when run k starts or goes on."""
+        there = docs.where(F.col("ts") < F.lit(_STARTS[k])).drop("ts").unionByName(runs.where(F.col("id") >= -1 - k))
+        return DS.fold_log(there, log)
+
+    none = spark.createDataFrame([], DS.LOG_SCHEMA)
+    DS.start_run_log(now(0, none), 0, _STARTS[0], 1).write.mode("append").parquet(path)
+    log = lambda: spark.read.schema(DS.LOG_SCHEMA).parquet(path)
+    DS.end_run_log(now(0, log()), _END, 2).write.mode("append").parquet(path)
+    DS.start_run_log(now(1, log()), 1, _STARTS[1], 3).write.mode("append").parquet(path)
+    end = DS.fold_log(docs.drop("ts").unionByName(runs), log())
+    get = lambda k, t: F.try_variant_get("payload", f"$.{k}", t).alias(k)
+    return end.select("id", "type", get("state", "string"), get("run_id", "bigint"), get("end_time", "string"), get("run_triggered", "bigint"))

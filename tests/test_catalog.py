@@ -1,5 +1,6 @@
 """Catalog reads and writes: filters, errors-as-rows, dense bulk ids."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas as S
 from runledger.operators import catalog as C
+from runledger.operators import docstore as DS
 from runledger.operators import writes as K
 from runledger.operators.ids import assign_ids
 
@@ -144,6 +146,40 @@ def test_doc_store_query_and_update(spark):
     assert json.loads(by_id[4]) == {"k": 7, "deep": {"x": [1, None]}} and json.loads(by_id[1]) == {"k": 5}
 
 
+def test_doc_filters_by_kind(spark):
+    rows = ['{"a": null}', "{}", '{"a": "None"}', '{"a": true}', '{"a": "True"}', '{"a": 1}', '{"a": "1"}', '{"a": 1.5}',
+            '{"a": "2024-01-02T00:00:00"}', "[1]", None, '{"a": {"b": 1}, "x.y": 2, "q\'": 3, "r\'\\"": 4}']
+    docs = spark.createDataFrame([(i, "t", r) for i, r in enumerate(rows)], "id long, type string, payload string").withColumn(
+        "payload", F.parse_json("payload"))
+
+    def ids(**f):
+        return [r.id for r in DS.find(docs, f).orderBy("id").collect()]
+
+    assert ids(a=None) == [0, 1, 9, 10] and ids(a="None") == [2]
+    assert ids(a=True) == [3] and ids(a="True") == [4] and ids(a=False) == []
+    assert ids(a=1) == [5] and ids(a="1") == [6] and ids(a=1.5) == [7] and ids(a=1.0) == [5]
+    assert ids(a=("$lt", 1.5)) == [5] and ids(a=("$gte", 1)) == [5, 7] and ids(a=("$lt", None)) == []
+    assert ids(a=("$lt", dt.datetime(2024, 1, 3))) == [8] and ids(a=dt.datetime(2024, 1, 2)) == [8]
+    assert ids(a=("$in", [1, "1", None])) == [0, 1, 5, 6, 9, 10] and ids(a=("$exists", True)) == [0, 2, 3, 4, 5, 6, 7, 8, 11]
+    assert ids(a=("$ne", 1)) == [i for i in range(12) if i != 5] and ids(a=("$nin", [True, None])) == [2, 4, 5, 6, 7, 8, 11]
+    assert ids(**{"$or": [{"a": 1}, {"x.y": 2}]}) == [5, 11] and ids(**{"$not": {"a": None}, "id": ("$gt", 8)}) == [11]
+    assert ids(**{"q'": 3, "type": "t", "r'\"": 4}) == [11] and ids(**{"$or": []}) == [] and ids(**{"$and": []}) == list(range(12))
+    with pytest.raises(ValueError):
+        ids(a=("$near", 1))
+
+
+def test_field_log_folds_by_seq(spark):
+    docs = spark.createDataFrame([(1, "t", '{"a": 1, "b": 2}'), (2, "t", "[1]"), (3, "t", None), (4, "t", "{}")],
+                                 "id long, type string, payload string").withColumn("payload", F.parse_json("payload"))
+    log = spark.createDataFrame([(1, "a", "5", 2), (1, "a", "4", 1), (1, "c", '{"d": [null]}', 1), (1, "a", "5", 2), (2, "a", "1", 1),
+                                 (3, "a", "1", 1), (4, "b", "null", 3), (9, "a", "1", 1)], DS.LOG_SCHEMA)
+    got = {r.id: r.p and json.loads(r.p) for r in DS.fold_log(docs, log).withColumn("p", F.to_json("payload")).collect()}
+    assert got == {1: {"a": 5, "b": 2, "c": {"d": [None]}}, 2: [1], 3: None, 4: {"b": None}}
+    made = DS.update_log(docs, {"a": 1}, {"a": None, "s": "x", "n": F.col("id") * 2}, 7).collect()
+    assert sorted(tuple(r) for r in made) == [(1, "a", "null", 7), (1, "n", "2", 7), (1, "s", '"x"', 7)]
+    assert DS.fold_log(docs, log.limit(0)).count() == 4
+
+
 def test_nodes_info_id_wins_or_and(spark):
     n = _nodes(spark)
     assert [r.node_name for r in C.nodes_info(n, node_id=1, node_name="model_store").collect()] == ["data_store"]
