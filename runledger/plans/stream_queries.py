@@ -15,6 +15,7 @@ from ..operators import runs as R
 from ..operators.ordered import bucket_of, quantile_bounds
 from ..session import fresh_scratch, scratch_path
 from ..sources import fixtures as X
+from ..sources import files as FS
 from ..sources import standin as ST
 from ..sources.tables import load
 from ..streaming import cycle as RC
@@ -91,6 +92,7 @@ def _snapshot_drop(spark, sf):
 def prepare_inputs(spark, sf):
     """Write every stream's stand-in input drop (idempotent)."""
     ST.document_tree(spark, sf)
+    ST.odd_tree(spark, sf)
     _metric_drop(spark, sf)
     _assigned_drop(spark, sf)
     _status_drops(spark, sf)
@@ -112,18 +114,30 @@ _SCAN_SQL = f"""SELECT source AS node_name, {_LOC} AS location, CAST(strlen(text
 def q_stream_artifacts(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-artifacts")
-    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=5000)
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint")
     q.awaitTermination()
     return D.read_catalog(spark, f"{out}/catalog").select("node_name", "location", "size", "hash")
 
 
+@query("stream_odd_artifacts", f"""
+    SELECT node_name, location, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM ({ST.ODD_SQL})""")
+def q_stream_odd_artifacts(spark, sf):
+    # hidden, empty and oddly named files, of which a bulk scan has catalogued some before
+    root = ST.odd_tree(spark, sf)
+    out = fresh_scratch(spark, "stream-odd")
+    known = FS.list_files(spark, root).where("size = 0 AND location LIKE '%/.%'")
+    D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", base_catalog=known).awaitTermination()
+    cols = ["node_name", "location", "size", "hash"]
+    return D.read_catalog(spark, f"{out}/catalog").select(cols).unionByName(FS.hash_listed(known).select(cols))
+
+
 @query("stream_count_trigger", """
     SELECT source AS node_name, 1::BIGINT AS n_fires, count(*) AS num_files, true AS said, true AS enough
     FROM documents GROUP BY source HAVING count(*) >= 3""")
 def q_stream_count_trigger(spark, sf):
     root = ST.document_tree(spark, sf)
     out = fresh_scratch(spark, "stream-count")
-    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint", max_files_per_trigger=5000,
+    q = D.discover(spark, root, f"{out}/catalog", f"{out}/_checkpoint",
                    trigger_path=f"{out}/triggers", min_new=3)
     q.awaitTermination()
     # no run ends: a node fires once, and what comes later waits

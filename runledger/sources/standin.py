@@ -63,6 +63,27 @@ def document_tree(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+#: DuckDB twin of ``odd_tree``'s names and texts
+ODD_SQL = """SELECT source AS node_name, lang || '/' || CASE doc_id % 5 WHEN 0 THEN '.' || doc_id WHEN 1 THEN '_' || doc_id WHEN 2 THEN 'a file ' || doc_id || ' %20+é.txt'
+             WHEN 3 THEN doc_id || '.txt' ELSE '_hidden/.deep/' || doc_id END AS location,
+             CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text FROM documents"""
+
+
+def odd_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Every document as a file of an awkward name: hidden, with blanks and
+    signs, in hidden folders; every third is empty."""
+    root = scratch_path(spark, "standin", _key(sf_dir, "odd"))
+    if not _done(root):
+        d, i = load(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+        k = F.col("doc_id") % 5
+        name = (F.when(k == 0, F.concat(F.lit("."), i)).when(k == 1, F.concat(F.lit("_"), i))
+                .when(k == 2, F.concat(F.lit("a file "), i, F.lit(" %20+é.txt"))).when(k == 3, F.concat(i, F.lit(".txt")))
+                .otherwise(F.concat(F.lit("_hidden/.deep/"), i)))
+        rows = d.select(F.concat_ws("/", "source", "lang", name).alias("rel"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"))
+        _mark(root, {"files": _write_rows(rows, root)})
+    return root
+
+
 def copied_tree(spark: SparkSession, sf_dir: str) -> str:
     """A copy of ``document_tree`` as a transfer left it: documents whose id
     ends in 0 were not copied (a ``.bak`` file sits there instead), and

@@ -38,6 +38,33 @@ def test_discovery_two_drops_each_file_once(spark, tmp):
     assert h["test_leaf_file7.txt"] == hashlib.sha256(b"test file 7").hexdigest()
 
 
+def test_discovery_takes_every_file(spark, tmp):
+    root, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    names = ["n/.hidden", "n/_x", "n/a b %20.txt", "n/empty", "n/_deep/.er/é+", "at root"]
+    for k, n in enumerate(names):
+        os.makedirs(os.path.dirname(os.path.join(root, n)), exist_ok=True)
+        with open(os.path.join(root, n), "wb") as f:
+            f.write(b"" if n.endswith("empty") else b"x" * (3_000_000 + k))         # several read chunks
+    D.discover(spark, root, f"{out}/cat", f"{out}/ck").awaitTermination()
+    got = {(f"{r.node_name}/" if r.node_name else "") + r.location: (r.size, r.hash) for r in D.read_catalog(spark, f"{out}/cat").collect()}
+    assert got == {n: (os.path.getsize(os.path.join(root, n)), hashlib.sha256(open(os.path.join(root, n), "rb").read()).hexdigest()) for n in names}
+
+
+def test_a_replayed_batch_takes_the_same_files(spark, tmp):
+    import shutil
+    root, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    _files(root, 0, 5)
+    D.discover(spark, root, f"{out}/cat", f"{out}/ck").awaitTermination()
+    _files(root, 5, 8)
+    D.discover(spark, root, f"{out}/cat", f"{out}/ck").awaitTermination()
+    shutil.copytree(f"{out}/ck", f"{out}/crashed", ignore=lambda d, names: [n for n in names if d.endswith("commits") and n in ("1", ".1.crc")])
+    _files(root, 8, 9)
+    for _ in range(2):                                     # batch 1 was planned and not committed: it runs again
+        D.discover(spark, root, f"{out}/cat", f"{out}/crashed").awaitTermination()
+    got = [(r.batch_id, r.location) for r in D.read_catalog(spark, f"{out}/cat").collect()]
+    assert sorted(got) == [(0 if i < 5 else 1 if i < 8 else 2, f"test_leaf_file{i}.txt") for i in range(9)]
+
+
 def test_batch_write_is_idempotent(spark, tmp):
     df = spark.createDataFrame([("n", "a", 1, "h", 0)], "node_name string, location string, size long, hash string, batch_id long")
     D._write_batch(df, tmp + "/cat")
@@ -190,6 +217,18 @@ def test_metric_trigger_fires_once_above_the_threshold(spark, tmp):
 
 
 
+def test_bounded_batches_take_everything_in_the_end(spark, tmp):
+    root, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    _files(root, 0, 7)
+    q = D.discover(spark, root, f"{out}/cat", f"{out}/ck", max_files_per_trigger=3, processing_time="100 milliseconds")
+    try:
+        q.processAllAvailable()
+        sizes = sorted(r["count"] for r in D.read_catalog(spark, f"{out}/cat").groupBy("batch_id").count().collect())
+        assert sizes == [1, 3, 3]
+    finally:
+        q.stop()
+
+
 def test_continuous_discovery_with_processing_time_trigger(spark, tmp):
     root, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
     _files(root, 0, 5)
