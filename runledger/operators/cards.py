@@ -7,8 +7,8 @@
 * dataset cards (JSON-LD): build from the artifact catalog (A-9 / C-5),
   distribution and record-set views (C-6 / C-7).
 
-Only flat ``key: value`` front matter is parsed (lists are written in YAML
-flow style, ``[a, b]``); a full YAML parser is not built.
+The header functions here read flat ``key: value`` lines and block lists;
+nested headers are read by ``headers``, templates by ``templates``.
 """
 
 from __future__ import annotations
