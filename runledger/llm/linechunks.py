@@ -1,100 +1,167 @@
 """Line dedup over content-defined chunks, with DataFrame functions only.
 
-A rolling hash covers each line and the one before it; a chunk ends where that
-hash is a local minimum, so the same passage is cut at the same places
-whatever stands before it.  Minima are never neighbours, so all chunks but a
-text's first and last have two lines or more.  Chunks of several lines whose
-hash occurs more than once are compared byte by byte (grouped by their text);
-the first occurrence by (doc_id, text digest, place) stays, the others go.
+Lines are cut further at the ends of clauses, so that a passage of some fifty
+words holds several units whatever its line breaks.  A rolling hash covers each
+unit and the one before it; a chunk ends where that hash is a local minimum, so
+the same passage is cut at the same places whatever stands before it.  Minima
+are never neighbours, so all chunks but a text's last have two units or more.
+
+Two kinds of matches are compared byte by byte with their first occurrence by
+(doc_id, text digest, place).  A whole chunk that stands earlier goes.  The ends
+of two chunks are alike when their last two units are; such a match is extended
+to the left through the chunk and to the right through the next one as far as
+the units are equal, which finds the passage's margins, where a chunk mixes with
+the text's own units.  Every match points to an earlier place, so one copy of
+all that is removed stays.  Adjoining matches are one run; runs of fewer than
+``LEAST_WORDS`` words stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
 
-LEAST_LINES = 2
+LEAST_UNITS = 2
+LEAST_WORDS = 25
 BROADCAST_HASHES = 1_000_000      # 8 bytes each; beyond it the join shuffles
+CUT = r"(?<=[.,;:!?] )|(?<=[\n。，；！？])"
+AT = ["doc_id", "digest", "pos"]
+
+
+def _with_units(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``units_``: strings whose concatenation is the text."""
+    return docs.withColumn("units_", F.filter(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda u: u != ""))
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``chunks_``: array of (n, text), n lines joined
-    by newlines; the chunks joined by newlines are the text."""
-    made = docs.withColumn("lines_", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    made = made.withColumn("hashes_", F.expr("transform(lines_, s -> md5(s))"))
+    """``docs`` that have units, with a column ``chunks_``: array of (start, end,
+    own, next), the places of a chunk's first and last unit, its units and those
+    of the chunk after it, without the white space at the units' ends."""
+    made = _with_units(docs).filter(F.size("units_") > 0).withColumn(
+        "plain_", F.expr(r"transform(units_, u -> trim(TRAILING ' \t\r\n' FROM u))"))
+    made = made.withColumn("hashes_", F.expr("transform(plain_, s -> md5(s))"))
     made = made.withColumn("rolled_", F.expr(
         "transform(hashes_, (h, i) -> md5(concat(if(i = 0, '', get(hashes_, i - 1)), h)))"))
     made = made.withColumn("ends_", F.expr("""
-        filter(sequence(0, size(lines_) - 1), i -> i = size(lines_) - 1 OR (i > 0
+        filter(sequence(0, size(plain_) - 1), i -> i = size(plain_) - 1 OR (i > 0
           AND get(rolled_, i) < get(rolled_, i - 1) AND get(rolled_, i) <= get(rolled_, i + 1)))"""))
     return made.withColumn("chunks_", F.expr("""
         transform(ends_, (e, k) -> struct(
-          e - if(k = 0, -1, get(ends_, k - 1)) AS n,
-          array_join(slice(lines_, if(k = 0, 0, get(ends_, k - 1) + 1) + 1, e - if(k = 0, -1, get(ends_, k - 1))), '\n') AS text))
-        """)).drop("lines_", "hashes_", "rolled_", "ends_")
+          if(k = 0, 0, get(ends_, k - 1) + 1) AS start, e AS end,
+          slice(plain_, if(k = 0, 0, get(ends_, k - 1) + 1) + 1, e - if(k = 0, -1, get(ends_, k - 1))) AS own,
+          slice(plain_, e + 2, coalesce(get(ends_, k + 1), e) - e) AS next))
+        """)).drop("units_", "plain_", "hashes_", "rolled_", "ends_")
+
+
+def _alike(a: str, b: str, back: bool) -> str:
+    """SQL: how many units ``a`` and ``b`` share from their start, or from their end."""
+    one, two = (f"get({x}, {f'size({x}) - 1 - i' if back else 'i'})" for x in (a, b))
+    return f"aggregate(sequence(0, least(size({a}), size({b}))), 0, (n, i) -> if(n = i AND {one} = {two}, n + 1, n))"
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Occurrences to remove from ``docs`` (doc_id, text): doc_id, digest (of
-    the whole text) and pos (of the chunk, from 0)."""
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """Runs to remove from ``docs`` (doc_id, text): doc_id, digest (of the whole
+    text), from and to (places of units, from 0), none overlapping or adjoining."""
     # never empty: the outer form only keeps Spark from deriving a filter that repeats the whole expression
     cut = with_chunks(docs.select("doc_id", "text")).select(
-        "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode_outer("chunks_").alias("pos", "chunk"))
-    found = (cut.filter((F.col("chunk.n") >= LEAST_LINES) & F.col("chunk.text").rlike(r"\S"))
-             .select("doc_id", "digest", "pos", "chunk.text", F.xxhash64("chunk.text").alias("hash")))
+        "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode_outer("chunks_").alias("pos", "c"))
+    whole = F.when(F.size("c.own") >= LEAST_UNITS, F.array_join("c.own", "\n"))
+    end = F.when(F.size("c.next") > 0, F.array_join(F.slice("c.own", -2, 2), "\n"))
+    none = F.lit(None).cast("array<string>")
+    found = cut.select(*AT, "c.start", "c.end", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), whole.alias("text"), none.alias("own"), none.alias("next")),
+        F.struct(F.lit(1).alias("kind"), end.alias("text"), F.col("c.own").alias("own"), F.col("c.next").alias("next")))).alias("m"))
+    found = found.filter(F.col("m.text").rlike(r"\S")).select(
+        *AT, "start", "end", "m.*", F.xxhash64("m.kind", "m.text").alias("hash"))
     often = store(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
     few = often.count() <= BROADCAST_HASHES
     # the rows that share a hash, with their bytes; a hot hash's rows are split by the skew join
     same = store(found.join(F.broadcast(often) if few else often, "hash", "left_semi"), "candidates")
     # stored, so that the join deals both sides anew and can split a hot passage
-    first = store(same.groupBy("hash", "text").agg(
-        F.min(F.struct("doc_id", "digest", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
-    gone = same.join(first, ["hash", "text"]).filter(
-        ~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first"))).select("doc_id", "digest", "pos")
-    return gone
+    first = store(same.groupBy("hash", "kind", "text").agg(
+        F.min(F.struct(*AT, "own", "next")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    gone = same.join(first, ["hash", "kind", "text"]).filter(
+        ~F.struct(*AT).eqNullSafe(F.struct(*[F.col("first")[c].alias(c) for c in AT])))
+    ranges = gone.select(
+        "doc_id", "digest",
+        F.expr(f"if(kind = 0, start, end + 1 - {_alike('own', 'first.own', True)})").alias("from"),
+        F.expr(f"if(kind = 0, end, end + {_alike('next', 'first.next', False)})").alias("to")).distinct()
+    # a window over one document's own matches
+    w = Window.partitionBy("doc_id", "digest").orderBy("from", "to")
+    before = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ranges.withColumn("new", F.when(before.isNull() | (F.col("from") > before + 1), 1).otherwise(0))
+    runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "digest", "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated multi-line chunks taken out of ``text``.
+    """``docs`` with the passages taken out of ``text`` that occur earlier.
 
     Every row stays, with all its columns (inside ``row``), plus ``text`` (the
-    new one), ``removed_chunks`` and ``removed_lines``.  A null text stays
-    null; blank chunks are never removed; rows alike in doc_id and text are
-    one document and keep the same lines; an empty table gives no rows.
+    new one), ``removed_passages`` and ``removed_words``.  A null text stays
+    null and an empty one empty; blank chunks match nothing; rows alike in doc_id
+    and text are one document and keep the same passages; null ids come first;
+    an empty table gives no rows.
     """
-    gone = repeated_chunks(docs).groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_units(docs).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("gone"))
     gone = store(gone, "removed").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     # the same join at every size: a broadcast of what is small today would hide its cost
     rows = rows.join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
                      & (F.col("digest") == F.col("gone_digest")), "left")
-    rows = with_chunks(rows.select("row", F.col("row.text").alias("text"),
-                                   F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
-    kept = F.expr("filter(chunks_, (c, i) -> NOT array_contains(gone, i))")
-    lost = F.expr("aggregate(filter(chunks_, (c, i) -> array_contains(gone, i)), 0L, (a, c) -> a + c.n)")
+    rows = _with_units(rows.select("row", F.col("row.text").alias("text"), F.coalesce(
+        "gone", F.array().cast("array<struct<`from`:int,`to`:int>>")).alias("gone")))
+    rows = rows.withColumn("cut_", F.expr(rf"""
+        filter(transform(gone, r -> struct(r.`from`, r.`to`, regexp_count(
+          array_join(slice(units_, r.`from` + 1, r.`to` - r.`from` + 1), ''), '\\S+') AS words)), r -> r.words >= {LEAST_WORDS})"""))
+    kept = F.expr("""
+        concat(array_join(transform(cut_, (r, j) -> array_join(
+          slice(units_, if(j = 0, 0, get(cut_, j - 1).`to` + 1) + 1, r.`from` - if(j = 0, 0, get(cut_, j - 1).`to` + 1)), '')), ''),
+          array_join(slice(units_, element_at(cut_, -1).`to` + 2, size(units_)), ''))""")
     return rows.select(
-        "row", F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).alias("text"),
-        F.size("gone").alias("removed_chunks"), lost.alias("removed_lines"))
+        "row", F.when(F.size("cut_") == 0, F.col("text")).otherwise(kept).alias("text"),
+        F.size("cut_").alias("removed_passages"),
+        F.expr("aggregate(cut_, 0L, (a, r) -> a + r.words)").alias("removed_words"))
 
 
 LINES_SQL = r"""
-WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS digest, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, digest, i, ls[i + 1] AS line, len(ls) AS n,
-        md5(CASE WHEN i = 0 THEN '' ELSE md5(ls[i]) END || md5(ls[i + 1])) AS r
-      FROM (SELECT DISTINCT doc_id, digest, ls, unnest(range(len(ls))) AS i FROM d)),
+WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS digest,
+        list_filter(string_split(regexp_replace(coalesce(text, ''), '([.,;:!?] |[\n。，；！？])', '\1' || chr(1), 'g'), chr(1)),
+                    lambda u: u <> '') AS us FROM documents),
+l AS (SELECT doc_id, digest, i, n, raw, u, md5(CASE WHEN i = 0 THEN '' ELSE md5(p) END || md5(u)) AS r
+      FROM (SELECT *, rtrim(us[i + 1], chr(32) || chr(9) || chr(10) || chr(13)) AS u,
+                   rtrim(us[i], chr(32) || chr(9) || chr(10) || chr(13)) AS p, us[i + 1] AS raw
+            FROM (SELECT DISTINCT doc_id, digest, us, len(us) AS n, unnest(range(len(us))) AS i FROM d))),
 e AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
 g AS (SELECT *, coalesce(sum(CASE WHEN i > 0 AND i < n - 1 AND r < p AND r <= q THEN 1 ELSE 0 END)
         OVER (PARTITION BY doc_id, digest ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
-c AS (SELECT doc_id, digest, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM g GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, digest, pos) AS k FROM c
-      WHERE n >= 2 AND regexp_matches(chunk, '[^\t\n\x0B\f\r ]')),
-x AS (SELECT c.*, coalesce(o.k, 1) > 1 AS gone FROM c LEFT JOIN o USING (doc_id, digest, pos)),
-t AS (SELECT doc_id, digest, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
-        CAST(count(*) FILTER (gone) AS INTEGER) AS removed_chunks,
-        CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS removed_lines
-      FROM x GROUP BY ALL)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE t.text END AS text, removed_chunks, removed_lines
-FROM d JOIN t USING (doc_id, digest)
+c AS (SELECT doc_id, digest, pos, min(i) AS s, max(i) AS e, list(u ORDER BY i) AS own FROM g GROUP BY ALL),
+c2 AS (SELECT *, coalesce(lead(own) OVER (PARTITION BY doc_id, digest ORDER BY pos), []) AS nxt FROM c),
+m AS (SELECT *, 0 AS kind, array_to_string(own, chr(10)) AS k FROM c2 WHERE len(own) >= 2
+      UNION ALL SELECT *, 1, array_to_string(own[-2:], chr(10)) FROM c2 WHERE len(nxt) > 0),
+f AS (SELECT *, row_number() OVER w AS place, first_value(own) OVER w AS fo, first_value(nxt) OVER w AS fn
+      FROM m WHERE regexp_matches(k, '[^\t\n\x0B\f\r ]')
+      WINDOW w AS (PARTITION BY kind, k ORDER BY doc_id, digest, pos)),
+x AS (SELECT DISTINCT doc_id, digest,
+        CASE WHEN kind = 0 THEN s ELSE e + 1 - (list_position(list_append(
+          [own[-j] = fo[-j] for j in range(1, least(len(own), len(fo)) + 1)], false), false) - 1) END AS a,
+        CASE WHEN kind = 0 THEN e ELSE e + (list_position(list_append(
+          [nxt[j] = fn[j] for j in range(1, least(len(nxt), len(fn)) + 1)], false), false) - 1) END AS b
+      FROM f WHERE place > 1),
+y AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id, digest ORDER BY a, b
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM x),
+z AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, digest ORDER BY a, b) AS run FROM y),
+runs AS (SELECT doc_id, digest, run, min(a) AS a, max(b) AS b FROM z GROUP BY ALL),
+words AS (SELECT r.*, len(regexp_extract_all(string_agg(raw, '' ORDER BY i), '[^\t\n\x0B\f\r ]+')) AS words
+          FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.digest = r.digest AND l.i BETWEEN r.a AND r.b GROUP BY ALL),
+cut AS (SELECT * FROM words WHERE words >= 25),
+left_ AS (SELECT l.doc_id, l.digest, string_agg(raw, '' ORDER BY i) AS text FROM l
+          WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.doc_id = l.doc_id AND cut.digest = l.digest AND l.i BETWEEN cut.a AND cut.b)
+          GROUP BY ALL),
+sums AS (SELECT doc_id, digest, count(*) AS passages, sum(words) AS words FROM cut GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_.text, '') END AS text,
+  CAST(coalesce(passages, 0) AS INTEGER) AS removed_passages, CAST(coalesce(sums.words, 0) AS BIGINT) AS removed_words
+FROM d LEFT JOIN left_ USING (doc_id, digest) LEFT JOIN sums USING (doc_id, digest)
 """

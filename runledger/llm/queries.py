@@ -103,9 +103,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_chunks", LINES_SQL)
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the multi-line chunks that occur earlier."""
+    """Every document without the passages that occur earlier."""
     from .linechunks import dedup_lines
-    return dedup_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "removed_chunks", "removed_lines")
+    return dedup_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "removed_passages", "removed_words")
 
 
 @query("op4_decontaminate", DECONTAM_SQL)

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on rows with nulls, empty and
 long texts, ties, repeated rows and columns whose names clash."""
 
+import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,51 +249,111 @@ def test_the_penalty_evens_out_groups():
 
 # 6 ------------------------------------------------------------------------------
 
-def brute_chunks(text):
-    import hashlib
+def brute_units(text):
+    return [u for u in re.split(linechunks.CUT, text or "") if u]
+
+
+def brute_chunks(units):
+    """(first, last) places of each chunk."""
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    lines = (text or "").split("\n")
-    h = [md5(x) for x in lines]
+    h = [md5(u.rstrip(" \t\r\n")) for u in units]
     r = [md5((h[i - 1] if i else "") + h[i]) for i in range(len(h))]
     out, at = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (i and r[i] < r[i - 1] and r[i] <= r[i + 1]):
-            out.append(lines[at:i + 1])
+    for i in range(len(units)):
+        if i == len(units) - 1 or (i and r[i] < r[i - 1] and r[i] <= r[i + 1]):
+            out.append((at, i))
             at = i + 1
     return out
 
 
+def brute_dedup(rows):
+    """(id, text) -> new text, passages and words removed."""
+    keys = sorted({(i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), i, t) for i, t in rows}, key=lambda k: k[:3])
+    first, want = {}, {}
+    for _, _, _, i, t in keys:
+        raw = brute_units(t)
+        units = [u.rstrip(" \t\r\n") for u in raw]
+        chunks, gone = brute_chunks(units), set()
+        for k, (a, b) in enumerate(chunks):
+            own = units[a:b + 1]
+            after = units[b + 1:chunks[k + 1][1] + 1] if k + 1 < len(chunks) else []
+            if len(own) >= 2 and "".join(own).strip() and first.setdefault((0, tuple(own)), (i, t, k)) != (i, t, k):
+                gone.update(range(a, b + 1))
+            if after and "".join(own[-2:]).strip():
+                at, old, new = first.setdefault((1, tuple(own[-2:])), ((i, t, k), own, after))
+                if at != (i, t, k):
+                    n = next((j for j, (x, y) in enumerate(zip(own[::-1], old[::-1])) if x != y), min(len(own), len(old)))
+                    m = next((j for j, (x, y) in enumerate(zip(after, new)) if x != y), min(len(after), len(new)))
+                    gone.update(range(b + 1 - n, b + 1 + m))
+        passages = words = 0
+        for a in sorted(gone):
+            if a - 1 in gone:
+                continue
+            b = a
+            while b + 1 in gone:
+                b += 1
+            many = len("".join(raw[a:b + 1]).split())
+            if many >= linechunks.LEAST_WORDS:
+                passages, words = passages + 1, words + many
+                raw[a:b + 1] = [""] * (b + 1 - a)
+        want[(i, t)] = (None if t is None else "".join(raw), passages, words)
+    return want
+
+
+def sentences(rng, words):
+    out = []
+    for k in range(words):
+        out.append("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) + (rng.choice([",", ".", ";"]) if rng.random() < 0.2 else ""))
+    return " ".join(out)
+
+
+def deduped(spark, rows):
+    got = linechunks.dedup_lines(docs_of(spark, rows)).select(
+        "row.doc_id", linechunks.F.col("row.text").alias("old"), "text", "removed_passages", "removed_words").collect()
+    assert len(got) == len(rows)
+    return {(r.doc_id, r.old): (r.text, r.removed_passages, r.removed_words) for r in got}
+
+
 def test_line_chunks(spark):
-    import hashlib
     rng = random.Random(4)
-    passages = [[f"line {p} {k} {rng.random()}" for k in range(12)] for p in range(3)]
+    passages = [[f"line {p} {k}, {rng.random()}" for k in range(12)] for p in range(3)]
     rows = []
     for i in range(40):
-        own = [f"own {i} {k} {rng.random()}" for k in range(rng.randint(0, 6))]
+        own = [f"own {i} {k}; {rng.random()}" for k in range(rng.randint(0, 6))]
         rows.append((i, "\n".join(own + passages[i % 3] + own[:2] if i % 4 else own)))
     rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n\n"), (103, "\n\n\n\n\n\n\n"), (5, rows[5][1]), (None, rows[6][1]),
-             (104, "\n".join(["same"] * 3000)), (105, "\r\n".join(passages[0]))]
-    keys = sorted({(i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), i, t) for i, t in rows}, key=lambda k: k[:3])
-    seen, want = set(), {}
-    for _, _, _, i, t in keys:
-        keep, gone, lines = [], 0, 0
-        for c in brute_chunks(t):
-            text = "\n".join(c)
-            if len(c) >= 2 and text.strip() and text in seen:
-                gone, lines = gone + 1, lines + len(c)
-                continue
-            if len(c) >= 2:
-                seen.add(text)
-            keep.append(text)
-        want[(i, t)] = (None if t is None else "\n".join(keep), gone, lines)
-    got = linechunks.dedup_lines(docs_of(spark, rows)).select(
-        "row.doc_id", linechunks.F.col("row.text").alias("old"), "text", "removed_chunks", "removed_lines").collect()
-    assert len(got) == len(rows)
-    assert {(r.doc_id, r.old): (r.text, r.removed_chunks, r.removed_lines) for r in got} == want
-    assert sum(r.removed_lines for r in got) > 200
+             (104, "\n".join(["same"] * 3000)), (105, "\r\n".join(passages[0])), (106, "中文。" * 40), (107, "a, " * 400),
+             (108, sentences(rng, 30000)), (109, "x" * 200_000)]
+    got = deduped(spark, rows)
+    assert got == brute_dedup(rows)
+    assert sum(w for _, _, w in got.values()) > 800
     assert linechunks.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("lines", [1, 2, 3, 5])
+def test_line_chunks_find_planted_passages(spark, lines):
+    """Passages of 50 to 100 words, on some lines between foreign ones, go but for one copy."""
+    rng = random.Random(lines)
+    rows, planted, lost = [], [], 0
+    for p in range(60):
+        words = sentences(rng, rng.randint(51, 100)).split(" ")
+        cuts = [len(words) * k // lines for k in range(lines + 1)]
+        planted.append("\n".join(" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])))
+        for k in range(3):
+            rows.append((3 * p + k, "\n".join([sentences(rng, 40), planted[-1], sentences(rng, 40)])))
+    rows += [(1000 + k, sentences(rng, 80)) for k in range(40)]
+    got = deduped(spark, rows)
+    for (i, old), (new, passages, words) in got.items():
+        if i >= 1000 or i % 3 == 0:
+            assert new == old
+        else:
+            at = old.index(planted[i // 3])
+            assert new.startswith(old[:at]) and new.endswith(old[at + len(planted[i // 3]):].lstrip())
+            lost += words / len(planted[i // 3].split())
+    assert lost / 120 > 0.93
+    assert sum(p > 0 for _, p, _ in got.values()) >= 114
+
+
 # 7 ------------------------------------------------------------------------------
 
 def test_chat(spark):
