@@ -6,12 +6,12 @@ unit and the one before it; a chunk ends where that hash is a local minimum, so
 the same passage is cut at the same places whatever stands before it.  Minima
 are never neighbours, so all chunks but a text's last have two units or more.
 
-Two kinds of matches are compared byte by byte with their first occurrence by
-(doc_id, text digest, place).  A whole chunk that stands earlier goes.  The ends
-of two chunks are alike when their last two units are; such a match is extended
-to the left through the chunk and to the right through the next one as far as
-the units are equal, which finds the passage's margins, where a chunk mixes with
-the text's own units.  Every match points to an earlier place, so one copy of
+Chunks whose last two units are equal meet by the hash of these; each is compared
+byte by byte with the first such chunk by (doc_id, text digest, place), to the
+left through the chunk and to the right through the next one as far as the units
+are equal, which finds a passage's margins, where a chunk mixes with the text's
+own units.  A whole chunk that stands earlier goes also where the first chunk of
+its last two units is another.  Every match points to an earlier place, so one copy of
 all that is removed stays.  Adjoining matches are one run; runs of fewer than
 ``LEAST_WORDS`` words stay.
 """
@@ -27,12 +27,20 @@ LEAST_UNITS = 2
 LEAST_WORDS = 25
 BROADCAST_HASHES = 1_000_000      # 8 bytes each; beyond it the join shuffles
 CUT = r"(?<=[.,;:!?] )|(?<=[\n。，；！？])"
+ENDS = [". ", ", ", "; ", ": ", "! ", "? ", "\n", "。", "，", "；", "！", "？"]      # the same places
+MARK = "\u0001"
 AT = ["doc_id", "digest", "pos"]
 
 
 def _with_units(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``units_``: strings whose concatenation is the text."""
-    return docs.withColumn("units_", F.filter(F.split(F.coalesce("text", F.lit("")), CUT, -1), lambda u: u != ""))
+    text = F.coalesce("text", F.lit(""))
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    # plain replacements cost a tenth of the pattern, which serves texts that hold the mark
+    units = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT, -1)).otherwise(F.split(marked, MARK, -1))
+    return docs.withColumn("units_", F.filter(units, lambda u: u != ""))
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
@@ -67,27 +75,29 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     # never empty: the outer form only keeps Spark from deriving a filter that repeats the whole expression
     cut = with_chunks(docs.select("doc_id", "text")).select(
         "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode_outer("chunks_").alias("pos", "c"))
-    whole = F.when(F.size("c.own") >= LEAST_UNITS, F.array_join("c.own", "\n"))
-    end = F.when(F.size("c.next") > 0, F.array_join(F.slice("c.own", -2, 2), "\n"))
-    none = F.lit(None).cast("array<string>")
-    found = cut.select(*AT, "c.start", "c.end", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), whole.alias("text"), none.alias("own"), none.alias("next")),
-        F.struct(F.lit(1).alias("kind"), end.alias("text"), F.col("c.own").alias("own"), F.col("c.next").alias("next")))).alias("m"))
-    found = found.filter(F.col("m.text").rlike(r"\S")).select(
-        *AT, "start", "end", "m.*", F.xxhash64("m.kind", "m.text").alias("hash"))
+    found = cut.filter(F.size("c.own") >= LEAST_UNITS).select(
+        *AT, "c.start", "c.end", F.array_join(F.slice("c.own", -2, 2), "\n").alias("tail"),
+        F.expr("slice(c.own, 1, size(c.own) - 2)").alias("head"), "c.next").filter(F.col("tail").rlike(r"\S"))
+    found = found.withColumn("hash", F.xxhash64("tail"))
     often = store(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
     few = often.count() <= BROADCAST_HASHES
     # the rows that share a hash, with their bytes; a hot hash's rows are split by the skew join
-    same = store(found.join(F.broadcast(often) if few else often, "hash", "left_semi"), "candidates")
+    same = store(found.join(F.broadcast(often) if few else often, "hash", "left_semi").drop("hash"), "candidates")
     # stored, so that the join deals both sides anew and can split a hot passage
-    first = store(same.groupBy("hash", "kind", "text").agg(
-        F.min(F.struct(*AT, "own", "next")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
-    gone = same.join(first, ["hash", "kind", "text"]).filter(
-        ~F.struct(*AT).eqNullSafe(F.struct(*[F.col("first")[c].alias(c) for c in AT])))
-    ranges = gone.select(
-        "doc_id", "digest",
-        F.expr(f"if(kind = 0, start, end + 1 - {_alike('own', 'first.own', True)})").alias("from"),
-        F.expr(f"if(kind = 0, end, end + {_alike('next', 'first.next', False)})").alias("to")).distinct()
+    first = store(same.groupBy("tail").agg(
+        F.min(F.struct(*AT, "head", "next")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
+    later = ~F.struct(*AT).eqNullSafe(F.struct(*[F.col("first")[c].alias(c) for c in AT]))
+    back = F.expr(_alike("head", "first.head", True))
+    matched = store(same.join(first, "tail").filter(later).select(
+        *AT, "start", "end", back.alias("back"), F.expr(_alike("next", "first.next", False)).alias("on"),
+        # chunks unlike the first one of their tail may be alike among themselves
+        F.when((back < F.size("head")) | (F.size("head") != F.size("first.head")),
+               F.concat(F.array_join("head", "\n"), F.lit("\n"), F.col("tail"))).alias("whole")), "matched")
+    chunks = matched.filter("whole IS NOT NULL").select(*AT, "start", "end", "whole")
+    whole = store(chunks.groupBy("whole").agg(
+        F.min(F.struct(*AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "whole")
+    ranges = matched.select("doc_id", "digest", F.expr("end - 1 - back").alias("from"), F.expr("end + on").alias("to")).union(
+        chunks.join(whole, "whole").filter(later).select("doc_id", "digest", "start", "end")).distinct()
     # a window over one document's own matches
     w = Window.partitionBy("doc_id", "digest").orderBy("from", "to")
     before = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -140,9 +150,9 @@ g AS (SELECT *, coalesce(sum(CASE WHEN i > 0 AND i < n - 1 AND r < p AND r <= q
 c AS (SELECT doc_id, digest, pos, min(i) AS s, max(i) AS e, list(u ORDER BY i) AS own FROM g GROUP BY ALL),
 c2 AS (SELECT *, coalesce(lead(own) OVER (PARTITION BY doc_id, digest ORDER BY pos), []) AS nxt FROM c),
 m AS (SELECT *, 0 AS kind, array_to_string(own, chr(10)) AS k FROM c2 WHERE len(own) >= 2
-      UNION ALL SELECT *, 1, array_to_string(own[-2:], chr(10)) FROM c2 WHERE len(nxt) > 0),
+      UNION ALL SELECT *, 1, array_to_string(own[-2:], chr(10)) FROM c2 WHERE len(own) >= 2),
 f AS (SELECT *, row_number() OVER w AS place, first_value(own) OVER w AS fo, first_value(nxt) OVER w AS fn
-      FROM m WHERE regexp_matches(k, '[^\t\n\x0B\f\r ]')
+      FROM m WHERE regexp_matches(array_to_string(own[-2:], chr(10)), '[^\t\n\x0B\f\r ]')
       WINDOW w AS (PARTITION BY kind, k ORDER BY doc_id, digest, pos)),
 x AS (SELECT DISTINCT doc_id, digest,
         CASE WHEN kind = 0 THEN s ELSE e + 1 - (list_position(list_append(

@@ -277,14 +277,15 @@ def brute_dedup(rows):
         for k, (a, b) in enumerate(chunks):
             own = units[a:b + 1]
             after = units[b + 1:chunks[k + 1][1] + 1] if k + 1 < len(chunks) else []
-            if len(own) >= 2 and "".join(own).strip() and first.setdefault((0, tuple(own)), (i, t, k)) != (i, t, k):
+            if len(own) < 2 or not "".join(own[-2:]).strip():
+                continue
+            if first.setdefault((0, tuple(own)), (i, t, k)) != (i, t, k):
                 gone.update(range(a, b + 1))
-            if after and "".join(own[-2:]).strip():
-                at, old, new = first.setdefault((1, tuple(own[-2:])), ((i, t, k), own, after))
-                if at != (i, t, k):
-                    n = next((j for j, (x, y) in enumerate(zip(own[::-1], old[::-1])) if x != y), min(len(own), len(old)))
-                    m = next((j for j, (x, y) in enumerate(zip(after, new)) if x != y), min(len(after), len(new)))
-                    gone.update(range(b + 1 - n, b + 1 + m))
+            at, old, new = first.setdefault((1, tuple(own[-2:])), ((i, t, k), own, after))
+            if at != (i, t, k):
+                n = next((j for j, (x, y) in enumerate(zip(own[::-1], old[::-1])) if x != y), min(len(own), len(old)))
+                m = next((j for j, (x, y) in enumerate(zip(after, new)) if x != y), min(len(after), len(new)))
+                gone.update(range(b + 1 - n, b + 1 + m))
         passages = words = 0
         for a in sorted(gone):
             if a - 1 in gone:
@@ -323,7 +324,8 @@ def test_line_chunks(spark):
         rows.append((i, "\n".join(own + passages[i % 3] + own[:2] if i % 4 else own)))
     rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n\n"), (103, "\n\n\n\n\n\n\n"), (5, rows[5][1]), (None, rows[6][1]),
              (104, "\n".join(["same"] * 3000)), (105, "\r\n".join(passages[0])), (106, "中文。" * 40), (107, "a, " * 400),
-             (108, sentences(rng, 30000)), (109, "x" * 200_000)]
+             (108, sentences(rng, 30000)), (109, "x" * 200_000),
+             (110, "a\x01, b\n" + rows[7][1] + ", \x01")]
     got = deduped(spark, rows)
     assert got == brute_dedup(rows)
     assert sum(w for _, _, w in got.values()) > 800
