@@ -21,9 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import drop_stored, store
 
-LEAST_UNITS = 2
 LEAST_WORDS = 25
 BROADCAST_HASHES = 1_000_000      # 8 bytes each; beyond it the join shuffles
 CUT = r"(?<=[.,;:!?] )|(?<=[\n。，；！？])"
@@ -43,24 +42,27 @@ def _with_units(docs: DataFrame) -> DataFrame:
     return docs.withColumn("units_", F.filter(units, lambda u: u != ""))
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` that have units, with a column ``chunks_``: array of (start, end,
-    own, next), the places of a chunk's first and last unit, its units and those
-    of the chunk after it, without the white space at the units' ends."""
-    made = _with_units(docs).filter(F.size("units_") > 0).withColumn(
-        "plain_", F.expr(r"transform(units_, u -> trim(TRAILING ' \t\r\n' FROM u))"))
+def _between(units: str, first: str, last: str) -> str:
+    """SQL: the units from place ``first`` to ``last``; a ``slice`` would copy the whole array for each chunk."""
+    return f"if({last} < {first}, cast(array() AS array<string>), transform(sequence({first}, {last}), x -> get({units}, x)))"
+
+
+START = "if(k = 0, 0, get(ends_, k - 1) + 1)"
+TAIL = "concat(get(plain_, e - 1), '\n', get(plain_, e))"       # null in a text's first unit
+
+
+def with_ends(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ``plain_`` (the units without the white space at
+    their ends) and ``ends_`` (the places of the chunks' last units)."""
+    made = _with_units(docs).withColumn("plain_", F.expr(r"transform(units_, u -> trim(TRAILING ' \t\r\n' FROM u))"))
     made = made.withColumn("hashes_", F.expr("transform(plain_, s -> md5(s))"))
     made = made.withColumn("rolled_", F.expr(
         "transform(hashes_, (h, i) -> md5(concat(if(i = 0, '', get(hashes_, i - 1)), h)))"))
-    made = made.withColumn("ends_", F.expr("""
-        filter(sequence(0, size(plain_) - 1), i -> i = size(plain_) - 1 OR (i > 0
-          AND get(rolled_, i) < get(rolled_, i - 1) AND get(rolled_, i) <= get(rolled_, i + 1)))"""))
-    return made.withColumn("chunks_", F.expr("""
-        transform(ends_, (e, k) -> struct(
-          if(k = 0, 0, get(ends_, k - 1) + 1) AS start, e AS end,
-          slice(plain_, if(k = 0, 0, get(ends_, k - 1) + 1) + 1, e - if(k = 0, -1, get(ends_, k - 1))) AS own,
-          slice(plain_, e + 2, coalesce(get(ends_, k + 1), e) - e) AS next))
-        """)).drop("units_", "plain_", "hashes_", "rolled_", "ends_")
+    return made.withColumn("ends_", F.expr("""
+        if(size(plain_) = 0, cast(array() AS array<int>),
+          filter(sequence(0, size(plain_) - 1), i -> i = size(plain_) - 1 OR (i > 0
+            AND get(rolled_, i) < get(rolled_, i - 1) AND get(rolled_, i) <= get(rolled_, i + 1))))
+        """)).drop("units_", "hashes_", "rolled_")
 
 
 def _alike(a: str, b: str, back: bool) -> str:
@@ -72,17 +74,21 @@ def _alike(a: str, b: str, back: bool) -> str:
 def repeated_units(docs: DataFrame) -> DataFrame:
     """Runs to remove from ``docs`` (doc_id, text): doc_id, digest (of the whole
     text), from and to (places of units, from 0), none overlapping or adjoining."""
-    # never empty: the outer form only keeps Spark from deriving a filter that repeats the whole expression
-    cut = with_chunks(docs.select("doc_id", "text")).select(
-        "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode_outer("chunks_").alias("pos", "c"))
-    found = cut.filter(F.size("c.own") >= LEAST_UNITS).select(
-        *AT, "c.start", "c.end", F.array_join(F.slice("c.own", -2, 2), "\n").alias("tail"),
-        F.expr("slice(c.own, 1, size(c.own) - 2)").alias("head"), "c.next").filter(F.col("tail").rlike(r"\S"))
-    found = found.withColumn("hash", F.xxhash64("tail"))
-    often = store(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
+    # read twice, and dropped once the candidates stand
+    cut = store(with_ends(docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))).drop("text"), "units")
+    # the outer form only keeps Spark from deriving a filter that repeats the whole expression
+    hashes = cut.select(F.explode_outer(F.expr(f"transform(ends_, (e, k) -> xxhash64({TAIL}))")).alias("hash"))
+    often = store(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1 AND hash IS NOT NULL").select("hash"), "hashes")
+    found = cut.select("doc_id", "digest", F.posexplode_outer(F.expr(f"""
+        transform(ends_, (e, k) -> struct(
+          {START} AS start, e AS end, {TAIL} AS tail, {_between("plain_", START, "e - 2")} AS head,
+          {_between("plain_", "e + 1", "coalesce(get(ends_, k + 1), e)")} AS next))""")).alias("pos", "c"))
+    found = found.filter((F.col("c.end") > F.col("c.start")) & F.col("c.tail").rlike(r"\S")).select(
+        *AT, "c.*", F.xxhash64("c.tail").alias("hash"))
     few = often.count() <= BROADCAST_HASHES
     # the rows that share a hash, with their bytes; a hot hash's rows are split by the skew join
     same = store(found.join(F.broadcast(often) if few else often, "hash", "left_semi").drop("hash"), "candidates")
+    drop_stored(cut)
     # stored, so that the join deals both sides anew and can split a hot passage
     first = store(same.groupBy("tail").agg(
         F.min(F.struct(*AT, "head", "next")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
@@ -125,11 +131,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "gone", F.array().cast("array<struct<`from`:int,`to`:int>>")).alias("gone")))
     rows = rows.withColumn("cut_", F.expr(rf"""
         filter(transform(gone, r -> struct(r.`from`, r.`to`, regexp_count(
-          array_join(slice(units_, r.`from` + 1, r.`to` - r.`from` + 1), ''), '\\S+') AS words)), r -> r.words >= {LEAST_WORDS})"""))
-    kept = F.expr("""
+          array_join({_between("units_", "r.`from`", "r.`to`")}, ''), '\\S+') AS words)), r -> r.words >= {LEAST_WORDS})"""))
+    kept = F.expr(f"""
         concat(array_join(transform(cut_, (r, j) -> array_join(
-          slice(units_, if(j = 0, 0, get(cut_, j - 1).`to` + 1) + 1, r.`from` - if(j = 0, 0, get(cut_, j - 1).`to` + 1)), '')), ''),
-          array_join(slice(units_, element_at(cut_, -1).`to` + 2, size(units_)), ''))""")
+          {_between("units_", "if(j = 0, 0, get(cut_, j - 1).`to` + 1)", "r.`from` - 1")}, '')), ''),
+          array_join({_between("units_", "element_at(cut_, -1).`to` + 1", "size(units_) - 1")}, ''))""")
     return rows.select(
         "row", F.when(F.size("cut_") == 0, F.col("text")).otherwise(kept).alias("text"),
         F.size("cut_").alias("removed_passages"),
