@@ -18,7 +18,7 @@ all that is removed stays.  Adjoining matches are one run; runs of fewer than
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, store
@@ -31,15 +31,17 @@ MARK = "\u0001"
 AT = ["doc_id", "digest", "pos"]
 
 
-def _with_units(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``units_``: strings whose concatenation is the text."""
+def _with_units(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """``docs`` with a column ``units_``: strings whose concatenation is the text
+    (null in rows that are not ``wanted``)."""
     text = F.coalesce("text", F.lit(""))
     marked = text
     for end in ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
     # plain replacements cost a tenth of the pattern, which serves texts that hold the mark
     units = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT, -1)).otherwise(F.split(marked, MARK, -1))
-    return docs.withColumn("units_", F.filter(units, lambda u: u != ""))
+    units = F.filter(units, lambda u: u != "")
+    return docs.withColumn("units_", units if wanted is None else F.when(wanted, units))
 
 
 def _between(units: str, first: str, last: str) -> str:
@@ -57,7 +59,7 @@ def with_ends(docs: DataFrame) -> DataFrame:
     made = _with_units(docs).withColumn("plain_", F.expr(r"transform(units_, u -> trim(TRAILING ' \t\r\n' FROM u))"))
     made = made.withColumn("hashes_", F.expr("transform(plain_, s -> md5(s))"))
     made = made.withColumn("rolled_", F.expr(
-        "transform(hashes_, (h, i) -> md5(concat(if(i = 0, '', get(hashes_, i - 1)), h)))"))
+        "transform(hashes_, (h, i) -> md5(concat(if(i = 0, '', left(get(hashes_, i - 1), 8)), h)))"))
     return made.withColumn("ends_", F.expr("""
         if(size(plain_) = 0, cast(array() AS array<int>),
           filter(sequence(0, size(plain_) - 1), i -> i = size(plain_) - 1 OR (i > 0
@@ -128,7 +130,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = rows.join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
                      & (F.col("digest") == F.col("gone_digest")), "left")
     rows = _with_units(rows.select("row", F.col("row.text").alias("text"), F.coalesce(
-        "gone", F.array().cast("array<struct<`from`:int,`to`:int>>")).alias("gone")))
+        "gone", F.array().cast("array<struct<`from`:int,`to`:int>>")).alias("gone")), F.size("gone") > 0)
     rows = rows.withColumn("cut_", F.expr(rf"""
         filter(transform(gone, r -> struct(r.`from`, r.`to`, regexp_count(
           array_join({_between("units_", "r.`from`", "r.`to`")}, ''), '\\S+') AS words)), r -> r.words >= {LEAST_WORDS})"""))
@@ -146,7 +148,7 @@ LINES_SQL = r"""
 WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS digest,
         list_filter(string_split(regexp_replace(coalesce(text, ''), '([.,;:!?] |[\n。，；！？])', '\1' || chr(1), 'g'), chr(1)),
                     lambda u: u <> '') AS us FROM documents),
-l AS (SELECT doc_id, digest, i, n, raw, u, md5(CASE WHEN i = 0 THEN '' ELSE md5(p) END || md5(u)) AS r
+l AS (SELECT doc_id, digest, i, n, raw, u, md5(CASE WHEN i = 0 THEN '' ELSE left(md5(p), 8) END || md5(u)) AS r
       FROM (SELECT *, rtrim(us[i + 1], chr(32) || chr(9) || chr(10) || chr(13)) AS u,
                    rtrim(us[i], chr(32) || chr(9) || chr(10) || chr(13)) AS p, us[i + 1] AS raw
             FROM (SELECT DISTINCT doc_id, digest, us, len(us) AS n, unnest(range(len(us))) AS i FROM d))),

@@ -257,7 +257,7 @@ def brute_chunks(units):
     """(first, last) places of each chunk."""
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     h = [md5(u.rstrip(" \t\r\n")) for u in units]
-    r = [md5((h[i - 1] if i else "") + h[i]) for i in range(len(h))]
+    r = [md5((h[i - 1][:8] if i else "") + h[i]) for i in range(len(h))]
     out, at = [], 0
     for i in range(len(units)):
         if i == len(units) - 1 or (i and r[i] < r[i - 1] and r[i] <= r[i + 1]):
