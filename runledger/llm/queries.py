@@ -146,7 +146,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a model of those not held out."""
     from .mixing import held_out, learn, score
     docs = table(spark, sf_dir, "documents")
-    return score(docs, learn(docs.filter(~held_out()))).withColumn("held_out", held_out())
+    scored = score(docs, learn(docs.filter(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), *scored.columns[1:])
 
 
 @query("op11_source_mix", MIX_SQL)
