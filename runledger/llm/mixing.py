@@ -2,57 +2,59 @@
 
 A token (a word, or the end of the text) has an eight-bit code, a hash of the
 word.  Its bits are predicted one after the other in three contexts: none, the
-word before, the two words before.  The last two are keys of a table that holds,
-for every context of the corpus, how often each code followed it.  The
-predictions, as logits, are combined by weights chosen by how often the two
-hashed contexts were seen (the gate); after every block of tokens the weights
-move along the coding error, and a table of probabilities by predicted
-probability refines the result in the same way.  Both start anew in each text.
+word before, the two words before.  The last two are hashed, and how often each
+code followed each of them is counted over the corpus.  The predictions, as
+logits, are combined by weights chosen by how often the two hashed contexts were
+seen (the gate); after every block of tokens the weights move along the coding
+error, and a table of probabilities by predicted probability refines the result
+in the same way.  Both start anew in each text; blocks are short at its start.
 The word itself, given its code, is coded by its share of the code's corpus
 count, with one share for all unknown words.
 
-Word counts and context counts come from all training texts and are Spark
-tables that grow with them.  The commonest words' counts go to every task; the
-others are joined.  Scored texts are dealt in slices; a slice's distinct
-contexts are joined to the context table and meet their texts again.
+Texts are dealt in slices.  A slice sends its distinct cells (context and code)
+and words, each with its count in the texts learnt from, as sorted, delta-coded
+blocks to the ranges of the hash space.  A range adds the blocks up and answers
+each with the state of every cell (the logits along the code's path and how
+often its nodes were seen) and the count of every word, in the block's order.
+The answers meet their slice again, which codes its texts.  All of it grows with
+the corpus: the contexts' hash is longer the longer the corpus is, and no count
+is dropped.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, id_crc, store, text_of, worker_state
+from .common import drop_stored, id_crc, shuffle_width, store, text_of, worker_state
 
-SLOT_BITS = 56            # of a context's key; the low byte of a cell's number is its code
-COMMON_WORDS = 200_000    # words whose counts every task holds at most; the rest is joined
-BLOCK = 64                # tokens between two updates of the weights
+SPARE_BITS = 12            # of a context's hash beyond the bits of the corpus' length
+BLOCK = 64                 # tokens between two updates of the weights; fewer at a text's start
 RATE = 0.6
 REFINE_RATE = 0.5
-WORDS_KEPT = 600_000      # of a worker's table of word hashes
-SLICE_CHARS = 2_000_000
-FLUSH_WORDS = 400_000
-FLUSH_CELLS = 2_000_000   # context cells held before they are added up
-TREE_ROWS = 1 << 14        # contexts whose trees of 512 counts are laid out at a time
-# a text's row (m: its bytes), or one of its words that is not among the common ones (m: how often)
-SCORED = ["row", "doc_id", "n_tokens", "known", "logs", "coded", "word", "m"]
+WORDS_KEPT = 600_000       # of a worker's table of word hashes
+SLICE_CHARS = 8_000_000    # a longer text is a slice of its own
+RANGE_CHARS = 16_000_000   # characters of the corpus for each range of the hash space
+MOST_TASKS = 20_000
 
 CODES = np.arange(256)
-NODES = np.stack([(CODES | 256) >> (8 - b) for b in range(8)], axis=1).astype(np.uint64)
-BITS = np.stack([(CODES >> (7 - b)) & 1 for b in range(8)], axis=1).astype(np.uint8)
+NODES = np.stack([(CODES | 256) >> (8 - b) for b in range(8)], axis=1)
+BITS = np.stack([(CODES >> (7 - b)) & 1 for b in range(8)], axis=1)
 MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 GATES, LEVELS = 16, 25
 
-SEEN = np.array([0, 1, 4, 20])          # counts from which a context is in its confidence class
+SEEN = np.array([1, 4, 20])             # counts from which a node is in the next confidence class
+# a node's state: its confidence class and, in steps of STEP around the class's middle, its logit
+HALF, STEP = np.array([0, 9, 16, 101]), np.array([1, 0.25, 0.25, 0.125])
+MIDDLE = np.cumsum(2 * HALF + 1) - HALF - 1
+CLASS = np.repeat(np.arange(4), 2 * HALF + 1)
+LOGIT = ((np.arange(256) - MIDDLE[CLASS]) * STEP[CLASS]).astype(np.float32)
 
 
 def start_weights() -> np.ndarray:
@@ -68,47 +70,61 @@ def start_weights() -> np.ndarray:
 
 
 class Words(dict):
-    """word -> its number here; ``hashes`` and, with ``common``, ``logs`` (of
-    the word's count, nan if it is not common) are by that number."""
+    """word -> its number here; ``hashes`` are by that number."""
 
-    def __init__(self, common: dict | None = None):
+    def __init__(self):
         super().__init__()
-        self.common = common
-        self.hashes, self.logs = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16)
+        self.hashes = np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
         k = self[word] = len(self)
         if k == len(self.hashes):
-            self.hashes, self.logs = np.concatenate([self.hashes] * 2), np.concatenate([self.logs] * 2)
+            self.hashes = np.concatenate([self.hashes] * 2)
         self.hashes[k] = xxhash.xxh64_intdigest(word, 42)
-        if self.common is not None:
-            self.logs[k] = self.common.get(word, np.nan)
         return k
 
-    def number(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens' numbers, and each text's start and length."""
-        n = np.array([len(d) for d in docs])
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, int(n.sum())), np.cumsum(n) - n, n
 
-
-def words_of(text: str) -> list[bytes]:
+def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words (ASCII rules) and the end, an empty word."""
-    out = text.encode().lower().split()
+    out = text.lower().split()
     out.append(b"")
     return out
 
 
-def _slices(texts) -> Iterator[list[str]]:
-    part, chars = [], 0
-    for t in texts:
-        part.append(t)
-        chars += len(t)
-        if chars >= SLICE_CHARS:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of their bytes, compressed."""
+    n = len(numbers)
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(n, 8)[:, :width].T
+    return bytes([width]) + n.to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if n else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def pack_states(found: np.ndarray) -> bytes:
+    """States (cell, bit) by planes of their bits, compressed."""
+    head = len(found).to_bytes(8, "little")
+    return head + pa.compress(found.T.tobytes(), codec="zstd", asbytes=True) if len(found) else head
+
+
+def unpack_states(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros((0, 8), np.uint8)
+    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(8, n).T
+
+
+def _gaps(numbers: np.ndarray) -> np.ndarray:
+    return np.diff(numbers, prepend=np.uint64(0))
 
 
 def _contexts(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,272 +138,257 @@ def _contexts(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one * MIX[0] + MIX[3], one * MIX[1] + (two ^ (two >> np.uint64(29))) * MIX[2]
 
 
-def _keys(context: np.ndarray, bits: int) -> np.ndarray:
-    """The contexts' keys: ``bits`` high bits, zeros below."""
-    mixed = (context ^ (context >> np.uint64(29))) * MIX[0]
+def _cells(h: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """Each token's cell in the first context, then each one's in the second:
+    ``bits`` bits of the context's hash, then the code."""
+    mixed = np.concatenate(_contexts(h, starts))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX[0]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX[1]
-    return (mixed >> np.uint64(64 - bits)) << np.uint64(64 - bits)
-
-
-def _slots(context: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
-    mixed = (context[:, None] ^ (nodes * MIX[3])) * MIX[0]
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _added(cells: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    if cells:
-        cell, n = np.unique(np.concatenate(cells), return_counts=True)
-        for s in range(0, len(cell), 100_000):
-            yield pd.DataFrame({"word": None, "n": n[s:s + 100_000], "cell": cell[s:s + 100_000].view(np.int64)})
-
-
-def _learn(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen, cells = Words(), np.zeros(0, np.int64), []
-        for pdf in batches:
-            for part in _slices(pdf["text"]):
-                docs = [words_of(t) for t in part]
-                numbers, starts, _ = words.number(docs)
-                added = np.bincount(numbers, minlength=len(words))
-                added[:len(seen)] += seen
-                seen = added
-                h = words.hashes[numbers]
-                cells += [_keys(c, bits) | (h & np.uint64(255)) for c in _contexts(h, starts)]
-                if len(words) >= FLUSH_WORDS:
-                    yield from _counted(words, seen)
-                    words, seen = Words(), np.zeros(0, np.int64)
-                if sum(map(len, cells)) >= FLUSH_CELLS:
-                    yield from _added(cells)
-                    cells = []
-        yield from _counted(words, seen)
-        yield from _added(cells)
+    return (mixed >> np.uint64(64 - bits)) << np.uint64(8) | np.tile(h & np.uint64(255), 2)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slice of texts."""
+    slice_, rows, chars, schema = TaskContext.get().partitionId() << 32, [], 0, None
+
+    def made() -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        texts = t["text"].to_pylist()
+        parts = [pa.array([slice_]), t["doc_id"].combine_chunks(), pa.array(list(map(len, texts)), pa.int64()), t["learns"].combine_chunks()]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), p) for p in parts[1:]]
+        packed = pa.compress(b"".join(texts), codec="zstd", asbytes=True) if any(texts) else b""
+        return pa.RecordBatch.from_arrays([parts[0], *lists, pa.array([packed], pa.binary())],
+                                          ["slice", "doc_id", "sizes", "learns", "texts"])
+
+    for batch in batches:
+        at, sizes = 0, batch["text"].cast(pa.binary()).to_pylist()
+        batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(sizes, pa.binary()))
+        for k, t in enumerate(sizes):
+            chars += len(t)
+            if chars >= SLICE_CHARS:
+                rows.append(batch.slice(at, k + 1 - at))
+                yield made()
+                slice_, rows, chars, at = slice_ + 1, [], 0, k + 1
+        if at < len(sizes):
+            rows.append(batch.slice(at))
+    if rows:
+        yield made()
+
+
+def _tokens(row: dict) -> tuple[list[bytes], list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's texts, their words, all tokens' hashes, and each text's start and length."""
+    words = worker_state("mixing_words", Words)
+    if len(words) >= WORDS_KEPT:
+        words.clear()
+    ends = np.cumsum(row["sizes"])
+    whole = pa.decompress(row["texts"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True) if ends[-1] else b""
+    texts = [whole[e - n:e] for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
+    docs = [words_of(t) for t in texts]
+    n = np.array([len(d) for d in docs])
+    numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(docs)), np.int64, int(n.sum()))
+    return texts, docs, words.hashes[numbers], np.cumsum(n) - n, n
+
+
+def _edges(ranges: int, bits: int) -> np.ndarray:
+    return np.array([(r << bits) // ranges for r in range(1, ranges)], np.uint64)
+
+
+def _blocks(bits: int, ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each slice's distinct cells and words with their counts, by range."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, h, starts, n = _tokens(row)
+                learnt = np.repeat(np.array(row["learns"], float), n)
+                found = []
+                for numbers, weight, edges in ((_cells(h, starts, bits), np.tile(learnt, 2), _edges(ranges, bits) << np.uint64(8)),
+                                               (h, learnt, _edges(ranges, 64))):
+                    own, at = np.unique(numbers, return_inverse=True)
+                    count = np.bincount(at, weight, len(own)).astype(np.uint64)
+                    cuts = np.searchsorted(own, edges)
+                    found.append(list(zip(np.split(own, cuts), np.split(count, cuts), strict=True)))
+                out = [(r, pack(_gaps(c)), pack(m), pack(_gaps(w)), pack(k))
+                       for r, ((c, m), (w, k)) in enumerate(zip(*found, strict=True)) if len(c) or len(w)]
+                for s in range(0, len(out), 1000):
+                    part = out[s:s + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r for r, *_ in part], pa.int64()), pa.array([row["slice"]] * len(part), pa.int64()),
+                         *(pa.array([p[k] for p in part], pa.binary()) for k in range(1, 5))],
+                        ["range", "slice", "cells", "cell_n", "words", "word_n"])
     return run
 
 
-def _counted(words: Words, seen: np.ndarray) -> Iterator[pd.DataFrame]:
-    if len(seen):
-        yield pd.DataFrame({"word": [w.decode() for w in words], "n": seen, "cell": None})
-
-
-def learn(docs: DataFrame, slot_bits: int = SLOT_BITS) -> dict:
-    """A model of all texts of ``docs``: ``words`` (stored table of word, c) and
-    ``contexts`` (stored table of key, cells: the codes that followed, each as
-    count * 256 + code)."""
-    found = store(docs.select(text_of().alias("text")).mapInPandas(
-        _learn(slot_bits), "word string, n long, cell long"), "counts")
-    words = store(found.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    # the tasks have added up their own cells, so that a hot context has few rows
-    cells = found.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n"))
-    contexts = store(cells.groupBy(F.expr("cell & ~255L").alias("key")).agg(
-        F.collect_list(F.expr("n * 256 + (cell & 255L)")).alias("cells")), "contexts")
-    drop_stored(found)
-    return {"words": words, "contexts": contexts, "slot_bits": slot_bits}
-
-
-def _logits(counts: np.ndarray) -> np.ndarray:
-    """The logit of a one in each slot and, beside it, the slot's confidence class."""
-    zero, one = counts[0::2], counts[1::2]
-    sure = np.searchsorted(SEEN, zero + one, "right") - 1
-    return np.stack([np.log((one + 0.4) / (zero + 0.4)), sure], axis=1).astype(np.float32)
-
-
-def _trees(keys: np.ndarray, known: tuple) -> np.ndarray:
-    """One row per key: how often the codes below each node of the code tree
-    followed it, zeros for a key that is not among the ``known``."""
-    names, at, codes, counts = known
-    out = np.zeros((len(keys), 512), np.float32)
-    if len(names):
-        k = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        many = np.where(names[k] == keys, at[k + 1] - at[k], 0)
-        where = np.repeat(at[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        out[np.repeat(np.arange(len(keys)), many), 256 + codes[where]] = counts[where]
-    for d in range(7, -1, -1):
-        a = 1 << d
-        out[:, a:2 * a] = out[:, 2 * a:4 * a:2] + out[:, 2 * a + 1:4 * a:2]
+def states(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The states (cell, bit) along each cell's code: how sure the counts of its
+    context are of the code's own bit, after the bits before it.  ``cells`` are
+    distinct and sorted, and hold all of a context's codes that were counted."""
+    out, above = np.empty((len(cells), 8), np.uint8), None
+    for d in range(9):
+        prefix = cells >> np.uint64(8 - d)
+        at = np.cumsum(np.append(False, prefix[1:] != prefix[:-1])) if len(cells) else np.zeros(0, np.int64)
+        own = np.bincount(at, counts)[at] if len(cells) else np.zeros(0)
+        if d:
+            sure = np.searchsorted(SEEN, above, "right")
+            logit = np.log((own + 0.4) / (above - own + 0.4)) / STEP[sure]
+            out[:, d - 1] = MIDDLE[sure] + np.clip(np.rint(logit), -HALF[sure], HALF[sure])
+        above = own
     return out
 
 
-def _known(found: pa.Table) -> tuple:
-    """Sorted keys, where each one's cells start, and the cells' codes and counts."""
-    keys = found["key"].to_numpy().view(np.uint64)
-    if not len(keys):
-        return keys, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in found["cells"].chunks]).astype(np.int64)
-    cells = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in found["cells"].chunks])
-    order = np.argsort(keys)
-    old, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    at = np.append(0, np.cumsum(sizes))
-    cells = cells[np.repeat(old - at[:-1], sizes) + np.arange(at[-1])]
-    return keys[order], at, cells & 255, cells >> 8
-
-
-class Mixer:
-    """Codes texts under fixed context counts, adapting within each text."""
-
-    def __init__(self, counts: np.ndarray, slot_bits: int):
-        self.bits, size = slot_bits, 1 << slot_bits
-        self.none = _logits(counts[:512])[:, 0].copy()
-        self.tables = [_logits(counts[512 + 2 * size * k:512 + 2 * size * (k + 1)]) for k in range(2)] if len(counts) > 512 else None
-
-    def _found(self, k: int, context: np.ndarray, code: np.ndarray, known: tuple | None) -> np.ndarray:
-        """Logit and confidence class at each node of each token's code, in its ``k``th context."""
-        nodes = NODES[code]
-        if known is None:
-            return np.take(self.tables[k], _slots(context, nodes, self.bits).ravel(), axis=0)
-        keys, nodes = _keys(context, self.bits), nodes.astype(np.int64)
-        out = np.empty((len(code) * 8, 2), np.float32)
-        for s in range(0, len(code), TREE_ROWS):
-            own, at = np.unique(keys[s:s + TREE_ROWS], return_inverse=True)
-            trees, here = _trees(own, known), 2 * nodes[s:s + TREE_ROWS]
-            both = np.stack([trees[at[:, None], here], trees[at[:, None], here + 1]], axis=2)
-            out[8 * s:8 * (s + TREE_ROWS)] = _logits(both.ravel())
-        return out
-
-    def code(self, h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: tuple | None = None) -> np.ndarray:
-        """log10 probability of each text's codes."""
-        n = len(starts)
-        doc = np.repeat(np.arange(n), lengths)
-        block = (np.arange(len(h)) - starts[doc]) // BLOCK
-        order = np.argsort(block, kind="stable")
-        code = (h & np.uint64(255)).astype(np.int64)
-        contexts = [c[order] for c in _contexts(h, starts)]
-        code, doc, block = code[order], doc[order], block[order]
-        cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
-        weights = [np.tile(w, n) for w in start_weights().T]
-        level = np.tile(1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2.0)), n).astype(np.float32)
-        seen = np.zeros(n)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            nodes, bit = NODES[code[a:b]], BITS[code[a:b]].ravel()
-            found = [self._found(k, c[a:b], code[a:b], known) for k, c in enumerate(contexts)]
-            x = (self.none[nodes.ravel().astype(np.int64)], found[0][:, 0], found[1][:, 0])
-            own = np.repeat(doc[a:b], 8)
-            gate = own * GATES + (4 * found[0][:, 1] + found[1][:, 1]).astype(np.int64)
-            z = np.take(weights[0], gate) * x[0]
-            for k in (1, 2):
-                z += np.take(weights[k], gate) * x[k]
-            np.clip(z, -12, 12, out=z)
-            p = 1 / (1 + np.exp(-z))
-            at = own * LEVELS + (np.rint(np.clip(2 * z, -12, 12)) + LEVELS // 2).astype(np.int64)
-            there = np.take(level, at)
-            # between 3e-6 and one less that: p and the levels never reach zero or one
-            final = 0.5 * (p + there)
-            cost = np.log10(np.where(bit, final, 1 - final)).reshape(-1, 8).sum(axis=1, dtype=np.float64)
-            seen += np.bincount(doc[a:b], cost, n)
-            if b == len(h):
-                break
-            err = bit - p
-            many = RATE / (np.bincount(gate, minlength=n * GATES) + 64)
-            for k in range(3):
-                weights[k] += (np.bincount(gate, err * x[k], n * GATES) * many).astype(np.float32)
-            miss = np.bincount(at, bit - there, n * LEVELS)
-            level += (REFINE_RATE * miss / (np.bincount(at, minlength=n * LEVELS) + 64)).astype(np.float32)
-        return seen
-
-
-def _sliced(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Texts by slice, and each slice's distinct contexts."""
-        words, slice_ = Words(), TaskContext.get().partitionId() << 24
-        for pdf in batches:
-            ids, at = pdf["doc_id"].tolist(), 0
-            for part in _slices(pdf["text"]):
-                if len(words) >= WORDS_KEPT:
-                    words = Words()
-                numbers, starts, _ = words.number([words_of(t) for t in part])
-                # a batch's rows are far fewer than 2^20
-                yield pd.DataFrame({"slice": slice_, "row": (slice_ << 20) + np.arange(len(part)), "doc_id": ids[at:at + len(part)],
-                                    "text": part, "key": None})
-                keys = np.unique(np.concatenate([_keys(c, bits) for c in _contexts(words.hashes[numbers], starts)])).view(np.int64)
-                yield pd.DataFrame({"slice": slice_, "row": 0, "doc_id": None, "text": None, "key": keys})
-                at += len(part)
-                slice_ += 1
-    return run
+def _added(blocks: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All distinct numbers of a range, their counts, and the places of each block's own."""
+    own = [np.cumsum(unpack(b)) for b in blocks[f"{name}s"].to_pylist()]
+    count = np.concatenate([unpack(b) for b in blocks[f"{name}_n"].to_pylist()]).astype(float)
+    numbers, at = np.unique(np.concatenate(own), return_inverse=True)
+    return numbers, np.bincount(at, count, len(numbers)), np.split(at, np.cumsum([len(o) for o in own])[:-1])
 
 
-def _score(model, name: str):
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        common, shares, counts, slot_bits = model.value
-        mixers = worker_state("mixers", dict)           # the worker's latest model
-        if name not in mixers:
-            mixers.clear()
-            mixers[name] = [Mixer(counts, slot_bits), Words(common)]
-        if len(mixers[name][1]) >= WORDS_KEPT:
-            mixers[name][1] = Words(common)
-        mixer, words = mixers[name]
-        rows, part = texts["row"].to_numpy(), texts["text"].to_pylist()
-        docs = [words_of(t) for t in part]
-        numbers, starts, n = words.number(docs)
-        h, logs = words.hashes[numbers], words.logs[numbers]
-        coded = mixer.code(h, starts, n, _known(found)) - np.add.reduceat(shares[(h & np.uint64(255)).astype(np.int64)], starts)
-        there = ~np.isnan(logs)
-        far = np.flatnonzero(~there)
-        tokens = list(chain.from_iterable(docs))
-        doc = np.searchsorted(starts, far, "right") - 1
-        rare = Counter(zip(doc.tolist(), map(tokens.__getitem__, far.tolist()), strict=True))
-        more = len(rare)
-        ids = texts["doc_id"]
+ANSWER = "slice long, range long, states binary, counts binary, sizes array<long>"
+
+
+def _answer(blocks: pa.Table) -> pa.Table:
+    """One row per block of a range, and one without a slice: the words' counts
+    by code (256 numbers) and how many distinct words there are (256 more)."""
+    cells, counts, at = _added(blocks, "cell")
+    found = states(cells, counts)
+    given = [pack_states(found[a]) for a in at]
+    words, counts, at = _added(blocks, "word")
+    code = (words & np.uint64(255)).astype(np.int64)
+    sizes = np.concatenate([np.bincount(code, counts, 256), np.bincount(code, counts > 0, 256)]).astype(np.int64)
+    counts, range_ = counts.astype(np.uint64), blocks["range"][0].as_py()
+    return pa.table({
+        "slice": pa.array(blocks["slice"].to_pylist() + [None], pa.int64()),
+        "range": pa.array([range_] * (len(at) + 1), pa.int64()),
+        "states": pa.array(given + [None], pa.binary()),
+        "counts": pa.array([pack(counts[a]) for a in at] + [None], pa.binary()),
+        "sizes": pa.array([None] * len(at) + [sizes.tolist()], pa.list_(pa.int64()))})
+
+
+def order_nothing(counts: np.ndarray) -> np.ndarray:
+    """The logit of a one at each node of the code tree, from the codes' counts."""
+    tree = np.zeros(512)
+    tree[256:] = counts
+    for k in range(255, 0, -1):
+        tree[k] = tree[2 * k] + tree[2 * k + 1]
+    return np.log((tree[1::2] + 0.4) / (tree[0::2] + 0.4)).astype(np.float32)
+
+
+def code_texts(code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, none: np.ndarray,
+               one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 probability of each text's codes.  ``none``: the order-nothing
+    logits; ``one`` and ``two``: each token's states in the two contexts."""
+    n = len(starts)
+    # longest texts first, so that those still running are always the first ones
+    longest = np.argsort(-lengths, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[longest] = np.arange(n)
+    doc = np.repeat(rank, lengths)
+    place = np.arange(len(code)) - np.repeat(starts, lengths)
+    # blocks of 1, 1, 2, 4, ... tokens up to BLOCK, then of BLOCK
+    first = int(BLOCK).bit_length() - 1
+    block = np.where(place < BLOCK, np.ceil(np.log2(np.minimum(place, BLOCK) + 1)).astype(np.int64), first + place // BLOCK)
+    order = np.argsort(block * n + doc, kind="stable")
+    code, doc, block = code[order], doc[order], block[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
+    weights = [np.tile(w, n) for w in start_weights().T]
+    level = np.tile(1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2.0)), n).astype(np.float32)
+    seen = np.zeros(n)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        live = int(doc[b - 1]) + 1
+        bit = BITS[code[a:b]].ravel()
+        sign = (2 * bit - 1).astype(np.float32)
+        s1, s2 = one[order[a:b]].ravel(), two[order[a:b]].ravel()
+        # all logits are of the coded bit: its probability is p
+        x = (none[NODES[code[a:b]].ravel()] * sign, LOGIT[s1], LOGIT[s2])
+        own = np.repeat(doc[a:b], 8)
+        gate = own * GATES + 4 * CLASS[s1] + CLASS[s2]
+        z = np.take(weights[0], gate) * x[0]
+        for k in (1, 2):
+            z += np.take(weights[k], gate) * x[k]
+        np.clip(z, -12, 12, out=z)
+        p = 1 / (1 + np.exp(-z))
+        at = own * LEVELS + (np.rint(np.clip(2 * z * sign, -12, 12)) + LEVELS // 2).astype(np.int64)
+        there = np.take(level, at)
+        # between 3e-6 and one less that: p and the levels never reach zero or one
+        final = 0.5 * (p + np.where(bit, there, 1 - there))
+        cost = np.log10(final).reshape(-1, 8).sum(axis=1, dtype=np.float64)
+        seen[:live] += np.bincount(doc[a:b], cost, live)
+        if b == len(code):
+            break
+        err, wide = 1 - p, live * GATES
+        many = RATE / (np.bincount(gate, minlength=wide) + 64)
+        for k in range(3):
+            weights[k][:wide] += (np.bincount(gate, err * x[k], wide) * many).astype(np.float32)
+        wide = live * LEVELS
+        miss = np.bincount(at, bit - there, wide)
+        level[:wide] += (REFINE_RATE * miss / (np.bincount(at, minlength=wide) + 64)).astype(np.float32)
+    return seen[rank]
+
+
+def _score(sizes: np.ndarray, bits: int):
+    tokens, distinct = int(sizes[:256].sum()), int(sizes[256:].sum())
+    shares, none = np.log10(sizes[:256] + sizes[256:] + 1.0), order_nothing(sizes[:256])
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, (row,) = texts["doc_id"].combine_chunks().flatten(), texts.drop_columns(["doc_id"]).to_pylist()
+        texts, docs, h, starts, n = _tokens(row)
+        given = sorted(answers.select(["range", "states", "counts"]).to_pylist(), key=lambda r: r["range"])
+        cells, at = np.unique(_cells(h, starts, bits), return_inverse=True)
+        found = np.concatenate([unpack_states(g["states"]) for g in given])
+        words, word_at = np.unique(h, return_inverse=True)
+        counts = np.concatenate([unpack(g["counts"]) for g in given])
+        if len(found) != len(cells) or len(counts) != len(words):
+            raise ValueError("the answers are not this slice's")
+        count = counts[word_at].astype(float)
+        code = (h & np.uint64(255)).astype(np.int64)
+        logs = np.add.reduceat(np.log10(count + 1), starts)
+        score = code_texts(code, starts, n, none, found[at[:len(h)]], found[at[len(h):]]) \
+            + logs - np.add.reduceat(shares[code], starts)
+        # an unknown word's letters and its end, each one of 251 signs
+        letters = np.fromiter((len(w) + 1 for w in chain.from_iterable(docs)), np.int64, len(h))
+        spelled = np.add.reduceat(np.where(count > 0, 0, letters), starts) * np.log2(251)
+        size = np.maximum(np.array(row["sizes"]), 1)
         return pa.table({
-            "row": np.append(rows, rows[[k for k, _ in rare]] if rare else rows[:0]),
-            "doc_id": pa.chunked_array([*ids.chunks, pa.nulls(more, ids.type)], ids.type),
-            "n_tokens": np.append(n, np.zeros(more, np.int64)),
-            "known": np.append(np.add.reduceat(there.astype(np.int64), starts), np.zeros(more, np.int64)),
-            "logs": np.append(np.add.reduceat(np.where(there, logs, 0.0), starts), np.zeros(more)),
-            "coded": np.append(coded, np.zeros(more)),
-            "word": pa.array([None] * len(docs) + [w.decode() for _, w in rare], pa.string()),
-            "m": np.array([len(t.encode()) for t in part] + list(rare.values()), np.int64)}).select(SCORED)
+            "doc_id": ids, "n_tokens": n.astype(np.int64), "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
+            "train_tokens": np.full(len(n), tokens, np.int64),
+            "base_score": logs - n * np.log10(float(tokens + distinct + 1)), "score": score,
+            "bits_per_byte": (spelled - score * np.log2(10)) / size})
     return run
 
 
-def score(docs: DataFrame, model: dict, common_words: int = COMMON_WORDS) -> DataFrame:
+def score(docs: DataFrame, learns: Column, spare_bits: int = SPARE_BITS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known,
     train_tokens, base_score (unigrams with one added) and score, both log10
-    probabilities, and bits_per_byte (of the text as it is).
+    probabilities, and bits_per_byte (of the text as it is, with the letters of
+    unknown words).  The model learns from the rows where ``learns`` is true (null:
+    not), and all rows are scored.
 
     A null text is an empty one, whose only token is the end; repeated rows
-    each get a row; an empty table gives no rows; other columns are not read.
-    Without training texts all words are unknown.
+    each get a row and each teach; an empty table gives no rows; other columns
+    are not read but by ``learns``.  Without training texts all words are unknown.
     """
-    spark, words = docs.sparkSession, model["words"]
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    code = F.xxhash64("word").bitwiseAND(F.lit(255))
-    shares, counts = np.zeros(256), np.zeros(512, np.int64)
-    for r in words.groupBy(code.alias("code")).agg((F.sum("c") + F.count("*")).alias("size"), F.sum("c").alias("c")).collect():
-        shares[r["code"]] = np.log10(r["size"] + 1)
-        counts[256 + r["code"]] = r["c"]
-    for k in range(255, 0, -1):
-        counts[k] = counts[2 * k] + counts[2 * k + 1]
-    # the commonest words by whole levels of the count, as many levels as fit: a
-    # top-k would send each partition's k words to the driver
-    level = F.floor(F.log2("c") * 8)
-    least, many = None, 0
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):     # some 500 levels at most
-        many += r["count"]
-        if many > common_words:
-            break
-        least = r["level"]
-    top = words.filter(level >= least).collect() if least is not None else []
-    common = {r["word"].encode(): float(np.log10(r["c"] + 1)) for r in top}
-    held = spark.sparkContext.broadcast((common, shares, counts, model["slot_bits"]))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sliced = store(docs.select("doc_id", text_of().alias("text")).mapInPandas(
-        _sliced(model["slot_bits"]), f"slice long, row long, doc_id {id_type}, text string, key long"), "slices")
-    # a key stands once in a slice, so that a hot one has as many rows as there are slices
-    found = (sliced.filter("key IS NOT NULL").select(F.col("slice").alias("part"), "key")
-             .join(model["contexts"], "key").select("part", "key", "cells"))
-    out = store(sliced.filter("key IS NULL").select("slice", "row", "doc_id", "text").groupBy("slice").cogroup(found.groupBy("part"))
-                .applyInArrow(_score(held, uuid.uuid4().hex), f"row long, doc_id {id_type}, n_tokens long, known long, "
-                              "logs double, coded double, word string, m long"), "scored")
+    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    sliced = store(rows.mapInArrow(
+        _sliced, f"slice long, doc_id array<{id_type}>, sizes array<long>, learns array<boolean>, texts binary"), "slices")
+    chars, slices = sliced.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n + 1)")), F.lit(0)), F.count("*")).first()
+    bits = min(56, int(chars).bit_length() + spare_bits)
+    ranges = 1 + chars // RANGE_CHARS
+    tasks = min(MOST_TASKS, max(shuffle_width(docs.sparkSession), 2 * ranges, 2 * slices))
+    # numbers of partitions of our own: blocks are small for the work they make
+    blocks = sliced.mapInArrow(
+        _blocks(bits, ranges), "range long, slice long, cells binary, cell_n binary, words binary, word_n binary")
+    answers = store(blocks.repartition(tasks, "range").groupBy("range").applyInArrow(_answer, ANSWER), "answers")
+    sizes = np.zeros(512, np.int64)
+    for r in answers.select(F.posexplode("sizes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        sizes[r["k"]] = r["n"]
+    out = store(sliced.repartition(tasks, "slice").groupBy("slice").cogroup(
+        answers.filter("slice IS NOT NULL").drop("sizes").repartition(tasks, "slice").groupBy("slice")).applyInArrow(
+        _score(sizes, bits), f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, "
+                             "score double, bits_per_byte double"), "scored")
     drop_stored(sliced)
-    rare = out.filter("word IS NOT NULL").select("row", "word", "m").join(words, "word").groupBy("row").agg(
-        F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    rows = out.filter("word IS NULL").join(rare, "row", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return rows.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        (logs + F.col("coded")).alias("score"),
-        (-(logs + F.col("coded")) * float(np.log2(10)) / F.greatest("m", F.lit(1))).alias("bits_per_byte"))
+    drop_stored(answers)
+    return out
 
 
 def held_out(col: str = "doc_id") -> Column:

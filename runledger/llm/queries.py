@@ -144,9 +144,8 @@ def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_score")
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a model of those not held out."""
-    from .mixing import held_out, learn, score
-    docs = table(spark, sf_dir, "documents")
-    scored = score(docs, learn(docs.filter(~held_out())))
+    from .mixing import held_out, score
+    scored = score(table(spark, sf_dir, "documents"), ~held_out())
     return scored.select("doc_id", held_out().alias("held_out"), *scored.columns[1:])
 
 

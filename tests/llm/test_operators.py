@@ -452,7 +452,7 @@ def test_simhash_links_join_all_close_fingerprints(spark):
 def test_lm_scores(spark, rows):
     docs = docs_of(spark, [*rows, (2, "unknown words only")])
     learned = docs.filter(~mixing.held_out())
-    got = mixing.score(docs, mixing.learn(learned, slot_bits=12), common_words=5).collect()
+    got = mixing.score(docs, ~mixing.held_out()).collect()
     toks = lambda t: [*(t or "").encode().lower().split(), b""]
     train = Counter(w for r in learned.collect() for w in toks(r.text))
     n, v = sum(train.values()), len(train)
@@ -464,40 +464,118 @@ def test_lm_scores(spark, rows):
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(np.isfinite(r.score) and r.score < 0 and r.bits_per_byte > 0 for r in got)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    empty = mixing.score(docs.limit(3), mixing.learn(docs.limit(0), slot_bits=8)).collect()
+    empty = mixing.score(docs.limit(3), mixing.F.lit(False)).collect()
     assert len(empty) == 3 and all(r.train_tokens == r.n_known == 0 for r in empty)
-    assert mixing.score(docs.limit(0), mixing.learn(learned, slot_bits=8)).count() == 0
+    assert mixing.score(docs.limit(0), ~mixing.held_out()).count() == 0
 
 
-def test_context_counts_are_exact_at_any_number_of_contexts(spark):
-    """More contexts than 2^20 slots can hold: none is lost, and none has another's counts."""
+def brute_scores(texts, train):
+    """The model token by token, with contexts as words instead of hashes."""
+    import xxhash
+    toks = lambda t: [*(t or "").encode().lower().split(), b""]
+    code_of = lambda w: xxhash.xxh64_intdigest(w, 42) & 255      # noqa: E731
+    count, after, size = Counter(), defaultdict(Counter), Counter()
+    pairs = lambda w: [((a,), (a, b)) for a, b in zip([None, *w], [None, None, *w], strict=False)][:len(w)]
+    for t in train:
+        w = toks(t)
+        count.update(w)
+        for x, ctx in zip(w, pairs(w), strict=True):
+            for c in ctx:
+                after[c][code_of(x)] += 1
+    none = Counter()
+    for w, k in count.items():
+        size[code_of(w)] += k + 1
+        none[code_of(w)] += k
+
+    def split(codes, code, b):
+        """Counts of the codes that share the first b bits: those with the next bit too, and all."""
+        own = sum(k for c, k in codes.items() if c >> (7 - b) == code >> (7 - b))
+        return own, sum(k for c, k in codes.items() if c >> (8 - b) == code >> (8 - b))
+
+    out = []
+    for t in texts:
+        w = toks(t)
+        weights, level = mixing.start_weights().astype(float), 1 / (1 + np.exp(-(np.arange(25) - 12) / 2))
+        total, at, block = 0.0, 0, 1
+        while at < len(w):
+            grads, misses = defaultdict(lambda: [0, np.zeros(3)]), defaultdict(lambda: [0, 0.0])
+            for j in range(at, min(at + block, len(w))):
+                code = code_of(w[j])
+                for b in range(8):
+                    bit = code >> (7 - b) & 1
+                    own, all_ = split(none, code, b)
+                    x, classes = [np.log((own + 0.4) / (all_ - own + 0.4))], []
+                    for c in pairs(w)[j]:
+                        own, all_ = split(after.get(c, {}), code, b)
+                        k = sum(all_ >= s for s in (1, 4, 20))
+                        step, half = ((1, 0), (0.25, 9), (0.25, 16), (0.125, 101))[k]
+                        x.append(step * np.clip(np.rint(np.log((own + 0.4) / (all_ - own + 0.4)) / step), -half, half))
+                        classes.append(k)
+                    gate, x = 4 * classes[0] + classes[1], np.array(x)
+                    z = float(np.clip(weights[gate] @ x, -12, 12))
+                    p = 1 / (1 + np.exp(-z))
+                    place = int(np.rint(np.clip(2 * z * (1 if bit else -1), -12, 12))) + 12
+                    total += np.log10(0.5 * (p + (level[place] if bit else 1 - level[place])))
+                    grads[gate][0] += 1
+                    grads[gate][1] += (1 - p) * x
+                    misses[place][0] += 1
+                    misses[place][1] += bit - level[place]
+            for g, (n, s) in grads.items():
+                weights[g] += mixing.RATE * s / (n + 64)
+            for g, (n, s) in misses.items():
+                level[g] += mixing.REFINE_RATE * s / (n + 64)
+            at += block
+            block = min(at, mixing.BLOCK)
+        out.append(total + sum(np.log10(count[x] + 1) - np.log10(size[code_of(x)] + 1) for x in w))
+    return out
+
+
+def test_lm_scores_equal_the_model_token_by_token(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (1, 2, 3, 5, 30, 63, 64, 65, 130, 260)] + [
+        None, "", "only once the same", "only once the same", "unknown words here", " ".join(f"w{rng.random()}" for _ in range(90))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    learns = mixing.F.col("doc_id") % 3 != 1
+    want = brute_scores(texts, [t for i, t in rows if i % 3 != 1])
+    # one range and one slice, then several ranges and slices a task, then single texts
+    for chars, span in ((10 ** 6, 10 ** 6), (500, 200), (1, 1000)):
+        monkeypatch.setattr(mixing, "SLICE_CHARS", chars)
+        monkeypatch.setattr(mixing, "RANGE_CHARS", span)
+        got = {r.doc_id: r.score for r in mixing.score(docs_of(spark, rows).coalesce(2), learns, spare_bits=30).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, atol=0.02, rtol=1e-4)
+
+
+def test_context_counts_are_exact():
+    """No count is lost between slices and ranges, and none is another context's."""
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 400))) for i in range(400)]
-    rows += [(1000 + i, "only once the same") for i in range(30)]
-    model = mixing.learn(docs_of(spark, rows))
-    tokens = [[w for w in mixing.words_of(t)] for _, t in rows]
-    one = Counter(b for t in tokens for b in [None, *t[:-1]])
-    two = Counter(b for t in tokens for b in zip([None, None, *t], [None, *t[:-1]], strict=False))
-    got = [sum(c >> 8 for c in r.cells) for r in model["contexts"].collect()]
-    assert sorted(got) == sorted([*one.values(), *two.values()]) and len(got) > 300_000
-    # the code tree of "once only ?" in a sure context holds its own 30 counts and no others
-    words = mixing.Words()
-    numbers, starts, _ = words.number([mixing.words_of("only once the same")])
-    keys = np.unique(mixing._keys(mixing._contexts(words.hashes[numbers], starts)[1][2:], model["slot_bits"])).view(np.int64)
-    table = model["contexts"].filter(mixing.F.col("key").isin(keys.tolist())).toArrow()
-    trees = mixing._trees(keys.view(np.uint64), mixing._known(table))
-    assert trees.shape == (3, 512) and (trees[:, 1] == 30).all() and ((trees == 30) | (trees == 0)).all()
-    assert (mixing._trees(keys.view(np.uint64) ^ np.uint64(1 << 40), mixing._known(table)) == 0).all()
+    cells = np.unique(rng.integers(0, 1 << 48, 300_000, dtype=np.uint64))
+    counts = rng.integers(0, 50, len(cells)).astype(np.uint64)
+    assert (np.cumsum(mixing.unpack(mixing.pack(mixing._gaps(cells)))) == cells).all()
+    blocks = {"cells": [], "cell_n": [], "words": [], "word_n": []}
+    own = [np.sort(rng.choice(len(cells), 200_000, replace=False)) for _ in range(3)]
+    for o in own:
+        for name in ("cell", "word"):
+            blocks[f"{name}s"].append(mixing.pack(mixing._gaps(cells[o])))
+            blocks[f"{name}_n"].append(mixing.pack(counts[o]))
+    found, total, at = mixing._added(mixing.pa.table(blocks), "cell")
+    held = Counter()
+    for o in own:
+        for k in o.tolist():
+            held[int(cells[k])] += int(counts[k])
+    assert dict(zip(found.tolist(), total.astype(int).tolist(), strict=True)) == dict(held)
+    assert all((found[a] == cells[o]).all() for a, o in zip(at, own, strict=True))
+    assert mixing.unpack(mixing.pack(np.zeros(0, np.uint64))).size == 0
 
 
 def test_codes_are_a_distribution():
+    """All codes of a text's last token together have the probability one, whatever came before."""
     rng = np.random.default_rng(0)
-    mixer = mixing.Mixer(rng.integers(0, 9, 2 * (256 + 2 * 256)), 8)
-    before = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
-    tails = np.arange(256, dtype=np.uint64)
-    h = np.concatenate([np.append(before, t) for t in tails])
-    whole = mixer.code(h, np.arange(256) * 71, np.full(256, 71))
-    head = mixer.code(before, np.array([0]), np.array([70]))
+    before, codes = rng.integers(0, 256, 70), np.arange(256)
+    none = mixing.order_nothing(rng.integers(0, 9, 256))
+    trees = [mixing.states(np.arange(256, dtype=np.uint64), rng.integers(0, 30, 256) * (rng.random(256) < share)) for share in (0.9, 0.1)]
+    code = np.concatenate([np.append(before, c) for c in codes])
+    whole = mixing.code_texts(code, np.arange(256) * 71, np.full(256, 71), none, trees[0][code], trees[1][code])
+    head = mixing.code_texts(before, np.array([0]), np.array([70]), none, trees[0][before], trees[1][before])
     assert np.isclose((10 ** (whole - head)).sum(), 1, atol=1e-4)
 
 
