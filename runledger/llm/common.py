@@ -33,6 +33,13 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished jobs now: it does so once
+    the driver has collected the jobs' plans.  For use after ``store``, whose
+    table is all that later jobs read."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

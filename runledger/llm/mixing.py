@@ -32,15 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, id_crc, shuffle_width, store, text_of, worker_state
+from .common import drop_stored, free_shuffles, id_crc, shuffle_width, store, text_of, worker_state
 
-SPARE_BITS = 12            # of a context's hash beyond the bits of the corpus' length
+SPARE_BITS = 8            # of a context's hash beyond the bits of the corpus' length
 BLOCK = 64                 # tokens between two updates of the weights; fewer at a text's start
 RATE = 0.6
 REFINE_RATE = 0.5
 WORDS_KEPT = 600_000       # of a worker's table of word hashes
 SLICE_CHARS = 8_000_000    # a longer text is a slice of its own
-RANGE_CHARS = 16_000_000   # characters of the corpus for each range of the hash space
+RANGE_CHARS = 12_000_000   # characters of the corpus for each range of the hash space
 MOST_TASKS = 20_000
 
 CODES = np.arange(256)
@@ -175,18 +175,17 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _tokens(row: dict) -> tuple[list[bytes], list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """A slice's texts, their words, all tokens' hashes, and each text's start and length."""
+def _tokens(row: dict) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a slice's texts, all tokens' hashes, and each text's start and length."""
     words = worker_state("mixing_words", Words)
     if len(words) >= WORDS_KEPT:
         words.clear()
     ends = np.cumsum(row["sizes"])
     whole = pa.decompress(row["texts"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True) if ends[-1] else b""
-    texts = [whole[e - n:e] for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
-    docs = [words_of(t) for t in texts]
+    docs = [words_of(whole[e - n:e]) for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
     n = np.array([len(d) for d in docs])
     numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(docs)), np.int64, int(n.sum()))
-    return texts, docs, words.hashes[numbers], np.cumsum(n) - n, n
+    return docs, words.hashes[numbers], np.cumsum(n) - n, n
 
 
 def _edges(ranges: int, bits: int) -> np.ndarray:
@@ -197,8 +196,8 @@ def _blocks(bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each slice's distinct cells and words with their counts, by range."""
         for batch in batches:
-            for row in batch.to_pylist():
-                _, _, h, starts, n = _tokens(row)
+            for (row,) in (batch.slice(k, 1).to_pylist() for k in range(batch.num_rows)):
+                _, h, starts, n = _tokens(row)
                 learnt = np.repeat(np.array(row["learns"], float), n)
                 found = []
                 for numbers, weight, edges in ((_cells(h, starts, bits), np.tile(learnt, 2), _edges(ranges, bits) << np.uint64(8)),
@@ -331,7 +330,7 @@ def _score(sizes: np.ndarray, bits: int):
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, (row,) = texts["doc_id"].combine_chunks().flatten(), texts.drop_columns(["doc_id"]).to_pylist()
-        texts, docs, h, starts, n = _tokens(row)
+        docs, h, starts, n = _tokens(row)
         given = sorted(answers.select(["range", "states", "counts"]).to_pylist(), key=lambda r: r["range"])
         cells, at = np.unique(_cells(h, starts, bits), return_inverse=True)
         found = np.concatenate([unpack_states(g["states"]) for g in given])
@@ -379,6 +378,7 @@ def score(docs: DataFrame, learns: Column, spare_bits: int = SPARE_BITS) -> Data
     blocks = sliced.mapInArrow(
         _blocks(bits, ranges), "range long, slice long, cells binary, cell_n binary, words binary, word_n binary")
     answers = store(blocks.repartition(tasks, "range").groupBy("range").applyInArrow(_answer, ANSWER), "answers")
+    free_shuffles(docs.sparkSession)
     sizes = np.zeros(512, np.int64)
     for r in answers.select(F.posexplode("sizes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
         sizes[r["k"]] = r["n"]
