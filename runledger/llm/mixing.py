@@ -54,6 +54,7 @@ SEEN = np.array([1, 4, 20])             # counts from which a node is in the nex
 HALF, STEP = np.array([0, 9, 16, 101]), np.array([1, 0.25, 0.25, 0.125])
 MIDDLE = np.cumsum(2 * HALF + 1) - HALF - 1
 CLASS = np.repeat(np.arange(4), 2 * HALF + 1)
+OTHER = (2 * MIDDLE[CLASS] - np.arange(256)).astype(np.uint8)     # the state as the other bit sees it
 LOGIT = ((np.arange(256) - MIDDLE[CLASS]) * STEP[CLASS]).astype(np.float32)
 
 
@@ -109,18 +110,56 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def pack_states(found: np.ndarray) -> bytes:
-    """States (cell, bit) by planes of their bits, compressed."""
-    head = len(found).to_bytes(8, "little")
-    return head + pa.compress(found.T.tobytes(), codec="zstd", asbytes=True) if len(found) else head
+def _firsts(cells: np.ndarray, d: int) -> np.ndarray:
+    """Whether a cell is the first of those that share its node at depth ``d``."""
+    node = cells >> np.uint64(8 - d)
+    return np.append(True, node[1:] != node[:-1])
+
+
+def pack_states(found: np.ndarray, cells: np.ndarray) -> bytes:
+    """The states (cell, bit) of sorted cells, compressed.  Cells that share a
+    node differ in its state by their own bit alone, so a node's state is written
+    once, for its first cell; a cell whose states are all alike has but one."""
+    if not len(cells):
+        return b""
+    same = (found == found[:, :1]).all(axis=1)
+    out = [pack_bytes(np.packbits(same))]
+    for d in range(8):
+        out.append(pack_bytes(found[_firsts(cells, d) & ~same if d else _firsts(cells, d), d]))
+    return b"".join(out)
+
+
+def unpack_states(data: bytes, cells: np.ndarray) -> np.ndarray:
+    out = np.empty((len(cells), 8), np.uint8)
+    if not len(cells):
+        return out
+    flags, at = unpack_bytes(data, 0)
+    same, bits = np.unpackbits(flags, count=len(cells)).astype(bool), BITS[(cells & np.uint64(255)).astype(np.int64)]
+    for d in range(8):
+        given, at = unpack_bytes(data, at)
+        first = _firsts(cells, d)
+        there = np.flatnonzero(first)
+        if d:
+            own = out[there, 0]
+            own[~same[there]] = given
+        else:
+            own = given
+        run = np.cumsum(first) - 1
+        out[:, d] = np.where(bits[:, d] == bits[there, d][run], own[run], OTHER[own][run])
+    return out
+
+
+def pack_bytes(values: np.ndarray) -> bytes:
+    body = pa.compress(values.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return len(values).to_bytes(6, "little") + len(body).to_bytes(6, "little") + body
 
 
-def unpack_states(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    if not n:
-        return np.zeros((0, 8), np.uint8)
-    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(8, n).T
+def unpack_bytes(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The values written at ``at``, and where the next ones stand."""
+    n, size = int.from_bytes(data[at:at + 6], "little"), int.from_bytes(data[at + 6:at + 12], "little")
+    at += 12
+    body = pa.decompress(data[at:at + size], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(body, np.uint8), at + size
 
 
 def _gaps(numbers: np.ndarray) -> np.ndarray:
@@ -156,7 +195,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = t["text"].to_pylist()
         parts = [pa.array([slice_]), t["doc_id"].combine_chunks(), pa.array(list(map(len, texts)), pa.int64()), t["learns"].combine_chunks()]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), p) for p in parts[1:]]
-        packed = pa.compress(b"".join(texts), codec="zstd", asbytes=True) if any(texts) else b""
+        packed = pa.Codec("zstd", 6).compress(b"".join(texts), asbytes=True) if any(texts) else b""
         return pa.RecordBatch.from_arrays([parts[0], *lists, pa.array([packed], pa.binary())],
                                           ["slice", "doc_id", "sizes", "learns", "texts"])
 
@@ -250,7 +289,7 @@ def _answer(blocks: pa.Table) -> pa.Table:
     by code (256 numbers) and how many distinct words there are (256 more)."""
     cells, counts, at = _added(blocks, "cell")
     found = states(cells, counts)
-    given = [pack_states(found[a]) for a in at]
+    given = [pack_states(found[a], cells[a]) for a in at]
     words, counts, at = _added(blocks, "word")
     code = (words & np.uint64(255)).astype(np.int64)
     sizes = np.concatenate([np.bincount(code, counts, 256), np.bincount(code, counts > 0, 256)]).astype(np.int64)
@@ -324,7 +363,7 @@ def code_texts(code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, none:
     return seen[rank]
 
 
-def _score(sizes: np.ndarray, bits: int):
+def _score(sizes: np.ndarray, bits: int, ranges: int):
     tokens, distinct = int(sizes[:256].sum()), int(sizes[256:].sum())
     shares, none = np.log10(sizes[:256] + sizes[256:] + 1.0), order_nothing(sizes[:256])
 
@@ -333,9 +372,11 @@ def _score(sizes: np.ndarray, bits: int):
         docs, h, starts, n = _tokens(row)
         given = sorted(answers.select(["range", "states", "counts"]).to_pylist(), key=lambda r: r["range"])
         cells, at = np.unique(_cells(h, starts, bits), return_inverse=True)
-        found = np.concatenate([unpack_states(g["states"]) for g in given])
+        parts = np.split(cells, np.searchsorted(cells, _edges(ranges, bits) << np.uint64(8)))
+        given = {r["range"]: r for r in given}
+        found = np.concatenate([unpack_states(given[r]["states"], c) for r, c in enumerate(parts) if r in given])
         words, word_at = np.unique(h, return_inverse=True)
-        counts = np.concatenate([unpack(g["counts"]) for g in given])
+        counts = np.concatenate([unpack(g["counts"]) for g in given.values()])
         if len(found) != len(cells) or len(counts) != len(words):
             raise ValueError("the answers are not this slice's")
         count = counts[word_at].astype(float)
@@ -384,7 +425,7 @@ def score(docs: DataFrame, learns: Column, spare_bits: int = SPARE_BITS) -> Data
         sizes[r["k"]] = r["n"]
     out = store(sliced.repartition(tasks, "slice").groupBy("slice").cogroup(
         answers.filter("slice IS NOT NULL").drop("sizes").repartition(tasks, "slice").groupBy("slice")).applyInArrow(
-        _score(sizes, bits), f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, "
+        _score(sizes, bits, ranges), f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, "
                              "score double, bits_per_byte double"), "scored")
     drop_stored(sliced)
     drop_stored(answers)

@@ -565,6 +565,12 @@ def test_context_counts_are_exact():
     assert dict(zip(found.tolist(), total.astype(int).tolist(), strict=True)) == dict(held)
     assert all((found[a] == cells[o]).all() for a, o in zip(at, own, strict=True))
     assert mixing.unpack(mixing.pack(np.zeros(0, np.uint64))).size == 0
+    # dense and sparse contexts: states come back as they were
+    cells = np.unique(rng.integers(0, 400, 20_000).astype(np.uint64) ** np.uint64(2) * np.uint64(256) + rng.integers(0, 256, 20_000).astype(np.uint64))
+    cells = np.append(cells, np.arange(1 << 40, (1 << 40) + (999 << 8), 256, dtype=np.uint64))
+    found = mixing.states(cells, rng.integers(0, 40, len(cells)))
+    assert (mixing.unpack_states(mixing.pack_states(found, cells), cells) == found).all()
+    assert mixing.unpack_states(mixing.pack_states(found[:0], cells[:0]), cells[:0]).shape == (0, 8)
 
 
 def test_codes_are_a_distribution():
