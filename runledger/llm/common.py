@@ -3,7 +3,9 @@ per-worker state."""
 
 from __future__ import annotations
 
+import gc
 import sys
+import time
 import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +37,13 @@ def drop_stored(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files of finished jobs now: it does so once
-    the driver has collected the jobs' plans.  For use after ``store``, whose
-    table is all that later jobs read."""
-    spark.sparkContext._jvm.System.gc()
+    the driver has collected the jobs' plans, which takes two collections, the
+    second after the listeners have let go of the last job.  For use after
+    ``store``, whose table is all that later jobs read."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def text_of(col: str = "text") -> Column:

@@ -130,23 +130,22 @@ def pack_states(found: np.ndarray, cells: np.ndarray) -> bytes:
 
 
 def unpack_states(data: bytes, cells: np.ndarray) -> np.ndarray:
-    out = np.empty((len(cells), 8), np.uint8)
+    out = np.empty((8, len(cells)), np.uint8)
     if not len(cells):
-        return out
+        return out.T
     flags, at = unpack_bytes(data, 0)
-    same, bits = np.unpackbits(flags, count=len(cells)).astype(bool), BITS[(cells & np.uint64(255)).astype(np.int64)]
+    same, code = np.unpackbits(flags, count=len(cells)).astype(bool), (cells & np.uint64(255)).astype(np.uint8)
     for d in range(8):
         given, at = unpack_bytes(data, at)
         first = _firsts(cells, d)
-        there = np.flatnonzero(first)
+        there, run = np.flatnonzero(first), np.cumsum(first) - 1
+        own = given
         if d:
-            own = out[there, 0]
+            own = out[0, there]
             own[~same[there]] = given
-        else:
-            own = given
-        run = np.cumsum(first) - 1
-        out[:, d] = np.where(bits[:, d] == bits[there, d][run], own[run], OTHER[own][run])
-    return out
+        bit = code >> np.uint8(7 - d) & np.uint8(1)
+        out[d] = np.where(bit == bit[there][run], own[run], OTHER[own][run])
+    return np.ascontiguousarray(out.T)
 
 
 def pack_bytes(values: np.ndarray) -> bytes:
@@ -195,7 +194,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = t["text"].to_pylist()
         parts = [pa.array([slice_]), t["doc_id"].combine_chunks(), pa.array(list(map(len, texts)), pa.int64()), t["learns"].combine_chunks()]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), p) for p in parts[1:]]
-        packed = pa.Codec("zstd", 6).compress(b"".join(texts), asbytes=True) if any(texts) else b""
+        packed = pa.Codec("zstd", 3).compress(b"".join(texts), asbytes=True) if any(texts) else b""
         return pa.RecordBatch.from_arrays([parts[0], *lists, pa.array([packed], pa.binary())],
                                           ["slice", "doc_id", "sizes", "learns", "texts"])
 
@@ -349,7 +348,7 @@ def code_texts(code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, none:
         there = np.take(level, at)
         # between 3e-6 and one less that: p and the levels never reach zero or one
         final = 0.5 * (p + np.where(bit, there, 1 - there))
-        cost = np.log10(final).reshape(-1, 8).sum(axis=1, dtype=np.float64)
+        cost = np.log10(final.reshape(-1, 8).prod(axis=1, dtype=np.float64))
         seen[:live] += np.bincount(doc[a:b], cost, live)
         if b == len(code):
             break
