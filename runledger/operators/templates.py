@@ -76,7 +76,9 @@ def render_cards(cards: DataFrame, parts: DataFrame, id_col: str = "card_id") ->
     the ``parts`` of their templates.  A field that is missing, null, or empty
     where the slot says so, gives way to the slot's default, and to nothing
     without one.  A template's parts meet its cards as one array (as long as
-    the template); cards of unknown templates have a null text."""
+    the template); cards of unknown templates have a null text.  The templates
+    are broadcast, whatever the planner thinks of the sizes: cards of one
+    template would otherwise meet in one task, or be broadcast themselves."""
     folded = parts.groupBy("template").agg(F.array_sort(F.collect_list(F.struct(
         "position", "kind", "text", "slot", "default", "falsy", "conds"))).alias("_parts"))
     fields = F.coalesce("fields", F.create_map().cast("map<string,string>"))
@@ -86,7 +88,7 @@ def render_cards(cards: DataFrame, parts: DataFrame, id_col: str = "card_id") ->
     value = lambda p: F.try_element_at(fields, p["slot"])
     text = F.array_join(F.transform(shown, lambda p: F.when(p["kind"] != "slot", p["text"]).otherwise(
         F.coalesce(F.when(p["falsy"], F.nullif(value(p), F.lit(""))).otherwise(value(p)), p["default"], F.lit("")))), "")
-    return cards.join(folded, "template", "left").select(id_col, F.when(F.col("_parts").isNotNull(), text).alias("text"))
+    return cards.join(F.broadcast(folded), "template", "left").select(id_col, F.when(F.col("_parts").isNotNull(), text).alias("text"))
 
 
 # ---------------------------------------------------------------------------
