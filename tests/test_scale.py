@@ -16,3 +16,22 @@ def test_cards_of_one_template_are_not_broadcast(spark):
     out = TP.render_cards(cards, TP.template_parts(TP.default_templates(spark)))
     assert "BuildLeft" not in plan_of(out) and "BuildRight" in plan_of(out)
     assert out.where(F.contains("text", F.concat(F.lit("# Dataset Card for n"), F.substr("card_id", F.lit(2))))).count() == 1000
+
+
+def test_a_plain_line_after_a_block_text(spark):
+    # it ended the job before: no list mark or key to take its column from
+    from runledger.operators import headers as H
+    text = "---\na: |\n  x\nplain\nb: 1\n---\nBody"
+    cards = H.split_header(spark.createDataFrame([("c", text)], "card_id string, text string"))
+    assert H.cards_from_rows(cards, H.header_rows(cards)).first().content == text
+    assert [(r.p, r.value) for r in H.header_paths(cards).select(H.path_text("path").alias("p"), "value").collect()] == [
+        ("a", "x\nain\n"), ("b", "1")]
+
+
+def test_headers_are_read_once_per_use(spark):
+    # the header's lines are one expression of the plan, not copies of it in filters
+    from runledger.operators import cards as CD
+    from runledger.operators import headers as H
+    cards = H.split_header(spark.createDataFrame([("c", "---\na: 1\n---\n")], "card_id string, text string"))
+    plan = plan_of(CD.model_index_flatten(H.model_index_from_cards(cards)))
+    assert plan.count("_json_of(") <= 2 and "aggregate(" not in plan
