@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from ..session import fresh_scratch
 
 HASH_CHUNK = 1 << 20            # 1 MiB reads, as the store's server-side hasher
 TASK_BYTES = 128 << 20          # files of about so many bytes make a task
+BATCH_BYTES = 1 << 20           # texts of about so many bytes are in memory together, or one text
+BATCH_ROWS = 256                # rows of texts that a Python worker gets at a time
 # Hadoop's names of file systems that pyarrow calls otherwise
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
@@ -213,8 +216,13 @@ def _read_all(listing: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for k in range(len(pdf)):            # one text in memory at a time
-                yield pdf.iloc[k:k + 1].assign(content=_bytes_of(pdf["path"].iloc[k]).decode("utf-8", "replace"))
+            texts, held = [], 0
+            for k, path in enumerate(pdf["path"]):
+                texts.append(_bytes_of(path).decode("utf-8", "replace"))
+                held += len(texts[-1])
+                if held >= BATCH_BYTES or k + 1 == len(pdf):
+                    yield pdf.iloc[k + 1 - len(texts):k + 1].assign(content=texts)
+                    texts, held = [], 0
 
     return _by_bytes(listing).mapInPandas(run, schema)
 
@@ -259,7 +267,21 @@ def write_text_files(rows: DataFrame, root: str, overwrite: bool = True) -> int:
                 n += 1
             yield pd.DataFrame({"n": [n]})
 
-    return rows.select("rel", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    with _small_batches(rows.sparkSession):
+        return rows.select("rel", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Jobs run here hand ``BATCH_ROWS`` rows to Python at a time, so that a
+    worker's memory does not grow with its partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _bytes_of(uri: str) -> bytes:
