@@ -38,7 +38,8 @@ SPARE_BITS = 8            # of a context's hash beyond the bits of the corpus' l
 BLOCK = 64                 # tokens between two updates of the weights; fewer at a text's start
 RATE = 0.6
 REFINE_RATE = 0.5
-WORDS_KEPT = 600_000       # of a worker's table of word hashes
+WORDS_KEPT = 250_000       # of a worker's table of word hashes
+CODED = 300_000            # tokens or cells worked on at a time; a longer text, or a context, alone
 SLICE_CHARS = 8_000_000    # a longer text is a slice of its own
 RANGE_CHARS = 12_000_000   # characters of the corpus for each range of the hash space
 MOST_TASKS = 20_000
@@ -71,18 +72,18 @@ def start_weights() -> np.ndarray:
 
 
 class Words(dict):
-    """word -> its number here; ``hashes`` are by that number."""
+    """word -> its number here; ``hashes`` and ``sizes`` (bytes) are by that number."""
 
     def __init__(self):
         super().__init__()
-        self.hashes = np.zeros(1 << 16, np.uint64)
+        self.hashes, self.sizes = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
         k = self[word] = len(self)
         if k == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes] * 2)
-        self.hashes[k] = xxhash.xxh64_intdigest(word, 42)
+            self.hashes, self.sizes = np.concatenate([self.hashes] * 2), np.concatenate([self.sizes] * 2)
+        self.hashes[k], self.sizes[k] = xxhash.xxh64_intdigest(word, 42), len(word)
         return k
 
 
@@ -138,7 +139,7 @@ def unpack_states(data: bytes, cells: np.ndarray) -> np.ndarray:
     for d in range(8):
         given, at = unpack_bytes(data, at)
         first = _firsts(cells, d)
-        there, run = np.flatnonzero(first), np.cumsum(first) - 1
+        there, run = np.flatnonzero(first), np.cumsum(first, dtype=np.int32) - 1
         own = given
         if d:
             own = out[0, there]
@@ -213,17 +214,31 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _tokens(row: dict) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a slice's texts, all tokens' hashes, and each text's start and length."""
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' sizes in bytes and hashes, and each text's start and length in
+    tokens.  The words themselves are only held for one text at a time."""
     words = worker_state("mixing_words", Words)
     if len(words) >= WORDS_KEPT:
         words.clear()
     ends = np.cumsum(row["sizes"])
     whole = pa.decompress(row["texts"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True) if ends[-1] else b""
-    docs = [words_of(whole[e - n:e]) for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
-    n = np.array([len(d) for d in docs])
-    numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(docs)), np.int64, int(n.sum()))
-    return docs, words.hashes[numbers], np.cumsum(n) - n, n
+    docs = []
+    for e, size in zip(ends.tolist(), row["sizes"], strict=True):
+        own = words_of(whole[e - size:e])
+        docs.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+    n, numbers = np.array([len(d) for d in docs]), np.concatenate(docs)
+    return words.sizes[numbers], words.hashes[numbers], np.cumsum(n) - n, n
+
+
+def _places(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, and where each of ``numbers`` stands among
+    them; in half the memory of numpy's ``unique``, whose places are long."""
+    order = np.argsort(numbers)
+    numbers = numbers[order]
+    new = np.append(True, numbers[1:] != numbers[:-1])[:len(numbers)]
+    at = np.empty(len(numbers), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return numbers[new], at
 
 
 def _edges(ranges: int, bits: int) -> np.ndarray:
@@ -236,11 +251,11 @@ def _blocks(bits: int, ranges: int):
         for batch in batches:
             for (row,) in (batch.slice(k, 1).to_pylist() for k in range(batch.num_rows)):
                 _, h, starts, n = _tokens(row)
-                learnt = np.repeat(np.array(row["learns"], float), n)
+                learnt = np.repeat(np.array(row["learns"], np.uint8), n)
                 found = []
                 for numbers, weight, edges in ((_cells(h, starts, bits), np.tile(learnt, 2), _edges(ranges, bits) << np.uint64(8)),
                                                (h, learnt, _edges(ranges, 64))):
-                    own, at = np.unique(numbers, return_inverse=True)
+                    own, at = _places(numbers)
                     count = np.bincount(at, weight, len(own)).astype(np.uint64)
                     cuts = np.searchsorted(own, edges)
                     found.append(list(zip(np.split(own, cuts), np.split(count, cuts), strict=True)))
@@ -259,11 +274,19 @@ def states(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The states (cell, bit) along each cell's code: how sure the counts of its
     context are of the code's own bit, after the bits before it.  ``cells`` are
     distinct and sorted, and hold all of a context's codes that were counted."""
+    # whole contexts, some at a time
+    new = np.flatnonzero(_firsts(cells, 0)) if len(cells) else np.zeros(0, np.int64)
+    cuts = np.append(new[np.unique(new // CODED, return_index=True)[1]], len(cells)).tolist()
+    return np.concatenate([_states(cells[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                          or [np.empty((0, 8), np.uint8)])
+
+
+def _states(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out, above = np.empty((len(cells), 8), np.uint8), None
     for d in range(9):
         prefix = cells >> np.uint64(8 - d)
-        at = np.cumsum(np.append(False, prefix[1:] != prefix[:-1])) if len(cells) else np.zeros(0, np.int64)
-        own = np.bincount(at, counts)[at] if len(cells) else np.zeros(0)
+        at = np.cumsum(np.append(False, prefix[1:] != prefix[:-1]))
+        own = np.bincount(at, counts)[at]
         if d:
             sure = np.searchsorted(SEEN, above, "right")
             logit = np.log((own + 0.4) / (above - own + 0.4)) / STEP[sure]
@@ -275,9 +298,11 @@ def states(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _added(blocks: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All distinct numbers of a range, their counts, and the places of each block's own."""
     own = [np.cumsum(unpack(b)) for b in blocks[f"{name}s"].to_pylist()]
-    count = np.concatenate([unpack(b) for b in blocks[f"{name}_n"].to_pylist()]).astype(float)
-    numbers, at = np.unique(np.concatenate(own), return_inverse=True)
-    return numbers, np.bincount(at, count, len(numbers)), np.split(at, np.cumsum([len(o) for o in own])[:-1])
+    cuts, own = np.cumsum([len(o) for o in own])[:-1], np.concatenate(own)
+    numbers, at = _places(own)
+    del own
+    count = np.concatenate([unpack(b) for b in blocks[f"{name}_n"].to_pylist()])
+    return numbers, np.bincount(at, count, len(numbers)), np.split(at, cuts)
 
 
 ANSWER = "slice long, range long, states binary, counts binary, sizes array<long>"
@@ -362,30 +387,39 @@ def code_texts(code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, none:
     return seen[rank]
 
 
+def _runs(starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Neighbouring texts of about ``CODED`` tokens: the first one and the one after
+    the last, and where the tokens of these start."""
+    cuts = np.append(np.unique((starts + n - 1) // CODED, return_index=True)[1], len(n))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield a, b, int(starts[a]), int(starts[b - 1] + n[b - 1])
+
+
 def _score(sizes: np.ndarray, bits: int, ranges: int):
     tokens, distinct = int(sizes[:256].sum()), int(sizes[256:].sum())
     shares, none = np.log10(sizes[:256] + sizes[256:] + 1.0), order_nothing(sizes[:256])
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, (row,) = texts["doc_id"].combine_chunks().flatten(), texts.drop_columns(["doc_id"]).to_pylist()
-        docs, h, starts, n = _tokens(row)
+        letters, h, starts, n = _tokens(row)
         given = sorted(answers.select(["range", "states", "counts"]).to_pylist(), key=lambda r: r["range"])
-        cells, at = np.unique(_cells(h, starts, bits), return_inverse=True)
+        cells, at = _places(_cells(h, starts, bits))
         parts = np.split(cells, np.searchsorted(cells, _edges(ranges, bits) << np.uint64(8)))
         given = {r["range"]: r for r in given}
         found = np.concatenate([unpack_states(given[r]["states"], c) for r, c in enumerate(parts) if r in given])
-        words, word_at = np.unique(h, return_inverse=True)
+        words, word_at = _places(h)
         counts = np.concatenate([unpack(g["counts"]) for g in given.values()])
         if len(found) != len(cells) or len(counts) != len(words):
             raise ValueError("the answers are not this slice's")
         count = counts[word_at].astype(float)
         code = (h & np.uint64(255)).astype(np.int64)
         logs = np.add.reduceat(np.log10(count + 1), starts)
-        score = code_texts(code, starts, n, none, found[at[:len(h)]], found[at[len(h):]]) \
-            + logs - np.add.reduceat(shares[code], starts)
+        one, two = at[:len(h)], at[len(h):]
+        score = np.concatenate([
+            code_texts(code[s:e], starts[a:b] - s, n[a:b], none, found[one[s:e]], found[two[s:e]])
+            for a, b, s, e in _runs(starts, n)]) + logs - np.add.reduceat(shares[code], starts)
         # an unknown word's letters and its end, each one of 251 signs
-        letters = np.fromiter((len(w) + 1 for w in chain.from_iterable(docs)), np.int64, len(h))
-        spelled = np.add.reduceat(np.where(count > 0, 0, letters), starts) * np.log2(251)
+        spelled = np.add.reduceat(np.where(count > 0, 0, letters + 1), starts) * np.log2(251)
         size = np.maximum(np.array(row["sizes"]), 1)
         return pa.table({
             "doc_id": ids, "n_tokens": n.astype(np.int64), "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),

@@ -4,6 +4,7 @@ long texts, ties, repeated rows and columns whose names clash."""
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -600,3 +601,22 @@ def test_pipeline_stages(spark):
         assert 0 < docs.count() <= before
         before = docs.count()
     assert P.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_language_model_tasks_stay_small():
+    """A range's answer and a slice's tokens hold few arrays of their length at once."""
+    rng, peaks = np.random.default_rng(5), {}
+    own = [np.unique(rng.integers(0, 1 << 34, 300_000).astype(np.uint64)) for _ in range(4)]
+    blocks = mixing.pa.table({
+        "range": [0] * 4, "slice": list(range(4)), "cells": [mixing.pack(mixing._gaps(o)) for o in own],
+        "cell_n": [mixing.pack(np.ones(len(o), np.uint64)) for o in own],
+        "words": [mixing.pack(mixing._gaps(o[:9])) for o in own], "word_n": [mixing.pack(np.ones(9, np.uint64))] * 4})
+    texts = [" ".join(map(str, rng.integers(0, 500, 1000))).encode() for _ in range(200)]
+    row = {"sizes": [len(t) for t in texts], "texts": mixing.pa.compress(b"".join(texts), codec="zstd", asbytes=True)}
+    for name, work in (("range", lambda: mixing._answer(blocks)), ("slice", lambda: mixing._tokens(row))):
+        tracemalloc.start()
+        work()
+        peaks[name] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peaks["range"] < 80 * sum(map(len, own)), peaks
+    assert peaks["slice"] < 40 * 200 * 1001, peaks
