@@ -37,10 +37,11 @@ def _with_units(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = text
     for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+        # a search costs a fifth of a replacement; nothing is replaced where the searched text is empty
+        marked = F.replace(marked, F.when(F.contains(text, F.lit(end)), F.lit(end)).otherwise(F.lit("")), F.lit(end + MARK))
     # plain replacements cost a tenth of the pattern, which serves texts that hold the mark
     units = F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT, -1)).otherwise(F.split(marked, MARK, -1))
-    units = F.filter(units, lambda u: u != "")
+    units = F.array_remove(units, "")
     return docs.withColumn("units_", units if wanted is None else F.when(wanted, units))
 
 
@@ -50,13 +51,16 @@ def _between(units: str, first: str, last: str) -> str:
 
 
 START = "if(k = 0, 0, get(ends_, k - 1) + 1)"
+# trimming blanks alone is cheap and all that most units need
+PLAIN = r"""transform(transform(units_, u -> rtrim(u)), u -> if(endswith(u, '\n') OR endswith(u, '\r') OR endswith(u, '\t'),
+  trim(TRAILING ' \t\r\n' FROM u), u))"""
 TAIL = "concat(get(plain_, e - 1), '\n', get(plain_, e))"       # null in a text's first unit
 
 
 def with_ends(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns ``plain_`` (the units without the white space at
     their ends) and ``ends_`` (the places of the chunks' last units)."""
-    made = _with_units(docs).withColumn("plain_", F.expr(r"transform(units_, u -> trim(TRAILING ' \t\r\n' FROM u))"))
+    made = _with_units(docs).withColumn("plain_", F.expr(PLAIN))
     made = made.withColumn("hashes_", F.expr("transform(plain_, s -> md5(s))"))
     made = made.withColumn("rolled_", F.expr(
         "transform(hashes_, (h, i) -> md5(concat(if(i = 0, '', left(get(hashes_, i - 1), 8)), h)))"))
